@@ -1,0 +1,29 @@
+"""Cutting lineage so that every later branch reads the same stored rows."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints: the one the session names, a local one only for local masters."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    sc.setCheckpointDir(named)
+    return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Store the rows reliably. Needed before a partition number is used as data: a recomputed range
+    partitioning may draw other borders, stored rows may not."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
