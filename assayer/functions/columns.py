@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # The texts that count as a number.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
-EDGE_SPACE = r"^\s+|\s+$"
+# Fixed value: the white space a text is stripped of.
+SPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+         "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _col(c: Column | str) -> Column:
@@ -37,7 +39,7 @@ def guarded_ratio(top: Column, bottom: Column) -> Column:
 
 def strip_text(c: Column | str) -> Column:
     """All leading and trailing white space removed, tabs and line ends included."""
-    return F.regexp_replace(_col(c), EDGE_SPACE, "")
+    return F.btrim(_col(c), F.lit(SPACE))
 
 
 def norm_text(c: Column | str) -> Column:
@@ -54,9 +56,9 @@ def is_blank(c: Column | str) -> Column:
 def parse_number(c: Column | str) -> Column:
     """The number a text spells, NULL for blank, `nan` and anything else."""
     x = _col(c)
-    sign = F.when(strip_text(x).startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    sign = F.when(x.contains("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     return (
-        F.when(x.rlike(NUMBER_PATTERN), strip_text(x).try_cast("double"))
+        F.when(x.rlike(NUMBER_PATTERN), x.try_cast("double"))
         .when(x.rlike(INFINITY_PATTERN), sign * F.lit(float("inf")))
     )
 

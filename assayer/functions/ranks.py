@@ -28,57 +28,61 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequence[float],
-              accuracy: int = 10_000, few_groups: bool = True) -> DataFrame:
+              accuracy: int = 20_000, few_groups: bool = True) -> DataFrame:
     """Exact linearly interpolated quantiles: `by…, n, qs` with qs in the order of probs.
 
     First pass: a quantile sketch per group, whose rank error is at most n/accuracy, gives a bracket
-    around every wanted position. Second pass: rows below a bracket are only counted (partial
-    aggregation), rows inside are counted per value. So at most about 6n/accuracy distinct values
-    per quantile reach one task, however large the group is. `few_groups` states that the number of
-    groups is bounded by the schema or a declared list, which allows the brackets to be broadcast.
+    around every wanted position. Second pass: rows inside a bracket are counted per value, rows
+    between brackets only per gap, both with partial aggregation and without multiplying rows. So at
+    most about 5n/accuracy distinct values per quantile are ordered in one task, however large a
+    group is, and the result does not depend on where the sketch put the brackets. Groups of at most
+    10 x accuracy rows skip the brackets. `few_groups` states that the number of groups is bounded
+    by the schema or a declared list, which allows the brackets to be broadcast.
     """
     by = list(by)
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    slack = 3.0 / accuracy
+    slack = 2.5 / accuracy
     points = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-slack, slack)]
     sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", points, accuracy).alias("_e"))
     tiny = F.col("_n") <= 10 * accuracy
-    targets = []
+    bounds = []
     for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("_n") - 1)
         low = F.lit(float("-inf")) if p - slack <= 0 else F.when(tiny, float("-inf")).otherwise(F.col("_e")[2 * i])
         high = F.lit(float("inf")) if p + slack >= 1 else F.when(tiny, float("inf")).otherwise(F.col("_e")[2 * i + 1])
-        targets.append(F.struct(
-            F.lit(i).alias("i"), F.floor(place).alias("a"), F.ceil(place).alias("b"),
-            (place - F.floor(place)).alias("f"), low.alias("low"), high.alias("high")))
-    brackets = sketch.select(*by, "_n", F.array(*targets).alias("_t"))
+        bounds += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
+    brackets = sketch.select(*by, *bounds)
     if few_groups:
         brackets = F.broadcast(brackets)
     joined = _null_safe(rows, brackets, by) if by else rows.join(brackets)
-    hit = joined.select(
-        *by, "_n", "_x", F.explode(F.filter("_t", lambda t: F.col("_x") <= t["high"])).alias("_t"))
-    counted = hit.groupBy(
-        *by, "_n", "_t", F.when(F.col("_x") >= F.col("_t.low"), F.col("_x")).alias("_v"),
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*by, "_n", "_t").orderBy(F.col("_v").asc_nulls_first())
-    placed = counted.withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def at(i: int, end: str) -> Column:
-        k = F.col(f"_t.{end}")
-        inside = (k >= F.col("_end") - F.col("_c")) & (k < F.col("_end")) & (F.col("_t.i") == i)
-        return F.max(F.when(inside, F.col("_v")))
-
-    picked = placed.groupBy(*by, "_n").agg(*[
-        F.struct(at(i, "a").alias("a"), at(i, "b").alias("b"),
-                 F.max(F.when(F.col("_t.i") == i, F.col("_t.f"))).alias("f")).alias(f"_q{i}")
-        for i in range(len(probs))])
+    v, k = F.col("_x"), range(len(probs))
+    inside = F.lit(False)
+    for i in k:
+        inside = inside | ((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")))
+    before = [F.when(v > F.col(f"_hi{i}"), F.col(f"_hi{i}")).otherwise(F.lit(float("-inf"))) for i in k]
+    gap = F.greatest(*before) if len(before) > 1 else before[0]
+    counted = joined.groupBy(*by, F.when(inside, v).otherwise(gap).alias("_k"), (~inside).alias("_gap")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)
+    placed = counted.withColumns({
+        "_end": F.sum("_c").over(group.orderBy("_k", "_gap").rowsBetween(Window.unboundedPreceding, 0)),
+        "_n": F.sum("_c").over(group)})
+
+    def at(place: Column) -> Column:
+        here = (place >= F.col("_end") - F.col("_c")) & (place < F.col("_end")) & ~F.col("_gap")
+        return F.max(F.when(here, F.col("_k")))
+
+    spot = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    picked = placed.groupBy(*by).agg(
+        F.max("_n").alias("n"), *[c for i in k for c in (
+            at(F.floor(spot[i])).alias(f"_a{i}"), at(F.ceil(spot[i])).alias(f"_b{i}"),
+            F.max(spot[i] - F.floor(spot[i])).alias(f"_f{i}"))])
     value_of = [
-        F.when(F.col(f"_q{i}.a") == F.col(f"_q{i}.b"), F.col(f"_q{i}.a")).otherwise(
-            F.col(f"_q{i}.a") + (F.col(f"_q{i}.b") - F.col(f"_q{i}.a")) * F.col(f"_q{i}.f"))
-        for i in range(len(probs))]
-    return picked.select(*by, F.col("_n").alias("n"), F.array(*value_of).alias("qs"))
+        F.when(F.col(f"_a{i}") == F.col(f"_b{i}"), F.col(f"_a{i}")).otherwise(
+            F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")) for i in k]
+    out = picked.select(*by, "n", F.array(*value_of).alias("qs"))
+    return out if by else out.where(F.col("n") > 0)
 
 
 def running(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,

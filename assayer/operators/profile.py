@@ -39,15 +39,18 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], multiplier: float = 1
     counts = wide_rows(p, columns, {
         "row_count": lambda c: F.count(F.lit(1)), "valid": lambda c: F.count(number(c)),
         **{f"{m}_count": (lambda c, m=m: F.count_if(F.col(c)[m])) for m in ("missing", "blank", "materialized", "non_numeric")},
-        "unique_count": lambda c: F.count_distinct(number(c)), "zero_count": lambda c: F.count_if(number(c) == 0),
+        "zero_count": lambda c: F.count_if(number(c) == 0),
         "negative_count": lambda c: F.count_if(number(c) < 0), "mean": lambda c: F.avg(number(c)),
         "std": lambda c: F.stddev_samp(number(c)), "variance": lambda c: F.var_samp(number(c)),
         "minimum": lambda c: F.min(number(c)), "maximum": lambda c: F.max(number(c)),
         "skewness": lambda c: adjusted_skewness(number(c))})
-    q = quantiles(numbers_long(p, columns), ["feature"], "value", [0.25, 0.5, 0.75])
-    q = q.select("feature", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"))
+    long = numbers_long(p, columns)
+    unique = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count"))
+    q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
+    q = q.join(unique, "feature").select("feature", "unique_count", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return counts.join(F.broadcast(q), "feature", "left").withColumns({
+        "unique_count": F.coalesce("unique_count", F.lit(0)),
         "range": F.col("maximum") - F.col("minimum"), "iqr": iqr, "lower_fence": F.col("q1") - multiplier * iqr,
         "upper_fence": F.col("q3") + multiplier * iqr, "shape": shape_label(F.col("skewness"))})
 

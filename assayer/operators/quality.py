@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from assayer.functions import is_blank, norm_text, parse_number, rows_of, strip_text, to_text, wide_rows
+from assayer.functions import clean, is_blank, parse_number, rows_of, strip_text, to_text, wide_rows
 from assayer.operators.identity import row_fingerprint
 
 
@@ -45,10 +45,10 @@ def numeric_projection(df: DataFrame, columns: Sequence[str], keep: Sequence[str
     """
     out = []
     for c in columns:
-        missing, blank = is_missing(df, c), is_blank(to_text(c)) & F.col(c).isNotNull()
-        kind = df.schema[c].dataType
-        parsed = F.col(c).cast("double") if isinstance(kind, T.NumericType) else parse_number(c)
-        parsed = F.when(~missing & ~blank & ~F.isnan(parsed), parsed)
+        missing = is_missing(df, c)
+        numeric = isinstance(df.schema[c].dataType, T.NumericType)
+        blank = F.lit(False) if numeric else is_blank(to_text(c))
+        parsed = clean(c) if numeric else parse_number(c)
         made, failed, value = F.lit(False), F.lit(False), parsed
         if blank_to and c in blank_to:
             other, wanted, number = blank_to[c]

@@ -60,7 +60,7 @@ def two_components(df: DataFrame, features: Sequence[str], keep: Sequence[str])
                                        for f in features])
     rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(z)
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
-    load = model.pc.toArray()
+    load = model.pc.toArray().copy()
     share = [float(x) for x in model.explainedVariance]
     for k in range(2):
         load[:, k] *= np.sign(load[np.argmax(np.abs(load[:, k])), k])
@@ -85,17 +85,19 @@ def curvature(df: DataFrame, features: Sequence[str], target: str, threshold: fl
     base = df.select(_finite(target).alias("_y"), *[_finite(f).alias(f) for f in features])
     on = lambda f, c: F.when(F.col(f).isNotNull() & F.col("_y").isNotNull(), c)
     fit = F.broadcast(base.agg(*[x for f in features for x in (
-        F.avg(on(f, F.col(f))).alias(f"_m_{f}"), F.stddev_pop(on(f, F.col(f))).alias(f"_s_{f}"))]))
+        F.avg(on(f, F.col(f))).alias(f"_m_{f}"), F.stddev_pop(on(f, F.col(f))).alias(f"_s_{f}"),
+        F.min(on(f, F.col(f))).alias(f"_lo_{f}"), F.max(on(f, F.col(f))).alias(f"_hi_{f}"))]))
     joined = base.join(fit)
     aggs, rows = [F.count(F.lit(1)).alias("row_count")], []
     for i, f in enumerate(features):
+        between = F.count_if(on(f, (F.col(f) > F.col(f"_lo_{f}")) & (F.col(f) < F.col(f"_hi_{f}"))))
         z, y = on(f, guarded_ratio(F.col(f) - F.col(f"_m_{f}"), F.col(f"_s_{f}"))), on(f, F.col("_y"))
         corr = lambda a, b: guarded_ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
         zy = F.when(z.isNotNull(), y)
-        aggs += [F.count(y).alias(f"_n{i}"), F.count_distinct(z).alias(f"_d{i}"), corr(z, zy).alias(f"_a{i}"),
+        aggs += [F.count(y).alias(f"_n{i}"), between.alias(f"_d{i}"), corr(z, zy).alias(f"_a{i}"),
                  corr(z * z, zy).alias(f"_b{i}"), corr(z, z * z).alias(f"_c{i}")]
         n, a, b, c = (F.col(f"_{k}{i}") for k in ("n", "a", "b", "c"))
-        ok = (n >= 5) & (F.col(f"_d{i}") >= 3)
+        ok = (n >= 5) & (F.col(f"_d{i}") > 0)  # a value between the extremes: at least three distinct
         linear = F.when(ok, a * a)
         quad = F.when(ok, guarded_ratio(a * a + b * b - 2 * a * b * c, 1 - c * c))
         gain = _adjusted(quad, n, 2) - _adjusted(linear, n, 1)

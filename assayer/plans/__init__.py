@@ -4,7 +4,7 @@ import importlib
 
 from assayer.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("forecasting", "identity", "quality", "profiles")
+FAMILIES = ("forecasting", "identity", "quality", "profiles", "association", "target", "structure")
 for _family in FAMILIES:
     importlib.import_module(f"assayer.plans.{_family}")
 
