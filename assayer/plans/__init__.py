@@ -4,7 +4,8 @@ import importlib
 
 from assayer.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("forecasting", "identity", "quality", "profiles", "association", "target", "structure")
+FAMILIES = ("forecasting", "identity", "quality", "profiles", "association", "target", "structure", "splits", "evaluation", "smoothing", "models",
+            "stateless_streams")
 for _family in FAMILIES:
     importlib.import_module(f"assayer.plans.{_family}")
 

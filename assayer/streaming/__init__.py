@@ -1 +1,3 @@
+from assayer.streaming.scoring import contract_stream, run_to_table
 
+__all__ = ["contract_stream", "run_to_table"]
