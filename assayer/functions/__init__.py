@@ -3,9 +3,9 @@ from assayer.functions.columns import (
 )
 from assayer.functions.lineage import settle
 from assayer.functions.ranks import average_ranks, hash_rank, quantiles, running
-from assayer.functions.shape import long_form, rows_of, wide_rows
+from assayer.functions.shape import long_form, rows_of, spread, wide_rows
 
 __all__ = [
     "average_ranks", "clean", "guarded_ratio", "hash_rank", "is_blank", "long_form", "norm_text", "num",
-    "parse_number", "quantiles", "rnd", "rows_of", "running", "settle", "strip_text", "to_text", "wide_rows",
+    "parse_number", "quantiles", "rnd", "rows_of", "running", "settle", "spread", "strip_text", "to_text", "wide_rows",
 ]

@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from assayer.functions.columns import clean
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a small input to all cores before work that multiplies rows.
+
+    An input too small to give every core a split of the configured size would run that work on a few
+    cores; a large one already has enough splits and is returned as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores else df
+
+
 def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "feature",
               value: str = "value") -> DataFrame:
     """One row per (row, column) with the value as a double and NaN as NULL."""
-    shaped = df.select(*keep, *[clean(c).alias(c) for c in columns])
+    shaped = spread(df.select(*keep, *columns)).select(*keep, *[clean(c).alias(c) for c in columns])
     return shaped.unpivot(list(keep), list(columns), name, value)
 
 

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import clean, guarded_ratio, norm_text, quantiles, rows_of, running, wide_rows
+from assayer.functions import clean, guarded_ratio, norm_text, quantiles, rows_of, running, spread, wide_rows
 
 STRONG, REDUNDANT, STRUCTURAL = 0.80, 0.90, 0.99
 
@@ -32,7 +32,7 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     for start in range(0, len(pairs), chunk):
         some = pairs[start:start + chunk]
         used = sorted({c for p in some for c in p})
-        base = df.select(*by, *[clean(c).alias(c) for c in used])
+        base = spread(df.select(*by, *[clean(c).alias(c) for c in used]))
         aggs = [F.count(F.lit(1)).alias("row_count")]
         for i, (a, b) in enumerate(some):
             aggs += [F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"_n{i}"),
@@ -45,12 +45,39 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     return reduce(DataFrame.unionByName, parts)
 
 
-def pair_counts(df: DataFrame, pairs: Sequence[tuple[Column, Column, str, str]], keep: Sequence[str] = ()) -> DataFrame:
-    """Complete pairs `feature_a, feature_b, x, y` collapsed to counts n before anything else happens."""
-    structs = [F.when(x.isNotNull() & y.isNotNull(), F.struct(
-        F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), x.alias("x"), y.alias("y"))) for x, y, a, b in pairs]
-    long = df.select(*keep, F.explode(F.array_compact(F.array(*structs))).alias("_p")).select(*keep, "_p.*")
-    return long.groupBy(*keep, "feature_a", "feature_b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+def pair_counts(df: DataFrame, pairs: Sequence[tuple[Column, Column, str, str]]) -> DataFrame:
+    """Complete pairs `feature_a, feature_b, x, y` collapsed to counts n before anything else happens.
+
+    One aggregation over grouping sets, one set per pair: rows are multiplied inside generated code
+    and combined before the shuffle. All values must share one type.
+    """
+    names: dict[str, Column] = {}
+    for x, y, a, b in pairs:
+        names.setdefault(a, x)
+        names.setdefault(b, y)
+    slot = {n: f"_c{i}" for i, n in enumerate(names)}
+    seen: set[frozenset] = set()
+    first = [p for p in pairs if not (frozenset(p[2:]) in seen or seen.add(frozenset(p[2:])))]
+    turned = [p for p in pairs if not any(p is q for q in first)]  # the same two columns the other way round
+    base = df.select(*[c.alias(slot[n]) for n, c in names.items()])
+    parts = []
+    for start in range(0, len(first), 30):
+        some = first[start:start + 30]
+        used = sorted({slot[n] for p in some for n in p[2:]})
+        bits = {c: 1 << (len(used) - 1 - i) for i, c in enumerate(used)}
+        which = {sum(v for c, v in bits.items() if c not in (slot[a], slot[b])): (a, b) for _, _, a, b in some}
+        counts = base.groupingSets([[F.col(slot[a]), F.col(slot[b])] for _, _, a, b in some], *used).agg(
+            F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"))
+        choose = lambda f: F.coalesce(*[F.when(F.col("_g") == g, f(a, b)) for g, (a, b) in which.items()])
+        parts.append(counts.select(
+            choose(lambda a, b: F.lit(a)).alias("feature_a"), choose(lambda a, b: F.lit(b)).alias("feature_b"),
+            choose(lambda a, b: F.col(slot[a])).alias("x"), choose(lambda a, b: F.col(slot[b])).alias("y"), "n"))
+    out = reduce(DataFrame.unionByName, parts).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if turned:
+        wanted = reduce(lambda p, q: p | q, [(F.col("feature_a") == b) & (F.col("feature_b") == a) for _, _, a, b in turned])
+        out = out.unionByName(out.where(wanted).select(
+            F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), F.col("y").alias("x"), F.col("x").alias("y"), "n"))
+    return out
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None,
@@ -61,6 +88,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None,
     range over many tasks. Ranks return by equi-joins on the value.
     """
     if pairs is None:
+        df = spread(df.select(*columns))
         pairs = [(clean(a), clean(b), a, b) for a, b in combinations(columns, 2)]
     key = ["feature_a", "feature_b"]
     counts = pair_counts(df, pairs)
@@ -95,7 +123,7 @@ def review_list(pairs: DataFrame) -> DataFrame:
 
 
 def contingency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return pair_counts(df, [(norm_text(F.col(a).cast("string")), norm_text(F.col(b).cast("string")), a, b)
+    return pair_counts(spread(df.select(*columns)), [(norm_text(F.col(a).cast("string")), norm_text(F.col(b).cast("string")), a, b)
                             for a, b in combinations(columns, 2)])
 
 
@@ -149,12 +177,32 @@ def eta_squared(rows: DataFrame, key: Sequence[str], group: str, value: str, wei
 
 
 def mixed_pairs(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
-    """Eta squared of every category and number pair."""
-    structs = [F.struct(F.lit(c).alias("category"), F.lit(m).alias("number"), norm_text(F.col(c).cast("string")).alias("g"), clean(m).alias("v"))
-               for c in categorical for m in numeric]
-    long = df.select(F.inline(F.array(*structs))).where(F.col("g").isNotNull() & F.col("v").isNotNull())
-    e = eta_squared(long, ["category", "number"], "g", "v")
-    return e.withColumn("strong", F.coalesce(F.col("eta_squared") >= STRONG, F.lit(False)))
+    """Eta squared of every category and number pair.
+
+    One aggregation over grouping sets, one per category, gives size, mean and variance of every number
+    in every level; the rest works on levels.
+    """
+    slot = {c: f"_g{i}" for i, c in enumerate(categorical)}
+    base = spread(df.select(*categorical, *numeric)).select(
+        *[norm_text(F.col(c).cast("string")).alias(slot[c]) for c in categorical], *[clean(m).alias(m) for m in numeric])
+    used = list(slot.values())
+    stats = base.groupingSets([[F.col(g)] for g in used], *used).agg(
+        F.grouping_id().alias("_id"), *[x for i, m in enumerate(numeric) for x in (
+            F.count(m).alias(f"_n{i}"), F.avg(m).alias(f"_m{i}"), F.var_pop(m).alias(f"_v{i}"))])
+    full = (1 << len(used)) - 1
+    ids = {c: full - (1 << (len(used) - 1 - i)) for i, c in enumerate(categorical)}
+    name = F.coalesce(*[F.when((F.col("_id") == i) & F.col(slot[c]).isNotNull(), F.lit(c)) for c, i in ids.items()])
+    long = stats.select(name.alias("category"), F.inline(F.array(*[F.struct(
+        F.lit(m).alias("number"), F.col(f"_n{i}").alias("n"), F.col(f"_m{i}").alias("m"), F.col(f"_v{i}").alias("v"))
+        for i, m in enumerate(numeric)]))).where(F.col("category").isNotNull() & (F.col("n") > 0))
+    key = ["category", "number"]
+    mean = F.broadcast(long.groupBy(*key).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_m")))
+    gap = F.col("m") - F.col("_m")
+    between, within = F.sum(F.col("n") * gap * gap), F.sum(F.col("n") * F.col("v"))
+    return long.join(mean, key).groupBy(*key).agg(
+        F.sum("n").alias("valid_rows"), F.count(F.lit(1)).alias("groups"),
+        clamp(guarded_ratio(between, between + within)).alias("eta_squared")).withColumn(
+        "strong", F.coalesce(F.col("eta_squared") >= STRONG, F.lit(False)))
 
 
 def product_interaction(df: DataFrame, left: str, right: str, compared: str) -> DataFrame:
@@ -198,6 +246,7 @@ def functional_dependencies(df: DataFrame, pairs: Sequence[tuple[str, str]]) ->
     Rows collapse to distinct combinations with partial aggregation, so a frequent determinant is no hot group.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(missing)"))
+    df = spread(df.select(*sorted({c for p in pairs for c in p})))
     counts = pair_counts(df, [(text(a), text(b), a, b) for a, b in pairs])
     per = counts.groupBy("feature_a", "feature_b", "x").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"))
     return per.groupBy(F.col("feature_a").alias("determinant"), F.col("feature_b").alias("dependent")).agg(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import clean, guarded_ratio, norm_text, rows_of, wide_rows
+from assayer.functions import clean, guarded_ratio, norm_text, rows_of, spread, wide_rows
 from assayer.operators.association import pair_counts
 
 
@@ -17,16 +17,15 @@ def target_proxies(df: DataFrame, fields: Sequence[str], target: str, identifier
     Exact and normalised match rates are one wide aggregate; the mapping checks count distinct
     (field, target) combinations, never rows of one value in one task.
     """
-    t = F.col(target).cast("string")
-    both = lambda f: F.col(f).isNotNull() & F.col(target).isNotNull()
-    key = lambda c: F.coalesce(norm_text(F.col(c).cast("string")), F.lit(""))
+    text = lambda c: F.col(c).cast("string")
+    df = spread(df.where(F.col(target).isNotNull()).select(target, *[f for f in fields if f != target])).select(
+        text(target).alias("_t"), F.coalesce(norm_text(text(target)), F.lit("")).alias("_tk"), *[text(f).alias(f) for f in fields],
+        *[F.when(F.col(f).isNotNull(), F.coalesce(norm_text(text(f)), F.lit(""))).alias(f"_k_{f}") for f in fields])
+    key = lambda f: F.col(f"_k_{f}")
     rates = wide_rows(df, fields, {
-        "paired_rows": lambda f: F.count_if(both(f)),
-        "exact_rate": lambda f: F.avg(F.when(both(f), (F.col(f).cast("string") == t).cast("double"))),
-        "normalized_rate": lambda f: F.avg(F.when(both(f), (key(f) == key(target)).cast("double")))}, name="field")
-    rates = rates.withColumnRenamed("feature", "field")
-    counts = pair_counts(df.where(F.col(target).isNotNull()), [
-        (F.when(F.col(f).isNotNull(), key(f)), key(target), f, "target") for f in fields])
+        "paired_rows": lambda f: F.count(f), "exact_rate": lambda f: F.avg((F.col(f) == F.col("_t")).cast("double")),
+        "normalized_rate": lambda f: F.avg((key(f) == F.col("_tk")).cast("double"))}, name="field")
+    counts = pair_counts(df, [(key(f), F.col("_tk"), f, "(target)") for f in fields])
     forward = counts.groupBy("feature_a", "x").agg(F.count(F.lit(1)).alias("_k")).groupBy("feature_a").agg(
         F.max("_k").alias("_f"), F.count(F.lit(1)).alias("cardinality"),
         F.bool_and(F.col("x").isin("0", "1", "true", "false")).alias("_binary"))
@@ -56,7 +55,7 @@ def affine_proxies(df: DataFrame, fields: Sequence[str], target: str, atol: floa
                    confirmed: float = 0.99) -> DataFrame:
     """Numeric copies and affine transforms of a continuous target. Two scans: the line, then how many rows lie on it."""
     finite = lambda c: F.when(F.abs(clean(c)) != float("inf"), clean(c))
-    t, base = F.col("_t"), df.select(finite(target).alias("_t"), *[finite(f).alias(f) for f in fields])
+    t, base = F.col("_t"), spread(df.select(finite(target).alias("_t"), *[finite(f).alias(f) for f in fields]))
     on = lambda f, c: F.when(F.col(f).isNotNull() & t.isNotNull(), c)
     lines = base.agg(*[x for i, f in enumerate(fields) for x in (
         guarded_ratio(F.covar_pop(on(f, F.col(f)), on(f, t)), F.var_pop(on(f, t))).alias(f"_s{i}"),

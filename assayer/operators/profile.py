@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions import guarded_ratio, is_blank, norm_text, quantiles, rows_of, running, to_text, wide_rows
+from assayer.functions import guarded_ratio, is_blank, norm_text, quantiles, rows_of, running, spread, to_text, wide_rows
 from assayer.operators.quality import numeric_projection
 
 
@@ -34,7 +34,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], multiplier: float = 1
 
     Counts and moments come from one wide aggregate; quartiles are exact and never gather a column in one task.
     """
-    p = numeric_projection(df, columns, blank_to=blank_to)
+    needed = dict.fromkeys([*columns, *[v[0] for v in (blank_to or {}).values()]])
+    p = numeric_projection(spread(df.select(*needed)), columns, blank_to=blank_to)
     number = lambda c: F.col(c)["number"]
     counts = wide_rows(p, columns, {
         "row_count": lambda c: F.count(F.lit(1)), "valid": lambda c: F.count(number(c)),
@@ -65,7 +66,7 @@ def fences(long: DataFrame, multiplier: float = 1.5) -> DataFrame:
 
 def outlier_summary(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """Values strictly outside the fences and their share of the valid values."""
-    long = numbers_long(numeric_projection(df, columns), columns)
+    long = numbers_long(numeric_projection(spread(df.select(*columns)), columns), columns)
     marked = long.join(fences(long, multiplier), "feature")
     out = marked.groupBy("feature", "lower_fence", "upper_fence").agg(
         F.count(F.lit(1)).alias("valid"), F.count_if(F.col("value") < F.col("lower_fence")).alias("lower_count"),
@@ -76,7 +77,7 @@ def outlier_summary(df: DataFrame, columns: Sequence[str], multiplier: float = 1
 
 def outlier_rows(df: DataFrame, columns: Sequence[str], order: Sequence[str], multiplier: float = 1.5, top: int = 20) -> DataFrame:
     """The first `top` outlying rows per column; the rank filter prunes every partition before the shuffle."""
-    long = numbers_long(numeric_projection(df, columns, keep=order), columns, keep=order)
+    long = numbers_long(numeric_projection(spread(df.select(*order, *columns)), columns, keep=order), columns, keep=order)
     marked = long.join(fences(long.select("feature", "value"), multiplier), "feature")
     side = F.when(F.col("value") < F.col("lower_fence"), "lower").when(F.col("value") > F.col("upper_fence"), "upper")
     rank = Window.partitionBy("feature").orderBy(*order, "value")
@@ -98,7 +99,7 @@ def conversion_issues(df: DataFrame, columns: Sequence[str], position: str) -> D
 # --- categories -------------------------------------------------------------------------------------------------
 
 def category_long(df: DataFrame, columns: Sequence[str], position: str) -> DataFrame:
-    return df.select(position, *[to_text(c).alias(c) for c in columns]).unpivot([position], list(columns), "feature", "category")
+    return spread(df.select(position, *columns)).select(position, *[to_text(c).alias(c) for c in columns]).unpivot([position], list(columns), "feature", "category")
 
 
 def category_counts(df: DataFrame, columns: Sequence[str], position: str) -> DataFrame:
@@ -302,7 +303,7 @@ def histogram(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
 
 def boxplot(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """Five numbers, whiskers at the last values inside the fences and the number of points outside."""
-    long = numbers_long(numeric_projection(df, columns), columns)
+    long = numbers_long(numeric_projection(spread(df.select(*columns)), columns), columns)
     q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
     iqr = F.col("qs")[2] - F.col("qs")[0]
     q = F.broadcast(q.select("feature", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from assayer.functions import clean, is_blank, parse_number, rows_of, strip_text, to_text, wide_rows
+from assayer.functions import clean, is_blank, parse_number, rows_of, spread, strip_text, to_text, wide_rows
 from assayer.operators.identity import row_fingerprint
 
 
@@ -185,7 +185,7 @@ def value_types(df: DataFrame, columns: Sequence[str], expected: Mapping[str, Se
     # Patterns of the families.
     whole, boolean, day = r"^\s*[+-]?\d+\s*$", r"(?i)^\s*(true|false)\s*$", r"^\s*\d{4}-\d{2}-\d{2}\s*$"
     present = lambda c: F.col(c).isNotNull() & ~is_blank(c)
-    counts = wide_rows(df, columns, {
+    counts = wide_rows(spread(df.select(*columns)), columns, {
         "row_count": lambda c: F.count(F.lit(1)), "present": lambda c: F.count_if(present(c)),
         "as_integer": lambda c: F.count_if(F.col(c).rlike(whole)),
         "as_number": lambda c: F.count_if(parse_number(c).isNotNull()),
@@ -255,6 +255,13 @@ ISSUES = ("Inconsistent text", "Missing value", "Blank value", "Unexpected value
           "Non-finite value", "Non-integer value", "Below minimum", "Above maximum")
 
 
+def with_numbers(df: DataFrame, rules: Mapping[str, ValueRule]) -> DataFrame:
+    """Only the ruled columns, spread out, with `_num_<c>` parsed once for each numeric rule."""
+    there = [c for c in rules if c in df.columns]
+    number = lambda c: parse_number(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c).cast("double")
+    return spread(df.select(*there)).withColumns({f"_num_{c}": number(c) for c in there if rules[c].numeric})
+
+
 def issue_masks(df: DataFrame, c: str, rule: ValueRule) -> dict[str, Column]:
     """Boolean column per issue; a value that matches the allowed list only after normalising is inconsistent."""
     text = isinstance(df.schema[c].dataType, T.StringType)
@@ -277,7 +284,7 @@ def issue_masks(df: DataFrame, c: str, rule: ValueRule) -> dict[str, Column]:
         masks["Inconsistent text"] = flag(there & ~exact & alike)
         masks["Unexpected value"] = flag(there & ~exact & ~alike)
     if rule.numeric:
-        x = parse_number(c) if text else F.col(c).cast("double")
+        x = F.col(f"_num_{c}")
         number = there & x.isNotNull()
         masks["Non-numeric value"] = there & x.isNull()
         if rule.finite:
@@ -293,6 +300,7 @@ def issue_masks(df: DataFrame, c: str, rule: ValueRule) -> dict[str, Column]:
 
 def value_checks(df: DataFrame, rules: Mapping[str, ValueRule]) -> DataFrame:
     """Missing, blank, inconsistent, invalid and affected rows of every ruled column in one scan."""
+    df = with_numbers(df, rules)
     aggs, rows = [F.count(F.lit(1)).alias("row_count")], []
     for i, (c, rule) in enumerate(rules.items()):
         if c not in df.columns:
@@ -324,6 +332,7 @@ def issue_samples(df: DataFrame, rules: Mapping[str, ValueRule], top: int = 5) -
 
     Values are counted before ranking, and the rank filter prunes every partition to its own top first.
     """
+    df = with_numbers(df, rules)
     found = []
     for c, rule in rules.items():
         if c not in df.columns:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import clean, guarded_ratio, long_form, quantiles, rows_of, to_text
+from assayer.functions import clean, guarded_ratio, long_form, quantiles, rows_of, spread, to_text
 
 
 def class_profiles(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -82,7 +82,7 @@ def curvature(df: DataFrame, features: Sequence[str], target: str, threshold: fl
 
     First aggregate: mean and population deviation; second: the correlations of y, z and z².
     """
-    base = df.select(_finite(target).alias("_y"), *[_finite(f).alias(f) for f in features])
+    base = spread(df.select(_finite(target).alias("_y"), *[_finite(f).alias(f) for f in features]))
     on = lambda f, c: F.when(F.col(f).isNotNull() & F.col("_y").isNotNull(), c)
     fit = F.broadcast(base.agg(*[x for f in features for x in (
         F.avg(on(f, F.col(f))).alias(f"_m_{f}"), F.stddev_pop(on(f, F.col(f))).alias(f"_s_{f}"),
@@ -126,21 +126,20 @@ def _solve_gain(batches):
 def interactions(df: DataFrame, features: Sequence[str], target: str, threshold: float = 0.02) -> DataFrame:
     """Adjusted-R² gain of z1·z2 over z1, z1², z2, z2². Spark builds 21 covariances per pair in one aggregate over
     already standardised columns; the 5-by-5 solve works on one row per pair."""
-    base = df.select(_finite(target).alias("_y"), *[_finite(f).alias(f) for f in features])
+    base = spread(df.select(_finite(target).alias("_y"), *[_finite(f).alias(f) for f in features]))
     pairs = list(combinations(features, 2))
     ok = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("_y").isNotNull()
     fit = F.broadcast(base.agg(*[x for i, (a, b) in enumerate(pairs) for k, c in (("a", a), ("b", b)) for x in (
         F.avg(F.when(ok(a, b), F.col(c))).alias(f"_m{k}{i}"), F.stddev_pop(F.when(ok(a, b), F.col(c))).alias(f"_s{k}{i}"))]))
-    joined = base.join(fit)
-    aggs, rows = [F.count(F.lit(1)).alias("row_count")], []
-    for i, (a, b) in enumerate(pairs):
-        z = {k: F.when(ok(a, b), guarded_ratio(F.col(c) - F.col(f"_m{k}{i}"), F.col(f"_s{k}{i}"))) for k, c in (("a", a), ("b", b))}
-        y = F.when(ok(a, b), F.col("_y"))
-        terms = [z["a"], z["a"] * z["a"], z["b"], z["b"] * z["b"], z["a"] * z["b"], y]
-        aggs += [F.count(y).alias(f"_n{i}"), F.array(*[
-            F.covar_pop(terms[p], terms[q]) for p in range(6) for q in range(p, 6)]).alias(f"_c{i}")]
-        rows.append({"feature_a": F.lit(a), "feature_b": F.lit(b), "n": F.col(f"_n{i}"), "cov": F.col(f"_c{i}")})
-    solved = rows_of(joined.agg(*aggs), rows).mapInPandas(
+    z = lambda k, c, i: guarded_ratio(F.col(c) - F.col(f"_m{k}{i}"), F.col(f"_s{k}{i}"))
+    long = base.join(fit).select("_y", F.inline(F.array(*[F.struct(
+        F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.when(ok(a, b), z("a", a, i)).alias("t0"), F.when(ok(a, b), z("b", b, i)).alias("t2"))
+        for i, (a, b) in enumerate(pairs)]))).where(F.col("t0").isNotNull() & F.col("t2").isNotNull() & F.col("_y").isNotNull())
+    long = long.select("feature_a", "feature_b", "t0", (F.col("t0") * F.col("t0")).alias("t1"), "t2", (F.col("t2") * F.col("t2")).alias("t3"),
+                       (F.col("t0") * F.col("t2")).alias("t4"), F.col("_y").alias("t5"))
+    cov = F.array(*[F.covar_pop(f"t{p}", f"t{q}") for p in range(6) for q in range(p, 6)])
+    grams = long.groupBy("feature_a", "feature_b").agg(F.count(F.lit(1)).alias("n"), cov.alias("cov"))
+    solved = grams.mapInPandas(
         _solve_gain, "feature_a string, feature_b string, n bigint, base_r2 double, interaction_r2 double")
     gain = _adjusted(F.col("interaction_r2"), F.col("n"), 5) - _adjusted(F.col("base_r2"), F.col("n"), 4)
     return solved.withColumn("gain", F.when(F.col("n") >= 8, gain)).withColumn(

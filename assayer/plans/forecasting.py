@@ -40,7 +40,7 @@ def backtest(spark, sf, total: bool = False):
 def flagship(spark, sf):
     s, folds, ev = backtest(spark, sf, total=True)
     metrics = fc.backtest_metrics(ev)
-    return rounded(fc.select_candidate(metrics, TOLERANCE))
+    return rounded(fc.select_candidate(metrics, TOLERANCE), 9)
 
 
 MONTHLY = """
@@ -337,9 +337,9 @@ def _(spark, sf):
 
 
 @query("k21_backtest_evidence", f"""WITH {EVIDENCE} SELECT series_id, candidate_id, {B('fold', 'horizon')}, {D('origin', 'period')},
- {R('y_true', 'y_pred', 'error', 'abs_error', 'squared_error', 'mase_scale', 'scaled_abs_error', digits=9)} FROM evidence""")
+ {R('y_true', 'y_pred', 'error', 'abs_error', 'squared_error', 'mase_scale', 'scaled_abs_error', digits=10)} FROM evidence""")
 def _(spark, sf):
-    return rounded(backtest(spark, sf)[2], 9)
+    return rounded(backtest(spark, sf)[2], 10)
 
 
 @query("k22_fold_audit", f"""WITH {EVIDENCE}, w AS (SELECT series_id, count(*) * 12 AS expected_rows FROM folds GROUP BY 1)
@@ -371,14 +371,14 @@ SELECTION = """
    CASE candidate_id WHEN 'seasonal_naive_12' THEN 0 WHEN 'naive_last_value' THEN 1 ELSE 2 END AS complexity FROM metrics),
  y AS (SELECT *, pooled_mae <= best_mae + 0.05 AS is_finalist FROM x),
  z AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY is_finalist DESC, pooled_mase, pooled_rmse, fold_mae_std, long_horizon_mae, complexity, candidate_id) = 1 AS is_winner FROM y)
-SELECT series_id, candidate_id, round(pooled_mae, 6) + 0.0 AS pooled_mae, round(best_mae, 6) + 0.0 AS best_mae, is_finalist, is_winner,
+SELECT series_id, candidate_id, round(pooled_mae, 9) + 0.0 AS pooled_mae, round(best_mae, 9) + 0.0 AS best_mae, is_finalist, is_winner,
  row_number() OVER (PARTITION BY series_id ORDER BY is_winner DESC, pooled_mae, candidate_id) AS final_rank FROM z"""
 
 
 @query("k24_select_candidate", f"WITH {METRICS}, {SELECTION}")
 def _(spark, sf):
     m = fc.backtest_metrics(backtest(spark, sf)[2])
-    return rounded(fc.select_candidate(m, TOLERANCE))
+    return rounded(fc.select_candidate(m, TOLERANCE), 9)
 
 
 @query("k24_select_candidate_total", f"WITH {METRICS}, {SELECTION}".replace("o_orderpriority AS series_id", "'all' AS series_id"))

@@ -47,7 +47,7 @@ def kpss_sql(regression: str) -> str:
  WITH d AS (SELECT series_id, t, {resid} AS d, count(*) OVER w AS n FROM monthly WINDOW w AS (PARTITION BY series_id)),
   b AS (SELECT series_id, n, sum(d * d) AS ss, sum(s * s) AS eta, greatest(1, floor(pow(n, 2.0 / 9))) AS cov FROM (SELECT *, sum(d) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM d) GROUP BY 1, 2),
   pr AS (SELECT x.series_id, y.t - x.t AS lag, sum(x.d * y.d) AS p FROM d x JOIN d y ON x.series_id = y.series_id AND y.t > x.t GROUP BY 1, 2),
-  l AS (SELECT b.*, ss / n + sum(p) / (n / 2.0) AS s0, sum(lag * p) / (n / 2.0) AS s1 FROM b JOIN pr ON b.series_id = pr.series_id AND lag <= cov GROUP BY ALL),
+  l AS (SELECT b.*, ss / n + sum(p) / (n / 2.0) AS s0, sum(lag * p) / (n / 2.0) AS s1 FROM b JOIN pr ON b.series_id = pr.series_id AND lag <= cov GROUP BY b.series_id, b.n, b.ss, b.eta, b.cov),
   g AS (SELECT *, least(floor(1.1447 * pow(pow(s1 / s0, 2.0), 1.0 / 3) * pow(n, 1.0 / 3)), n - 1) AS lags FROM l)
  SELECT g.series_id, n, lags, any_value(eta) / (n * n) / ((any_value(ss) + 2 * coalesce(sum((1 - lag / (lags + 1)) * p), 0)) / n) AS x FROM g LEFT JOIN pr ON g.series_id = pr.series_id AND lag <= lags GROUP BY 1, 2, 3))"""
 
