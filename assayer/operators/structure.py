@@ -54,17 +54,17 @@ def two_components(df: DataFrame, features: Sequence[str], keep: Sequence[str])
     loadings, bounded by the schema, pass the driver.
     """
     from pyspark.ml.feature import PCA, VectorAssembler
-    base = df.select(*keep, *[clean(f).alias(f) for f in features]).dropna(subset=list(features))
-    fit = F.broadcast(base.agg(*[x for f in features for x in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))]))
-    z = base.join(fit).select(*keep, *[F.coalesce(guarded_ratio(F.col(f) - F.col(f"_m_{f}"), F.col(f"_s_{f}")), F.lit(0.0)).alias(f)
-                                       for f in features])
-    rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(z)
+    cols = [f"_f{i}" for i in range(len(features))]
+    base = df.select(*keep, *[clean(f).alias(c) for f, c in zip(features, cols)]).dropna(subset=cols)
+    fit = F.broadcast(base.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m{c}"), F.stddev_pop(c).alias(f"_s{c}"))]))
+    z = base.join(fit).select(*keep, *[F.coalesce(guarded_ratio(F.col(c) - F.col(f"_m{c}"), F.col(f"_s{c}")), F.lit(0.0)).alias(c) for c in cols])
+    rows = VectorAssembler(inputCols=cols, outputCol="_v").transform(z)
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
     load = model.pc.toArray().copy()
     share = [float(x) for x in model.explainedVariance]
     for k in range(2):
         load[:, k] *= np.sign(load[np.argmax(np.abs(load[:, k])), k])
-    project = lambda k: sum((F.col(f) * float(load[i, k]) for i, f in enumerate(features)), F.lit(0.0))
+    project = lambda k: sum((F.col(c) * float(load[i, k]) for i, c in enumerate(cols)), F.lit(0.0))
     return z.select(*keep, project(0).alias("pc1"), project(1).alias("pc2"), F.lit(share[0]).alias("pc1_share"),
                     F.lit(share[1]).alias("pc2_share"))
 

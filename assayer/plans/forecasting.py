@@ -353,10 +353,10 @@ def _(spark, sf):
 
 
 @query("k23_backtest_metrics", f"""WITH {METRICS} SELECT series_id, candidate_id, {B('forecast_rows', 'folds_completed')},
- {R('pooled_mae', 'pooled_rmse', 'pooled_mase', 'fold_mae_std', 'short_horizon_mae', 'long_horizon_mae', 'delta_mae')}, round(improvement_pct, 4) + 0.0 AS improvement_pct FROM metrics""")
+ {R('pooled_mae', 'pooled_rmse', 'pooled_mase', 'fold_mae_std', 'short_horizon_mae', 'long_horizon_mae', 'delta_mae', digits=10)}, round(improvement_pct, 4) + 0.0 AS improvement_pct FROM metrics""")
 def _(spark, sf):
     m = fc.backtest_metrics(backtest(spark, sf)[2])
-    return rounded(m, improvement_pct=4)
+    return rounded(m, 10, improvement_pct=4)
 
 
 @query("k23_metric_breakdown", f"""WITH {EVIDENCE} SELECT series_id, candidate_id, CASE WHEN grouping(fold) = 0 THEN 'fold' WHEN grouping(horizon) = 0 THEN 'horizon' ELSE 'pooled' END AS level,
