@@ -27,8 +27,26 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+BROADCAST_ROWS = 100_000
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], bounded: bool | None = None) -> DataFrame:
+    """Null-safe inner join of rows with one row per group.
+
+    `bounded=True` states that the groups come from the schema or a declared list, so the small side is
+    broadcast. With None its rows are stored once and counted: up to BROADCAST_ROWS they are broadcast,
+    beyond that both sides are shuffled and skewed keys are split at run time.
+    """
+    if not keys:
+        return big.join(F.broadcast(small))
+    if bounded is None:
+        small = settle(small)
+        bounded = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _null_safe(big, F.broadcast(small) if bounded else small, keys)
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequence[float],
-              accuracy: int = 20_000, few_groups: bool = True) -> DataFrame:
+              accuracy: int = 20_000, few_groups: bool | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: `by…, n, qs` with qs in the order of probs.
 
     First pass: a quantile sketch per group, whose rank error is at most n/accuracy, gives a bracket
@@ -36,8 +54,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequ
     between brackets only per gap, both with partial aggregation and without multiplying rows. So at
     most about 5n/accuracy distinct values per quantile are ordered in one task, however large a
     group is, and the result does not depend on where the sketch put the brackets. Groups of at most
-    10 x accuracy rows skip the brackets. `few_groups` states that the number of groups is bounded
-    by the schema or a declared list, which allows the brackets to be broadcast.
+    10 x accuracy rows skip the brackets. `few_groups` is the `bounded` of `join_small`.
     """
     by = list(by)
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -53,9 +70,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequ
         high = F.lit(float("inf")) if p + slack >= 1 else F.when(tiny, float("inf")).otherwise(F.col("_e")[2 * i + 1])
         bounds += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
     brackets = sketch.select(*by, *bounds)
-    if few_groups:
-        brackets = F.broadcast(brackets)
-    joined = _null_safe(rows, brackets, by) if by else rows.join(brackets)
+    joined = join_small(rows, brackets, by, few_groups)
     v, k = F.col("_x"), range(len(probs))
     inside = F.lit(False)
     for i in k:

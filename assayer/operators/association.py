@@ -80,16 +80,42 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[Column, Column, str, str]])
     return out
 
 
+def _rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with every column replaced by its average rank. Values are ranked once per column and joined back."""
+    slot = {c: f"_v{i}" for i, c in enumerate(columns)}
+    rows = df.select(*[F.col(c).alias(slot[c]) for c in columns])
+    for c in columns:
+        values = rows.groupBy(slot[c]).agg(F.count(F.lit(1)).alias("_k"))
+        ranks = running(values, [], slot[c], ["_k"]).select(
+            F.col(slot[c]).alias("_key"), (F.col("run__k") - F.col("_k") + (F.col("_k") + 1) / F.lit(2.0)).alias("_rank"))
+        rows = rows.join(ranks, F.col(slot[c]) == F.col("_key")).drop("_key", slot[c]).withColumnRenamed("_rank", c)
+    return rows
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None,
                    pairs: Sequence[tuple[Column, Column, str, str]] | None = None) -> DataFrame:
     """Spearman with average ranks inside each pair's complete rows.
 
-    Rows collapse to (x, y) counts, values to (side, value) counts; only those are ordered, spread by
-    range over many tasks. Ranks return by equi-joins on the value.
+    Columns without a missing value share one ranking, so their pairs need one rank join per column and
+    one correlation aggregate. All other pairs are ranked on their own complete rows. Which columns are
+    complete is one aggregated row.
     """
-    if pairs is None:
-        df = spread(df.select(*columns))
-        pairs = [(clean(a), clean(b), a, b) for a, b in combinations(columns, 2)]
+    if pairs is not None:
+        return _spearman_by_pair(df, pairs)
+    df = spread(df.select(*[clean(c).alias(c) for c in columns]))
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    whole = [c for c in columns if nulls[c] == 0]
+    rest = [(F.col(a), F.col(b), a, b) for a, b in combinations(columns, 2) if not (a in whole and b in whole)]
+    parts = [_spearman_by_pair(df, rest)] if rest else []
+    if len(whole) > 1:
+        dense = pearson_pairs(_rank_columns(df, whole), whole)
+        parts.append(dense.select("feature_a", "feature_b", "valid_rows", F.col("pearson").alias("spearman")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _spearman_by_pair(df: DataFrame, pairs: Sequence[tuple[Column, Column, str, str]]) -> DataFrame:
+    """Rows collapse to (x, y) counts, values to (side, value) counts; only those are ordered, spread by
+    range over many tasks. Ranks return by equi-joins on the value."""
     key = ["feature_a", "feature_b"]
     counts = pair_counts(df, pairs)
     sides = counts.select(*key, F.inline(F.array(
@@ -234,10 +260,8 @@ def feature_issues(df: DataFrame, requested: Sequence[str]) -> DataFrame:
     counts = wide_rows(df, there, {"distinct_values": lambda c: F.count_distinct(c)})
     out = counts.where(F.col("distinct_values") <= 1).select(
         "feature", F.lit("Constant feature").alias("issue"), "distinct_values")
-    for c in [c for c in requested if c not in df.columns]:
-        out = out.unionByName(counts.limit(1).select(
-            F.lit(c).alias("feature"), F.lit("Feature missing").alias("issue"), F.lit(0).cast("bigint").alias("distinct_values")))
-    return out
+    absent = [(c, "Feature missing", 0) for c in requested if c not in df.columns]
+    return out.unionByName(df.sparkSession.createDataFrame(absent, out.schema)) if absent else out
 
 
 def functional_dependencies(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

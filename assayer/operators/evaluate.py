@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions import guarded_ratio, quantiles, running
+from assayer.functions import guarded_ratio, join_small, quantiles, running
 from assayer.functions.ranks import _null_safe
 
 EPS = 2.220446049250313e-16
@@ -83,7 +83,7 @@ def probability_losses(scored: DataFrame, by: Sequence[str], y: str = "y", p: st
 
 
 def calibration(scored: DataFrame, by: Sequence[str], bins: int = 10, strategy: str = "uniform", y: str = "y", p: str = "p",
-                few_groups: bool = True) -> DataFrame:
+                few_groups: bool | None = None) -> DataFrame:
     """Mean score and observed rate per bin (right-closed); empty bins do not appear."""
     if strategy == "uniform":
         edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
@@ -91,8 +91,7 @@ def calibration(scored: DataFrame, by: Sequence[str], bins: int = 10, strategy:
     else:
         q = quantiles(scored, by, p, [i / bins for i in range(1, bins)], few_groups=few_groups).select(
             *by, F.col("qs").alias("_e"))
-        j = _null_safe(scored, F.broadcast(q) if few_groups else q, list(by)) if by else scored.join(F.broadcast(q))
-        placed = j.withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(p))))
+        placed = join_small(scored, q, list(by), few_groups).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(p))))
     return placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(p).alias("mean_score"),
                                           F.avg(F.col(y).cast("double")).alias("observed_rate"))
 
@@ -199,7 +198,7 @@ def compare_confused_pairs(validation: DataFrame, test: DataFrame, by: Sequence[
 
 # --- regression ---------------------------------------------------------------------------------------------------
 
-def regression_metrics(scored: DataFrame, by: Sequence[str], y: str = "y", pred: str = "pred", few_groups: bool = True) -> DataFrame:
+def regression_metrics(scored: DataFrame, by: Sequence[str], y: str = "y", pred: str = "pred", few_groups: bool | None = None) -> DataFrame:
     """MAE, RMSE, R², median error, residual moments and exact error quantiles."""
     e = F.col(pred) - F.col(y)
     rows = scored.select(*by, F.col(y).cast("double").alias("_y"), e.alias("_e"), F.abs(e).alias("_a"))
@@ -300,7 +299,7 @@ def choose_regression(candidates: DataFrame, by: Sequence[str], tolerance: float
 def prior_baseline(train: DataFrame, rows: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:
     """Score every row with the training prevalence of its group (dummy classifier)."""
     prior = train.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("p"))
-    return _null_safe(rows.drop("p"), prior, list(by)) if by else rows.drop("p").join(F.broadcast(prior))
+    return join_small(rows.drop("p"), prior, list(by))
 
 
 def median_baseline(train: DataFrame, rows: DataFrame, y: str = "y") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions import guarded_ratio, is_blank, norm_text, quantiles, rows_of, running, spread, to_text, wide_rows
+from assayer.functions import guarded_ratio, is_blank, join_small, norm_text, quantiles, rows_of, running, spread, to_text, wide_rows
 from assayer.operators.quality import numeric_projection
 
 
@@ -47,7 +47,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], multiplier: float = 1
         "skewness": lambda c: adjusted_skewness(number(c))})
     long = numbers_long(p, columns)
     unique = long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count"))
-    q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
+    q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], few_groups=True)
     q = q.join(unique, "feature").select("feature", "unique_count", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return counts.join(F.broadcast(q), "feature", "left").withColumns({
@@ -58,7 +58,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], multiplier: float = 1
 
 def fences(long: DataFrame, multiplier: float = 1.5) -> DataFrame:
     """Tukey fences per feature of long numbers; one row per column, so broadcasting them is bounded."""
-    q = quantiles(long, ["feature"], "value", [0.25, 0.75])
+    q = quantiles(long, ["feature"], "value", [0.25, 0.75], few_groups=True)
     iqr = F.col("qs")[1] - F.col("qs")[0]
     return F.broadcast(q.select("feature", (F.col("qs")[0] - multiplier * iqr).alias("lower_fence"),
                                 (F.col("qs")[1] + multiplier * iqr).alias("upper_fence")))
@@ -255,7 +255,7 @@ def class_balance(distribution: DataFrame, positive: str | None = None, by: Sequ
 
 
 def continuous_target(df: DataFrame, target: str, by: Sequence[str] = (), multiplier: float = 1.5,
-                      few_groups: bool = True) -> DataFrame:
+                      few_groups: bool | None = None) -> DataFrame:
     """Finite, missing and non-finite counts, moments, q01…q99, fences and extremes of a continuous target."""
     x = F.col(target).cast("double")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -273,8 +273,7 @@ def continuous_target(df: DataFrame, target: str, by: Sequence[str] = (), multip
     q = q.withColumns({"iqr": iqr, "lower_fence": F.col("q25") - multiplier * iqr, "upper_fence": F.col("q75") + multiplier * iqr})
     joined = stats.join(q, list(by)) if by else stats.join(F.broadcast(q))
     limits = q.select(*by, F.col("lower_fence").alias("_a"), F.col("upper_fence").alias("_b"))
-    limits = F.broadcast(limits) if few_groups else limits
-    marked = ok.join(limits, list(by)) if by else ok.join(limits)
+    marked = join_small(ok, limits, list(by), few_groups)
     out = marked.groupBy(*by).agg(F.count_if(F.col("_y") < F.col("_a")).alias("lower_extremes"),
                                   F.count_if(F.col("_y") > F.col("_b")).alias("upper_extremes"))
     return joined.join(out, list(by)) if by else joined.join(F.broadcast(out))
@@ -304,7 +303,7 @@ def histogram(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
 def boxplot(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """Five numbers, whiskers at the last values inside the fences and the number of points outside."""
     long = numbers_long(numeric_projection(spread(df.select(*columns)), columns), columns)
-    q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
+    q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], few_groups=True)
     iqr = F.col("qs")[2] - F.col("qs")[0]
     q = F.broadcast(q.select("feature", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"),
                              (F.col("qs")[0] - multiplier * iqr).alias("_lo"), (F.col("qs")[2] + multiplier * iqr).alias("_hi")))

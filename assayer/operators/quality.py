@@ -205,14 +205,8 @@ def value_types(df: DataFrame, columns: Sequence[str], expected: Mapping[str, Se
     for c, kinds in expected.items():
         expected_text = F.when(F.col("feature") == c, " | ".join(kinds)).otherwise(expected_text)
     rows = counts.withColumn("observed", family).withColumns({"expected": expected_text, "status": status})
-    absent = [c for c in expected if c not in columns]
-    for c in absent:
-        one = counts.limit(1).select(
-            F.lit(c).alias("feature"), *[F.lit(0).cast("bigint").alias(n) for n in counts.columns if n != "feature"],
-            F.lit("").alias("observed"), F.lit(" | ".join(expected[c])).alias("expected"),
-            F.lit("Missing column").alias("status"))
-        rows = rows.unionByName(one)
-    return rows
+    absent = [(c, *[0] * (len(counts.columns) - 1), "", " | ".join(k), "Missing column") for c, k in expected.items() if c not in columns]
+    return rows.unionByName(df.sparkSession.createDataFrame(absent, rows.schema)) if absent else rows
 
 
 def declared_types(df: DataFrame, expected: Mapping[str, Sequence[str]]) -> list[tuple[str, str, str, str]]:
@@ -456,18 +450,20 @@ def repeated_profiles(df: DataFrame, features: Sequence[str], target: str, ids:
 
 def duplicate_summary(df: DataFrame, ids: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
     """Groups and rows by kind of repetition."""
-    exact = duplicate_groups(df, df.columns)
-    profile = repeated_profiles(df, features, target, ids)
-    parts = [(exact, "exact rows", F.lit(True))]
+    always = F.lit(True)
+
+    def parts(groups: DataFrame, kinds: Sequence[tuple[str, Column]]) -> DataFrame:
+        wide = groups.agg(*[x for i, (_, c) in enumerate(kinds) for x in (
+            F.count_if(c).alias(f"_g{i}"), F.coalesce(F.sum(F.when(c, F.col("group_size"))), F.lit(0)).alias(f"_r{i}"))])
+        return rows_of(wide, [{"metric": F.lit(n), "groups": F.col(f"_g{i}"), "rows": F.col(f"_r{i}")} for i, (n, _) in enumerate(kinds)])
+
+    out = [parts(duplicate_groups(df, df.columns), [("exact rows", always)])]
     if ids:
-        repeated = repeated_identifiers(df, ids)
-        parts += [(repeated, "repeated identifiers", F.lit(True)),
-                  (repeated, "conflicting identifiers", F.col("kind") == "conflicting")]
-    parts += [(profile, "repeated profiles", F.lit(True)),
-              (profile, "same-target profiles", F.col("agreement") == "same target"),
-              (profile, "target conflicts", F.col("agreement") == "target conflict")]
-    out = [p.where(cond).agg(F.lit(name).alias("metric"), F.count(F.lit(1)).alias("groups"),
-                             F.coalesce(F.sum("group_size"), F.lit(0)).alias("rows")) for p, name, cond in parts]
+        out.append(parts(repeated_identifiers(df, ids), [
+            ("repeated identifiers", always), ("conflicting identifiers", F.col("kind") == "conflicting")]))
+    agree = F.col("agreement")
+    out.append(parts(repeated_profiles(df, features, target, ids), [
+        ("repeated profiles", always), ("same-target profiles", agree == "same target"), ("target conflicts", agree == "target conflict")]))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions import hash_rank, to_text
+from assayer.functions import hash_rank, join_small, to_text
 from assayer.functions.ranks import _null_safe
 from assayer.operators.identity import row_fingerprint
 
@@ -52,7 +52,7 @@ def split(df: DataFrame, keys: Sequence[str], target: str | None = None, validat
     sizes = split_sizes(df, target, validation, test)
     tagged = df.withColumn("_class", to_text(target) if target else F.lit("all"))
     ranked = hash_rank(tagged, ["_class"], keys, seed, "_rank")
-    placed = _null_safe(ranked, F.broadcast(sizes.drop("_n", "test")), ["_class"])
+    placed = join_small(ranked, sizes.drop("_n", "test"), ["_class"])
     part = (F.when(F.col("_rank") <= F.col("train"), PARTS[0])
             .when(F.col("_rank") <= F.col("train") + F.col("validation"), PARTS[1]).otherwise(PARTS[2]))
     return placed.withColumn("partition", part).drop("_class", "_rank", "train", "validation")

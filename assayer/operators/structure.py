@@ -18,11 +18,11 @@ def class_profiles(df: DataFrame, features: Sequence[str], target: str) -> DataF
     long = long_form(df.select(to_text(target).alias("class"), *features), ["class"], features).where(
         F.col("value").isNotNull() & F.col("class").isNotNull())
     probs = [0.25, 0.5, 0.75]
-    whole = quantiles(long, ["feature"], "value", probs).select(
+    whole = quantiles(long, ["feature"], "value", probs, few_groups=True).select(
         "feature", F.col("qs")[1].alias("_m"), (F.col("qs")[2] - F.col("qs")[0]).alias("_w"))
     mean = long.groupBy("feature", "class").agg(F.avg("value").alias("mean"))
     per = quantiles(long, ["feature", "class"], "value", probs)
-    return per.join(F.broadcast(whole), "feature").join(F.broadcast(mean), ["feature", "class"]).select(
+    return per.join(F.broadcast(whole), "feature").join(mean, ["feature", "class"]).select(
         "feature", "class", "n", "mean", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"),
         (F.col("qs")[2] - F.col("qs")[0]).alias("iqr"),
         guarded_ratio(F.col("qs")[1] - F.col("_m"), F.col("_w")).alias("robust_median"))

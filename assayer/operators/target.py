@@ -23,7 +23,7 @@ def class_statistics(df: DataFrame, features: Sequence[str], target: str, classe
     key = ["feature", "class"]
     stats = long.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                    F.min("value").alias("minimum"), F.max("value").alias("maximum"))
-    q = quantiles(long, key, "value", [0.25, 0.5, 0.75]).select(
+    q = quantiles(long, key, "value", [0.25, 0.5, 0.75], few_groups=True).select(
         *key, F.col("qs")[1].alias("median"), (F.col("qs")[2] - F.col("qs")[0]).alias("iqr"))
     spark = df.sparkSession
     grid = spark.createDataFrame([(f, c) for f in features for c in classes], "feature string, class string")
@@ -44,7 +44,7 @@ def binary_numeric(df: DataFrame, features: Sequence[str], target: str, positive
         F.count(F.lit(1)).alias("valid_rows"), na.alias("positive_rows"), nb.alias("negative_rows"),
         (F.avg(a) - F.avg(b)).alias("mean_difference"), masked_corr(F.col("value"), F.col("_y")).alias("point_biserial"),
         F.when(pooled > 0, (F.avg(a) - F.avg(b)) / F.sqrt(pooled)).alias("cohens_d"))
-    med = quantiles(long, ["feature", "_y"], "value", [0.5]).groupBy("feature").agg(
+    med = quantiles(long, ["feature", "_y"], "value", [0.5], few_groups=True).groupBy("feature").agg(
         (F.max(F.when(F.col("_y") == 1, F.col("qs")[0])) - F.max(F.when(F.col("_y") == 0, F.col("qs")[0]))).alias("median_difference"))
     rates = quantile_bins(df, features, target, positive, bins).groupBy("feature").agg(
         (F.max("rate") - F.min("rate")).alias("rate_spread"))
@@ -71,7 +71,7 @@ def quantile_bins(df: DataFrame, features: Sequence[str], target: str, positive:
         if k <= 1:
             continue
         long = base.unpivot(["_y"], names, "feature", "value").where(F.col("value").isNotNull())
-        edges = quantiles(long, ["feature"], "value", [i / k for i in range(k + 1)]).select(
+        edges = quantiles(long, ["feature"], "value", [i / k for i in range(k + 1)], few_groups=True).select(
             "feature", F.array_distinct("qs").alias("_e"))
         place = F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: e < F.col("value"))))
         binned = long.join(F.broadcast(edges), "feature").withColumn("bin", place)
