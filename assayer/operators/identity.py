@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from assayer.functions import rows_of, wide_rows
+from assayer.functions import rows_of, spread, wide_rows
 from assayer.functions.ranks import _null_safe
 
 
@@ -73,6 +73,7 @@ def occurrence_keys(df: DataFrame, position: str, columns: Sequence[str], width:
     Copies are counted per range of `width` positions first, so a hash shared by a third of all
     rows is numbered range by range in parallel, never in one task.
     """
+    df = spread(df.select(position, *columns))
     hashed = df.select(position, row_fingerprint(df, columns).alias("row_hash")).withColumn(
         "_b", F.floor(F.col(position) / width))
     inside = Window.partitionBy("row_hash", "_b").orderBy(position)
@@ -89,6 +90,7 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns or df.columns)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = "|".join(f"{c}:{kinds[c]}" for c in columns)
+    df = spread(df.select(*columns))
     h = F.conv(F.substring(row_fingerprint(df, columns), 1, 12), 16, 10).cast("bigint")
     return df.select(h.alias("_h")).agg(
         F.count(F.lit(1)).alias("row_count"),

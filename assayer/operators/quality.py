@@ -131,10 +131,13 @@ class Expected:
 
 def contract_violations(df: DataFrame, contract: Mapping[str, Expected], prohibited: Sequence[str] = ()) -> DataFrame:
     """Add `violations`, the sorted list of broken rules of each row. A projection, so valid on a stream too."""
-    found = [F.when(F.lit(True), F.lit(f"extra:{c}")) for c in df.columns
-             if c in prohibited]
+    columns = df.columns
+    numeric = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in contract if c in columns and contract[c].kind != "text"}
+    df = df if df.isStreaming else spread(df)
+    df = df.withColumns({f"_x_{c}": F.col(c).cast("double") if n else parse_number(c) for c, n in numeric.items()})
+    found = [F.lit(f"extra:{c}") for c in columns if c in prohibited]
     for c, rule in contract.items():
-        if c not in df.columns:
+        if c not in columns:
             found.append(F.lit(f"missing:{c}"))
             continue
         missing = is_missing(df, c)
@@ -146,9 +149,8 @@ def contract_violations(df: DataFrame, contract: Mapping[str, Expected], prohibi
             if rule.allowed is not None:
                 found.append(say(~missing & ~is_blank(c) & ~F.col(c).isin(*rule.allowed), "unknown"))
             continue
-        numeric = isinstance(df.schema[c].dataType, T.NumericType)
-        x = F.col(c).cast("double") if numeric else parse_number(c)
-        if not numeric:
+        x = F.col(f"_x_{c}")
+        if not numeric[c]:
             found.append(say(~missing & x.isNull(), "type"))
         found.append(say(F.abs(x) == float("inf"), "infinite"))
         if rule.kind == "integer":
@@ -157,7 +159,7 @@ def contract_violations(df: DataFrame, contract: Mapping[str, Expected], prohibi
             found.append(say(x < rule.minimum, "below"))
         if rule.maximum is not None:
             found.append(say(x > rule.maximum, "above"))
-    return df.withColumn("violations", F.array_sort(F.array_compact(F.array(*found))))
+    return df.withColumn("violations", F.array_sort(F.array_compact(F.array(*found)))).select(*columns, "violations")
 
 
 # --- observation unit, types, values ----------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions import guarded_ratio, rows_of
+from assayer.functions import guarded_ratio, join_small, quantiles, rows_of
 
 Z95 = 1.959963984540054
 
@@ -219,11 +219,12 @@ def component_strength(components: DataFrame) -> DataFrame:
 
 
 def robust_anomalies(df: DataFrame, by: Sequence[str], value: str, threshold: float = 3.5) -> DataFrame:
-    """Score (x - median) / (1.4826 MAD) of every row and whether its size reaches the threshold."""
-    median = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_m"))
-    dev = df.join(median, list(by)).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = dev.groupBy(*by).agg(F.percentile("_d", 0.5).alias("mad"))
-    scored = dev.join(mad, list(by)).withColumn(
+    """Score (x - median) / (1.4826 MAD) of every row and whether its size reaches the threshold. Groups may be of any size."""
+    by = list(by)
+    median = quantiles(df, by, value, [0.5]).select(*by, F.col("qs")[0].alias("_m"))
+    dev = join_small(df, median, by).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    mad = quantiles(dev, by, "_d", [0.5]).select(*by, F.col("qs")[0].alias("mad"))
+    scored = join_small(dev, mad, by).withColumn(
         "robust_score", guarded_ratio(F.col(value) - F.col("_m"), 1.4826 * F.col("mad")))
     return scored.withColumn("is_anomaly", F.coalesce(F.abs("robust_score") >= threshold, F.lit(False))).drop("_m", "_d")
 

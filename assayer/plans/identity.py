@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions import spread
 from assayer.functions.lineage import checkpoint_dir
 from assayer.operators import identity as idn
 from assayer.plans.forecasting import EVIDENCE, backtest, development
@@ -94,7 +95,7 @@ LINE_CANON = canon_sql("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "
 
 @query("a05_row_fingerprint", f"SELECT {LINE_CANON} AS row_hash, count(*) AS rows FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    df = table(spark, sf, "lineitem")
+    df = spread(table(spark, sf, "lineitem").select(*LINE_KEY))
     return df.select(idn.row_fingerprint(df, LINE_KEY).alias("row_hash")).groupBy("row_hash").agg(
         F.count(F.lit(1)).alias("rows"))
 

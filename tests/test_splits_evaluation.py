@@ -88,3 +88,23 @@ def test_search_finds_the_informative_feature(spark):
     best = ms.cv_summary(t, "average_precision").where("rank = 1").first()
     assert best.model_id == "good" and best.cv_mean > 0.95
     assert len(ms.grid("t", "tree", ["good"], {"maxDepth": [1, 2, 3], "maxBins": [4, 8]}, sample=4)) == 4
+
+
+def test_every_family_fits(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(v), "u" if v > 0 else "w", float(k), float(3 * v + rng.normal() / 10)) for i, (v, k) in enumerate(zip(rng.normal(size=90), np.arange(90) % 3))]
+    df = spark.createDataFrame(rows, "id int, a double, c string, k double, v double")
+    small = {"logistic": {"maxIter": 3}, "tree": {"maxDepth": 2}, "forest": {"numTrees": 3}, "boosting": {"maxIter": 2}, "ridge": {"regParam": 0.1}}
+    size = lambda f: {"maxIter": 2} if f == "boosting" else small[f]
+    binary = df.withColumn("y", (F.col("k") > 0).cast("double"))
+    for f in ms.CLASSIFIERS:
+        c = ms.Candidate(f, f, ("a", "v"), ("c",), size(f))
+        p = ms.predict(ms.fit(binary, c, "binary"), binary, c, "binary", ["id"])
+        assert p.where("p between 0 and 1").count() == 90
+        p = ms.predict(ms.fit(df.withColumn("y", F.col("k")), c, "multiclass"), df.withColumn("y", F.col("k")), c, "multiclass", ["id"])
+        assert {r.pred for r in p.collect()} <= {0.0, 1.0, 2.0}
+    for f in ms.REGRESSORS:
+        c = ms.Candidate(f, f, ("a",), (), size(f))
+        p = ms.final_evaluation(df.where("id < 50").withColumn("y", F.col("v")), df.where("id between 50 and 69").withColumn("y", F.col("v")),
+                                df.where("id >= 70").withColumn("y", F.col("v")), c, "regression")
+        assert ev.regression_metrics(p, ["model_id"]).first().r2 > 0.5
