@@ -80,11 +80,12 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[Column, Column, str, str]])
     return out
 
 
-def _rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with every column replaced by its average rank. Values are ranked once per column and joined back."""
-    slot = {c: f"_v{i}" for i, c in enumerate(columns)}
-    rows = df.select(*[F.col(c).alias(slot[c]) for c in columns])
-    for c in columns:
+def _rank_columns(df: DataFrame, columns: Sequence[str], constant: Sequence[str]) -> DataFrame:
+    """Rows with every column replaced by its average rank. Values are ranked once per column and joined back;
+    a constant column has one rank and needs no join."""
+    slot = {c: f"_v{i}" for i, c in enumerate(columns) if c not in constant}
+    rows = df.select(*[F.col(c).alias(s) for c, s in slot.items()], *[F.lit(1.0).alias(c) for c in constant])
+    for c in slot:
         values = rows.groupBy(slot[c]).agg(F.count(F.lit(1)).alias("_k"))
         ranks = running(values, [], slot[c], ["_k"]).select(
             F.col(slot[c]).alias("_key"), (F.col("run__k") - F.col("_k") + (F.col("_k") + 1) / F.lit(2.0)).alias("_rank"))
@@ -103,12 +104,14 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None,
     if pairs is not None:
         return _spearman_by_pair(df, pairs)
     df = spread(df.select(*[clean(c).alias(c) for c in columns]))
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    whole = [c for c in columns if nulls[c] == 0]
+    facts = df.agg(*[F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), (F.min(c) == F.max(c)).alias("constant")).alias(c)
+                     for c in columns]).first()
+    whole = [c for c in columns if facts[c].nulls == 0]
+    constant = [c for c in whole if facts[c].constant]
     rest = [(F.col(a), F.col(b), a, b) for a, b in combinations(columns, 2) if not (a in whole and b in whole)]
     parts = [_spearman_by_pair(df, rest)] if rest else []
     if len(whole) > 1:
-        dense = pearson_pairs(_rank_columns(df, whole), whole)
+        dense = pearson_pairs(_rank_columns(df, whole, constant), whole)
         parts.append(dense.select("feature_a", "feature_b", "valid_rows", F.col("pearson").alias("spearman")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -78,10 +78,11 @@ def quantile_bins(df: DataFrame, features: Sequence[str], target: str, positive:
         parts.append(binned.groupBy("feature", "bin", "_e").agg(
             F.count(F.lit(1)).alias("row_count"), F.sum("_y").alias("positive_count")))
     counts = reduce(DataFrame.unionByName, parts)
-    total = F.broadcast(counts.groupBy("feature").agg(
-        (F.sum("positive_count") / F.sum("row_count")).alias("overall_rate")))
+    # At most `bins` rows per feature, so the window is small.
+    whole = Window.partitionBy("feature")
+    total = (F.sum("positive_count").over(whole) / F.sum("row_count").over(whole)).alias("overall_rate")
     rate = F.col("positive_count") / F.col("row_count")
-    return counts.join(total, "feature").select(
+    return counts.withColumn("overall_rate", total).select(
         "feature", "bin", F.col("_e")[F.col("bin") - 1].alias("lower"), F.col("_e")[F.col("bin")].alias("upper"), "row_count",
         "positive_count", rate.alias("rate"), "overall_rate", (rate - F.col("overall_rate")).alias("rate_difference"),
         guarded_ratio(rate, F.col("overall_rate")).alias("lift"), (F.col("row_count") < minimum_rows).alias("low_support"))
