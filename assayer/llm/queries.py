@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import lines, mixing, shards, simhash
+from assayer.llm import decontaminate, language, lines, mixing, shards, simhash
 from assayer.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+WORDS = "regexp_extract_all(" + LOWER.format("coalesce({}, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2 = f"""
+WITH i AS (SELECT item_id, {WORDS.format("text")} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS gram
+      FROM i, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 9))) AS p) WHERE len(w) > 0),
+n AS (SELECT DISTINCT n FROM g),
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
+h AS (SELECT d.r, p.p, n.n, g.item_id FROM d, n, LATERAL (SELECT unnest(generate_series(1, len(d.w) - n.n + 1)) AS p) p
+      JOIN g ON g.n = n.n AND g.gram = array_to_string(d.w[p.p:p.p + n.n - 1], ' ')),
+s AS (SELECT DISTINCT r, p + k - 1 AS at FROM h, LATERAL (SELECT unnest(generate_series(1, h.n)) AS k)),
+c AS (SELECT r, count(*) AS n_hit FROM s GROUP BY r),
+e AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN e USING (r)
+"""
+
+
+@query("op2_decontamination", OP2)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.transform(F.flatten("spans"), lambda s: F.sequence(s["first"], s["end"] - 1))
+    n_hit = F.size(F.array_distinct(F.flatten(hit))).cast("long")
+    names = F.array_join(F.sort_array(F.col("item_ids").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -1,4 +1,4 @@
-"""A training corpus from documents: near-duplicates removed, sources mixed, shards cut.
+"""A training corpus from documents: language known, near-duplicates and benchmark text removed, sources mixed, shards cut.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet and hands what it reads back
 to the next stage. All stages but the last return the columns they are given, whatever else these hold. Rows without a
@@ -13,25 +13,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.llm import mixing, shards, simhash
+from assayer.llm import decontaminate, language, mixing, shards, simhash
 from assayer.llm.shared import store
 from assayer.sources import table
 
 
+LEAST_SCORE = 0.4  # of the most probable language
+
+
+def same_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the ids `_id`; no id equals no id."""
+    return docs.join(ids, ids["_id"].eqNullSafe(docs["doc_id"]), how)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go, and those whose most probable language is hardly more probable than others."""
+    found = language.identify(docs)
+    rejected = found.where((F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") < LEAST_SCORE))
+    return same_ids(docs, rejected.select(F.col("doc_id").alias("_id")), "left_anti")
+
+
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
 
     Of rows that share this id one stays. Groups without any id cannot be told apart and stay.
     """
     found = simhash.near_duplicates(docs, radius=2)
-    kept = store(found.where(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy(F.col("doc_id").alias("_kept")).agg(
+    kept = store(found.where(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy(F.col("doc_id").alias("_id")).agg(
         F.count(F.lit(1)).alias("_rows")), "kept")
-    same = F.col("_kept").eqNullSafe(docs["doc_id"])
-    single = docs.join(kept.where("_rows = 1 or _kept is null"), same, "left_semi")
-    repeated = docs.join(kept.where("_rows > 1 and _kept is not null"), same, "left_semi")
+    single = same_ids(docs, kept.where("_rows = 1 or _id is null"), "left_semi")
+    repeated = same_ids(docs, kept.where("_rows > 1 and _id is not null"), "left_semi")
     return single.unionByName(repeated.dropDuplicates(["doc_id"]))
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
+    return same_ids(docs, found.where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_id")), "left_anti")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_source")).agg(
@@ -53,7 +73,9 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
     ("simhash", first_of_near_duplicates),
+    ("decontamination", without_benchmark),
     ("mixing", mixed),
     ("sharding", sharded),
 ]
