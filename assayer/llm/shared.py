@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,3 +114,35 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], s
     ranked = placed.withColumn("_r", rank)
     return ranked.join(offsets, same).withColumn(name, F.col("_o") + F.col("_r") - 1).drop(
         "_b", "_r", "_kb", "_o", *[f"_k_{c}" for c in by])
+
+
+def each_group(df: DataFrame, keys: Sequence[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """work on every group of rows with equal whole-number keys, one Arrow table per group.
+
+    Groups are rows of one shuffle partition in order, so a task holds one batch and one group at a time, however many
+    small groups there are. Groups have to be bounded, as those of `tile_pairs` are.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            first, end = tuple(marks[:, 0]), tuple(marks[:, -1])
+            done = []
+            if rest and first != last:
+                done.append(work(pa.Table.from_batches(rest)))
+                rest = []
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                rest.append(batch.slice(a, b - a))
+                if b < batch.num_rows:
+                    done.append(work(pa.Table.from_batches(rest)))
+                    rest = []
+            last = end
+            if done:
+                yield from pa.concat_tables(done).to_batches()
+        if rest:
+            yield from work(pa.Table.from_batches(rest)).to_batches()
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
