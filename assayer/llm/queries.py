@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, embeddings, language, lines, mixing, shards, simhash, warc
+from assayer.llm import decontaminate, embeddings, language, lines, mixing, paragraphs, shards, simhash, warc
 from assayer.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ FROM p LEFT JOIN f USING (payload_digest)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=100)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that more than one document holds; documents without any have no row."""
+    return paragraphs.repeated(table(spark, sf_dir, "documents"), threshold=0.8, least_words=25).where("n_documents > 1")
