@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, embeddings, language, lines, mixing, paragraphs, shards, simhash, warc
+from assayer.llm import chat, decontaminate, embeddings, language, lines, mixing, paragraphs, shards, simhash, warc
 from assayer.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that more than one document holds; documents without any have no row."""
     return paragraphs.repeated(table(spark, sf_dir, "documents"), threshold=0.8, least_words=25).where("n_documents > 1")
+
+
+OP1 = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text, len(string_split(text, chr(10))) AS lines, length(text) AS chars,
+         octet_length(encode(text)) = length(text) AS plain
+  FROM conversations WHERE role = 'user'),
+a AS (SELECT *, CASE WHEN lines > 1 THEN 'outline' ELSE 'answer' END AS tool,
+             CASE WHEN lines > 3 THEN json_object('depth', 1, 'lines', lines, 'text', text) WHEN lines > 1 THEN json_object('lines', lines, 'text', text)
+                  WHEN plain THEN json_object('chars', chars, 'text', text) ELSE json_object('chars', chars::VARCHAR, 'text', text) END AS arguments,
+             CASE WHEN lines > 3 THEN 'unexpected:depth' WHEN lines > 1 OR plain THEN '' ELSE 'type:chars' END AS problems FROM c),
+e AS (SELECT x.conv_id, x.turn, y.turn AS dep FROM c x JOIN c y ON x.conv_id = y.conv_id
+      AND (y.turn = x.turn - 2 OR (x.turn >= 8 AND bit_count(x.turn) = 1 AND y.turn = x.turn // 2))),
+p(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0::BIGINT FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = c.conv_id AND e.turn = c.turn)
+  UNION SELECT e.conv_id, e.turn, p.level + 1 FROM p JOIN e ON e.conv_id = p.conv_id AND e.dep = p.turn),
+l AS (SELECT conv_id, turn, max(level) AS level FROM p GROUP BY ALL),
+r AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant')
+SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.call_id, r.call_id) AS call_id, coalesce(a.turn, r.turn) AS turn, tool, level,
+       CASE WHEN a.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS state,
+       (a.call_id IS NOT NULL)::BIGINT AS n_calls, (r.call_id IS NOT NULL)::BIGINT AS n_results, problems,
+       json_object('arguments', arguments, 'id', coalesce(a.call_id, r.call_id), 'level', level, 'result', r.text, 'tool', tool)::VARCHAR AS message
+FROM a JOIN l USING (conv_id, turn) FULL JOIN r ON a.call_id = r.call_id AND a.conv_id = r.conv_id
+"""
+
+
+@query("op1_chat_formatting", OP1)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_calls(table(spark, sf_dir, "conversations")).withColumn("problems", F.array_join("problems", ","))
