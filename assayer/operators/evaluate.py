@@ -297,9 +297,22 @@ def choose_regression(candidates: DataFrame, by: Sequence[str], tolerance: float
 
 
 def prior_baseline(train: DataFrame, rows: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:
-    """Score every row with the training prevalence of its group (dummy classifier)."""
+    """Score every row with the training prevalence of its group, of all training rows if the group is not among them."""
     prior = train.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("p"))
-    return join_small(rows.drop("p"), prior, list(by))
+    overall = train.agg(F.avg(F.col(y).cast("double")).alias("_overall"))
+    return _null_safe(rows.drop("p"), prior, list(by), "left").join(F.broadcast(overall)).withColumn("p", F.coalesce("p", "_overall")).drop("_overall")
+
+
+def prior_by_fold(rows: DataFrame, by: Sequence[str], y: str = "y", fold: str = "fold") -> DataFrame:
+    """`prior_baseline` of every fold from all other folds: sums of the whole less those of the fold."""
+    value = F.col(y).cast("double")
+    sums = lambda keys, s, n: rows.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(s), F.count(value).alias(n))
+    left = _null_safe(rows.drop("p"), sums([*by, fold], "_s1", "_n1"), [*by, fold])
+    left = _null_safe(left, sums(by, "_s2", "_n2"), list(by))
+    left = _null_safe(left, sums([fold], "_s3", "_n3"), [fold]).join(F.broadcast(rows.agg(F.sum(value).alias("_s4"), F.count(value).alias("_n4"))))
+    group = guarded_ratio(F.col("_s2") - F.col("_s1"), F.col("_n2") - F.col("_n1"))
+    overall = guarded_ratio(F.col("_s4") - F.col("_s3"), F.col("_n4") - F.col("_n3"))
+    return left.withColumn("p", F.coalesce(group, overall)).drop(*[f"_{c}{i}" for c in "sn" for i in range(1, 5)])
 
 
 def median_baseline(train: DataFrame, rows: DataFrame, y: str = "y") -> DataFrame:

@@ -53,20 +53,21 @@ def two_components(df: DataFrame, features: Sequence[str], keep: Sequence[str])
     Signs are fixed: the largest loading of a component is positive. Only the feature-by-feature
     loadings, bounded by the schema, pass the driver.
     """
-    from pyspark.ml.feature import PCA, VectorAssembler
-    cols = [f"_f{i}" for i in range(len(features))]
-    base = df.select(*keep, *[clean(f).alias(c) for f, c in zip(features, cols)]).dropna(subset=cols)
-    fit = F.broadcast(base.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m{c}"), F.stddev_pop(c).alias(f"_s{c}"))]))
-    z = base.join(fit).select(*keep, *[F.coalesce(guarded_ratio(F.col(c) - F.col(f"_m{c}"), F.col(f"_s{c}")), F.lit(0.0)).alias(c) for c in cols])
-    rows = VectorAssembler(inputCols=cols, outputCol="_v").transform(z)
-    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
-    load = model.pc.toArray().copy()
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    # One array, not many columns: constraints on many derived columns are slow to plan.
+    whole = df.select(*keep, F.array(*[clean(f) for f in features]).alias("_a")).where(F.forall("_a", lambda x: x.isNotNull()))
+    rows = whole.select(*keep, array_to_vector("_a").alias("_v"))
+    scaled = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True).fit(rows).transform(rows)
+    model = PCA(k=2, inputCol="_z", outputCol="_p").fit(scaled)
+    load = model.pc.toArray()
     share = [float(x) for x in model.explainedVariance]
-    for k in range(2):
-        load[:, k] *= np.sign(load[np.argmax(np.abs(load[:, k])), k])
-    project = lambda k: sum((F.col(c) * float(load[i, k]) for i, c in enumerate(cols)), F.lit(0.0))
-    return z.select(*keep, project(0).alias("pc1"), project(1).alias("pc2"), F.lit(share[0]).alias("pc1_share"),
-                    F.lit(share[1]).alias("pc2_share"))
+    sign = [float(np.sign(load[np.argmax(np.abs(load[:, k])), k])) for k in range(2)]
+    # The scaler divides by the sample deviation; the scores are those of the population deviation.
+    n = rows.count()
+    score = lambda k: F.col("_s")[k] * (sign[k] * (n / max(n - 1, 1)) ** 0.5)
+    return model.transform(scaled).select(*keep, vector_to_array("_p").alias("_s")).select(
+        *keep, score(0).alias("pc1"), score(1).alias("pc2"), F.lit(share[0]).alias("pc1_share"), F.lit(share[1]).alias("pc2_share"))
 
 
 def _finite(c: str) -> Column:

@@ -53,12 +53,22 @@ def binary_numeric(df: DataFrame, features: Sequence[str], target: str, positive
         "review": F.coalesce(F.abs("cohens_d") >= EFFECT, F.lit(False)) | F.coalesce(F.col("rate_spread") >= SPREAD, F.lit(False))})
 
 
+def overall_rate(df: DataFrame, target: str, positive: str) -> DataFrame:
+    """One row `overall_rate`: positives among all rows with a target, whatever the features hold."""
+    return df.where(F.col(target).isNotNull()).agg(F.avg((to_text(target) == positive).cast("double")).alias("overall_rate"))
+
+
+BIN_SCHEMA = ("feature string, bin int, lower double, upper double, row_count long, positive_count long, rate double, overall_rate double, "
+              "rate_difference double, lift double, low_support boolean")
+
+
 def quantile_bins(df: DataFrame, features: Sequence[str], target: str, positive: str, bins: int = 10,
                   minimum_rows: int = 50) -> DataFrame:
     """Positive rate in quantile bins (right-closed, lowest included, repeated edges merged), lift and support.
 
-    A column with fewer distinct values than `bins` gets as many bins as values. That number, one per
-    column, is the only thing read on the driver.
+    Bins without rows stay with count 0 and no rate; the overall rate is that of all rows with a target. A column with
+    fewer distinct values than `bins` gets as many bins as values, a constant one none. That number, one per column,
+    is the only thing read on the driver.
     """
     y = (to_text(target) == positive).cast("int")
     base = df.where(F.col(target).isNotNull()).select(y.alias("_y"), *[clean(f).alias(f) for f in features])
@@ -74,18 +84,19 @@ def quantile_bins(df: DataFrame, features: Sequence[str], target: str, positive:
         edges = quantiles(long, ["feature"], "value", [i / k for i in range(k + 1)], few_groups=True).select(
             "feature", F.array_distinct("qs").alias("_e"))
         place = F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: e < F.col("value"))))
-        binned = long.join(F.broadcast(edges), "feature").withColumn("bin", place)
-        parts.append(binned.groupBy("feature", "bin", "_e").agg(
-            F.count(F.lit(1)).alias("row_count"), F.sum("_y").alias("positive_count")))
-    counts = reduce(DataFrame.unionByName, parts)
-    # At most `bins` rows per feature, so the window is small.
-    whole = Window.partitionBy("feature")
-    total = (F.sum("positive_count").over(whole) / F.sum("row_count").over(whole)).alias("overall_rate")
-    rate = F.col("positive_count") / F.col("row_count")
-    return counts.withColumn("overall_rate", total).select(
-        "feature", "bin", F.col("_e")[F.col("bin") - 1].alias("lower"), F.col("_e")[F.col("bin")].alias("upper"), "row_count",
-        "positive_count", rate.alias("rate"), "overall_rate", (rate - F.col("overall_rate")).alias("rate_difference"),
-        guarded_ratio(rate, F.col("overall_rate")).alias("lift"), (F.col("row_count") < minimum_rows).alias("low_support"))
+        counts = long.join(F.broadcast(edges), "feature").groupBy("feature", place.alias("bin")).agg(
+            F.count(F.lit(1)).alias("row_count"), F.sum("_y").alias("positive_count"))
+        grid = edges.select("feature", "_e", F.explode(F.sequence(F.lit(1), F.size("_e") - 1)).alias("bin"))
+        parts.append(grid.join(F.broadcast(counts), ["feature", "bin"], "left"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], BIN_SCHEMA)
+    counts = reduce(DataFrame.unionByName, parts).join(F.broadcast(overall_rate(df, target, positive)))
+    n, p = F.coalesce("row_count", F.lit(0)), F.coalesce("positive_count", F.lit(0))
+    rate = guarded_ratio(p, n)
+    return counts.select(
+        "feature", "bin", F.col("_e")[F.col("bin") - 1].alias("lower"), F.col("_e")[F.col("bin")].alias("upper"), n.alias("row_count"),
+        p.alias("positive_count"), rate.alias("rate"), "overall_rate", (rate - F.col("overall_rate")).alias("rate_difference"),
+        guarded_ratio(rate, F.col("overall_rate")).alias("lift"), (n < minimum_rows).alias("low_support"))
 
 
 def wilson(positive: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -107,6 +118,7 @@ def category_rates(df: DataFrame, features: Sequence[str], target: str, positive
                    expected: DataFrame | None = None, minimum_rows: int = 50) -> DataFrame:
     """Rate, lift, odds ratio against the rest (0.5 added to all cells when one is empty), Wilson interval, support.
 
+    The overall rate is that of all rows with a target; the rest of a category are the rows that have the feature.
     `expected (feature, category)` keeps declared levels without rows.
     """
     counts = category_counts(df, features, target, positive)
@@ -121,9 +133,9 @@ def category_rates(df: DataFrame, features: Sequence[str], target: str, positive
     empty = reduce(lambda a, b: a | b, [c == 0 for c in cells])
     a, b, c, d = [x + F.when(empty, 0.5).otherwise(0.0) for x in cells]
     low, high = wilson(p.cast("double"), n.cast("double"))
-    rate, overall = guarded_ratio(p, n), F.col("_p") / F.col("_n")
-    return counts.join(totals, "feature").select(
-        "feature", "category", "row_count", "positive_count", rate.alias("rate"), overall.alias("overall_rate"),
+    rate, overall = guarded_ratio(p, n), F.col("overall_rate")
+    return counts.join(totals, "feature").join(F.broadcast(overall_rate(df, target, positive))).select(
+        "feature", "category", "row_count", "positive_count", rate.alias("rate"), "overall_rate",
         guarded_ratio(rate, overall).alias("lift"), F.when(n > 0, (a * d) / (b * c)).alias("odds_ratio"),
         low.alias("wilson_low"), high.alias("wilson_high"), (n < minimum_rows).alias("low_support"))
 
@@ -131,9 +143,8 @@ def category_rates(df: DataFrame, features: Sequence[str], target: str, positive
 def category_association(df: DataFrame, features: Sequence[str], target: str, positive: str) -> DataFrame:
     """Rate spread, weighted absolute rate difference, Cramér's V and U(target | feature) per feature."""
     counts = category_counts(df, features, target, positive)
-    totals = F.broadcast(counts.groupBy("feature").agg((F.sum("positive_count") / F.sum("row_count")).alias("_o")))
     rate = F.col("positive_count") / F.col("row_count")
-    spread = counts.join(totals, "feature").groupBy("feature").agg(
+    spread = counts.join(F.broadcast(overall_rate(df, target, positive).withColumnRenamed("overall_rate", "_o"))).groupBy("feature").agg(
         (F.max(rate) - F.min(rate)).alias("rate_spread"),
         (F.sum(F.col("row_count") * F.abs(rate - F.col("_o"))) / F.sum("row_count")).alias("weighted_rate_difference"))
     long = counts.select("feature", F.col("category").alias("x"), F.inline(F.array(

@@ -107,13 +107,13 @@ def _(spark, sf):
     return rounded(ev.threshold_scenarios(ev.threshold_sweep(scored(spark, sf), BY), BY), threshold=12)
 
 
-# --- multiclass: nearest class centre over eight dimensions -------------------------------------------------------------
+# --- multiclass: nearest class centre over all dimensions ---------------------------------------------------------------
 
 CLASSES = [str(i) for i in range(10)]
 KS = ", ".join(f"'{c}'" for c in CLASSES)
-DIST = " + ".join(f"(v.e{i} - c.e{i}) * (v.e{i} - c.e{i})" for i in range(8))
+DIST = " + ".join(f"(v.{d} - c.{d}) * (v.{d} - c.{d})" for d in DIMS)
 PREDICTED = f"""{EMB},
- ce AS (SELECT label, {', '.join(f'avg(e{i}) AS e{i}' for i in range(8))} FROM em GROUP BY 1),
+ ce AS (SELECT label, {', '.join(f'avg({d}) AS {d}' for d in DIMS)} FROM em GROUP BY 1),
  ds AS (SELECT v.vec_id, v.label AS y, c.label AS k, {DIST} AS d, CASE WHEN vec_id % 2 = 0 THEN 'validation' ELSE 'test' END AS side FROM em v, ce c),
  pp AS (SELECT vec_id, side, y, arg_min(k, round(d, 12)) AS pred, max(exp(-d)) FILTER (k = y) / sum(exp(-d)) AS py, max(exp(-d)) / sum(exp(-d)) AS top, max(exp(-d)) FILTER (k = y) AS ey FROM ds GROUP BY 1, 2, 3),
  kk AS (SELECT unnest([{KS}]) AS k), sd AS (SELECT DISTINCT side FROM pp),
@@ -302,11 +302,11 @@ def _(spark, sf):
     return rounded(ev.choose_regression(c, ["l_returnflag"], 2000), 3)
 
 
-@query("l17_dummy_baselines", f"""WITH {FOLDED}, {PRICED}, pri AS (SELECT lang, avg(y) AS p FROM fs WHERE fold <> 0 AND model_id = 'length' GROUP BY 1), med AS (SELECT median(y) AS m FROM priced WHERE l_linestatus = 'F')
-SELECT 'prior' AS baseline, count(*) AS rows, round(avg((s.y - pri.p) ** 2), 6) + 0.0 AS error FROM fs s JOIN pri USING (lang) WHERE fold = 0 AND model_id = 'length' UNION ALL SELECT 'median', count(*), round(avg(abs(y - m)), 3) + 0.0 FROM priced, med WHERE l_linestatus = 'O'""")
+@query("l17_dummy_baselines", f"""WITH {FOLDED}, {PRICED}, ln AS (SELECT * FROM fs WHERE model_id = 'length'), pri AS (SELECT a.doc_id, a.y, coalesce(avg(b.y) FILTER (b.lang = a.lang), avg(b.y)) AS p FROM ln a JOIN ln b ON b.fold <> a.fold GROUP BY 1, 2), med AS (SELECT median(y) AS m FROM priced WHERE l_linestatus = 'F')
+SELECT 'prior' AS baseline, count(*) AS rows, round(avg((y - p) ** 2), 6) + 0.0 AS error FROM pri UNION ALL SELECT 'median', count(*), round(avg(abs(y - m)), 3) + 0.0 FROM priced, med WHERE l_linestatus = 'O'""")
 def _(spark, sf):
     s = folded_scores(spark, sf).where(F.col("model_id") == "length")
-    prior = ev.prior_baseline(s.where(F.col("fold") != 0), s.where(F.col("fold") == 0), ["lang"]).where(F.col("p").isNotNull())
+    prior = ev.prior_by_fold(s, ["lang"])
     p = priced(spark, sf)
     med = ev.median_baseline(p.where(F.col("l_linestatus") == "F"), p.where(F.col("l_linestatus") == "O"))
     gap = F.col("y") - F.col("p")

@@ -14,14 +14,9 @@ from assayer.sources.tables import table
 INITIAL, HORIZON, STEP, HOLDOUT, TOLERANCE = 24, 12, 12, 12, 0.05
 
 
-def orders_before_partial_month(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders without the last, incomplete month."""
-    return table(spark, sf, "orders").where(F.col("o_orderdate") < F.expr("timestamp_ntz'2001-08-01'"))
-
-
-def monthly_orders(spark, sf, total: bool = False) -> DataFrame:
+def monthly_orders(spark: SparkSession, sf: str, total: bool = False) -> DataFrame:
     by = F.lit("all") if total else "o_orderpriority"
-    return sr.monthly_series(orders_before_partial_month(spark, sf), by, "o_orderdate",
+    return sr.monthly_series(table(spark, sf, "orders"), by, "o_orderdate",
                              F.col("o_totalprice") / 1e6, digits=4)
 
 
@@ -47,7 +42,7 @@ MONTHLY = """
 monthly AS (SELECT series_id, period, CAST(date_diff('month', min(period) OVER (PARTITION BY series_id), period) AS BIGINT) AS t, y
  FROM (SELECT o_orderpriority AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
         round(sum(o_totalprice / 1e6), 4) + 0.0 AS y
-       FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2))"""
+       FROM orders GROUP BY 1, 2))"""
 DEV = MONTHLY + """,
 scoped AS (SELECT *, CASE WHEN max(t) OVER (PARTITION BY series_id) - t >= 12 THEN 'development' ELSE 'holdout' END AS scope FROM monthly),
 dev AS (SELECT series_id, period, t, y FROM scoped WHERE scope = 'development')"""

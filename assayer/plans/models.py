@@ -40,7 +40,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = sp.folds(vectors(spark, sf).withColumn("y", F.col("label").cast("double")), ["vec_id"], 3, "label")
     base = ms.Candidate("logistic", "logistic", tuple(DIMS), params={"regParam": 0.01, "maxIter": 20})
-    table_ = ms.ablation(rows, base, {"all": DIMS, "first_half": DIMS[:4], "second_half": DIMS[4:]}, "multiclass", 3, [str(i) for i in range(10)])
+    table_ = ms.ablation(rows, base, {"all": DIMS, "first_half": DIMS[:len(DIMS) // 2], "second_half": DIMS[len(DIMS) // 2:]}, "multiclass", 3, [str(i) for i in range(10)])
     return rounded(ms.cv_summary(table_, "macro_f1"))
 
 
