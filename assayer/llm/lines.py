@@ -27,8 +27,9 @@ def drop_shared_lines(docs: DataFrame, id_column: str = "doc_id", text_column: s
     of at least `least_chars` code points that occur in at least `documents` documents are dropped everywhere but in
     the document with the smallest id. Null and empty texts have one empty line and a kept text of "". Rows with the
     same id are one document; rows without an id are one document that comes after all others. Line hashes have 128
-    bits. The keys go through one stored table without text; a key that all documents share is one combined count, and
-    the join back on it can be split by adaptive execution.
+    bits. The keys go through one stored table without text; a key that all documents share is one combined count. The
+    shared keys are stored too: both sides of the join back are then plain shuffles, whose hot keys adaptive execution
+    can split.
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text")).withColumn(
         "_th", F.xxhash64("_text"))
@@ -38,7 +39,7 @@ def drop_shared_lines(docs: DataFrame, id_column: str = "doc_id", text_column: s
         .where(F.char_length("_key") >= least_chars)
         .select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("_h2")), "lines")
     holders = lines.select("_h1", "_h2", "_id").distinct()
-    shared = holders.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.min("_id").alias("_first")).where(F.col("_docs") >= documents)
+    shared = store(holders.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.min("_id").alias("_first")).where(F.col("_docs") >= documents), "shared")
     goes = (
         lines.join(shared, ["_h1", "_h2"]).where(~F.col("_id").eqNullSafe(F.col("_first")))
         .groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_drop")).withColumnsRenamed({"_id": "_kid", "_th": "_kth"}))
