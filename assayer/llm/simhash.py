@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.shared import components, local_roots, store, tile_pairs
+from assayer.llm.shared import components, each_group, local_roots, store, tile_pairs
 
 # Fixed value: the seed of the shingle hash.
 SEED = 42
@@ -97,7 +97,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(g).alias("g"), counts(*run).alias("key")) for g, run in enumerate(bit_groups(radius))])
     rows = prints.select("fp", F.inline(keys))
     tiles = tile_pairs(rows, ["g", "key"], ["fp"], TILE)
-    return tiles.select("g", "key", "_i", "_j", "fp").groupBy("g", "key", "_i", "_j").applyInArrow(star_links(radius), "a long, b long")
+    return each_group(tiles.select("g", "key", "_i", "_j", "fp"), ["g", "key", "_i", "_j"], star_links(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
