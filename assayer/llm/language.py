@@ -129,11 +129,14 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
 def sample_windows(labelled: DataFrame, key: Column, lang_column: str, text_column: str, sample: int, each: int) -> tuple[np.ndarray, list[str]]:
     """Up to `each` evenly spread windows of at most `sample` labelled rows, as many of each language as there are.
 
-    The rows are those first in a hash of the key, by language and then overall; the driver gets at most
-    sample x each x WINDOW bytes.
+    A hash of the key thins each language to about twice the sample before anything is sorted; the rows are then those
+    first in the hash, by language and then overall. The driver gets at most sample x each x WINDOW bytes.
     """
     slim = labelled.where(F.col(lang_column).isNotNull()).select(key.alias("_key"), F.col(lang_column).alias("_lang")).withColumn("_h", F.xxhash64("_key"))
-    ranked = slim.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_r") <= sample)
+    share = slim.groupBy(F.col("_lang").alias("_l")).agg(F.least(F.lit(1.0), 2 * sample / F.count(F.lit(1))).alias("_share"))
+    low = F.pmod("_h", F.lit(1 << 20)) <= F.col("_share") * (1 << 20)
+    thinned = slim.join(share, F.col("_lang") == F.col("_l")).where(low)
+    ranked = thinned.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_r") <= sample)
     chosen = ranked.orderBy("_r", "_h", "_lang").limit(sample).select(F.col("_key").alias("_k"), "_r").dropDuplicates(["_k"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

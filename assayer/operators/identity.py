@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,10 +125,13 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance
                tolerances: Mapping[str, float] | None = None) -> DataFrame:
     """Per column: compared and differing rows and the largest numeric difference; key presence on both sides.
 
-    Numbers differ beyond their tolerance, other types by null-safe equality. Row order plays no part.
+    Numbers differ beyond their tolerance, other types by null-safe equality. Row order plays no part. Pairs with a
+    number that is not finite are counted apart and not measured. `repeated_keys` counts keys that a side has more than
+    once, `other_columns` those that one side lacks; a column of the left side that the right lacks is not compared.
     """
     keys = list(keys)
-    columns = [c for c in left.columns if c not in keys]
+    columns = [c for c in left.columns if c not in keys and c in right.columns]
+    other = len(set(left.columns) ^ set(right.columns))
     kinds = {f.name: f.dataType for f in left.schema.fields}
     l = left.select(*keys, *[F.col(c).alias(f"_l_{c}") for c in columns], F.lit(1).alias("_in_l"))
     r = right.select(*keys, *[F.col(c).alias(f"_r_{c}") for c in columns], F.lit(1).alias("_in_r"))
@@ -137,26 +141,33 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance
             F.count_if(paired).alias("compared")]
     for c in columns:
         a, b = F.col(f"_l_{c}"), F.col(f"_r_{c}")
+        odd = F.lit(False)
         if isinstance(kinds[c], T.NumericType):
-            gap = F.abs(a.cast("double") - b.cast("double"))
+            a, b = a.cast("double"), b.cast("double")
+            infinite = lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
+            odd = infinite(a) | infinite(b)
+            gap = F.when(~odd, F.abs(a - b))
             limit = (tolerances or {}).get(c, tolerance)
-            unequal = F.coalesce(gap > limit, F.lit(False)) | (a.isNull() != b.isNull())
+            unequal = F.when(odd, ~a.eqNullSafe(b)).otherwise(F.coalesce(gap > limit, F.lit(False)) | (a.isNull() != b.isNull()))
         else:
             gap, unequal = F.lit(None).cast("double"), ~a.eqNullSafe(b)
-        aggs += [F.count_if(paired & unequal).alias(f"_n_{c}"), F.max(F.when(paired, gap)).alias(f"_g_{c}")]
-    wide = both.agg(*aggs)
+        aggs += [F.count_if(paired & unequal).alias(f"_n_{c}"), F.max(F.when(paired, gap)).alias(f"_g_{c}"), F.count_if(paired & odd).alias(f"_o_{c}")]
+    repeated = left.select(*keys, F.lit(0).alias("_s")).union(right.select(*keys, F.lit(1).alias("_s"))).groupBy("_s", *keys).agg(
+        F.count(F.lit(1)).alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("repeated_keys"))
+    wide = both.agg(*aggs).join(F.broadcast(repeated)).withColumn("other_columns", F.lit(other).cast("bigint"))
     return rows_of(wide, [{
         "column": F.lit(c), "position": F.lit(i).cast("bigint"), "differing": F.col(f"_n_{c}"),
-        "max_abs_difference": F.col(f"_g_{c}")} for i, c in enumerate(columns)],
-        keep=["left_only", "right_only", "compared"])
+        "max_abs_difference": F.col(f"_g_{c}"), "non_finite": F.col(f"_o_{c}")} for i, c in enumerate(columns)],
+        keep=["left_only", "right_only", "compared", "repeated_keys", "other_columns"])
 
 
 def diff_verdict(diff: DataFrame) -> DataFrame:
-    """One row: equivalent or not, and the first column that differs."""
+    """One row: equivalent or not, and the first column that differs. Repeated keys, unequal column sets and numbers
+    that are not finite rule equivalence out."""
     bad = F.col("differing") > 0
+    faults = reduce(lambda a, b: a + b, [F.col(c) for c in ("left_only", "right_only", "differing", "repeated_keys", "other_columns", "non_finite")])
     return diff.agg(
-        (F.max(F.col("left_only") + F.col("right_only") + F.col("differing")) == 0).alias("equivalent"),
-        F.min_by(F.when(bad, F.col("column")), F.when(bad, F.col("position"))).alias("first_differing"),
+        (F.max(faults) == 0).alias("equivalent"), F.min_by(F.when(bad, F.col("column")), F.when(bad, F.col("position"))).alias("first_differing"),
         F.sum("differing").cast("bigint").alias("differing_cells"), F.max("max_abs_difference").alias("max_abs_difference"))
 
 

@@ -53,13 +53,18 @@ def _match(obs: Column, exp: Column, atol: float, rtol: float) -> Column:
 
 def affine_proxies(df: DataFrame, fields: Sequence[str], target: str, atol: float = 1e-10, rtol: float = 1e-8,
                    confirmed: float = 0.99) -> DataFrame:
-    """Numeric copies and affine transforms of a continuous target. Two scans: the line, then how many rows lie on it."""
+    """Numeric copies and affine transforms of a continuous target. Two scans: the line, then how many rows lie on it.
+
+    Either needs at least 3 pairs and 3 target values; two points always lie on a line. That there are 3
+    values is seen from a target strictly between the extremes of its pairs.
+    """
     finite = lambda c: F.when(F.abs(clean(c)) != float("inf"), clean(c))
     t, base = F.col("_t"), spread(df.select(finite(target).alias("_t"), *[finite(f).alias(f) for f in fields]))
     on = lambda f, c: F.when(F.col(f).isNotNull() & t.isNotNull(), c)
     lines = base.agg(*[x for i, f in enumerate(fields) for x in (
         guarded_ratio(F.covar_pop(on(f, F.col(f)), on(f, t)), F.var_pop(on(f, t))).alias(f"_s{i}"),
-        F.avg(on(f, F.col(f))).alias(f"_mf{i}"), F.avg(on(f, t)).alias(f"_mt{i}"), F.var_pop(on(f, F.col(f))).alias(f"_vf{i}"))])
+        F.avg(on(f, F.col(f))).alias(f"_mf{i}"), F.avg(on(f, t)).alias(f"_mt{i}"), F.var_pop(on(f, F.col(f))).alias(f"_vf{i}"),
+        F.min(on(f, t)).alias(f"_lo{i}"), F.max(on(f, t)).alias(f"_hi{i}"))])
     joined = base.join(F.broadcast(lines))
     aggs, rows = [], []
     for i, f in enumerate(fields):
@@ -71,9 +76,11 @@ def affine_proxies(df: DataFrame, fields: Sequence[str], target: str, atol: floa
             F.count(on(f, x)).alias(f"_n{i}"), F.avg(on(f, _match(x, t, atol, rtol).cast("double"))).alias(f"_c{i}"),
             F.avg(on(f, _match(x, fit, atol, rtol).cast("double"))).alias(f"_a{i}"), F.max(err(fit)).alias(f"_e{i}"), F.max(err(t)).alias(f"_d{i}"),
             (1 - guarded_ratio(F.avg(on(f, (x - fit) * (x - fit))), F.max(f"_vf{i}"))).alias(f"_q{i}"),
-            F.max(slope).alias(f"_sl{i}"), F.max(intercept).alias(f"_in{i}")]
-        copy = F.col(f"_c{i}") >= confirmed
-        affine = F.coalesce((F.col(f"_a{i}") >= confirmed) & (F.col(f"_q{i}") >= confirmed), F.lit(False))
+            F.max(slope).alias(f"_sl{i}"), F.max(intercept).alias(f"_in{i}"),
+            F.count_if(on(f, (t > F.col(f"_lo{i}")) & (t < F.col(f"_hi{i}")))).alias(f"_b{i}")]
+        enough = (F.col(f"_n{i}") >= 3) & (F.col(f"_b{i}") > 0)
+        copy = F.coalesce(enough & (F.col(f"_c{i}") >= confirmed), F.lit(False))
+        affine = F.coalesce(enough & (F.col(f"_a{i}") >= confirmed) & (F.col(f"_q{i}") >= confirmed), F.lit(False))
         rows.append({
             "field": F.lit(f), "paired_rows": F.col(f"_n{i}"),
             "method": F.when(copy, "Exact numeric target copy").when(affine, "Affine numeric target transform").otherwise("None"),

@@ -82,16 +82,24 @@ def materialize_blanks(df: DataFrame, column: str, condition: str, value: object
 
 
 def change_audit(raw: DataFrame, prepared: DataFrame, keys: Sequence[str], allowed: Sequence[str]) -> DataFrame:
-    """Changed cells per column between two tables of the same keys; only `allowed` may change."""
+    """Changed cells per column between two tables of the same keys; only `allowed` may change.
+
+    Rows that only one side has are lost or added, keys that a side has more than once are repeated; with any of these
+    nothing is in order, whatever the cells say. NULL keys are keys like others.
+    """
     columns = [c for c in raw.columns if c not in keys]
-    l = raw.select(*keys, *[to_text(c).alias(f"_l_{c}") for c in columns])
-    r = prepared.select(*keys, *[to_text(c).alias(f"_r_{c}") for c in columns])
-    wide = l.join(r, list(keys)).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count_if(~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}"))).alias(f"_n_{c}") for c in columns])
-    return rows_of(wide, [{
+    l = raw.select(*[F.col(k).alias(f"_lk_{k}") for k in keys], *[to_text(c).alias(f"_l_{c}") for c in columns], F.lit(1).alias("_in_l"))
+    r = prepared.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[to_text(c).alias(f"_r_{c}") for c in columns], F.lit(1).alias("_in_r"))
+    paired = F.col("_in_l").isNotNull() & F.col("_in_r").isNotNull()
+    wide = l.join(r, [F.col(f"_lk_{k}").eqNullSafe(F.col(f"_rk_{k}")) for k in keys], "full_outer").agg(
+        F.count_if(paired).alias("row_count"), F.count_if(F.col("_in_r").isNull()).alias("lost"), F.count_if(F.col("_in_l").isNull()).alias("added"),
+        *[F.count_if(paired & ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}"))).alias(f"_n_{c}") for c in columns])
+    repeated = raw.select(*keys, F.lit(0).alias("_s")).union(prepared.select(*keys, F.lit(1).alias("_s"))).groupBy("_s", *keys).agg(
+        F.count(F.lit(1)).alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("repeated"))
+    whole = (F.col("lost") == 0) & (F.col("added") == 0) & (F.col("repeated") == 0)
+    return rows_of(wide.join(F.broadcast(repeated)), [{
         "column": F.lit(c), "changed": F.col(f"_n_{c}"), "allowed": F.lit(c in allowed),
-        "ok": F.lit(c in allowed) | (F.col(f"_n_{c}") == 0)} for c in columns], keep=["row_count"])
+        "ok": whole & (F.lit(c in allowed) | (F.col(f"_n_{c}") == 0))} for c in columns], keep=["row_count", "lost", "added", "repeated"])
 
 
 @dataclass(frozen=True)
@@ -476,32 +484,59 @@ def check_rows(wide: DataFrame, checks: Sequence[tuple[str, Column, Column]]) ->
     return rows_of(wide, [{"check": F.lit(n), "ok": flag(ok), "detail": to_text(d)} for n, ok, d in checks])
 
 
-def dataset_contract(df: DataFrame, columns: Sequence[str], ids: Sequence[str], target: str,
-                     classes: Sequence[str], categories: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Check table of a raw dataset: columns, order, identifier, target classes, categories."""
-    categories = categories or {}
+# Declared kinds of a column and the Spark types that satisfy each.
+COLUMN_KINDS = {"string": (T.StringType,), "integer": (T.IntegralType,), "numeric": (T.NumericType,), "boolean": (T.BooleanType,)}
+
+
+def dataset_contract(df: DataFrame, columns: Sequence[str], ids: Sequence[str], target: str, classes: Sequence[str],
+                     categories: Mapping[str, Sequence[str]] | None = None, kinds: Mapping[str, str] | None = None,
+                     numeric_text: Sequence[str] = (), all_categories: bool = True) -> DataFrame:
+    """Check table of a raw dataset: columns, order, types, identifier, target classes, categories.
+
+    An identifier may be neither missing nor blank. Categories may be neither missing nor undeclared, and all declared
+    ones have to be observed unless `all_categories` is off. `kinds` maps a column to string, integer, numeric or
+    boolean; a text column in `numeric_text` is numeric where all its values that are not blank are numbers.
+    """
+    categories, kinds = categories or {}, kinds or {}
     missing = any_of([F.col(c).isNull() for c in ids])
+    blank = any_of([is_blank(F.col(c).cast("string")) for c in ids])
+    texts = [c for c in kinds if c in df.columns and kinds[c] == "numeric" and c in numeric_text and isinstance(df.schema[c].dataType, T.StringType)]
     by_id = df.groupBy(*ids).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(flag(~F.col(target).isin(*classes)) | F.col(target).isNull()).alias("_t"),
         *[F.max(flag(F.col(target) == k)).alias(f"_k{i}") for i, k in enumerate(classes)],
-        *[F.count_if(flag(~F.col(c).isin(*v))).alias(f"_c{i}") for i, (c, v) in enumerate(categories.items())])
+        *[F.count_if(flag(~F.col(c).isin(*v))).alias(f"_c{i}") for i, (c, v) in enumerate(categories.items())],
+        *[F.count_if(F.col(c).isNull()).alias(f"_cn{i}") for i, c in enumerate(categories)],
+        *[F.max(flag(F.col(c) == x)).alias(f"_cs{i}_{k}") for i, (c, v) in enumerate(categories.items()) for k, x in enumerate(v)],
+        *[F.count_if(F.col(c).isNotNull() & ~is_blank(c) & parse_number(c).isNull()).alias(f"_x{i}") for i, c in enumerate(texts)])
     wide = by_id.agg(
-        F.sum(F.when(missing, F.col("_n")).otherwise(0)).alias("missing_ids"),
+        F.sum(F.when(missing, F.col("_n")).otherwise(0)).alias("missing_ids"), F.sum(F.when(blank & ~missing, F.col("_n")).otherwise(0)).alias("blank_ids"),
         F.count_if(~missing & (F.col("_n") > 1)).alias("repeated_ids"), F.sum("_t").alias("bad_targets"),
         *[F.max(f"_k{i}").alias(f"_k{i}") for i in range(len(classes))],
-        *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(categories))])
+        *[F.sum(f"_{k}{i}").alias(f"_{k}{i}") for i in range(len(categories)) for k in ("c", "cn")],
+        *[F.max(f"_cs{i}_{k}").alias(f"_cs{i}_{k}") for i, v in enumerate(categories.values()) for k in range(len(v))],
+        *[F.sum(f"_x{i}").alias(f"_x{i}") for i in range(len(texts))])
     absent = [c for c in columns if c not in df.columns]
     extra = [c for c in df.columns if c not in columns]
-    seen = reduce(lambda a, b: a + b, [F.col(f"_k{i}").cast("bigint") for i in range(len(classes))])
-    return check_rows(wide, [
+    count = lambda names: reduce(lambda a, b: a + b, [F.col(n).cast("bigint") for n in names], F.lit(0))
+    seen = count([f"_k{i}" for i in range(len(classes))])
+    wrong = sorted(c for c, kind in kinds.items() if c in df.columns and c not in texts and not isinstance(df.schema[c].dataType, COLUMN_KINDS[kind]))
+    unread = count([f"_x{i}" for i in range(len(texts))])
+    rows = [
         ("columns present", F.lit(not absent), F.lit(",".join(absent))),
         ("no extra columns", F.lit(not extra), F.lit(",".join(extra))),
         ("column order", F.lit(list(columns) == list(df.columns)), F.lit("")),
+        ("column types", F.lit(not wrong), F.lit(",".join(wrong))),
+        ("numeric text", unread == 0, unread),
         ("identifier complete", F.col("missing_ids") == 0, F.col("missing_ids")),
+        ("identifier not blank", F.col("blank_ids") == 0, F.col("blank_ids")),
         ("identifier unique", F.col("repeated_ids") == 0, F.col("repeated_ids")),
         ("target values declared", F.col("bad_targets") == 0, F.col("bad_targets")),
-        ("target classes observed", seen == len(classes), seen),
-        *[(f"categories of {c}", F.col(f"_c{i}") == 0, F.col(f"_c{i}")) for i, c in enumerate(categories)]])
+        ("target classes observed", seen == len(classes), seen)]
+    for i, (c, v) in enumerate(categories.items()):
+        observed = count([f"_cs{i}_{k}" for k in range(len(v))])
+        rows += [(f"categories of {c}", F.col(f"_c{i}") == 0, F.col(f"_c{i}")), (f"categories of {c} present", F.col(f"_cn{i}") == 0, F.col(f"_cn{i}"))]
+        rows += [(f"categories of {c} observed", observed == len(v), observed)] if all_categories else []
+    return check_rows(wide, rows)
 
 
 def class_contract(df: DataFrame, target: str, classes: DataFrame) -> DataFrame:
@@ -536,7 +571,7 @@ def failed(checks: DataFrame, strict: bool = False) -> DataFrame:
     return bad
 
 
-# Finding rules (id, severity, status, disposition, blocks).
+# Finding rules (id, severity, status, disposition, blocks). Support and outliers are never findings.
 FINDINGS = {
     "type_or_domain": ("DQ-001", "High", "Open", "Must fix", "Preparation"),
     "value_quality": ("DQ-002", "High", "Open", "Must fix", "Preparation"),
@@ -547,38 +582,46 @@ FINDINGS = {
     "leakage": ("DQ-006", "Critical", "Open", "Prohibited", "Modeling clearance"),
     "dependency": ("DQ-007", "Medium", "Review", "Evaluate", "Model evaluation"),
 }
+# Clean outcomes (id, disposition, disposition with affected rows). Target conflicts have none.
 NON_ISSUES = {
-    "type_or_domain": "NI-001", "value_quality": "NI-002", "identity": "NI-003", "exact_rows": "NI-003",
-    "target_conflict": "NI-004", "target_contract": "NI-005", "leakage": "NI-006", "dependency": "NI-007",
+    "type_or_domain": ("NI-001", "No action", None), "value_quality": ("NI-002", "No action", None),
+    "identity": ("NI-003", "Preserve", None), "exact_rows": ("NI-003", "Preserve", None),
+    "target_contract": ("NI-004", "No action", None), "class_support": ("NI-005", "Monitor", "Monitor"),
+    "target_extremes": ("NI-005", "Preserve", "Preserve"), "outliers": ("NI-006", "No action", "Preserve"),
+    "leakage": ("NI-007", "No action", None), "dependency": ("NI-008", "Monitor", None), "no_dependency": ("NI-008", "No action", "No action"),
 }
+# Order of severities.
 SEVERITY_ORDER = {"Critical": 0, "High": 1, "Medium": 2, "Low": 3, "None": 4}
 
 
 def consolidate_findings(evidence: DataFrame) -> DataFrame:
     """Turn `(table_name, kind, affected, fields)` report rows of many tables into findings and clean outcomes.
 
-    Rows of one table and kind are added up; a kind with nothing affected becomes a validated non-issue.
+    Rows of one table and kind are added up. A kind with nothing affected becomes a validated non-issue, target
+    conflicts excepted, which then leave no row; class support, target extremes and outlier candidates are non-issues
+    whatever is affected.
     """
     summed = evidence.groupBy("table_name", "kind").agg(
         F.sum("affected").alias("affected"),
         F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("affected") > 0, F.col("fields"))))).alias("affected_fields"))
-    pick = lambda i: F.create_map(*[x for k, v in FINDINGS.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("kind")]
-    clean_id = F.create_map(*[x for k, v in NON_ISSUES.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
-    bad = F.col("affected") > 0
-    severity = F.when(bad, pick(1)).otherwise("None")
+    pick = lambda rules, i: F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("kind")]
+    some = F.col("affected") > 0
+    bad = some & F.col("kind").isin(*FINDINGS)
+    severity = F.when(bad, pick(FINDINGS, 1)).otherwise("None")
     order = F.create_map(*[x for k, v in SEVERITY_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    return summed.select(
-        "table_name", "kind", F.when(bad, pick(0)).otherwise(clean_id).alias("finding_id"), severity.alias("severity"),
-        F.when(bad, pick(2)).otherwise("Validated").alias("status"), F.when(bad, pick(3)).otherwise("Preserve").alias("disposition"),
-        F.when(bad, pick(4)).otherwise("None").alias("blocks"), "affected", "affected_fields",
+    clean = F.when(some, pick(NON_ISSUES, 2)).otherwise(pick(NON_ISSUES, 1))
+    return summed.where(some | F.col("kind").isin(*NON_ISSUES)).select(
+        "table_name", "kind", F.when(bad, pick(FINDINGS, 0)).otherwise(pick(NON_ISSUES, 0)).alias("finding_id"), severity.alias("severity"),
+        F.when(bad, pick(FINDINGS, 2)).otherwise("Validated").alias("status"), F.when(bad, pick(FINDINGS, 3)).otherwise(clean).alias("disposition"),
+        F.when(bad, pick(FINDINGS, 4)).otherwise("None").alias("blocks"), "affected", "affected_fields",
         order[severity].cast("bigint").alias("severity_order"))
 
 
 def readiness(findings: DataFrame) -> DataFrame:
     """Per table: findings by severity and whether preparation and modeling may go on."""
-    blocked = lambda what: F.count_if((F.col("affected") > 0) & (F.col("blocks") == what))
+    blocked = lambda what: F.count_if(F.col("blocks") == what)
     return findings.groupBy("table_name").agg(
-        F.count_if(F.col("affected") > 0).alias("findings"), F.count_if(F.col("affected") == 0).alias("non_issues"),
+        F.count_if(F.col("severity") != "None").alias("findings"), F.count_if(F.col("severity") == "None").alias("non_issues"),
         F.count_if(F.col("severity") == "Critical").alias("critical"), F.count_if(F.col("severity") == "High").alias("high"),
         F.count_if(F.col("severity") == "Medium").alias("medium"),
         (blocked("Preparation") == 0).alias("ready_for_preparation"),

@@ -133,40 +133,43 @@ def _(spark, sf):
 
 CHANGED = """
 other AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 10 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
- CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 0.25 WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 0.0001 ELSE o_totalprice END AS o_totalprice,
- o_orderpriority FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'P')"""
+ CASE WHEN o_orderkey % 1000 = 7 THEN 'inf'::DOUBLE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 0.25 WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 0.0001 ELSE o_totalprice END AS o_totalprice,
+ o_orderpriority FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'P'
+ UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 500 = 11)"""
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
 def changed_orders(spark, sf):
     left = table(spark, sf, "orders").select(*ORDER_COLUMNS)
-    price = (F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 0.25)
+    price = (F.when(F.col("o_orderkey") % 1000 == 7, float("inf")).when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 0.25)
              .when(F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice") + 0.0001).otherwise(F.col("o_totalprice")))
     pending = F.col("o_orderstatus") == "P"
     right = left.select(
         F.when(pending, -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("o_orderkey"), "o_custkey",
         F.when(~pending & (F.col("o_custkey") % 10 == 3), "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(pending, F.col("o_totalprice")).otherwise(price).alias("o_totalprice"), "o_orderpriority")
-    return left, right
+    again = left.where((F.col("o_orderstatus") != "P") & (F.col("o_orderkey") % 500 == 11))
+    return left, right.unionByName(again).withColumn("note", F.lit(""))
 
 
 DIFF = CHANGED + """,
 j AS (SELECT a.o_orderkey AS lk, b.o_orderkey AS rk, a.o_custkey AS ac, b.o_custkey AS bc, a.o_orderstatus AS a_s, b.o_orderstatus AS b_s, a.o_totalprice AS ap, b.o_totalprice AS bp,
   a.o_orderpriority AS ao, b.o_orderpriority AS bo FROM orders a FULL JOIN other b ON a.o_orderkey = b.o_orderkey),
-w AS (SELECT count(*) FILTER (rk IS NULL) AS left_only, count(*) FILTER (lk IS NULL) AS right_only, count(*) FILTER (lk IS NOT NULL AND rk IS NOT NULL) AS compared FROM j),
+w AS (SELECT count(*) FILTER (rk IS NULL) AS left_only, count(*) FILTER (lk IS NULL) AS right_only, count(*) FILTER (lk IS NOT NULL AND rk IS NOT NULL) AS compared,
+  (SELECT count(*) FROM (SELECT 1 FROM other GROUP BY o_orderkey HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)) AS repeated_keys, 1::BIGINT AS other_columns FROM j),
 diff AS (
- SELECT 'o_custkey' AS "column", 0 AS position, count(*) FILTER (ac <> bc) AS differing, max(abs(ac - bc))::DOUBLE AS g FROM j
- UNION ALL SELECT 'o_orderstatus', 1, count(*) FILTER (a_s <> b_s), NULL FROM j UNION ALL SELECT 'o_totalprice', 2, count(*) FILTER (abs(ap - bp) > 0.001), max(abs(ap - bp)) FROM j
- UNION ALL SELECT 'o_orderpriority', 3, count(*) FILTER (ao <> bo), NULL FROM j)"""
+ SELECT 'o_custkey' AS "column", 0 AS position, count(*) FILTER (ac <> bc) AS differing, max(abs(ac - bc))::DOUBLE AS g, 0::BIGINT AS non_finite FROM j
+ UNION ALL SELECT 'o_orderstatus', 1, count(*) FILTER (a_s <> b_s), NULL, 0 FROM j UNION ALL SELECT 'o_totalprice', 2, count(*) FILTER (abs(ap - bp) > 0.001), max(abs(ap - bp)) FILTER (isfinite(bp)), count(*) FILTER (lk IS NOT NULL AND isinf(bp)) FROM j
+ UNION ALL SELECT 'o_orderpriority', 3, count(*) FILTER (ao <> bo), NULL, 0 FROM j)"""
 
 
-@query("a09_table_diff", f"""WITH {DIFF} SELECT left_only, right_only, compared, "column", CAST(position AS BIGINT) AS position, differing, round(g, 6) + 0.0 AS max_abs_difference FROM diff, w""")
+@query("a09_table_diff", f"""WITH {DIFF} SELECT left_only, right_only, compared, repeated_keys, other_columns, "column", CAST(position AS BIGINT) AS position, differing, round(g, 6) + 0.0 AS max_abs_difference, non_finite FROM diff, w""")
 def _(spark, sf):
     l, r = changed_orders(spark, sf)
     return rounded(idn.table_diff(l, r, ["o_orderkey"], tolerance=0.001))
 
 
-@query("a09_diff_verdict", f"""WITH {DIFF} SELECT max(left_only + right_only + differing) = 0 AS equivalent, arg_min("column", position) FILTER (differing > 0) AS first_differing,
+@query("a09_diff_verdict", f"""WITH {DIFF} SELECT max(left_only + right_only + differing + repeated_keys + other_columns + non_finite) = 0 AS equivalent, arg_min("column", position) FILTER (differing > 0) AS first_differing,
  CAST(sum(differing) AS BIGINT) AS differing_cells, round(max(g), 6) + 0.0 AS max_abs_difference FROM diff, w""")
 def _(spark, sf):
     l, r = changed_orders(spark, sf)
@@ -176,9 +179,9 @@ def _(spark, sf):
 @query("a10_evidence_audit", f"""WITH {EVIDENCE},
  p AS (SELECT * REPLACE (CASE WHEN horizon = 5 THEN squared_error + 0.001 ELSE squared_error END AS squared_error,
    CASE WHEN fold = 2 AND candidate_id = 'naive_last_value' THEN y_true + 1 ELSE y_true END AS y_true) FROM evidence)
-SELECT candidate_id, count(*) AS row_count, count(*) FILTER (abs(p.y_true - d.y) > 1e-9) AS truth_violations,
- count(*) FILTER (abs(error - (y_pred - p.y_true)) > 1e-9) AS error_violations, count(*) FILTER (abs(abs_error - abs(y_pred - p.y_true)) > 1e-9) AS abs_violations,
- count(*) FILTER (abs(squared_error - (y_pred - p.y_true) ** 2) > 1e-9) AS squared_violations, count(*) FILTER (abs(scaled_abs_error - abs(y_pred - p.y_true) / mase_scale) > 1e-9) AS scaled_violations
+SELECT candidate_id, count(*) AS row_count, count(*) FILTER (abs(p.y_true - d.y) > 1e-10 * greatest(abs(p.y_true), abs(d.y), 1)) AS truth_violations,
+ count(*) FILTER (abs(error - (y_pred - p.y_true)) > 1e-10 * greatest(abs(error), abs((y_pred - p.y_true)), 1)) AS error_violations, count(*) FILTER (abs(abs_error - abs(y_pred - p.y_true)) > 1e-10 * greatest(abs(abs_error), abs(abs(y_pred - p.y_true)), 1)) AS abs_violations,
+ count(*) FILTER (abs(squared_error - (y_pred - p.y_true) ** 2) > 1e-10 * greatest(abs(squared_error), abs((y_pred - p.y_true) ** 2), 1)) AS squared_violations, count(*) FILTER (abs(scaled_abs_error - (abs(y_pred - p.y_true) / mase_scale)) > 1e-10 * greatest(abs(scaled_abs_error), abs((abs(y_pred - p.y_true) / mase_scale)), 1)) AS scaled_violations
 FROM p JOIN dev d ON d.series_id = p.series_id AND d.period = p.period GROUP BY 1""")
 def _(spark, sf):
     ev = backtest(spark, sf)[2]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions import norm_text, rnd
 from assayer.operators import identity as idn
+from assayer.operators import leakage as lk
+from assayer.operators import profile as pf
 from assayer.operators import quality as q
 from assayer.plans.registry import R, query, rounded
 from assayer.sources.tables import table
@@ -51,13 +53,18 @@ def _(spark, sf):
 
 
 @query("b03_change_audit", """
-SELECT row_count, "column", changed, allowed, allowed OR changed = 0 AS ok FROM (SELECT count(*) AS row_count, count(*) FILTER (c_acctbal < 0) AS n1, count(*) FILTER (c_mktsegment = 'BUILDING') AS n2 FROM customer),
+SELECT row_count, lost, 0::BIGINT AS added, repeated, "column", changed, allowed, false AS ok FROM (
+ SELECT count(*) FILTER (kept) AS row_count, count(*) FILTER (NOT kept) AS lost, count(*) FILTER (kept AND c_acctbal < 0) AS n1, count(*) FILTER (kept AND c_mktsegment = 'BUILDING') AS n2
+ FROM (SELECT *, c_custkey % 100 <> 5 AS kept FROM customer UNION ALL SELECT *, true FROM customer WHERE c_custkey % 100 = 6)),
+ (SELECT count(*) FILTER (c_custkey % 100 = 6) AS repeated FROM customer),
  LATERAL (VALUES ('c_name', 0, false), ('c_nationkey', 0, false), ('c_acctbal', n1, true), ('c_mktsegment', n2, false)) AS v("column", changed, allowed)""")
 def _(spark, sf):
+    """Every hundredth customer is lost, every hundredth repeated."""
     raw = table(spark, sf, "customer")
     prepared = raw.withColumns({
         "c_acctbal": F.when(F.col("c_acctbal") < 0, 1e9).otherwise(F.col("c_acctbal")),
         "c_mktsegment": F.when(F.col("c_mktsegment") == "BUILDING", "HOUSES").otherwise(F.col("c_mktsegment"))})
+    prepared = prepared.where(F.col("c_custkey") % 100 != 5).unionByName(prepared.where(F.col("c_custkey") % 100 == 6))
     return q.change_audit(raw, prepared, ["c_custkey"], allowed=["c_acctbal"])
 
 
@@ -269,19 +276,31 @@ def _(spark, sf):
 
 
 CONTRACT = """
-SELECT "check", ok, detail FROM (SELECT count(*) FILTER (l_orderkey IS NULL) AS mi FROM lineitem) a, (SELECT count(*) AS ri FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)) b,
- (SELECT count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'Q')) AS bt, count(DISTINCT CASE WHEN l_returnflag IN ('A', 'N', 'Q') THEN l_returnflag END) AS oc, count(*) FILTER (l_linestatus NOT IN ('O')) AS bc FROM lineitem) c,
- LATERAL (VALUES ('columns present', false, 'l_comment'), ('no extra columns', true, ''), ('column order', false, ''), ('identifier complete', mi = 0, CAST(mi AS VARCHAR)), ('identifier unique', ri = 0, CAST(ri AS VARCHAR)),
-  ('target values declared', bt = 0, CAST(bt AS VARCHAR)), ('target classes observed', oc = 3, CAST(oc AS VARCHAR)), ('categories of l_linestatus', bc = 0, CAST(bc AS VARCHAR))) AS v("check", ok, detail)"""
+SELECT "check", ok, detail FROM (
+ SELECT count(*) FILTER (key IS NULL) AS mi, count(*) FILTER (trim(key) = '') AS bl, count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'Q')) AS bt, count(*) FILTER (status NOT IN ('O', 'X')) AS bc, count(*) FILTER (status IS NULL) AS nc,
+  count(DISTINCT CASE WHEN l_returnflag IN ('A', 'N', 'Q') THEN l_returnflag END) AS oc, count(DISTINCT CASE WHEN status IN ('O', 'X') THEN status END) AS os, count(*) FILTER (trim(qty) <> '' AND TRY_CAST(qty AS DOUBLE) IS NULL) AS bq FROM k) a,
+ (SELECT count(*) AS ri FROM (SELECT key FROM k WHERE key IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) b,
+ LATERAL (VALUES ('columns present', false, 'l_comment'), ('no extra columns', false, 'status'), ('column order', false, ''), ('column types', false, 'key,l_tax'), ('numeric text', bq = 0, CAST(bq AS VARCHAR)),
+  ('identifier complete', mi = 0, CAST(mi AS VARCHAR)), ('identifier not blank', bl = 0, CAST(bl AS VARCHAR)), ('identifier unique', ri = 0, CAST(ri AS VARCHAR)),
+  ('target values declared', bt = 0, CAST(bt AS VARCHAR)), ('target classes observed', oc = 3, CAST(oc AS VARCHAR)), ('categories of status', bc = 0, CAST(bc AS VARCHAR)),
+  ('categories of status present', nc = 0, CAST(nc AS VARCHAR)), ('categories of status observed', os = 2, CAST(os AS VARCHAR))) AS v("check", ok, detail)"""
+CONTRACT_ROWS = """WITH k AS (SELECT CASE WHEN l_orderkey % 100 = 1 THEN NULL WHEN l_orderkey % 100 = 2 AND l_linenumber = 1 THEN ' ' WHEN l_orderkey % 100 = 3 THEN CAST(l_orderkey AS VARCHAR) ELSE l_orderkey || '-' || l_linenumber || '-' || l_partkey END AS key,
+ l_returnflag, CASE WHEN l_linenumber < 7 THEN l_linestatus END AS status, CASE WHEN l_linenumber = 7 THEN '  ' WHEN l_orderkey % 97 = 0 THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR) END AS qty, l_tax FROM lineitem)"""
 
 
 def line_contract(spark, sf):
-    df = table(spark, sf, "lineitem")
-    return q.dataset_contract(df, [*df.columns, "l_comment"], ["l_orderkey", "l_linenumber"], "l_returnflag",
-                              ["A", "N", "Q"], {"l_linestatus": ["O"]})
-
-
-@query("c12_dataset_contract", CONTRACT)
+    """Every check is violated: a column is absent, one is extra, two have other types, keys are missing, blank and repeated."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    df = table(spark, sf, "lineitem").select(
+        F.when(key % 100 == 1, None).when((key % 100 == 2) & (line == 1), " ").when(key % 100 == 3, key.cast("string")).otherwise(
+            F.concat_ws("-", key, line, "l_partkey")).alias("key"), "l_returnflag", F.when(line < 7, F.col("l_linestatus")).alias("status"),
+        F.when(line == 7, "  ").when(key % 97 == 0, "n/a").otherwise(F.col("l_quantity").cast("string")).alias("qty"), "l_tax")
+    return q.dataset_contract(
+        df, ["key", "l_returnflag", "qty", "l_tax", "l_comment"], ["key"], "l_returnflag", ["A", "N", "Q"], {"status": ["O", "X"]},
+        {"key": "integer", "l_returnflag": "string", "qty": "numeric", "l_tax": "integer"}, numeric_text=["qty"])
+
+
+@query("c12_dataset_contract", f"{CONTRACT_ROWS} {CONTRACT}")
 def _(spark, sf):
     return line_contract(spark, sf)
 
@@ -305,7 +324,7 @@ def _(spark, sf):
     return q.numeric_target_contract(df, "x", ["l_returnflag"])
 
 
-@query("c19_failed_checks", f"SELECT * FROM ({CONTRACT}) WHERE NOT ok")
+@query("c19_failed_checks", f"{CONTRACT_ROWS} SELECT * FROM ({CONTRACT}) WHERE NOT ok")
 def _(spark, sf):
     return q.failed(line_contract(spark, sf))
 
@@ -317,13 +336,31 @@ FINDING_ROWS = """
   UNION ALL SELECT 'lineitem', 'exact_rows', CAST(coalesce(sum(n), 0) AS BIGINT), 'rows' FROM (SELECT count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
   UNION ALL SELECT 'orders', 'identity', count(*), 'o_orderkey' FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'customer', 'identity', count(*), 'c_custkey' FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)
   UNION ALL SELECT 'orders', 'target_contract', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')), 'o_orderstatus' FROM orders UNION ALL SELECT 'customer', 'target_contract', count(*) FILTER (c_mktsegment IS NULL), 'c_mktsegment' FROM customer
-  UNION ALL SELECT 'lineitem', 'target_conflict', CAST(coalesce(sum(n), 0) AS BIGINT), 'l_returnflag' FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_tax HAVING count(*) > 1 AND count(DISTINCT l_returnflag) > 1)),
+  UNION ALL SELECT 'lineitem', 'target_conflict', CAST(coalesce(sum(n), 0) AS BIGINT), 'l_returnflag' FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_tax HAVING count(*) > 1 AND count(DISTINCT l_returnflag) > 1)
+  UNION ALL SELECT 'orders', 'value_quality', count(*) FILTER (o_orderpriority IS NULL), 'o_orderpriority' FROM orders UNION ALL SELECT 'lineitem', 'value_quality', count(*) FILTER (l_partkey % 50 = 0), 'l_discount' FROM lineitem
+  UNION ALL SELECT 'orders', 'target_conflict', CAST(coalesce(sum(n), 0) AS BIGINT), 'o_orderstatus' FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1 AND count(DISTINCT o_orderstatus) > 1)
+  UNION ALL SELECT 'orders', 'class_support', count(*) FILTER (n < m), 'o_orderstatus' FROM (SELECT n, max(n) OVER () AS m FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))
+  UNION ALL SELECT 'customer', 'outliers', count(*) FILTER (c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1)), 'c_acctbal' FROM customer, (SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer)
+  UNION ALL SELECT 'lineitem', 'outliers', count(*) FILTER (p < q1 - 1.5 * (q3 - q1) OR p > q3 + 1.5 * (q3 - q1)), 'p' FROM (SELECT l_extendedprice * l_quantity AS p FROM lineitem), (SELECT quantile_cont(l_extendedprice * l_quantity, 0.25) AS q1, quantile_cont(l_extendedprice * l_quantity, 0.75) AS q3 FROM lineitem)
+  UNION ALL SELECT 'lineitem', 'leakage', count(*) FILTER (a >= 0.99), 'net' FROM (SELECT 1.0 AS a) UNION ALL SELECT 'orders', 'leakage', 0, 'o_custkey'
+  UNION ALL SELECT 'lineitem', 'dependency', count(*) FILTER (m < 0.99), 'gross' FROM (SELECT avg((l_partkey % 50 <> 0)::INT) AS m FROM lineitem) UNION ALL SELECT 'orders', 'dependency', 0, 'year'),
  f AS (SELECT table_name, kind, CAST(sum(affected) AS BIGINT) AS affected, coalesce(string_agg(fields, ',' ORDER BY fields) FILTER (affected > 0), '') AS affected_fields FROM rep GROUP BY 1, 2),
- r AS (SELECT * FROM (VALUES ('type_or_domain', 'DQ-001', 'High', 'Open', 'Must fix', 'Preparation', 'NI-001'), ('identity', 'DQ-003', 'High', 'Open', 'Must fix', 'Preparation', 'NI-003'), ('exact_rows', 'DQ-003', 'Medium', 'Review', 'Monitor', 'None', 'NI-003'),
-  ('target_conflict', 'DQ-004', 'Medium', 'Review', 'Evaluate', 'Model evaluation', 'NI-004'), ('target_contract', 'DQ-005', 'Critical', 'Open', 'Must fix', 'Modeling clearance', 'NI-005')) AS v(kind, id, sev, st, disp, bl, ni)),
- findings AS (SELECT table_name, f.kind, CASE WHEN affected > 0 THEN id ELSE ni END AS finding_id, CASE WHEN affected > 0 THEN sev ELSE 'None' END AS severity, CASE WHEN affected > 0 THEN st ELSE 'Validated' END AS status,
-  CASE WHEN affected > 0 THEN disp ELSE 'Preserve' END AS disposition, CASE WHEN affected > 0 THEN bl ELSE 'None' END AS blocks, affected, affected_fields,
-  CAST(CASE WHEN affected = 0 THEN 4 WHEN sev = 'Critical' THEN 0 WHEN sev = 'High' THEN 1 ELSE 2 END AS BIGINT) AS severity_order FROM f JOIN r USING (kind))"""
+ r AS (SELECT * FROM (VALUES ('type_or_domain', 'DQ-001', 'High', 'Open', 'Must fix', 'Preparation', 'NI-001', 'No action'), ('value_quality', 'DQ-002', 'High', 'Open', 'Must fix', 'Preparation', 'NI-002', 'No action'),
+  ('identity', 'DQ-003', 'High', 'Open', 'Must fix', 'Preparation', 'NI-003', 'Preserve'), ('exact_rows', 'DQ-003', 'Medium', 'Review', 'Monitor', 'None', 'NI-003', 'Preserve'),
+  ('target_conflict', 'DQ-004', 'Medium', 'Review', 'Evaluate', 'Model evaluation', NULL, NULL), ('target_contract', 'DQ-005', 'Critical', 'Open', 'Must fix', 'Modeling clearance', 'NI-004', 'No action'),
+  ('leakage', 'DQ-006', 'Critical', 'Open', 'Prohibited', 'Modeling clearance', 'NI-007', 'No action'), ('dependency', 'DQ-007', 'Medium', 'Review', 'Evaluate', 'Model evaluation', 'NI-008', 'Monitor')) AS v(kind, id, sev, st, disp, bl, ni, nd)),
+ found AS (SELECT table_name, kind, id AS finding_id, sev AS severity, st AS status, disp AS disposition, bl AS blocks, affected, affected_fields FROM f JOIN r USING (kind) WHERE affected > 0),
+ fine AS (SELECT table_name, kind, ni AS finding_id, nd AS disposition, affected, affected_fields FROM f JOIN r USING (kind) WHERE affected = 0 AND ni IS NOT NULL
+  UNION ALL SELECT table_name, kind, 'NI-005', 'Monitor', affected, affected_fields FROM f WHERE kind = 'class_support'
+  UNION ALL SELECT table_name, kind, 'NI-006', CASE WHEN affected > 0 THEN 'Preserve' ELSE 'No action' END, affected, affected_fields FROM f WHERE kind = 'outliers'),
+ findings AS (SELECT *, CAST(CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 ELSE 2 END AS BIGINT) AS severity_order FROM found
+  UNION ALL BY NAME SELECT *, 'None' AS severity, 'Validated' AS status, 'None' AS blocks, 4::BIGINT AS severity_order FROM fine)"""
+
+
+def minority_classes(df: DataFrame, target: str) -> DataFrame:
+    """Number of classes with fewer rows than the largest one."""
+    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.max("n").alias("m")))).agg(F.count_if(F.col("n") < F.col("m")).alias("n"))
 
 
 def findings(spark, sf) -> DataFrame:
@@ -344,6 +381,21 @@ def findings(spark, sf) -> DataFrame:
         say(q.value_checks(c, {"c_mktsegment": q.ValueRule()}), "customer", "target_contract", F.col("affected_count"), w),
         say(q.repeated_profiles(l, ["l_quantity", "l_discount", "l_tax"], "l_returnflag").where(F.col("targets") > 1).agg(
             F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")), "lineitem", "target_conflict", F.col("n"), F.lit("l_returnflag")),
+        say(q.value_checks(o, {"o_orderpriority": q.ValueRule()}), "orders", "value_quality", F.col("affected_count"), w),
+        say(q.value_checks(l.withColumn("l_discount", F.when(F.col("l_partkey") % 50 != 0, F.col("l_discount"))), {"l_discount": q.ValueRule(numeric=True)}),
+            "lineitem", "value_quality", F.col("affected_count"), w),
+        say(q.repeated_profiles(o, ["o_orderkey"], "o_orderstatus").where(F.col("targets") > 1).agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")),
+            "orders", "target_conflict", F.col("n"), F.lit("o_orderstatus")),
+        say(minority_classes(o, "o_orderstatus"), "orders", "class_support", F.col("n"), F.lit("o_orderstatus")),
+        say(pf.outlier_summary(c, ["c_acctbal"]), "customer", "outliers", F.col("lower_count") + F.col("upper_count"), F.col("feature")),
+        say(pf.outlier_summary(l.select((F.col("l_extendedprice") * F.col("l_quantity")).alias("p")), ["p"]), "lineitem", "outliers", F.col("lower_count") + F.col("upper_count"), F.col("feature")),
+        say(lk.affine_proxies(l.withColumn("net", F.col("l_extendedprice") * 0.5 + 3), ["net"], "l_extendedprice"), "lineitem", "leakage",
+            (F.col("method") != "None").cast("int"), F.col("field")),
+        say(lk.affine_proxies(o, ["o_custkey"], "o_totalprice"), "orders", "leakage", (F.col("method") != "None").cast("int"), F.col("field")),
+        say(lk.derived_dependencies(l.withColumn("gross", F.col("l_quantity") * 2 + F.when(F.col("l_partkey") % 50 == 0, 1).otherwise(0)), {"gross": F.col("l_quantity") * 2}),
+            "lineitem", "dependency", (~F.col("confirmed")).cast("int"), F.col("feature")),
+        say(lk.derived_dependencies(o.withColumn("year", F.year("o_orderdate")), {"year": F.year("o_orderdate")}), "orders", "dependency",
+            (~F.col("confirmed")).cast("int"), F.col("feature")),
     ]
     return q.consolidate_findings(reduce(DataFrame.unionByName, parts))
 
@@ -354,7 +406,7 @@ def _(spark, sf):
 
 
 @query("c20_readiness", f"""WITH {FINDING_ROWS}
-SELECT table_name, count(*) FILTER (affected > 0) AS findings, count(*) FILTER (affected = 0) AS non_issues, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium,
- count(*) FILTER (affected > 0 AND blocks = 'Preparation') = 0 AS ready_for_preparation, count(*) FILTER (affected > 0 AND blocks IN ('Preparation', 'Modeling clearance')) = 0 AS ready_for_modeling FROM findings GROUP BY 1""")
+SELECT table_name, count(*) FILTER (severity <> 'None') AS findings, count(*) FILTER (severity = 'None') AS non_issues, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium,
+ count(*) FILTER (blocks = 'Preparation') = 0 AS ready_for_preparation, count(*) FILTER (blocks IN ('Preparation', 'Modeling clearance')) = 0 AS ready_for_modeling FROM findings GROUP BY 1""")
 def _(spark, sf):
     return q.readiness(findings(spark, sf))
