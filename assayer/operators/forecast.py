@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions import guarded_ratio
-from assayer.operators.series import months_between
+from assayer.operators.series import months_back, months_between
 
 KEYS = ["series_id", "fold"]
 
 
 def expanding_folds(s: DataFrame, initial: int = 120, horizon: int = 12, step: int = 12, period: int = 12) -> DataFrame:
-    """Fold table: training covers t < cut, validation the next `horizon` months."""
-    sizes = s.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n"), F.min("period").alias("train_start"))
+    """Fold table: training covers t < cut, validation the next `horizon` months.
+
+    Months are counted, not rows, so a gap moves no cut. n_train is the number of months up to the origin.
+    """
+    sizes = s.groupBy("series_id").agg((F.max("t") + 1).alias("_n"), F.min("period").alias("train_start"))
     cuts = sizes.where(F.col("_n") - horizon >= initial).select(
         "series_id", "train_start",
         F.explode(F.sequence(F.lit(initial), (F.col("_n") - horizon).cast("int"), F.lit(step))).alias("cut"))
@@ -40,9 +43,8 @@ def schedule_checks(folds: DataFrame) -> DataFrame:
 
 
 def mase_scale(s: DataFrame, folds: DataFrame, period: int = 12) -> DataFrame:
-    """Mean absolute seasonal difference over the training months of each fold."""
-    order = Window.partitionBy("series_id").orderBy("t")
-    steps = s.select("series_id", "t", F.abs(F.col("y") - F.lag("y", period).over(order)).alias("_d"))
+    """Mean absolute seasonal difference over the training months of each fold that have a month one period before."""
+    steps = s.select("series_id", "t", F.abs(F.col("y") - months_back("y", period)).alias("_d"))
     return (
         folds.select(*KEYS, "cut").join(steps, "series_id").where(F.col("t") < F.col("cut"))
         .groupBy(*KEYS).agg(F.avg("_d").alias("mase_scale")))
@@ -121,16 +123,33 @@ def evidence(forecasts: DataFrame, s: DataFrame, folds: DataFrame, scales: DataF
                 "mase_scale", guarded_ratio(F.abs(error), F.col("mase_scale")).alias("scaled_abs_error")))
 
 
-def fold_audit(ev: DataFrame, folds: DataFrame, horizon: int = 12) -> DataFrame:
-    """Which candidates finished every fold with finite forecasts; the others are not eligible."""
+# Candidates that a selection cannot do without.
+BASELINES = ("seasonal_naive_12", "naive_last_value")
+
+
+def fold_audit(ev: DataFrame, folds: DataFrame, horizon: int = 12, candidates: Sequence[str] | None = None,
+               baselines: Sequence[str] = BASELINES) -> DataFrame:
+    """Which candidates finished every fold with finite forecasts; the others are not eligible.
+
+    All `candidates`, if given, are listed for every series, with or without forecasts. `blocked`: a baseline is
+    absent or incomplete, so nothing may be selected for the series.
+    """
     wanted = folds.groupBy("series_id").agg((F.count(F.lit(1)) * horizon).alias("expected_rows"))
     x = F.col("y_pred")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     seen = ev.groupBy("series_id", "candidate_id").agg(
         F.countDistinct("fold").alias("folds_completed"), F.count(F.lit(1)).alias("forecast_rows"),
         F.bool_and(finite).alias("all_finite"))
-    return seen.join(wanted, "series_id").withColumn(
-        "eligible", (F.col("forecast_rows") == F.col("expected_rows")) & F.col("all_finite"))
+    listed = wanted.join(seen, "series_id")
+    if candidates is not None:
+        listed = wanted.withColumn("candidate_id", F.explode(F.array(*[F.lit(c) for c in candidates]))).join(seen, ["series_id", "candidate_id"], "left")
+    rows = F.coalesce("forecast_rows", F.lit(0))
+    out = listed.select(
+        "series_id", "candidate_id", F.coalesce("folds_completed", F.lit(0)).alias("folds_completed"), rows.alias("forecast_rows"),
+        F.coalesce("all_finite", F.lit(False)).alias("all_finite"), "expected_rows",
+        ((rows == F.col("expected_rows")) & F.coalesce("all_finite", F.lit(False))).alias("eligible"))
+    complete = F.count_if(F.col("eligible") & F.col("candidate_id").isin(*baselines)).over(Window.partitionBy("series_id"))
+    return out.withColumn("blocked", complete < len(baselines))
 
 
 def backtest_metrics(ev: DataFrame, baseline: str = "seasonal_naive_12", short: int = 6) -> DataFrame:
@@ -177,10 +196,12 @@ COMPLEXITY = {
 }
 
 
-def select_candidate(metrics: DataFrame, tolerance: float, complexity: Mapping[str, int] = COMPLEXITY) -> DataFrame:
+def select_candidate(metrics: DataFrame, tolerance: float, complexity: Mapping[str, int] = COMPLEXITY,
+                     baselines: Sequence[str] = BASELINES) -> DataFrame:
     """Rank candidates: the winner among all within `tolerance` of the best MAE comes first, the rest by MAE.
 
-    Finalists are ordered by MASE, RMSE, spread of fold MAEs, long-horizon MAE, complexity, name.
+    Finalists are ordered by MASE, RMSE, spread of fold MAEs, long-horizon MAE, complexity, name. A series without
+    usable metrics of all baselines has no ranking.
     """
     rank_of = F.create_map(*[x for k, v in complexity.items() for x in (F.lit(k), F.lit(v))])
     usable = metrics
@@ -191,6 +212,8 @@ def select_candidate(metrics: DataFrame, tolerance: float, complexity: Mapping[s
     whole = Window.partitionBy("series_id")
     if "complexity" not in metrics.columns:
         usable = usable.withColumn("complexity", F.coalesce(rank_of[F.col("candidate_id")], F.lit(len(complexity))))
+    present = F.count_if(F.col("candidate_id").isin(*baselines)).over(whole)
+    usable = usable.withColumn("_b", present).where(F.col("_b") >= len(baselines)).drop("_b")
     ranked = usable.withColumn("best_mae", F.min("pooled_mae").over(whole))
     ranked = ranked.withColumn("is_finalist", F.col("pooled_mae") <= F.col("best_mae") + tolerance)
     ladder = whole.orderBy(F.col("is_finalist").desc(), "pooled_mase", "pooled_rmse", "fold_mae_std",
@@ -227,9 +250,8 @@ def holdout_metrics(scoped: DataFrame, period: int = 12) -> DataFrame:
     """One evaluation of the frozen fit on the holdout months; the MASE divisor comes from development."""
     coef = freeze_seasonal_trend(scoped)
     hold = score_periods(coef, scoped.where(F.col("scope") == "holdout"))
-    order = Window.partitionBy("series_id").orderBy("t")
     dev = scoped.where(F.col("scope") == "development")
-    scale = dev.select("series_id", F.abs(F.col("y") - F.lag("y", period).over(order)).alias("_d")).groupBy(
+    scale = dev.select("series_id", F.abs(F.col("y") - months_back("y", period)).alias("_d")).groupBy(
         "series_id").agg(F.avg("_d").alias("mase_scale"))
     e = F.col("y_pred") - F.col("y")
     return hold.groupBy("series_id").agg(

@@ -184,12 +184,16 @@ def autocorrelation(s: DataFrame, lags: int = 36, by: Sequence[str] = ("series_i
         (F.abs("acf") > Z95 * F.col("_se")).alias("excludes_zero"), (strongest == 1).alias("is_strongest"))
 
 
+def months_back(value: Column | str, months: int) -> Column:
+    """The value so many months before, by month number `t` and not by row: NULL where that month is missing."""
+    return F.max(value).over(Window.partitionBy("series_id").orderBy("t").rangeBetween(-months, -months))
+
+
 def differenced(s: DataFrame, period: int = 12) -> DataFrame:
-    """Level, first, seasonal and seasonal-then-first differences in long form."""
-    order = Window.partitionBy("series_id").orderBy("t")
-    d = s.select("series_id", "t", F.col("y").alias("level"), (F.col("y") - F.lag("y", 1).over(order)).alias("d1"),
-                 (F.col("y") - F.lag("y", period).over(order)).alias("ds"))
-    d = d.withColumn("ds_d1", F.col("ds") - F.lag("ds", 1).over(order))
+    """Level, first, seasonal and seasonal-then-first differences in long form; a difference needs both of its months."""
+    d = s.select("series_id", "t", F.col("y").alias("level"), (F.col("y") - months_back("y", 1)).alias("d1"),
+                 (F.col("y") - months_back("y", period)).alias("ds"))
+    d = d.withColumn("ds_d1", F.col("ds") - months_back("ds", 1))
     return d.unpivot(["series_id", "t"], ["level", "d1", "ds", "ds_d1"], "variant", "x").where(F.col("x").isNotNull())
 
 
