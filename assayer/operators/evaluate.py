@@ -129,15 +129,20 @@ def threshold_scenarios(sweep: DataFrame, by: Sequence[str], recall_targets: Seq
 # --- multiclass ---------------------------------------------------------------------------------------------------
 
 def confusion(scored: DataFrame, by: Sequence[str], classes: Sequence[str], y: str = "y", pred: str = "pred") -> DataFrame:
-    """Complete confusion counts and shares of the true class over the declared classes."""
+    """Complete confusion counts and shares of the true class over the declared classes.
+
+    `undeclared` is the number of rows of the group whose label or prediction is missing or not declared; they are in
+    no cell.
+    """
     counts = scored.groupBy(*by, F.col(y).cast("string").alias("actual"), F.col(pred).cast("string").alias("predicted")).agg(
         F.count(F.lit(1)).alias("_n"))
     cs = F.array(*[F.lit(c) for c in classes])
-    groups = counts.select(*by).distinct() if by else scored.agg(F.lit(1).alias("_one")).select()
-    grid = groups.select(*by, F.explode(cs).alias("actual")).select(*by, "actual", F.explode(cs).alias("predicted"))
+    declared = F.coalesce(F.col("actual").isin(*classes) & F.col("predicted").isin(*classes), F.lit(False))
+    groups = counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(~declared, F.col("_n"))), F.lit(0)).alias("undeclared"))
+    grid = groups.select(*by, "undeclared", F.explode(cs).alias("actual")).select(*by, "undeclared", "actual", F.explode(cs).alias("predicted"))
     full = grid.join(counts, [*by, "actual", "predicted"], "left").withColumn("count", F.coalesce("_n", F.lit(0)))
     row = F.sum("count").over(Window.partitionBy(*by, "actual"))
-    return full.select(*by, "actual", "predicted", "count", or_zero(F.col("count"), row).alias("share"))
+    return full.select(*by, "actual", "predicted", "count", or_zero(F.col("count"), row).alias("share"), "undeclared")
 
 
 def class_metrics(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -152,23 +157,37 @@ def class_metrics(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def multiclass_metrics(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Accuracy, macro and weighted F1, balanced accuracy and the weakest recall."""
+    """Accuracy, macro and weighted F1, balanced accuracy and the weakest recall.
+
+    A group with undeclared labels or predictions has no metrics, only their number.
+    """
     per = class_metrics(matrix, by)
     n = F.sum("support")
     seen = F.when(F.col("support") > 0, F.col("recall"))
-    return per.groupBy(*by).agg(
-        n.alias("rows"), (F.sum(F.col("recall") * F.col("support")) / n).alias("accuracy"), F.avg("f1").alias("macro_f1"),
-        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
-        (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"), F.avg(seen).alias("balanced_accuracy"),
-        F.min("recall").alias("minimum_recall"))
-
-
-def multiclass_log_loss(scored: DataFrame, by: Sequence[str], classes: Sequence[str], y: str = "y", probs: str = "probs") -> DataFrame:
-    """Mean negative log of the probability given to the true class, probabilities clipped and renormalised."""
+    measures = {
+        "accuracy": F.sum(F.col("recall") * F.col("support")) / n, "macro_f1": F.avg("f1"), "macro_precision": F.avg("precision"),
+        "macro_recall": F.avg("recall"), "weighted_f1": F.sum(F.col("f1") * F.col("support")) / n, "balanced_accuracy": F.avg(seen),
+        "minimum_recall": F.min("recall")}
+    out = per.groupBy(*by).agg(n.alias("rows"), *[m.alias(k) for k, m in measures.items()])
+    foreign = matrix.groupBy(*by).agg(F.max("undeclared").alias("undeclared"))
+    joined = _null_safe(out, foreign, list(by)) if by else out.join(F.broadcast(foreign))
+    return joined.select(*by, "rows", "undeclared", *[F.when(F.col("undeclared") == 0, F.col(k)).alias(k) for k in measures])
+
+
+def multiclass_log_loss(scored: DataFrame, by: Sequence[str], classes: Sequence[str], y: str = "y", probs: str = "probs",
+                        tolerance: float = 1e-6) -> DataFrame:
+    """Mean negative log of the probability given to the true class, clipped.
+
+    `invalid_rows` have an undeclared label, a vector of another length, parts outside 0 to 1, or a sum that is not 1;
+    a group with any has no loss.
+    """
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(y).cast("string")).cast("int")
     total = F.aggregate(probs, F.lit(0.0), lambda a, v: a + v)
-    q = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.element_at(probs, at) / total))
-    return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.avg(-F.ln(q)).alias("log_loss"))
+    valid = F.coalesce((at > 0) & (F.size(probs) == len(classes)) & F.forall(probs, lambda v: (v >= 0) & (v <= 1)) & (F.abs(total - 1) <= tolerance), F.lit(False))
+    q = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.when(valid, F.element_at(probs, at))))
+    loss = F.avg(F.when(valid, -F.ln(q)))
+    return scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~valid).alias("invalid_rows"), F.when(F.count_if(~valid) == 0, loss).alias("log_loss"))
 
 
 def confused_pairs(matrix: DataFrame, by: Sequence[str], focal: tuple[str, str] | None = None) -> DataFrame:

@@ -14,7 +14,10 @@ from assayer.functions import clean, guarded_ratio, long_form, quantiles, rows_o
 
 
 def class_profiles(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Mean, quartiles and robust distance (class median - median) / IQR of each feature per class."""
+    """Mean, quartiles and robust distance (class median - median) / IQR of each feature per class.
+
+    A feature whose overall IQR is zero has no such distance; `issue` says so.
+    """
     long = long_form(df.select(to_text(target).alias("class"), *features), ["class"], features).where(
         F.col("value").isNotNull() & F.col("class").isNotNull())
     probs = [0.25, 0.5, 0.75]
@@ -25,26 +28,27 @@ def class_profiles(df: DataFrame, features: Sequence[str], target: str) -> DataF
     return per.join(F.broadcast(whole), "feature").join(mean, ["feature", "class"]).select(
         "feature", "class", "n", "mean", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"),
         (F.col("qs")[2] - F.col("qs")[0]).alias("iqr"),
-        guarded_ratio(F.col("qs")[1] - F.col("_m"), F.col("_w")).alias("robust_median"))
+        guarded_ratio(F.col("qs")[1] - F.col("_m"), F.col("_w")).alias("robust_median"),
+        F.when(F.col("_w") == 0, "Zero interquartile range").alias("issue"))
 
 
 def class_overlap(profiles: DataFrame) -> DataFrame:
     """Class pairs: root mean square gap of the robust medians and overlap of the interquartile ranges.
 
-    The profile table has one row per feature and class, so pairing classes is bounded by the class list.
+    Features with an issue are left out and counted as `blocked_features`. The profile table has one row per feature and class, so pairing classes is bounded by the class list.
     """
-    a = profiles.select("feature", *[F.col(c).alias(f"_a_{c}") for c in ("class", "q1", "q3", "robust_median")])
+    a = profiles.select("feature", "issue", *[F.col(c).alias(f"_a_{c}") for c in ("class", "q1", "q3", "robust_median")])
     b = profiles.select("feature", *[F.col(c).alias(f"_b_{c}") for c in ("class", "q1", "q3", "robust_median")])
     j = a.join(b, "feature").where(F.col("_a_class") < F.col("_b_class"))
     lo, hi = F.greatest("_a_q1", "_b_q1"), F.least("_a_q3", "_b_q3")
     wa, wb = F.col("_a_q3") - F.col("_a_q1"), F.col("_b_q3") - F.col("_b_q1")
     inside = F.when(lo <= hi, 1.0).otherwise(0.0)
     overlap = F.when((wa <= 0) | (wb <= 0), inside).otherwise(F.greatest(F.lit(0.0), hi - lo) / F.least(wa, wb))
-    gap = F.col("_a_robust_median") - F.col("_b_robust_median")
+    gap, fine = F.col("_a_robust_median") - F.col("_b_robust_median"), F.col("issue").isNull()
     return j.groupBy(F.col("_a_class").alias("class_a"), F.col("_b_class").alias("class_b")).agg(
-        F.sqrt(F.avg(gap * gap)).alias("rms_median_gap"), F.avg(overlap).alias("mean_overlap"),
-        F.count_if(overlap > 0).alias("overlap_features"), F.count_if(overlap <= 0).alias("separate_features"),
-        F.count(F.lit(1)).alias("features"))
+        F.sqrt(F.avg(F.when(fine, gap * gap))).alias("rms_median_gap"), F.avg(F.when(fine, overlap)).alias("mean_overlap"),
+        F.count_if(fine & (overlap > 0)).alias("overlap_features"), F.count_if(fine & (overlap <= 0)).alias("separate_features"),
+        F.count_if(fine).alias("features"), F.count_if(~fine).alias("blocked_features"))
 
 
 def two_components(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

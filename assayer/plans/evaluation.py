@@ -143,9 +143,18 @@ def matrix(spark, sf):
     return ev.confusion(predicted(spark, sf), ["side"], CLASSES)
 
 
-@query("l08_confusion", f"WITH {PREDICTED} SELECT side, actual, predicted, count, {R('share')} FROM cm")
+# Some test rows have a label that no one declared.
+FOREIGN = PREDICTED.replace("v.label AS y", "CASE WHEN vec_id % 98 = 1 THEN 'x' ELSE v.label END AS y") + """,
+ un AS (SELECT side, count(*) FILTER (y = 'x') AS undeclared FROM pp GROUP BY 1)"""
+
+
+def with_foreign(df: DataFrame) -> DataFrame:
+    return df.withColumn("y", F.when(F.col("vec_id") % 98 == 1, "x").otherwise(F.col("y")))
+
+
+@query("l08_confusion", f"WITH {FOREIGN} SELECT side, actual, predicted, count, {R('share')}, undeclared FROM cm JOIN un USING (side)")
 def _(spark, sf):
-    return rounded(matrix(spark, sf))
+    return rounded(ev.confusion(with_foreign(predicted(spark, sf)), ["side"], CLASSES))
 
 
 @query("l08_class_metrics", f"WITH {PREDICTED} SELECT side, class, support, predicted_rows, {R('precision', 'recall', 'f1')} FROM pc")
@@ -153,16 +162,18 @@ def _(spark, sf):
     return rounded(ev.class_metrics(matrix(spark, sf), ["side"]))
 
 
-@query("l08_multiclass_metrics", f"""WITH {PREDICTED}
-SELECT side, CAST(sum(support) AS BIGINT) AS rows, round(sum(recall * support) / sum(support), 6) + 0.0 AS accuracy, round(avg(f1), 6) + 0.0 AS macro_f1, round(avg(precision), 6) + 0.0 AS macro_precision, round(avg(recall), 6) + 0.0 AS macro_recall,
- round(sum(f1 * support) / sum(support), 6) + 0.0 AS weighted_f1, round(avg(recall) FILTER (support > 0), 6) + 0.0 AS balanced_accuracy, round(min(recall), 6) + 0.0 AS minimum_recall FROM pc GROUP BY 1""")
+@query("l08_multiclass_metrics", f"""WITH {FOREIGN}, me AS (
+SELECT side, CAST(sum(support) AS BIGINT) AS rows, sum(recall * support) / sum(support) AS accuracy, avg(f1) AS macro_f1, avg(precision) AS macro_precision, avg(recall) AS macro_recall,
+ sum(f1 * support) / sum(support) AS weighted_f1, avg(recall) FILTER (support > 0) AS balanced_accuracy, min(recall) AS minimum_recall FROM pc GROUP BY 1)
+SELECT side, rows, undeclared, {', '.join(f"CASE WHEN undeclared = 0 THEN round({c}, 6) + 0.0 END AS {c}" for c in ('accuracy', 'macro_f1', 'macro_precision', 'macro_recall', 'weighted_f1', 'balanced_accuracy', 'minimum_recall'))} FROM me JOIN un USING (side)""")
 def _(spark, sf):
-    return rounded(ev.multiclass_metrics(matrix(spark, sf), ["side"]))
+    return rounded(ev.multiclass_metrics(ev.confusion(with_foreign(predicted(spark, sf)), ["side"], CLASSES), ["side"]))
 
 
-@query("l08_multiclass_log_loss", f"WITH {PREDICTED} SELECT side, count(*) AS rows, round(avg(-ln(greatest(2.220446049250313e-16, py))), 6) + 0.0 AS log_loss FROM pp GROUP BY 1")
+@query("l08_multiclass_log_loss", f"""WITH {FOREIGN} SELECT side, count(*) AS rows, count(*) FILTER (y = 'x') AS invalid_rows,
+ CASE WHEN count(*) FILTER (y = 'x') = 0 THEN round(avg(-ln(greatest(2.220446049250313e-16, py))), 6) + 0.0 END AS log_loss FROM pp GROUP BY 1""")
 def _(spark, sf):
-    return rounded(ev.multiclass_log_loss(predicted(spark, sf), ["side"], CLASSES))
+    return rounded(ev.multiclass_log_loss(with_foreign(predicted(spark, sf)), ["side"], CLASSES))
 
 
 CONFUSED = """

@@ -11,23 +11,30 @@ from assayer.plans.registry import R, query, rounded
 from assayer.plans.target import DIMS, EMB, vectors
 from assayer.sources.tables import table
 
-PROFILES = f"""{EMB},
+# One more feature has no spread between its quartiles.
+PROFILES = f"""{EMB.replace("elong AS (", "elong AS (SELECT vec_id, label, 'flat' AS feature, CASE WHEN vec_id % 10 = 0 THEN 1.0 ELSE 0.0 END AS value FROM em UNION ALL ")},
  gl AS (SELECT feature, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS w FROM elong GROUP BY 1),
  cp AS (SELECT feature, label AS class, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3 FROM elong GROUP BY 1, 2),
- pf AS (SELECT cp.*, q3 - q1 AS iqr, (median - m) / w AS robust_median FROM cp JOIN gl USING (feature))"""
+ pf AS (SELECT cp.*, q3 - q1 AS iqr, CASE WHEN w <> 0 THEN (median - m) / w END AS robust_median, CASE WHEN w = 0 THEN 'Zero interquartile range' END AS issue FROM cp JOIN gl USING (feature))"""
 
 
-@query("g01_class_profiles", f"WITH {PROFILES} SELECT feature, class, n, {R('mean', 'q1', 'median', 'q3', 'iqr', 'robust_median')} FROM pf")
+def profiles(spark, sf):
+    flat = F.when(F.col("vec_id") % 10 == 0, 1.0).otherwise(0.0)
+    return st.class_profiles(vectors(spark, sf).withColumn("flat", flat), [*DIMS, "flat"], "label")
+
+
+@query("g01_class_profiles", f"WITH {PROFILES} SELECT feature, class, n, {R('mean', 'q1', 'median', 'q3', 'iqr', 'robust_median')}, issue FROM pf")
 def _(spark, sf):
-    return rounded(st.class_profiles(vectors(spark, sf), DIMS, "label"))
+    return rounded(profiles(spark, sf))
 
 
 @query("g02_class_overlap", f"""WITH {PROFILES},
- j AS (SELECT a.class AS class_a, b.class AS class_b, a.robust_median - b.robust_median AS gap, CASE WHEN a.iqr <= 0 OR b.iqr <= 0 THEN CASE WHEN greatest(a.q1, b.q1) <= least(a.q3, b.q3) THEN 1.0 ELSE 0.0 END
+ j AS (SELECT a.class AS class_a, b.class AS class_b, a.robust_median - b.robust_median AS gap, a.issue, CASE WHEN a.iqr <= 0 OR b.iqr <= 0 THEN CASE WHEN greatest(a.q1, b.q1) <= least(a.q3, b.q3) THEN 1.0 ELSE 0.0 END
    ELSE greatest(0, least(a.q3, b.q3) - greatest(a.q1, b.q1)) / least(a.iqr, b.iqr) END AS o FROM pf a JOIN pf b ON a.feature = b.feature AND a.class < b.class)
-SELECT class_a, class_b, round(sqrt(avg(gap * gap)), 6) + 0.0 AS rms_median_gap, round(avg(o), 6) + 0.0 AS mean_overlap, count(*) FILTER (o > 0) AS overlap_features, count(*) FILTER (o <= 0) AS separate_features, count(*) AS features FROM j GROUP BY 1, 2""")
+SELECT class_a, class_b, round(sqrt(avg(gap * gap)), 6) + 0.0 AS rms_median_gap, round(avg(o) FILTER (issue IS NULL), 6) + 0.0 AS mean_overlap, count(*) FILTER (issue IS NULL AND o > 0) AS overlap_features, count(*) FILTER (issue IS NULL AND o <= 0) AS separate_features,
+ count(*) FILTER (issue IS NULL) AS features, count(*) FILTER (issue IS NOT NULL) AS blocked_features FROM j GROUP BY 1, 2""")
 def _(spark, sf):
-    return rounded(st.class_overlap(st.class_profiles(vectors(spark, sf), DIMS, "label")))
+    return rounded(st.class_overlap(profiles(spark, sf)))
 
 
 @query("g03_two_components")
