@@ -3,23 +3,24 @@
 None of these sorts a whole group in one task:
 
 * `quantiles` brackets each quantile with a sketch, then sorts only the values inside the bracket;
-* `running` spreads the ordered rows by range and adds the totals of the earlier ranges;
+* `running` deals the ordered rows out by fixed ranges of value and adds the totals of the earlier ranges;
 * `hash_rank` ranks by a hash whose first digits are the buckets, so the borders are known beforehand.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions.lineage import settle
-
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys where NULL equals NULL; the keys of the left side stay."""
+    """Join on keys where NULL equals NULL; the keys of the left side stay. Without keys the right side is one row."""
+    if not keys:
+        return left.join(F.broadcast(right))
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = F.lit(True)
     for k in keys:
@@ -27,21 +28,12 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-BROADCAST_ROWS = 100_000
-
-
 def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], bounded: bool | None = None) -> DataFrame:
     """Null-safe inner join of rows with one row per group.
 
-    `bounded=True` states that the groups come from the schema or a declared list, so the small side is
-    broadcast. With None its rows are stored once and counted: up to BROADCAST_ROWS they are broadcast,
-    beyond that both sides are shuffled and skewed keys are split at run time.
+    `bounded=True` states that the groups come from the schema or a declared list, so the small side is broadcast.
+    Otherwise the choice is left to Spark, which broadcasts below its threshold and splits skewed keys beyond.
     """
-    if not keys:
-        return big.join(F.broadcast(small))
-    if bounded is None:
-        small = settle(small)
-        bounded = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return _null_safe(big, F.broadcast(small) if bounded else small, keys)
 
 
@@ -100,24 +92,35 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequ
     return out if by else out.where(F.col("n") > 0)
 
 
+PER_OCTAVE, OFFSET = 256, 300_000
+
+
+def scale_bucket(x: Column, descending: bool = False) -> Column:
+    """Whole number that never falls as the number x rises: 256 buckets for each doubling of its size. NULL comes last.
+
+    A rule of the value alone: the same in every branch of a plan and every run, without a look at the data.
+    """
+    size = F.abs(x)
+    place = F.when(size == float("inf"), 2 * OFFSET).otherwise(
+        F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size).otherwise(1.0)) * PER_OCTAVE).cast("int") + OFFSET)
+    signed = F.when(F.isnan(x), 3 * OFFSET).when(x == 0, 0).when(x > 0, place).otherwise(-place)
+    return F.coalesce(signed, F.lit(-4 * OFFSET if descending else 4 * OFFSET))
+
+
 def running(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
-            parts: int | None = None) -> DataFrame:
+            bucket: Column | None = None) -> DataFrame:
     """Running totals `run_<c>` (own row included) per group over an order that is unique in the group.
 
-    The rows are spread by range over (group, order), so a hot group covers many partitions. The
-    placed rows are stored, because the partition number is then used twice: for the local running
-    total and for the totals of earlier partitions.
+    Rows are dealt out by (group, bucket of the order), so a hot group covers many tasks; totals of earlier buckets are
+    added from one small table. `bucket` must never fall as the order rises; for a numeric order it is `scale_bucket`.
     """
     by = list(by)
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     direction = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
-    placed = settle(
-        df.repartitionByRange(parts, *[F.col(c).asc() for c in by], direction)
-        .withColumn("_part", F.spark_partition_id()))
+    placed = df.withColumn("_part", scale_bucket(F.col(order).cast("double"), descending) if bucket is None else bucket)
+    part = F.col("_part").desc() if descending else F.col("_part").asc()
     inside = Window.partitionBy("_part", *by).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns({f"run_{c}": F.sum(c).over(inside) for c in sums})
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
         .select("_part", *by, *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]))
@@ -140,13 +143,16 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | No
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: str, name: str = "rank",
-              digits: int = 3) -> DataFrame:
+              digits: int | None = None) -> DataFrame:
     """1-based position of every row in its group by md5(seed || keys), whatever the input order.
 
     The first hex digits of the hash are evenly filled buckets; only their counts are accumulated
-    per group, the positions inside a bucket are local.
+    per group, the positions inside a bucket are local. There are at least 16 buckets for each shuffle
+    partition of the session; their number has no effect on the positions.
     """
     by = list(by)
+    if digits is None:
+        digits = math.ceil(math.log(16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16))
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
     hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, digits))
     inside = Window.partitionBy(*by, "_b").orderBy("_h", *keys)

@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 from assayer.functions.columns import clean
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a small input to all cores before work that multiplies rows.
+#: Session setting: deal input rows out to so many partitions before work that multiplies them. Unset on a cluster,
+#: where the splits of the input are many.
+INPUT_PARTITIONS = "spark.assayer.inputPartitions"
 
-    An input too small to give every core a split of the configured size would run that work on a few
-    cores; a large one already has enough splits and is returned as it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < split * cores else df
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in as many partitions as the session asks for, else as they are."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "feature",

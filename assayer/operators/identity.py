@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,9 +102,13 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(target)
+    try:
+        df.sparkSession.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def write_once(df: DataFrame, path: str) -> str:

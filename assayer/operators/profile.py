@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions import guarded_ratio, is_blank, join_small, norm_text, quantiles, rows_of, running, spread, to_text, wide_rows
+from assayer.functions import (
+    guarded_ratio, is_blank, join_small, norm_text, quantiles, rows_of, running, scale_bucket, spread, to_text, wide_rows,
+)
 from assayer.operators.quality import numeric_projection
 
 
@@ -114,11 +116,14 @@ def category_frequency(df: DataFrame, columns: Sequence[str], position: str,
                        rare_share: float = 0.01) -> DataFrame:
     """Levels with count, share, rank (count descending, then first seen), rarity, expectation and dominance.
 
-    Ranks are running totals over ranges of levels, so a column with very many levels is not sorted in one task.
+    Ranks are running totals over ranges of levels, so a column with very many levels is not sorted in one task. Levels
+    with up to 256 rows, of which there may be very many, are dealt out by count and place of the first row.
     """
     counts = category_counts(df, columns, position).withColumns({
         "_one": F.lit(1).cast("bigint"), "_order": F.struct((-F.col("count")).alias("c"), F.col("first_position").alias("p"))})
-    ranked = running(counts, ["feature"], "_order", ["_one"])
+    n, exact = F.col("count"), F.col("count") <= 256
+    places = F.when(exact, scale_bucket(F.col("first_position").cast("double"))).otherwise(0)
+    ranked = running(counts, ["feature"], "_order", ["_one"], bucket=F.struct(scale_bucket(-n.cast("double")).alias("a"), places.alias("b")))
     totals = ranked.groupBy("feature").agg(F.sum("count").alias("_valid"), F.max("count").alias("_top"))
     out = ranked.join(F.broadcast(totals), "feature")
     share = F.col("count") / F.col("_valid")

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import spread
-from assayer.functions.lineage import checkpoint_dir
 from assayer.operators import identity as idn
 from assayer.plans.forecasting import EVIDENCE, backtest, development
 from assayer.plans.registry import query, rounded
-from assayer.sources.tables import table
+from assayer.sources.tables import parse_delimited, table, work_folder
 
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 # The variable table of customer: c_name is undocumented, c_phone is not in the data.
@@ -33,10 +32,8 @@ def values_sql(rows, names) -> str:
 SELECT n_nationkey, n_name, n_regionkey, CAST(length(n_name) AS BIGINT) AS name_length FROM
  (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation)""")
 def _(spark, sf):
-    from assayer.sources.tables import read_delimited
-    path = f"{checkpoint_dir(spark)}/nation-{uuid.uuid4().hex}"
-    table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(path)
-    df = read_delimited(spark, path, {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"})
+    lines = table(spark, sf, "nation").select(F.concat_ws(",", "n_nationkey", F.concat(F.lit('"'), "n_name", F.lit('"')), "n_regionkey").alias("line"))
+    df = parse_delimited(lines, "line", {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"})
     return df.withColumn("name_length", F.length("n_name").cast("bigint"))
 
 
@@ -123,7 +120,7 @@ def _(spark, sf):
 @query("a08_write_once", """
 SELECT * FROM (VALUES (1, 'new'), (2, 'equivalent'), (3, 'divergent')) AS v(attempt, status), (SELECT count(*) AS row_count FROM customer)""")
 def _(spark, sf):
-    path = f"{checkpoint_dir(spark)}/customer-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/customer-{uuid.uuid4().hex}"
     df = table(spark, sf, "customer")
     steps = [df, df.repartition(3, "c_name"), df.withColumn("c_acctbal", F.col("c_acctbal") + 1)]
     status = [(i, idn.write_once(d, path)) for i, d in enumerate(steps, 1)]

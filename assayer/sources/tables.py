@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -42,6 +43,13 @@ def read_delimited(spark: SparkSession, path: str, columns: Mapping[str, str | T
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+def parse_delimited(lines: DataFrame, column: str, columns: Mapping[str, str | T.DataType], sep: str = ",", strict: bool = True) -> DataFrame:
+    """The declared columns of delimited texts that are rows already. Strict mode fails on malformed ones."""
+    schema = schema_of(columns)
+    options = {"sep": sep, "mode": "FAILFAST" if strict else "PERMISSIVE"}
+    return lines.select(F.from_csv(column, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), options).alias("_r")).select("_r.*")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """A variable table `name, role, type, description, units`, one row per source column."""
     return read_delimited(
@@ -53,3 +61,8 @@ def reject_duplicate_names(df: DataFrame) -> DataFrame:
     if repeated:
         raise ValueError(f"column names must be unique: {sorted(repeated)}")
     return df
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder of the session for tables that a query writes: that for checkpoints, else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
