@@ -227,11 +227,11 @@ def _(spark, sf):
 
 @query("l12_target_extremes", f"""WITH {PRICED}, q AS (SELECT quantile_cont(y, 0.25) AS a, quantile_cont(y, 0.75) AS b FROM priced WHERE l_linestatus = 'F'),
  s AS (SELECT p.*, CASE WHEN y < a - 0.2 * (b - a) OR y > b + 0.2 * (b - a) THEN 'extreme' ELSE 'regular' END AS scope FROM priced p, q WHERE l_linestatus = 'O')
-SELECT scope, {ERRORS} FROM (SELECT * FROM s UNION ALL SELECT * REPLACE ('all' AS scope) FROM s) GROUP BY 1""")
+SELECT scope, {ERRORS.replace("3) + 0.0 AS residual_mean", "4) + 0.0 AS residual_mean")} FROM (SELECT * FROM s UNION ALL SELECT * REPLACE ('all' AS scope) FROM s) GROUP BY 1""")
 def _(spark, sf):
     p = priced(spark, sf)
     s = ev.extreme_scopes(p.where(F.col("l_linestatus") == "F"), p.where(F.col("l_linestatus") == "O"), "y", multiplier=0.2)
-    return rounded(ev.regression_metrics(s, ["scope"]), 3, r2=6)
+    return rounded(ev.regression_metrics(s, ["scope"]), 3, r2=6, residual_mean=4)  # the mean is half of 0.001 off a round one
 
 
 # --- choice: candidates are score formulas, groups are languages, folds come from the document hash ------------------------

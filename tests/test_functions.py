@@ -45,7 +45,7 @@ def test_running_totals_with_hot_and_null_group(spark, descending):
     rows = [("hot", i, i % 7) for i in range(900)] + [("b", i, 1) for i in range(10)] + [(None, i, 2) for i in range(20)]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame(rows, "g string, o int, v bigint")
-    got = {(r.g, r.o): r.run_v for r in running(df, ["g"], "o", ["v"], descending, parts=5).collect()}
+    got = {(r.g, r.o): r.run_v for r in running(df, ["g"], "o", ["v"], descending).collect()}
     want = {}
     for g in ("hot", "b", None):
         total = 0

@@ -68,8 +68,8 @@ def test_duplicates_and_profiles(spark):
 
 def test_contract_violations_and_gate(spark):
     df = spark.createDataFrame([("1", "a"), ("1.5", "z"), (None, " "), ("x", "a")], "n string, t string")
-    v = [r.violations for r in q.contract_violations(df, {"n": q.Expected("integer", minimum=0), "t": q.Expected("text", allowed=("a",))}).collect()]
-    assert v == [[], ["fraction:n", "unknown:t"], ["blank:t", "null:n"], ["type:n"]]
+    v = {r.n: r.violations for r in q.contract_violations(df, {"n": q.Expected("integer", minimum=0), "t": q.Expected("text", allowed=("a",))}).collect()}
+    assert v == {"1": [], "1.5": ["fraction:n", "unknown:t"], None: ["blank:t", "null:n"], "x": ["type:n"]}
     checks = spark.createDataFrame([("one", True, ""), ("two", False, "3")], "check string, ok boolean, detail string")
     assert [r.check for r in q.failed(checks).collect()] == ["two"]
     with pytest.raises(Exception, match="check failed: two 3"):
