@@ -1,11 +1,13 @@
 """Decomposition, stationarity and recursive forecasters, one short series per group.
 
-A group is one series (or one series and fold): at most as many rows as the calendar has months.
-Spark partitions the groups; numpy only runs the recursion inside a group.
+A group is one series (or one series and fold): at most as many rows as the calendar has months. Decomposition and the
+unit-root test run numpy inside a group, everything else is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
 from math import erf, sqrt
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql.window import Window
 
 from assayer.functions import guarded_ratio
 from assayer.operators.forecast import KEYS, training_rows
-from assayer.operators.series import autocorrelation
+from assayer.operators.series import autocorrelation, months_back
 
 
 # --- decomposition --------------------------------------------------------------------------------------------------
@@ -209,98 +211,141 @@ def unit_root(s: DataFrame, regression: str = "c") -> DataFrame:
 
 
 # --- recursive forecasters -----------------------------------------------------------------------------------------------
+# A series is months long, so the recursions are folds over one array per series and fold; nothing leaves the JVM.
 
-def _holt_winters(y: np.ndarray, h: int, m: int, trend: bool, damped: bool, rounds: int = 4) -> np.ndarray:
-    """Additive smoothing; weights by squared error on a grid that shrinks around its best point each round."""
-    centre, width = np.full(4, 0.5), np.full(4, 0.5)
-    free = [True, trend, True, damped]
-    fixed = np.array([0.0, 0.0, 0.0, 1.0])
-    start = y[:m].mean()
-    slope = (y[m:2 * m].mean() - start) / m if trend else 0.0
-    best = None
-    for _ in range(rounds):
-        axes = [np.clip(np.linspace(c - w, c + w, 7), 0.02, 0.98) if f else np.array([v])
-                for c, w, f, v in zip(centre, width, free, fixed)]
-        a, b, g, phi = (v.ravel() for v in np.meshgrid(*axes, indexing="ij"))
-        level, step = np.full(a.size, start), np.full(a.size, slope)
-        season = np.tile((y[:m] - start - slope * (np.arange(m) - (m - 1) / 2))[:, None], a.size)
-        sse = np.zeros(a.size)
-        for t, v in enumerate(y):
-            i = t % m
-            base = level + phi * step
-            e = v - base - season[i]
-            sse += e * e
-            new = a * (v - season[i]) + (1 - a) * base
-            step = b * (new - level) + (1 - b) * phi * step
-            season[i] = g * (v - base) + (1 - g) * season[i]
-            level = new
-        k = int(np.argmin(sse))
-        ahead = np.cumsum(phi[k] ** np.arange(1, h + 1)) * step[k]
-        path = level[k] + ahead + season[(len(y) + np.arange(h)) % m, k]
-        if best is None or sse[k] < best[0]:
-            best = (sse[k], path)
-        centre, width = np.array([a[k], b[k], g[k], phi[k]]), width / 3
-    return best[1]
-
-
-def _autoregression(y: np.ndarray, h: int, lags: tuple[int, ...]) -> np.ndarray:
-    """Least squares on the lags, a constant and the time index, forecast recursively."""
-    p, n = max(lags), len(y)
-    x = np.column_stack([np.ones(n - p), np.arange(p + 1.0, n + 1)] + [y[p - k:n - k] for k in lags])
-    beta, *_ = np.linalg.lstsq(x, y[p:], rcond=None)
-    path = list(y)
-    for t in range(n + 1, n + h + 1):
-        path.append(float(beta @ np.r_[1.0, t, [path[-k] for k in lags]]))
-    return np.array(path[n:])
-
-
-def _seasonal_arma(y: np.ndarray, h: int, m: int) -> np.ndarray:
-    """Seasonal difference with one autoregressive and one seasonal moving-average term, by conditional least squares on a grid."""
-    w = y[m:] - y[:-m]
-    centre, width, best = np.zeros(2), np.full(2, 0.95), None
-    for _ in range(4):
-        phi, theta = (v.ravel() for v in np.meshgrid(
-            *[np.clip(np.linspace(c - s, c + s, 21), -0.98, 0.98) for c, s in zip(centre, width)], indexing="ij"))
-        e = np.zeros((len(w), phi.size))
-        for t in range(1, len(w)):
-            e[t] = w[t] - phi * w[t - 1] - (theta * e[t - m] if t >= m else 0)
-        sse = (e * e).sum(axis=0)
-        k = int(np.argmin(sse))
-        if best is None or sse[k] < best[0]:
-            best = (sse[k], phi[k], theta[k], e[:, k])
-        centre, width = np.array([phi[k], theta[k]]), width / 6
-    _, phi, theta, e = best
-    path, errors, ys = list(w), list(e), list(y)
-    for _ in range(h):
-        path.append(phi * path[-1] + (theta * errors[len(path) - m] if len(path) >= m else 0.0))
-        errors.append(0.0)
-        ys.append(path[-1] + ys[-m])
-    return np.array(ys[len(y):])
-
-
-# Candidate names and what each fits.
-RECURSIVE = {
-    "holt_winters_additive_no_trend": lambda y, h, m: _holt_winters(y, h, m, False, False),
-    "holt_winters_additive_damped_trend": lambda y, h, m: _holt_winters(y, h, m, True, True),
-    "holt_winters_additive_trend": lambda y, h, m: _holt_winters(y, h, m, True, False),
-    "autoreg_lag_1_12_ct": lambda y, h, m: _autoregression(y, h, (1, m)),
-    "autoreg_lag_1_2_12_ct": lambda y, h, m: _autoregression(y, h, (1, 2, m)),
-    "sarima_100_011_12": _seasonal_arma,
-}
+# Candidate names and what each fits; smoothing is (trend, damped), autoregression its lags in months.
+SMOOTHING = {"holt_winters_additive_no_trend": (False, False), "holt_winters_additive_damped_trend": (True, True), "holt_winters_additive_trend": (True, False)}
+AUTOREGRESSION = {"autoreg_lag_1_12_ct": (1, 12), "autoreg_lag_1_2_12_ct": (1, 2, 12)}
+SEASONAL_ARMA = "sarima_100_011_12"
+RECURSIVE = (*SMOOTHING, *AUTOREGRESSION, SEASONAL_ARMA)
 
+# Declared grids of the weights; the point with the least sum of squared one-step errors is taken.
+WEIGHTS = (0.05, 0.2, 0.4, 0.6, 0.8)
+DAMPING = (0.8, 0.9, 0.98)
+ARMA_GRID = tuple(round(-0.9 + 0.15 * i, 2) for i in range(13))
 
-def recursive_forecasts(s: DataFrame, folds: DataFrame, horizon: int = 12, period: int = 12,
-                        candidates: tuple[str, ...] = tuple(RECURSIVE)) -> DataFrame:
-    """Forecasts of the recursive candidates, one task unit per series and fold; a failed fit leaves its rows out."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        y, out = pdf["y"].to_numpy(float), []
-        for name in candidates:
-            if len(y) >= 2 * period:
-                for h, v in enumerate(RECURSIVE[name](y, horizon, period), 1):
-                    out.append((name, pdf["series_id"].iloc[0], int(pdf["fold"].iloc[0]), h, float(v)))
-        return pd.DataFrame(out, columns=["candidate_id", "series_id", "fold", "horizon", "y_pred"])
-    fitted = training_rows(s, folds).select(*KEYS, "t", "y").groupBy(*KEYS).applyInPandas(
-        one, "candidate_id string, series_id string, fold int, horizon int, y_pred double")
-    return fitted.join(folds.select(*KEYS, "origin"), KEYS).select(
+
+def _histories(s: DataFrame, folds: DataFrame, period: int) -> DataFrame:
+    """`series_id, fold, cut, ys`: the training values in order. Folds with a missing month or less than two cycles have none."""
+    rows = training_rows(s, folds).select(*KEYS, "cut", "t", "y")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("t", "y"))), lambda x: x["y"])
+    return rows.groupBy(*KEYS, "cut").agg(ordered.alias("ys")).where((F.size("ys") == F.col("cut")) & (F.col("cut") >= 2 * period))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+
+
+def _numbered(values: Column) -> Column:
+    return F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+
+
+def _forecast_rows(paths: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows of `candidate_id, series_id, fold, path`."""
+    long = paths.select("candidate_id", *KEYS, F.posexplode("path").alias("_h", "y_pred")).withColumn("horizon", F.col("_h") + 1)
+    return long.join(folds.select(*KEYS, "origin"), KEYS).select(
         "candidate_id", *KEYS, "horizon", F.add_months("origin", F.col("horizon")).alias("period"), "y_pred")
+
+
+def holt_winters(s: DataFrame, folds: DataFrame, horizon: int = 12, period: int = 12) -> DataFrame:
+    """Additive smoothing with first-cycle starting values, without, with and with damped trend; weights from the grid."""
+    points = [F.struct(F.lit(name).alias("candidate_id"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"), F.lit(phi).alias("phi"))
+              for name, (trend, damped) in SMOOTHING.items() for a in WEIGHTS for b in (WEIGHTS if trend else (0.0,)) for g in WEIGHTS
+              for phi in (DAMPING if damped else (1.0,))]
+    base = _histories(s, folds, period).withColumn("_start", _mean(F.slice("ys", 1, period))).withColumn(
+        "_rise", (_mean(F.slice("ys", period + 1, period)) - F.col("_start")) / period)
+    rows = base.select(*KEYS, "ys", "_start", "_rise", F.inline(F.array(*points))).withColumn(
+        "_slope", F.when(F.col("candidate_id") == "holt_winters_additive_no_trend", 0.0).otherwise(F.col("_rise")))
+    season = F.transform(F.slice("ys", 1, period), lambda v, i: v - F.col("_start") - F.col("_slope") * (i - (period - 1) / 2))
+    a, b, g, phi = (F.col(c) for c in ("a", "b", "g", "phi"))
+
+    def step(acc: Column, x: Column) -> Column:
+        k = (x["i"] % period).cast("int")
+        now, line = acc["season"][k], acc["level"] + phi * acc["step"]
+        level = a * (x["v"] - now) + (1 - a) * line
+        error = x["v"] - line - now
+        return F.struct(
+            level.alias("level"), (b * (level - acc["level"]) + (1 - b) * phi * acc["step"]).alias("step"),
+            F.transform(acc["season"], lambda v, j: F.when(j == k, g * (x["v"] - line) + (1 - g) * v).otherwise(v)).alias("season"),
+            (acc["sse"] + error * error).alias("sse"))
+
+    start = F.struct(F.col("_start").alias("level"), F.col("_slope").alias("step"), season.alias("season"), F.lit(0.0).alias("sse"))
+    fitted = rows.withColumn("_f", F.aggregate(_numbered(F.col("ys")), start, step))
+    best = fitted.groupBy("candidate_id", *KEYS).agg(F.min(F.struct(
+        F.col("_f.sse").alias("sse"), "a", "b", "g", "phi", F.col("_f.level").alias("level"), F.col("_f.step").alias("step"), F.col("_f.season").alias("season"),
+        F.size("ys").alias("n"))).alias("m"))
+    damped = lambda h: F.aggregate(F.sequence(F.lit(1), h), F.lit(0.0), lambda x, j: x + F.pow(F.col("m.phi"), j))
+    path = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("m.level") + damped(h) * F.col("m.step")
+                       + F.col("m.season")[((F.col("m.n") + h - 1) % period).cast("int")])
+    return _forecast_rows(best.select("candidate_id", *KEYS, path.alias("path")), folds)
+
+
+def _solve(matrix: Column, size: int) -> Column:
+    """Gauss elimination of an augmented array of rows, without pivoting: for matrices of covariances."""
+    def step(m: Column, p: Column) -> Column:
+        head = F.transform(m[p], lambda v: F.try_divide(v, m[p][p]))
+        return F.transform(m, lambda row, i: F.when(i == p, head).otherwise(F.zip_with(row, head, lambda x, y: x - row[p] * y)))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, step)
+    return F.transform(done, lambda row: row[size])
+
+
+def _next_month(lags: Sequence[int]) -> Callable[[Column, Column], Column]:
+    def ahead(values: Column, h: Column) -> Column:
+        terms = [F.col("_b")[i + 1] * F.element_at(values, -k) for i, k in enumerate(lags)]
+        return F.concat(values, F.array(sum(terms, F.col("_c") + F.col("_b")[0] * (F.col("cut") + h))))
+    return ahead
+
+
+def autoregression(s: DataFrame, folds: DataFrame, horizon: int = 12, period: int = 12) -> DataFrame:
+    """Least squares on lagged months, a constant and the time index, forecast recursively.
+
+    The fit is one aggregate of covariances per series and fold, solved as an array.
+    """
+    history = _histories(s, folds, period)
+    parts = []
+    for name, lags in AUTOREGRESSION.items():
+        most = max(lags)
+        lagged = s.select("series_id", "t", "y", *[months_back("y", k).alias(f"_l{k}") for k in lags])
+        rows = lagged.join(folds.select(*KEYS, "cut"), "series_id").where((F.col("t") < F.col("cut")) & (F.col("t") >= most)).withColumn("_t", F.col("t") + 1.0)
+        x = ["_t", *[f"_l{k}" for k in lags]]
+        sums = rows.groupBy(*KEYS).agg(
+            F.array(*[F.array(*[F.covar_pop(i, j) for j in [*x, "y"]]) for i in x]).alias("_m"), F.array(*[F.avg(c) for c in x]).alias("_x"), F.avg("y").alias("_y"))
+        fit = history.join(sums, KEYS).withColumn("_b", _solve(F.col("_m"), len(x))).withColumn(
+            "_c", F.col("_y") - F.aggregate(F.zip_with("_b", "_x", lambda b, v: b * v), F.lit(0.0), lambda acc, v: acc + v))
+
+        whole = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.slice("ys", -most, most), _next_month(lags))
+        parts.append(fit.select(F.lit(name).alias("candidate_id"), *KEYS, F.slice(whole, most + 1, horizon).alias("path")).where(
+            F.forall("path", lambda v: v.isNotNull())))
+    return _forecast_rows(reduce(DataFrame.unionByName, parts), folds)
+
+
+def seasonal_arma(s: DataFrame, folds: DataFrame, horizon: int = 12, period: int = 12) -> DataFrame:
+    """Seasonal difference with one autoregressive and one seasonal moving-average term: conditional least squares on the grid."""
+    points = F.array(*[F.struct(F.lit(p).alias("phi"), F.lit(q).alias("theta")) for p in ARMA_GRID for q in ARMA_GRID])
+    rows = _histories(s, folds, period).withColumn("_w", F.transform(
+        F.slice("ys", F.lit(period + 1), F.size("ys") - period), lambda v, i: v - F.col("ys")[i])).select(*KEYS, "ys", "_w", F.inline(points))
+    phi, theta = F.col("phi"), F.col("theta")
+
+    def step(errors: Column, x: Column) -> Column:
+        back = F.when(x["i"] >= period, errors[x["i"] - period]).otherwise(0.0)
+        error = F.when(x["i"] == 0, 0.0).otherwise(x["v"] - phi * F.col("_w")[x["i"] - 1] - theta * back)
+        return F.concat(errors, F.array(error))
+
+    errors = F.aggregate(_numbered(F.col("_w")), F.array().cast("array<double>"), step)
+    fitted = rows.withColumn("_e", errors).withColumn("_sse", F.aggregate("_e", F.lit(0.0), lambda a, e: a + e * e))
+    best = fitted.groupBy(*KEYS).agg(F.min(F.struct(F.col("_sse").alias("sse"), "phi", "theta", F.col("_e").alias("e"), F.col("_w").alias("w"), F.col("ys").alias("ys"))).alias("m"))
+    n, m = F.size("m.w"), F.col("m")
+
+    def ahead(w: Column, h: Column) -> Column:
+        old = F.when(h <= period, m["e"][n + h - 1 - period]).otherwise(0.0)
+        return F.concat(w, F.array(m["phi"] * F.element_at(w, -1) + m["theta"] * old))
+
+    steps = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), m["w"], ahead), n + 1, F.lit(horizon))
+    level = F.aggregate(_numbered(steps), m["ys"], lambda ys, x: F.concat(ys, F.array(x["v"] + F.element_at(ys, -period))))
+    return _forecast_rows(best.select(F.lit(SEASONAL_ARMA).alias("candidate_id"), *KEYS, F.slice(level, F.size(m["ys"]) + 1, F.lit(horizon)).alias("path")), folds)
+
+
+def recursive_forecasts(s: DataFrame, folds: DataFrame, horizon: int = 12, period: int = 12) -> DataFrame:
+    """Forecasts of all recursive candidates; a fold that cannot be fitted has no rows."""
+    parts = [f(s, folds, horizon, period) for f in (holt_winters, autoregression, seasonal_arma)]
+    return reduce(DataFrame.unionByName, parts)

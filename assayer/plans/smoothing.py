@@ -1,4 +1,4 @@
-"""Queries of the per-series Python recursions, stationarity tests and the full candidate catalogue."""
+"""Queries of decomposition, stationarity tests, recursive candidates and the full candidate catalogue."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assayer.operators import forecast as fc
 from assayer.operators import series as sr
 from assayer.operators import smoothing as sm
-from assayer.plans.forecasting import HORIZON, INITIAL, MONTHLY, STEP, TOLERANCE, acf_sql, development, monthly_orders
+from assayer.plans.forecasting import FOLDS, HORIZON, INITIAL, MONTHLY, STEP, TOLERANCE, acf_sql, development, monthly_orders
 from assayer.plans.registry import query, rounded
 
 
@@ -58,24 +58,76 @@ def _(spark, sf):
     return rounded(sm.kpss(s, "c").unionByName(sm.kpss(s, "ct")))
 
 
-def forecasts(spark, sf, *names):
+def forecasts(spark, sf, fit):
     s = development(spark, sf)
-    return rounded(sm.recursive_forecasts(s, fc.expanding_folds(s, INITIAL, HORIZON, STEP), HORIZON, candidates=names or tuple(sm.RECURSIVE)))
-
-
-@query("k18_holt_winters")
+    return rounded(fit(s, fc.expanding_folds(s, INITIAL, HORIZON, STEP), HORIZON))
+
+
+OUT = "candidate_id, series_id, CAST(fold AS BIGINT) AS fold, CAST(h AS BIGINT) AS horizon, strftime(CAST(origin + to_months(CAST(h AS INT)) AS DATE), '%Y-%m-%d') AS period, round(y_pred, 6) + 0.0 AS y_pred"
+WEIGHT_LIST, DAMPING_LIST = (", ".join(map(str, v)) for v in (sm.WEIGHTS, sm.DAMPING))
+TRAIN = f"""{FOLDS},
+tr AS (SELECT f.series_id, f.fold, f.cut, f.origin, list(d.y ORDER BY d.t) AS ys FROM folds f JOIN dev d ON d.series_id = f.series_id AND d.t < f.cut GROUP BY 1, 2, 3, 4 HAVING count(*) = f.cut)"""
+
+
+@query("k18_holt_winters", f"""WITH RECURSIVE {TRAIN},
+w AS (SELECT unnest([{WEIGHT_LIST}])::DOUBLE AS w), ph AS (SELECT unnest([{DAMPING_LIST}])::DOUBLE AS phi),
+g AS (SELECT 'holt_winters_additive_no_trend' AS candidate_id, a.w AS a, 0.0::DOUBLE AS b, c.w AS g, 1.0::DOUBLE AS phi, 0.0::DOUBLE AS trend FROM w a, w c
+ UNION ALL SELECT 'holt_winters_additive_trend', a.w, b.w, c.w, 1.0, 1.0 FROM w a, w b, w c UNION ALL SELECT 'holt_winters_additive_damped_trend', a.w, b.w, c.w, phi, 1.0 FROM w a, w b, w c, ph),
+b0 AS (SELECT *, list_avg(ys[1:12]) AS l0, (list_avg(ys[13:24]) - list_avg(ys[1:12])) / 12 AS r0 FROM tr),
+st AS (SELECT candidate_id, series_id, fold, a, b, g, phi, 0 AS t, l0 AS level, trend * r0 AS step, list_transform(range(1, 13), lambda j: ys[j] - l0 - trend * r0 * (j - 1 - 5.5)) AS season, 0.0::DOUBLE AS sse FROM b0, g
+ UNION ALL SELECT candidate_id, series_id, fold, a, b, g, phi, t + 1, nl, b * (nl - level) + (1 - b) * phi * step, list_transform(range(1, 13), lambda j: CASE WHEN j = t % 12 + 1 THEN g * (y - line) + (1 - g) * season[j] ELSE season[j] END), sse + (y - line - now) ** 2
+ FROM (SELECT *, a * (y - now) + (1 - a) * line AS nl FROM (SELECT st.*, tr.ys[t + 1] AS y, level + phi * step AS line, season[t % 12 + 1] AS now FROM st JOIN tr ON tr.series_id = st.series_id AND tr.fold = st.fold AND t < tr.cut))),
+be AS (SELECT st.*, tr.origin, tr.cut, row_number() OVER (PARTITION BY candidate_id, st.series_id, st.fold ORDER BY sse, a, b, g, phi) AS i FROM st JOIN tr ON tr.series_id = st.series_id AND tr.fold = st.fold AND st.t = tr.cut),
+fo AS (SELECT *, level + list_sum(list_transform(range(1, h + 1), lambda j: phi ** j)) * step + season[(cut + h - 1) % 12 + 1] AS y_pred FROM (SELECT *, unnest(range(1, 13)) AS h FROM be WHERE i = 1))
+SELECT {OUT} FROM fo""")
 def _(spark, sf):
-    return forecasts(spark, sf, *[n for n in sm.RECURSIVE if n.startswith("holt")])
+    return forecasts(spark, sf, sm.holt_winters)
+
+
+def autoregression_sql(name: str, lags: tuple[int, ...]) -> str:
+    """Least squares by making the regressors orthogonal one after the other, then a recursion over the future months."""
+    x = ["tt", *[f"l{k}" for k in lags]]
+    w = "(PARTITION BY series_id, fold)"
+    ctes = [f"""r0 AS (SELECT f.series_id, f.fold, f.cut, d.t + 1.0::DOUBLE AS tt, d.y, {', '.join(f'p{k}.y AS l{k}' for k in lags)} FROM folds f JOIN dev d ON d.series_id = f.series_id AND d.t < f.cut AND d.t >= {max(lags)}
+ {' '.join(f'JOIN dev p{k} ON p{k}.series_id = d.series_id AND p{k}.t = d.t - {k}' for k in lags)})""",
+            f"z0 AS (SELECT *, {', '.join(f'{c} - avg({c}) OVER {w} AS c_{c}, avg({c}) OVER {w} AS m_{c}' for c in [*x, 'y'])} FROM r0)"]
+    for i, c in enumerate(x):
+        rest = [*x[i + 1:], "y"]
+        slopes = ", ".join(f"sum(c_{d} * c_{c}) OVER {w} / sum(c_{c} * c_{c}) OVER {w} AS s_{d}_{c}" for d in rest)
+        ctes.append(f"z{i}s AS (SELECT *, {slopes} FROM z{i})")
+        ctes.append(f"z{i + 1} AS (SELECT * REPLACE ({', '.join(f'c_{d} - s_{d}_{c} * c_{c} AS c_{d}' for d in rest)}) FROM z{i}s)")
+    k = len(x)
+    ctes.append(f"o{k} AS (SELECT DISTINCT ON (series_id, fold) * FROM z{k})")
+    done: list[str] = []
+    for i in reversed(range(k)):
+        later = "".join(f" - s_{x[j]}_{x[i]} * b_{x[j]}" for j in range(i + 1, k))
+        ctes.append(f"o{i} AS (SELECT *, s_y_{x[i]}{later} AS b_{x[i]} FROM o{i + 1})")
+        done.append(f"b_{x[i]} * m_{x[i]}")
+    ctes.append(f"co AS (SELECT o.*, m_y - ({' + '.join(done)}) AS c0, tr.ys, tr.origin FROM o0 o JOIN tr USING (series_id, fold))")
+    terms = " + ".join(f"b_l{j} * v[len(v) + 1 - {j}]" for j in lags)
+    ctes.append(f"""pa AS (SELECT series_id, fold, cut, origin, c0, b_tt, {', '.join(f'b_l{j}' for j in lags)}, 0::BIGINT AS h, ys AS v, 0.0::DOUBLE AS y_pred FROM co
+ UNION ALL SELECT series_id, fold, cut, origin, c0, b_tt, {', '.join(f'b_l{j}' for j in lags)}, h + 1, list_append(v, n), n FROM (SELECT *, c0 + b_tt * (cut + h + 1) + {terms} AS n FROM pa WHERE h < 12))""")
+    return f"SELECT * FROM (WITH RECURSIVE {', '.join(ctes)} SELECT '{name}' AS candidate_id, series_id, fold, h, origin, y_pred FROM pa WHERE h > 0)"
+
+
+@query("k19_autoregression", f"WITH {TRAIN} SELECT {OUT} FROM ({' UNION ALL '.join(autoregression_sql(n, k) for n, k in sm.AUTOREGRESSION.items())})")
+def _(spark, sf):
+    return forecasts(spark, sf, sm.autoregression)
 
 
-@query("k19_autoregression")
-def _(spark, sf):
-    return forecasts(spark, sf, *[n for n in sm.RECURSIVE if n.startswith("autoreg")])
+ARMA_LIST = ", ".join(map(str, sm.ARMA_GRID))
 
 
-@query("k20_seasonal_arma")
+@query("k20_seasonal_arma", f"""WITH RECURSIVE {TRAIN}, g AS (SELECT a.v AS phi, b.v AS theta FROM (SELECT unnest([{ARMA_LIST}])::DOUBLE AS v) a, (SELECT unnest([{ARMA_LIST}])::DOUBLE AS v) b),
+w AS (SELECT series_id, fold, cut, origin, ys, list_transform(range(13, cut + 1), lambda j: ys[j] - ys[j - 12]) AS w FROM tr),
+er AS (SELECT series_id, fold, cut, phi, theta, 1::BIGINT AS k, [0.0::DOUBLE] AS e FROM w, g
+ UNION ALL SELECT er.series_id, er.fold, er.cut, phi, theta, k + 1, list_append(e, w.w[k + 1] - phi * w.w[k] - theta * CASE WHEN k >= 12 THEN e[k - 11] ELSE 0 END) FROM er JOIN w ON w.series_id = er.series_id AND w.fold = er.fold AND k < len(w.w)),
+be AS (SELECT er.*, row_number() OVER (PARTITION BY series_id, fold ORDER BY list_sum(list_transform(e, lambda x: x * x)), phi, theta) AS i FROM er WHERE k = cut - 12),
+pa AS (SELECT b.series_id, b.fold, b.cut, w.origin, phi, theta, e, 0::BIGINT AS h, w.w AS v, w.ys AS y, 0.0::DOUBLE AS y_pred FROM be b JOIN w ON w.series_id = b.series_id AND w.fold = b.fold WHERE i = 1
+ UNION ALL SELECT series_id, fold, cut, origin, phi, theta, e, h + 1, list_append(v, n), list_append(y, n + y[len(y) - 11]), n + y[len(y) - 11] FROM (SELECT *, phi * v[len(v)] + theta * CASE WHEN h < 12 THEN e[len(e) + h + 1 - 12] ELSE 0 END AS n FROM pa WHERE h < 12))
+SELECT {OUT} FROM (SELECT 'sarima_100_011_12' AS candidate_id, * FROM pa WHERE h > 0)""")
 def _(spark, sf):
-    return forecasts(spark, sf, "sarima_100_011_12")
+    return forecasts(spark, sf, sm.seasonal_arma)
 
 
 @query("k24_full_catalogue")
