@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,25 +111,16 @@ def curvature(df: DataFrame, features: Sequence[str], target: str, threshold: fl
     return rows_of(joined.agg(*aggs), rows)
 
 
-def _solve_gain(batches):
-    """R² of y on the first four terms and on all five from their covariances; one short row per feature pair."""
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            c = np.zeros((6, 6))
-            c[np.triu_indices(6)] = row.cov
-            c = c + np.triu(c, 1).T
-            r2 = []
-            for k in (4, 5):
-                beta = np.linalg.lstsq(c[:k, :k], c[:k, 5], rcond=None)[0]
-                r2.append(float(beta @ c[:k, 5] / c[5, 5]) if c[5, 5] > 0 else float("nan"))
-            out.append((row.feature_a, row.feature_b, row.n, *r2))
-        yield pd.DataFrame(out, columns=["feature_a", "feature_b", "n", "base_r2", "interaction_r2"])
+def _without(matrix: Column, p: int) -> Column:
+    """Covariances of what is left of all columns after regression on column p; a column without any of its own changes nothing."""
+    pivot = matrix[p][p]
+    left = F.transform(matrix, lambda row: F.zip_with(row, matrix[p], lambda x, y: x - row[p] / pivot * y))
+    return F.when(pivot > 1e-10, left).otherwise(matrix)
 
 
 def interactions(df: DataFrame, features: Sequence[str], target: str, threshold: float = 0.02) -> DataFrame:
-    """Adjusted-R² gain of z1·z2 over z1, z1², z2, z2². Spark builds 21 covariances per pair in one aggregate over
-    already standardised columns; the 5-by-5 solve works on one row per pair."""
+    """Adjusted-R² gain of z1·z2 over z1, z1², z2, z2². One aggregate builds the covariances per pair over already
+    standardised columns; partial covariances of one small array per pair give both fits."""
     base = spread(df.select(_finite(target).alias("_y"), *[_finite(f).alias(f) for f in features]))
     pairs = list(combinations(features, 2))
     ok = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("_y").isNotNull()
@@ -142,10 +132,12 @@ def interactions(df: DataFrame, features: Sequence[str], target: str, threshold:
         for i, (a, b) in enumerate(pairs)]))).where(F.col("t0").isNotNull() & F.col("t2").isNotNull() & F.col("_y").isNotNull())
     long = long.select("feature_a", "feature_b", "t0", (F.col("t0") * F.col("t0")).alias("t1"), "t2", (F.col("t2") * F.col("t2")).alias("t3"),
                        (F.col("t0") * F.col("t2")).alias("t4"), F.col("_y").alias("t5"))
-    cov = F.array(*[F.covar_pop(f"t{p}", f"t{q}") for p in range(6) for q in range(p, 6)])
-    grams = long.groupBy("feature_a", "feature_b").agg(F.count(F.lit(1)).alias("n"), cov.alias("cov"))
-    solved = grams.mapInPandas(
-        _solve_gain, "feature_a string, feature_b string, n bigint, base_r2 double, interaction_r2 double")
+    cov = F.array(*[F.array(*[F.covar_pop(f"t{min(p, q)}", f"t{max(p, q)}") for q in range(6)]) for p in range(6)])
+    grams = long.groupBy("feature_a", "feature_b").agg(F.count(F.lit(1)).alias("n"), cov.alias("_c0"))
+    for p in range(5):
+        grams = grams.withColumn(f"_c{p + 1}", _without(F.col(f"_c{p}"), p))
+    share = lambda k: 1 - guarded_ratio(F.col(f"_c{k}")[5][5], F.col("_c0")[5][5])
+    solved = grams.select("feature_a", "feature_b", "n", share(4).alias("base_r2"), share(5).alias("interaction_r2"))
     gain = _adjusted(F.col("interaction_r2"), F.col("n"), 5) - _adjusted(F.col("base_r2"), F.col("n"), 4)
     return solved.withColumn("gain", F.when(F.col("n") >= 8, gain)).withColumn(
         "signal", F.coalesce(F.col("gain") >= threshold, F.lit(False)))

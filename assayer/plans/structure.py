@@ -65,6 +65,23 @@ def _(spark, sf):
     return rounded(st.curvature(curved(spark, sf), H_FEATURES, "y"))
 
 
-@query("h02_interactions")
+def interaction_sql() -> str:
+    """Regressors are made orthogonal one after the other; what each then explains adds up."""
+    w = "OVER (PARTITION BY feature_a, feature_b)"
+    z = lambda f, a, b: f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER ()"
+    rows = " UNION ALL ".join(
+        f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {z(a, a, b)} AS z1, {z(b, a, b)} AS z2, y FROM hs WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in combinations(H_FEATURES, 2))
+    t = [f"t{i}" for i in range(5)]
+    ctes = [f"z AS ({rows})", "q AS (SELECT feature_a, feature_b, z1 AS t0, z1 * z1 AS t1, z2 AS t2, z2 * z2 AS t3, z1 * z2 AS t4, y FROM z)",
+            f"o0 AS (SELECT feature_a, feature_b, {', '.join(f'{c} - avg({c}) {w} AS {c}' for c in [*t, 'y'])} FROM q)"]
+    for i, c in enumerate(t[:-1]):
+        ctes.append(f"o{i + 1} AS (SELECT * REPLACE ({', '.join(f'{d} - sum({d} * {c}) {w} / sum({c} * {c}) {w} * {c} AS {d}' for d in t[i + 1:])}) FROM o{i})")
+    part = [f"sum(y * {c}) ** 2 / sum({c} * {c})" for c in t]
+    ctes.append(f"r AS (SELECT feature_a, feature_b, count(*) AS n, ({' + '.join(part[:4])}) / sum(y * y) AS br, ({' + '.join(part)}) / sum(y * y) AS ir FROM o4 GROUP BY 1, 2)")
+    return (f"WITH {H_SOURCE}, {', '.join(ctes)}, g AS (SELECT *, (1 - (1 - ir) * (n - 1) / (n - 6)) - (1 - (1 - br) * (n - 1) / (n - 5)) AS gain FROM r) "
+            "SELECT feature_a, feature_b, n, round(br, 6) + 0.0 AS base_r2, round(ir, 6) + 0.0 AS interaction_r2, round(gain, 6) + 0.0 AS gain, gain >= 0.02 AS signal FROM g")
+
+
+@query("h02_interactions", interaction_sql())
 def _(spark, sf):
     return rounded(st.interactions(curved(spark, sf), H_FEATURES, "y"))
