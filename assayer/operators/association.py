@@ -260,7 +260,8 @@ def association_matrix(pairs: DataFrame, columns: Sequence[str], value: str) ->
 def feature_issues(df: DataFrame, requested: Sequence[str]) -> DataFrame:
     """Requested columns that are absent or have at most one distinct value."""
     there = [c for c in requested if c in df.columns]
-    counts = wide_rows(df, there, {"distinct_values": lambda c: F.count_distinct(c)})
+    one = lambda c: F.when(F.max(c).isNull(), 0).when(F.min(c) == F.max(c), 1).cast("bigint")
+    counts = wide_rows(df, there, {"distinct_values": one})
     out = counts.where(F.col("distinct_values") <= 1).select(
         "feature", F.lit("Constant feature").alias("issue"), "distinct_values")
     absent = [(c, "Feature missing", 0) for c in requested if c not in df.columns]

@@ -87,12 +87,15 @@ def predict(model, rows: DataFrame, c: Candidate, kind: str, keep: Sequence[str]
 
 
 def search(train: DataFrame, candidates: Sequence[Candidate], kind: str, folds: int, parallelism: int = 4) -> DataFrame:
-    """Out-of-fold predictions `fold, model_id, y, p | pred` of every candidate; `train` has y and fold 0…k-1."""
-    train = train.persist()
+    """Out-of-fold predictions `fold, model_id, y, p | pred` of every candidate; `train` has y and fold 0…k-1.
+
+    The rows are kept in memory while the candidates are fitted, and given up before the predictions are asked for.
+    """
+    kept = train.persist()
 
     def run(task):
         c, f = task
-        rows = train.where(F.col("fold") != f)
+        rows = kept.where(F.col("fold") != f)
         return predict(fit(rows, c, kind), train.where(F.col("fold") == f), c, kind, ["fold"])
     tasks = [(c, f) for c in candidates for f in range(folds)]
     pool = ThreadPool(min(parallelism, len(tasks)))
@@ -100,6 +103,7 @@ def search(train: DataFrame, candidates: Sequence[Candidate], kind: str, folds:
         parts = pool.map(inheritable_thread_target(train.sparkSession)(run), tasks)
     finally:
         pool.close()
+        kept.unpersist()
     return reduce(DataFrame.unionByName, parts)
 
 

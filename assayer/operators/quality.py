@@ -641,6 +641,16 @@ def unknown_levels(train: DataFrame, scored: DataFrame, columns: Sequence[str])
     return counts.join(vocabulary(train, columns), ["feature", "level"], "left_anti")
 
 
+def encode_long(train: DataFrame, df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """`keep…, feature, level` of every row and column whose level the training rows have; others have no row.
+
+    The sparse form of a one-hot encoding, for columns with any number of levels: none becomes a column name.
+    """
+    long = df.select(*[F.col(k) for k in keep], *[to_text(c).alias(f"_l_{c}") for c in columns]).unpivot(
+        list(keep), [f"_l_{c}" for c in columns], "feature", "level").withColumn("feature", F.substring("feature", 4, 1_000_000))
+    return long.join(vocabulary(train, columns), ["feature", "level"]).select(*keep, "feature", "level")
+
+
 def fit_levels(train: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:
     """Sorted training levels per column, for columns meant to be expanded; more than `limit` levels is an error.
 

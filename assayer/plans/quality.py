@@ -114,6 +114,16 @@ def _(spark, sf):
         F.sum(F.col("`l_returnflag=A`").cast("bigint")).alias("flag_a"), F.sum(F.col("`l_returnflag=N`").cast("bigint")).alias("flag_n"))
 
 
+@query("b08_encode_long", """
+WITH l AS (SELECT o_orderkey, unnest(['o_custkey', 'o_orderstatus']) AS feature, unnest([CAST(o_custkey AS VARCHAR), o_orderstatus]) AS level, o_orderkey % 3 = 0 AS train FROM orders),
+ v AS (SELECT DISTINCT feature, level FROM l WHERE train)
+SELECT feature, count(*) AS rows, count(DISTINCT level) AS levels FROM l JOIN v USING (feature, level) GROUP BY 1""")
+def _(spark, sf):
+    df = table(spark, sf, "orders")
+    out = q.encode_long(df.where(F.col("o_orderkey") % 3 == 0), df, ["o_orderkey"], ["o_custkey", "o_orderstatus"])
+    return out.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("level").alias("levels"))
+
+
 @query("b09_unknown_levels", """
 WITH p AS (SELECT p_partkey, p_brand, p_type, p_size FROM part)
 SELECT feature, level, count(*) AS rows FROM (
