@@ -19,6 +19,9 @@ SHINGLE = 5  # words
 ROWS = 4  # hash minima of a band
 RECALL = 0.995  # of pairs at the threshold itself
 TILE = 512  # paragraphs; a task compares at most two tiles
+# Passages inside longer lines: PASSAGE words from each place whose hash of ANCHOR words is the least of REACH in a row.
+# Of any PASSAGE + REACH + ANCHOR - 2 = 50 equal words, at least one such passage is equal as well.
+PASSAGE, ANCHOR, REACH = 20, 4, 28
 SEED = 5
 
 
@@ -38,6 +41,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def rolling(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick over each `width` values in a row, by doubling."""
+    done, reach = x, 1
+    while reach < width:
+        step = min(reach, width - reach)
+        done = pick(done[:len(done) - step], done[step:])
+        reach += step
+    return done
+
+
 class Units:
     """The paragraphs of a batch of texts that have at least `least` words, as hashes of words and of shingles."""
 
@@ -93,11 +106,32 @@ class Units:
             out[:, b] = total
         return out.view(np.int64)
 
+    def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Paragraph, first word and hash of each passage."""
+        n = len(self.words) - PASSAGE + 1
+        if n < REACH:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        marks = np.zeros(n, np.uint64)
+        for k, factor in enumerate(odd_numbers(ANCHOR, 8)):
+            marks += self.words[k:k + n] * factor
+        marks = mixed(marks)
+        least = rolling(marks, REACH, np.minimum)  # of the places i to i + REACH - 1
+        most = rolling(np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)]), REACH, np.maximum)
+        at = np.flatnonzero(marks == most)
+        unit = np.searchsorted(self.starts, at, "right") - 1
+        start = at - self.starts[unit]
+        inside = start + PASSAGE <= self.counts[unit]
+        at, unit, start = at[inside], unit[inside], start[inside]
+        sums = np.zeros(len(at), np.uint64)
+        for k, factor in enumerate(odd_numbers(PASSAGE, 9)):
+            sums += mixed(self.words[at + k]) * factor
+        return unit, start.astype(np.int32), mixed(sums).view(np.int64)
+
     def set_of(self, i: int) -> np.ndarray:
         return np.unique(self.shingles[self.offsets[i]:self.offsets[i] + self.sizes[i]])
 
 
-UNITS = "id long, th long, place int, n_words int, c1 long, c2 long, keys array<long>"
+UNITS = "id long, th long, place int, start int, n_words int, c1 long, c2 long, keys array<long>"
 SETS = "c1 long, c2 long, shingles array<long>"
 
 
@@ -110,10 +144,16 @@ def _units(least: int, n_bands: int, rows: int):
                 owner = pa.array(u.owner)
                 c1, c2 = u.names()
                 keys = u.keys(n_bands, rows)
+                names = ["id", "th", "place", "start", "n_words", "c1", "c2", "keys"]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(owner), part.column("th").take(owner), pa.array(u.place, pa.int32()), pa.array(u.counts.astype(np.int32)),
-                     pa.array(c1), pa.array(c2), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel()))],
-                    ["id", "th", "place", "n_words", "c1", "c2", "keys"])
+                    [part.column("id").take(owner), part.column("th").take(owner), pa.array(u.place, pa.int32()), pa.nulls(len(owner), pa.int32()),
+                     pa.array(u.counts.astype(np.int32)), pa.array(c1), pa.array(c2),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel()))], names)
+                unit, start, key = u.passages()
+                owner = pa.array(u.owner[unit])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(owner), part.column("th").take(owner), pa.array(u.place[unit], pa.int32()), pa.array(start),
+                     pa.nulls(len(owner), pa.int32()), pa.array(key), pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.list_(pa.int64()))], names)
     return run
 
 
@@ -153,8 +193,27 @@ def link_tile(threshold: float):
     return work
 
 
+LAST = (1 << 63) - 1  # stands for a missing id, which comes after all others
+
+
+def _repeated_passages(passages: DataFrame, id_column: str) -> DataFrame:
+    """Rows like those of `repeated` for passages `id, place, start, key` that more than one document holds; those of a
+    line that go back to the same line of the same first document are one row. Equal hashes of 64 bits count as equal."""
+    rows = passages.select(F.coalesce("id", F.lit(LAST)).alias("id"), "place", "start", "key")
+    shared = store(rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least"), "shared")
+    found = store(rows.join(shared, "key"), "passages")
+    facts = found.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_paragraphs"), F.count_distinct("id").alias("n_documents"), F.min(F.when(F.col("id") == F.col("least"), F.col("place"))).alias("first"))
+    lines = found.join(facts, "key").groupBy("id", "place", "least", "first").agg(
+        F.min("start").alias("start"), (F.max("start") + PASSAGE).alias("end"), F.max("n_paragraphs").alias("n_paragraphs"), F.max("n_documents").alias("n_documents"))
+    own = (F.col("id") == F.col("least")) & (F.col("place") == F.col("first"))
+    return lines.select(
+        F.nullif("id", F.lit(LAST)).alias(id_column), "place", F.lit("passage").alias("kind"), "start", "end", F.nullif("least", F.lit(LAST)).alias("component_id"),
+        F.col("first").alias("component_place"), "n_paragraphs", "n_documents", own.alias("kept"))
+
+
 def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`id, place, n_words, component_id, component_place, n_paragraphs, n_documents, kept` of all repeated paragraphs.
+    """`id, place, kind, start, end, component_id, component_place, n_paragraphs, n_documents, kept` of all repeated paragraphs.
 
     A paragraph is a line with at least `least_words` words (digits, A-Z as a-z, other letters); place is the number of
     its line. Paragraphs link where the Jaccard similarity of their sets of five-word shingles is at least the threshold
@@ -162,6 +221,11 @@ def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_
     paragraphs reachable by links, named by its first one: smallest id (those without an id come last), then place.
     That one is kept. Components of one paragraph are not listed.
 
+    A paragraph may repeat only in part, as when a passage was added to a line. Each is therefore also cut at minima of
+    word hashes into passages of 20 words, chosen by their own words alone: 50 equal words hold at least one equal
+    passage, wherever they stand. Passages in several documents are listed with kind `passage` and the words from start
+    to end that they cover.
+
     Equal paragraphs are one item from the first shuffle on. Only those that collide have their shingles fetched; of
     buckets with the same members one is compared; large ones are cut into tiles. Null and empty texts have no
     paragraphs; rows with the same id are one document; rows that repeat repeat their paragraphs. An empty table gives
@@ -170,12 +234,13 @@ def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     n_bands = bands(threshold)
-    units = store(rows.mapInArrow(_units(least_words, n_bands, ROWS), UNITS), "paragraphs")
+    every = store(rows.mapInArrow(_units(least_words, n_bands, ROWS), UNITS), "paragraphs")
+    units = every.where("start is null").drop("start")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
     classes = store(units.groupBy("c1", "c2").agg(
         F.first("keys").alias("keys"), F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     buckets = classes.select("c1", "c2", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
+    shared = store(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("key").alias("_key")), "shared")
     colliding = store(buckets.join(shared, F.col("key") == F.col("_key")).drop("_key"), "colliding")
     members = colliding.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c1", "c2")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c1", "c2")).alias("y"))
@@ -199,6 +264,8 @@ def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_
     found = units.drop("keys").join(lookup, ["c1", "c2"])
     many = found.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n_documents"))
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
-    return found.join(many, "root").select(
-        F.col("id").alias(id_column), "place", "n_words", F.col("first.id").alias("component_id"), F.col("first.place").alias("component_place"),
-        "n_paragraphs", "n_documents", own.eqNullSafe(F.col("first")).alias("kept"))
+    whole_lines = found.join(many, "root").select(
+        F.col("id").alias(id_column), "place", F.lit("paragraph").alias("kind"), F.lit(0).alias("start"), F.col("n_words").alias("end"),
+        F.col("first.id").alias("component_id"), F.col("first.place").alias("component_place"), "n_paragraphs", "n_documents",
+        own.eqNullSafe(F.col("first")).alias("kept"))
+    return whole_lines.unionByName(_repeated_passages(every.where("start is not null").withColumnRenamed("c1", "key"), id_column))
