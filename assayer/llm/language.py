@@ -129,13 +129,13 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
 def sample_windows(labelled: DataFrame, key: Column, lang_column: str, text_column: str, sample: int, each: int) -> tuple[np.ndarray, list[str]]:
     """Up to `each` evenly spread windows of at most `sample` labelled rows, as many of each language as there are.
 
-    A hash of the key thins each language to about twice the sample before anything is sorted; the rows are then those
-    first in the hash, by language and then overall. The driver gets at most sample x each x WINDOW bytes.
+    A hash of the key thins each language to about twice the sample before anything is sorted or shuffled; the rows are
+    then those first in the hash, by language and then overall. Only the `sample` most frequent languages take part. The driver gets at most sample x each x WINDOW bytes.
     """
     slim = labelled.where(F.col(lang_column).isNotNull()).select(key.alias("_key"), F.col(lang_column).alias("_lang")).withColumn("_h", F.xxhash64("_key"))
-    share = slim.groupBy(F.col("_lang").alias("_l")).agg(F.least(F.lit(1.0), 2 * sample / F.count(F.lit(1))).alias("_share"))
-    low = F.pmod("_h", F.lit(1 << 20)) <= F.col("_share") * (1 << 20)
-    thinned = slim.join(share, F.col("_lang") == F.col("_l")).where(low)
+    share = slim.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(sample)
+    low = F.pmod("_h", F.lit(1 << 20)) * F.col("_n") <= F.lit(2 * sample << 20)
+    thinned = slim.join(F.broadcast(share), F.col("_lang") == F.col("_l")).where(low)
     ranked = thinned.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_r") <= sample)
     chosen = ranked.orderBy("_r", "_h", "_lang").limit(sample).select(F.col("_key").alias("_k"), "_r").dropDuplicates(["_k"])
 
@@ -156,21 +156,23 @@ def sample_windows(labelled: DataFrame, key: Column, lang_column: str, text_colu
     return np.array([np.frombuffer(r.bytes, np.uint8) for r in rows]).reshape(len(rows), WINDOW), [r.lang for r in rows]
 
 
-def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = 1200,
-             each: int = 4) -> DataFrame:
-    """`id, held_out, lang_pred, score` of every row; no other column of docs is read.
-
-    The network learns from text and language of at most `sample` rows whose id, as text, has a CRC-32 that leaves no
-    remainder of 2 by 4; of each up to `each` windows. Prediction sees the text alone, all of it. `und` and score 0 where
-    the text is null or holds no letter, or where nothing could be learned. Rows without an id count as not held out.
-    Rows that repeat get the same answer. An empty table gives an empty result.
-    """
-    held = F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(4)) == 2, F.lit(False))
+def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = 1200,
+          each: int = 4) -> Network | None:
+    """The network, from text and language of at most `sample` rows that are not held out, of each up to `each` windows."""
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    net = fit(*sample_windows(docs.where(~held), key, lang_column, text_column, sample, each))
-    rows = docs.select(F.col(id_column), held.alias("held_out"), F.col(text_column).alias("_text"))
+    return fit(*sample_windows(docs.where(~held_out(F.col(id_column))), key, lang_column, text_column, sample, each))
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows never learned from: the CRC-32 of the id, as text, leaves 2 by 4. Rows without an id are not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+def answer(net: Network | None, text: Column) -> Column:
+    """Struct `lang, score` of a text column, all of each text read; `und` and 0 for null, without a letter or a network."""
+    unknown = F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"))
     if net is None:
-        return rows.select(id_column, "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return unknown
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -178,8 +180,16 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     result = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    answer = F.pandas_udf(run, result)(F.col("_text"))
-    lettered = F.coalesce(F.col("_text").rlike(r"\p{L}"), F.lit(False))
-    return rows.withColumn("_answer", answer).select(
-        id_column, "held_out", F.when(lettered, F.col("_answer.lang")).otherwise(UNDETERMINED).alias("lang_pred"),
-        F.when(lettered, F.col("_answer.score")).otherwise(0.0).alias("score"))
+    return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), F.pandas_udf(run, result)(text)).otherwise(unknown)
+
+
+def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = 1200,
+             each: int = 4) -> DataFrame:
+    """`id, held_out, lang_pred, score` of every row; no other column of docs is read.
+
+    Prediction sees the text alone. `und` and score 0 where the text is null or holds no letter, or where nothing could
+    be learned. Rows that repeat get the same answer. An empty table gives an empty result.
+    """
+    net = train(docs, id_column, text_column, lang_column, sample, each)
+    rows = docs.select(F.col(id_column), held_out(F.col(id_column)).alias("held_out"), answer(net, F.col(text_column)).alias("_answer"))
+    return rows.select(id_column, "held_out", F.col("_answer.lang").alias("lang_pred"), F.col("_answer.score").alias("score"))

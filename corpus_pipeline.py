@@ -27,10 +27,12 @@ def same_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those whose most probable language is hardly more probable than others."""
-    found = language.identify(docs)
-    rejected = found.where((F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return same_ids(docs, rejected.select(F.col("doc_id").alias("_id")), "left_anti")
+    """Documents without a letter go, and those whose most probable language is hardly more probable than others.
+
+    The answer is a column of the row itself: nothing is shuffled.
+    """
+    found = language.answer(language.train(docs), docs["text"])
+    return docs.where((found["lang"] != language.UNDETERMINED) & (found["score"] >= LEAST_SCORE))
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
