@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,17 +55,22 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("source").alias("_source")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    """Every document as often as the mix takes it: not at all, once or twice.
+
+    The keys of the join hold no null, so the places of rows that repeat are found without another shuffle.
+    """
+    def keys(doc_id: Column, text_hash: Column, source: Column) -> list[Column]:
+        return [F.coalesce(doc_id, F.lit(0)).alias("_k1"), doc_id.isNull().alias("_k2"), text_hash.alias("_k3"), F.coalesce(source, F.lit("")).alias("_k4"),
+                source.isNull().alias("_k5")]
+
+    names = [f"_k{i}" for i in range(1, 6)]
+    taken = mixing.mix(docs).select(*keys(F.col("doc_id"), F.col("text_hash"), F.col("source")), "copies").groupBy(*names).agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
     hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_kid"), hashed.alias("_kth"),
-                       docs["source"].alias("_ks"))
-    joined = rows.join(taken.where("_copies > 0"), F.col("_kid").eqNullSafe(F.col("_id")) & (F.col("_kth") == F.col("_th"))
-                       & F.col("_ks").eqNullSafe(F.col("_source")))
-    place = F.row_number().over(Window.partitionBy("_kid", "_kth", "_ks").orderBy(F.lit(1)))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *keys(docs["doc_id"], hashed, docs["source"]))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
     copies = F.expr("_copies div _rows") + (F.col("_place") <= F.expr("_copies % _rows")).cast("long")
-    often = joined.withColumn("_place", place).withColumn("_n", copies).where("_n > 0")
+    often = rows.join(taken, names).withColumn("_place", place).withColumn("_n", copies).where("_n > 0")
     return often.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")
 
 
