@@ -22,8 +22,11 @@ LEAST_SCORE = 0.4  # of the most probable language
 
 
 def same_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the ids `_id`; no id equals no id."""
-    return docs.join(ids, ids["_id"].eqNullSafe(docs["doc_id"]), how)
+    """docs with (left_semi) or without (left_anti) the ids `_id`; no id equals no id.
+
+    The ids grow with the documents, so both sides are shuffled at every size.
+    """
+    return docs.join(ids.hint("merge"), ids["_id"].eqNullSafe(docs["doc_id"]), how)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
