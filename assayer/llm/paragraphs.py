@@ -107,7 +107,7 @@ class Units:
         return out.view(np.int64)
 
     def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Paragraph, first word and hash of each passage."""
+        """Paragraph, first word and hash of each passage; of equal ones in a paragraph only the first."""
         n = len(self.words) - PASSAGE + 1
         if n < REACH:
             return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -125,7 +125,12 @@ class Units:
         sums = np.zeros(len(at), np.uint64)
         for k, factor in enumerate(odd_numbers(PASSAGE, 9)):
             sums += mixed(self.words[at + k]) * factor
-        return unit, start.astype(np.int32), mixed(sums).view(np.int64)
+        keys = mixed(sums).view(np.int64)
+        order = np.lexsort((start, keys, unit))
+        new = np.ones(len(order), bool)
+        new[1:] = (unit[order][1:] != unit[order][:-1]) | (keys[order][1:] != keys[order][:-1])
+        first = np.sort(order[new])
+        return unit[first], start[first].astype(np.int32), keys[first]
 
     def set_of(self, i: int) -> np.ndarray:
         return np.unique(self.shingles[self.offsets[i]:self.offsets[i] + self.sizes[i]])
@@ -202,8 +207,9 @@ def _repeated_passages(passages: DataFrame, id_column: str) -> DataFrame:
     rows = passages.select(F.coalesce("id", F.lit(LAST)).alias("id"), "place", "start", "key")
     shared = store(rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least"), "shared")
     found = store(rows.join(shared, "key"), "passages")
-    facts = found.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_paragraphs"), F.count_distinct("id").alias("n_documents"), F.min(F.when(F.col("id") == F.col("least"), F.col("place"))).alias("first"))
+    facts = store(found.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_paragraphs"), F.count_distinct("id").alias("n_documents"),
+        F.min(F.when(F.col("id") == F.col("least"), F.col("place"))).alias("first")), "facts")
     lines = found.join(facts, "key").groupBy("id", "place", "least", "first").agg(
         F.min("start").alias("start"), (F.max("start") + PASSAGE).alias("end"), F.max("n_paragraphs").alias("n_paragraphs"), F.max("n_documents").alias("n_documents"))
     own = (F.col("id") == F.col("least")) & (F.col("place") == F.col("first"))

@@ -102,6 +102,11 @@ def test_anchors_depend_on_the_passage_alone():
         assert keys[0] & keys[1]
 
 
+def test_equal_passages_of_a_line_are_one():
+    unit, start, keys = paragraphs.Units([b"word " * 5000, b"one two " * 3000], 25).passages()
+    assert len(set(zip(unit.tolist(), keys.tolist(), strict=True))) == len(keys) <= 3 and start.tolist()[0] == 0
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.7, 0.8, 0.9):
         for rows in (3, 4, 6):
