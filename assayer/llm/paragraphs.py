@@ -52,19 +52,23 @@ def rolling(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 class Units:
-    """The paragraphs of a batch of texts that have at least `least` words, as hashes of words and of shingles."""
+    """The paragraphs of a batch of texts that have at least `least` words, as hashes of words and of shingles.
 
-    def __init__(self, texts: list[bytes | None], least: int):
+    With `least` None each text with a word is one unit; one of under five words has a single shingle, all its words.
+    """
+
+    def __init__(self, texts: list[bytes | None], least: int | None):
         owner, place, lines = [], [], []
+        shortest = least or 1
         for i, text in enumerate(texts):
-            for k, line in enumerate((text or b"").split(b"\n")):
-                if len(line) >= 2 * least - 1:
+            for k, line in enumerate((text or b"").split(b"\n") if least else [text or b""]):
+                if len(line) >= 2 * shortest - 1:
                     owner.append(i)
                     place.append(k)
                     lines.append(line.translate(WORD_BYTES).strip())
         words = pc.ascii_split_whitespace(pa.array(lines, pa.large_binary()).cast(pa.large_string()))
         counts = pc.list_value_length(words).to_numpy()
-        enough = counts >= least
+        enough = counts >= shortest
         words = words.filter(pa.array(enough))
         self.owner, self.place, self.counts = np.array(owner, np.int64)[enough], np.array(place, np.int32)[enough], counts[enough].astype(np.int64)
         coded = pc.list_flatten(words).dictionary_encode()
@@ -75,12 +79,12 @@ class Units:
         sums = np.zeros(n, np.uint64)
         for k, factor in enumerate(odd_numbers(SHINGLE, 1)):
             sums += self.words[k:k + n] * factor
-        inside = np.ones(n, bool)  # shingles that do not run into the next paragraph
-        for back in range(1, SHINGLE):
-            inside[self.starts[1:] - back] = False
-        self.shingles = mixed(sums)[inside]
-        self.sizes = self.counts - SHINGLE + 1
+        self.sizes = np.maximum(1, self.counts - SHINGLE + 1)
         self.offsets = np.cumsum(self.sizes) - self.sizes
+        at = np.arange(self.sizes.sum()) + np.repeat(self.starts - self.offsets, self.sizes)  # shingles that do not run into the next paragraph
+        self.shingles = mixed(np.concatenate([sums, np.zeros(SHINGLE, np.uint64)]))[at]
+        few = self.counts < SHINGLE
+        self.shingles[self.offsets[few]] = self.names()[0].view(np.uint64)[few]
 
     def names(self) -> list[np.ndarray]:
         """128 bits of each paragraph's words in order, as two columns."""
@@ -140,7 +144,7 @@ UNITS = "id long, th long, place int, start int, n_words int, c1 long, c2 long,
 SETS = "c1 long, c2 long, shingles array<long>"
 
 
-def _units(least: int, n_bands: int, rows: int):
+def _units(least: int | None, n_bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -154,6 +158,8 @@ def _units(least: int, n_bands: int, rows: int):
                     [part.column("id").take(owner), part.column("th").take(owner), pa.array(u.place, pa.int32()), pa.nulls(len(owner), pa.int32()),
                      pa.array(u.counts.astype(np.int32)), pa.array(c1), pa.array(c2),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel()))], names)
+                if least is None:
+                    continue
                 unit, start, key = u.passages()
                 owner = pa.array(u.owner[unit])
                 yield pa.RecordBatch.from_arrays(
@@ -162,7 +168,7 @@ def _units(least: int, n_bands: int, rows: int):
     return run
 
 
-def _sets(least: int):
+def _sets(least: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
         for batch in batches:
@@ -218,30 +224,13 @@ def _repeated_passages(passages: DataFrame, id_column: str) -> DataFrame:
         F.col("first").alias("component_place"), "n_paragraphs", "n_documents", own.alias("kept"))
 
 
-def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`id, place, kind, start, end, component_id, component_place, n_paragraphs, n_documents, kept` of all repeated paragraphs.
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    A paragraph is a line with at least `least_words` words (digits, A-Z as a-z, other letters); place is the number of
-    its line. Paragraphs link where the Jaccard similarity of their sets of five-word shingles is at least the threshold
-    and they collide in a band; bands are as many as the recall at the threshold asks for. A component is a set of
-    paragraphs reachable by links, named by its first one: smallest id (those without an id come last), then place.
-    That one is kept. Components of one paragraph are not listed.
 
-    A paragraph may repeat only in part, as when a passage was added to a line. Each is therefore also cut at minima of
-    word hashes into passages of 20 words, chosen by their own words alone: 50 equal words hold at least one equal
-    passage, wherever they stand. Passages in several documents are listed with kind `passage` and the words from start
-    to end that they cover.
-
-    Equal paragraphs are one item from the first shuffle on. Only those that collide have their shingles fetched; of
-    buckets with the same members one is compared; large ones are cut into tiles. Null and empty texts have no
-    paragraphs; rows with the same id are one document; rows that repeat repeat their paragraphs. An empty table gives
-    an empty result.
-    """
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    n_bands = bands(threshold)
-    every = store(rows.mapInArrow(_units(least_words, n_bands, ROWS), UNITS), "paragraphs")
-    units = every.where("start is null").drop("start")
+def _linked(rows: DataFrame, units: DataFrame, threshold: float, least: int | None) -> DataFrame:
+    """`c1, c2, root, first, n_paragraphs` of the names of all units in a component of two or more, stored."""
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
     classes = store(units.groupBy("c1", "c2").agg(
         F.first("keys").alias("keys"), F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
@@ -256,7 +245,7 @@ def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_
         F.collect_set("first.place").alias("places"))
     sets = store(
         rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "places")
-        .mapInArrow(_sets(least_words), SETS).dropDuplicates(["c1", "c2"]), "shingles")
+        .mapInArrow(_sets(least), SETS).dropDuplicates(["c1", "c2"]), "shingles")
     told = each_group(
         tiles.join(sets, ["c1", "c2"]).select("key", "_i", "_j", "c1", "c2", "shingles"), ["key", "_i", "_j"], link_tile(threshold),
         "a1 long, a2 long, b1 long, b2 long")
@@ -266,7 +255,46 @@ def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_
         roots.select(F.col("node.c1").alias("_c1"), F.col("node.c2").alias("_c2"), "component"), (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")), "left")
     named = named.select("c1", "c2", "first", "n", F.coalesce("component", F.struct("c1", "c2")).alias("root"))
     whole = named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n_paragraphs")).where("n_paragraphs > 1")
-    lookup = store(named.select("c1", "c2", "root").join(whole, "root"), "repeated")
+    return store(named.select("c1", "c2", "root").join(whole, "root"), "repeated")
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`id, th` (hash of the text) of all rows with a near copy that comes before them.
+
+    Texts link where the Jaccard similarity of their sets of five-word shingles is at least the threshold, which is
+    exact for all that collide in a band; bands are as many as the recall at the threshold asks for. The first row of
+    a component (smallest id, those without an id last, then th) is not listed. Texts without a word have no copies.
+    """
+    rows = _rows(docs, id_column, text_column)
+    units = store(rows.mapInArrow(_units(None, bands(threshold, recall=recall), ROWS), UNITS), "texts")
+    lookup = _linked(rows, units, threshold, None)
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
+    return units.drop("keys").join(lookup, ["c1", "c2"]).where(~own.eqNullSafe(F.col("first"))).select("id", "th").distinct()
+
+
+def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`id, place, kind, start, end, component_id, component_place, n_paragraphs, n_documents, kept` of all repeated paragraphs.
+
+    A paragraph is a line with at least `least_words` words (digits, A-Z as a-z, other letters); place is the number of
+    its line. Paragraphs link where the Jaccard similarity of their sets of five-word shingles is at least the threshold
+    and they collide in a band; bands are as many as the recall at the threshold asks for. A component is a set of
+    paragraphs reachable by links, named by its first one: smallest id (those without an id come last), then place.
+    That one is kept. Components of one paragraph are not listed.
+
+    A paragraph may repeat only in part, as when a passage was added to a line. Each is therefore also cut at minima of
+    word hashes into passages of 20 words, chosen by their own words alone: 50 equal words hold at least one equal
+    passage, wherever they stand. Passages in several documents are listed with kind `passage` and the words from start
+    to end that they cover.
+
+    Equal paragraphs are one item from the first shuffle on. Only those that collide have their shingles fetched; of
+    buckets with the same members one is compared; large ones are cut into tiles. Null and empty texts have no
+    paragraphs; rows with the same id are one document; rows that repeat repeat their paragraphs. An empty table gives
+    an empty result.
+    """
+    rows = _rows(docs, id_column, text_column)
+    every = store(rows.mapInArrow(_units(least_words, bands(threshold), ROWS), UNITS), "paragraphs")
+    units = every.where("start is null").drop("start")
+    lookup = _linked(rows, units, threshold, least_words)
     found = units.drop("keys").join(lookup, ["c1", "c2"])
     many = found.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n_documents"))
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")

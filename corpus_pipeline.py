@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.llm import decontaminate, language, mixing, shards, simhash
+from assayer.llm import decontaminate, language, mixing, paragraphs, shards, simhash
 from assayer.llm.shared import store
 from assayer.sources import table
 
@@ -51,6 +51,18 @@ def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return single.unionByName(repeated.dropDuplicates(["doc_id"]))
 
 
+def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One text of each group whose five-word shingles have Jaccard similarity 0.8 or more stays: the one with the smallest id."""
+    gone = paragraphs.near_copies(docs, threshold=0.8).select(F.col("id").alias("_id"), F.col("th").alias("_th")).hint("merge")
+    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, gone["_id"].eqNullSafe(docs["doc_id"]) & (gone["_th"] == hashed), "left_anti")
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two bits of a fingerprint are close to exact copies only: of those that stay, the texts are compared by their shingles."""
+    return first_of_near_copies(spark, store(first_of_near_duplicates(spark, docs, sf_dir), "near"), sf_dir)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -84,7 +96,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", known_language),
-    ("simhash", first_of_near_duplicates),
+    ("simhash", without_near_duplicates),
     ("decontamination", without_benchmark),
     ("mixing", mixed),
     ("sharding", sharded),
