@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -51,6 +51,65 @@ def _blocks(groups: DataFrame, opened: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
+def even_cut(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """Ends of the shards of a feasible cut: each load is as near as it may be to an equal part of what is left."""
+    sums, fewest, cuts = [0, *accumulate(sizes)], [len(sizes)], []
+    for _ in range(shards):
+        fewest.append(bisect_left(sums, sums[fewest[-1]] - capacity))  # items that the shards before must hold
+    at = 0
+    for left in range(shards, 0, -1):
+        goal = sums[at] * left + sums[-1] - sums[at]
+        end = bisect_left(sums, -(-goal // left))
+        if end > at and goal - sums[end - 1] * left < sums[end] * left - goal:
+            end -= 1
+        end = max(end, fewest[left - 1], min(at + 1, len(sizes)))
+        at = min(end, bisect_right(sums, sums[at] + capacity) - 1)
+        cuts.append(at)
+    return cuts
+
+
+def _least(blocks: list[tuple[str, int, int]], shards: int) -> int:
+    """No cut has a smaller capacity, whatever is in the blocks."""
+    return max([-(-sum(s for _, s, _ in blocks) // shards), *(s for _, s, n in blocks if n == 1)]) if blocks else 0
+
+
+def _undecided(blocks: list[tuple[str, int, int]], shards: int, high: int, total: int) -> set[str]:
+    """Blocks to be opened before it is known whether a capacity below `high` holds them: unusually large ones first."""
+    ends = list(accumulate(s for _, s, _ in blocks))
+    if not blocks or _least(blocks, shards) >= high:
+        return set()
+    opened = {p for p, s, n in blocks if n > 1 and s * 16 ** FIRST_DIGITS > 4 * total}
+    for k in range(1, 0 if opened else shards):
+        first, last = bisect_right(ends, ends[-1] - (shards - k) * high), bisect_right(ends, k * high)
+        opened.update(p for p, _, n in blocks[first:last + 1] if n > 1)
+    return opened
+
+
+def levelled(blocks: list[tuple[str, int, int]], shards: int, total: int) -> tuple[list[int], set[str]]:
+    """Ends of the shards, as numbers of blocks, and the blocks to be opened before they are final.
+
+    The largest load is the smallest possible one. If a single group is that load, it is a shard of its own and the
+    runs before and after it are cut in the same way, with the shards dealt so that the larger of their two capacities
+    is as small as possible; and so on for the next such group.
+    """
+    high, _ = smallest_capacity([s for _, s, _ in blocks], shards)
+    cuts, opened = even_cut([s for _, s, _ in blocks], high, shards), _undecided(blocks, shards, high, total)
+    hot = next((i for i, (_, s, n) in enumerate(blocks) if n == 1 and s == high), None)
+    if opened or hot is None:
+        return cuts, opened
+    sides, free = (blocks[:hot], blocks[hot + 1:]), shards - 1
+    deals = [(k, free - k) for k in range(free + 1) if (k > 0 or not sides[0]) and (k < free or not sides[1])]
+    if not sides[0]:
+        deals = deals[:1]
+    best, deal = min((max(smallest_capacity([s for _, s, _ in side], m)[0] if side else 0 for side, m in zip(sides, deal, strict=True)), deal) for deal in deals)
+    for other in deals:
+        if max(_least(side, m) if side else 0 for side, m in zip(sides, other, strict=True)) < best:
+            opened.update(*(_undecided(side, m, best, total) for side, m in zip(sides, other, strict=True)))
+    before, more = levelled(sides[0], deal[0], total) if deal[0] else ([], set())
+    after, most = levelled(sides[1], deal[1], total) if deal[1] else ([], set())
+    return [*before, hot + 1, *(hot + 1 + c for c in after)], opened | more | most
+
+
 def plan(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
     """The smallest capacity, and the last possible key of each shard but the last.
 
@@ -59,23 +118,17 @@ def plan(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
     give a capacity `high` that is feasible. Under the smallest capacity the k-th cut can lie only where the first k
     shards, and the shards after it, stay within `high`; blocks there are opened by more digits until they are single
     groups, and then the binary search over the items is exact. Unusually large blocks are opened first, so a group
-    that outweighs a fair share is seen as such; if it alone decides the capacity, nothing else needs to be opened.
+    that outweighs a fair share is seen as such; the runs beside it are cut by the same rule. Loads that are not the
+    largest of their run are even to within a block.
     """
     blocks = sorted(_blocks(groups, [""]))
     while True:
-        ends = list(accumulate(s for _, s, _ in blocks))
-        high, cut = smallest_capacity([s for _, s, _ in blocks], shards)
-        total = ends[-1] if ends else 0
-        low = max([s for _, s, n in blocks if n == 1], default=0)
-        opened: set[int] = set()
-        if max(low, -(-total // shards)) < high:
-            opened = {i for i, (_, s, n) in enumerate(blocks) if n > 1 and s * 16 ** FIRST_DIGITS > 4 * total}
-            for k in range(1, 0 if opened else shards):
-                first, last = bisect_right(ends, total - (shards - k) * high), bisect_right(ends, k * high)
-                opened.update(i for i in range(first, min(last + 1, len(blocks))) if blocks[i][2] > 1)
+        cut, opened = levelled(blocks, shards, sum(s for _, s, _ in blocks))
         if not opened:
+            sums = [0, *accumulate(s for _, s, _ in blocks)]
+            high = max((sums[b] - sums[a] for a, b in zip([0, *cut], cut, strict=False)), default=0)
             return high, [blocks[c - 1][0].ljust(KEY_DIGITS, "f") if c else "" for c in cut[:-1]]
-        blocks = sorted([b for i, b in enumerate(blocks) if i not in opened] + _blocks(groups, [blocks[i][0] for i in opened]))
+        blocks = sorted([b for b in blocks if b[0] not in opened] + _blocks(groups, sorted(opened)))
 
 
 def shard(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -83,7 +136,7 @@ def shard(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_col
 
     Size is the number of UTF-8 bytes plus 1. Equal texts are one atomic group; groups are ordered by the MD5 of their
     text, so the order has nothing to do with content or source. The largest shard is as small as a contiguous cut
-    allows. Null counts as the empty text. Slots are gapless from 0 in a shard, equal for every run; rows without an id
+    allows; where a group alone is that shard, so are the shards before and after it. Null counts as the empty text. Slots are gapless from 0 in a shard, equal for every run; rows without an id
     are placed like others, rows that repeat are interchangeable. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
