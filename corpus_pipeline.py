@@ -64,9 +64,15 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
-    return same_ids(docs, found.where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_id")), "left_anti")
+    """Documents that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go.
+
+    The text alone decides: rows that share the id of such a document, or have none, stay if their own text is clean.
+    """
+    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    texts = docs.select(hashed.alias("_text"), "text")
+    found = decontaminate.contaminated(texts, table(spark, sf_dir, "benchmark"), window=10, id_column="_text")
+    gone = found.where(F.size("item_ids") > 0).select("_text").distinct().hint("merge")
+    return docs.join(gone, gone["_text"] == hashed, "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,10 @@ def test_near_copies_of_odd_rows(spark):
     five = [r for r in left if r[0] == 5]
     assert len(five) == 1 and [r for r in left if r[0] != 5] == [(7, " ".join(far)), (8, ""), (10, ""), (11, "... !"), (12, "a, b"), (14, "a c")]
     assert corpus_pipeline.first_of_near_copies(spark, frame(spark, []).where("false"), "").count() == 0
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, item, "a"), (None, "clean words of a document without an id", "a"), (4, item, "a"), (4, "clean words of the same id", "a"), (5, None, "a"), (6, item, "b")]
+    out = corpus_pipeline.without_benchmark(spark, frame(spark, rows), "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, rows[1][1]), (4, rows[3][1]), (5, "")]
