@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import chat, decontaminate, embeddings, language, lines, mixing, paragraphs, shards, simhash, warc
+from assayer.llm import chat, decontaminate, divergence, embeddings, language, lines, mixing, paragraphs, shards, simhash, tokens, warc, whitening
 from assayer.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,43 @@ FROM a JOIN l USING (conv_id, turn) FULL JOIN r ON a.call_id = r.call_id AND a.c
 @query("op1_chat_formatting", OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_calls(table(spark, sf_dir, "conversations")).withColumn("problems", F.array_join("problems", ","))
+
+
+OP11 = fr"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, sum(c)::HUGEINT AS n, count(*)::HUGEINT AS v FROM k GROUP BY ALL),
+p AS (SELECT m.lang, m.source, k.term, coalesce(c.c, 0) AS c, (1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (m.n + 2 * l.v))::BIGINT AS p,
+             (1 + 1000000000::HUGEINT * (k.c + 2) // (l.n + 2 * l.v))::BIGINT AS q
+      FROM m JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+a AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p))::BIGINT AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+b AS (SELECT x.lang, x.source, y.source AS item, coalesce(a.value, 0)::BIGINT AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+t AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+u AS (SELECT *, 'pair' AS part FROM b UNION ALL SELECT *, 'term' FROM t),
+z AS (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)

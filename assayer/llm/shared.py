@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,6 +117,19 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], s
         "_b", "_r", "_kb", "_o", *[f"_k_{c}" for c in by])
 
 
+def slices(batch: pa.RecordBatch, text: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and about `size` bytes of text; a longer text is a part by itself."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        limit = (ends[at - 1] if at else 0) + size
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, limit, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def each_group(df: DataFrame, keys: Sequence[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """work on every group of rows with equal whole-number keys, one Arrow table per group.
 
