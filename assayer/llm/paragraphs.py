@@ -9,19 +9,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assayer.llm.decontaminate import WORD_BYTES
-from assayer.llm.shared import components, each_group, local_roots, store, tile_pairs
+from assayer.llm.shared import components, each_group, local_roots, slices, store, tile_pairs
 
 SHINGLE = 5  # words
 ROWS = 4  # hash minima of a band
 RECALL = 0.995  # of pairs at the threshold itself
 TILE = 512  # paragraphs; a task compares at most two tiles
-# Passages inside longer lines: PASSAGE words from each place whose hash of ANCHOR words is the least of REACH in a row.
-# Of any PASSAGE + REACH + ANCHOR - 2 = 50 equal words, at least one such passage is equal as well.
+# Runs of equal words: PASSAGE words from each place whose hash of ANCHOR words is the least of REACH in a row (a MinHash band of
+# one row). Of any PASSAGE + REACH + ANCHOR - 2 = 50 equal words, at least one such passage is equal as well.
 PASSAGE, ANCHOR, REACH = 20, 4, 28
+RUN = 51  # words: repeats of over 50 words count
+AROUND = RUN - PASSAGE  # words on each side that decide whether a passage is part of an equal run
 SEED = 5
 
 
@@ -51,30 +54,53 @@ def rolling(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return done
 
 
+def blocks(counts: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each paragraph of at least `least` words: a line that long, or shorter ones in a row until they are."""
+    first, last, begun, total = [], [], -1, 0
+    for i, n in enumerate(counts.tolist()):
+        if begun >= 0 and (owner[i] != owner[begun] or n >= least):
+            begun, total = -1, 0
+        begun, total = (i, n) if begun < 0 else (begun, total + n)
+        if total >= least:
+            first.append(begun)
+            last.append(i)
+            begun, total = -1, 0
+    return np.array(first, np.int64), np.array(last, np.int64)
+
+
 class Units:
     """The paragraphs of a batch of texts that have at least `least` words, as hashes of words and of shingles.
 
     With `least` None each text with a word is one unit; one of under five words has a single shingle, all its words.
+    `all_words`, `text_starts`, `text_counts`: the word hashes of whole texts, whatever their lines; `line_words`: where lines begin.
     """
 
     def __init__(self, texts: list[bytes | None], least: int | None):
         owner, place, lines = [], [], []
-        shortest = least or 1
         for i, text in enumerate(texts):
             for k, line in enumerate((text or b"").split(b"\n") if least else [text or b""]):
-                if len(line) >= 2 * shortest - 1:
+                if line:
                     owner.append(i)
                     place.append(k)
                     lines.append(line.translate(WORD_BYTES).strip())
         words = pc.ascii_split_whitespace(pa.array(lines, pa.large_binary()).cast(pa.large_string()))
-        counts = pc.list_value_length(words).to_numpy()
-        enough = counts >= shortest
+        counts = np.array([n if line else 0 for n, line in zip(pc.list_value_length(words).to_pylist(), lines, strict=True)], np.int64)
+        enough = counts > 0
         words = words.filter(pa.array(enough))
-        self.owner, self.place, self.counts = np.array(owner, np.int64)[enough], np.array(place, np.int32)[enough], counts[enough].astype(np.int64)
+        owner, place, counts = np.array(owner, np.int64)[enough], np.array(place, np.int32)[enough], counts[enough]
         coded = pc.list_flatten(words).dictionary_encode()
         known = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        self.words = known[coded.indices.to_numpy()]
+        self.all_words = known[coded.indices.to_numpy()]
+        self.text_counts = np.bincount(owner, counts, minlength=len(texts)).astype(np.int64)
+        self.text_starts = np.cumsum(self.text_counts) - self.text_counts
+        begins = np.cumsum(counts) - counts
+        self.line_owner, self.line_place, self.line_words = owner, place, begins - self.text_starts[owner]
+        first, last = blocks(counts, owner, least) if least else (np.arange(len(counts)), np.arange(len(counts)))
+        self.owner, self.place, self.last_place = owner[first], place[first], place[last]
+        self.start = (begins[first] - self.text_starts[owner[first]]).astype(np.int32)
+        self.counts = begins[last] + counts[last] - begins[first]
         self.starts = np.cumsum(self.counts) - self.counts
+        self.words = self.all_words[np.arange(self.counts.sum()) + np.repeat(begins[first] - self.starts, self.counts)]
         n = max(0, len(self.words) - SHINGLE + 1)
         sums = np.zeros(n, np.uint64)
         for k, factor in enumerate(odd_numbers(SHINGLE, 1)):
@@ -110,79 +136,142 @@ class Units:
             out[:, b] = total
         return out.view(np.int64)
 
-    def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Paragraph, first word and hash of each passage; of equal ones in a paragraph only the first."""
-        n = len(self.words) - PASSAGE + 1
+    def passages(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Text and hash of each passage, and the words at which it starts in the text; equal ones of a text are together."""
+        n = len(self.all_words) - PASSAGE + 1
         if n < REACH:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), []
         marks = np.zeros(n, np.uint64)
         for k, factor in enumerate(odd_numbers(ANCHOR, 8)):
-            marks += self.words[k:k + n] * factor
+            marks += self.all_words[k:k + n] * factor
         marks = mixed(marks)
         least = rolling(marks, REACH, np.minimum)  # of the places i to i + REACH - 1
         most = rolling(np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)]), REACH, np.maximum)
         at = np.flatnonzero(marks == most)
-        unit = np.searchsorted(self.starts, at, "right") - 1
-        start = at - self.starts[unit]
-        inside = start + PASSAGE <= self.counts[unit]
-        at, unit, start = at[inside], unit[inside], start[inside]
+        text = np.searchsorted(self.text_starts, at, "right") - 1
+        start = at - self.text_starts[text]
+        inside = (start + PASSAGE <= self.text_counts[text]) & (self.text_counts[text] >= RUN)
+        at, text, start = at[inside], text[inside], start[inside]
+        keys = self.passage_keys(at)
+        order = np.lexsort((start, keys, text))
+        text, keys, start = text[order], keys[order], start[order].astype(np.int32)
+        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])])) if len(order) else np.zeros(0, np.int64)
+        return text[new], keys[new], np.split(start, new[1:]) if len(new) else []
+
+    def passage_keys(self, at: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(at), np.uint64)
         for k, factor in enumerate(odd_numbers(PASSAGE, 9)):
-            sums += mixed(self.words[at + k]) * factor
-        keys = mixed(sums).view(np.int64)
-        order = np.lexsort((start, keys, unit))
-        new = np.ones(len(order), bool)
-        new[1:] = (unit[order][1:] != unit[order][:-1]) | (keys[order][1:] != keys[order][:-1])
-        first = np.sort(order[new])
-        return unit[first], start[first].astype(np.int32), keys[first]
+            sums += mixed(self.all_words[at + k]) * factor
+        return mixed(sums).view(np.int64)
+
+    def spans(self, at: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """128 bits of the `lengths` words from each place of the batch, as two columns."""
+        out = []
+        for seed in (12, 13):
+            coded, sums = mixed(self.all_words * odd_numbers(1, seed)[0]), np.zeros(len(at), np.uint64)
+            for k, factor in enumerate(odd_numbers(int(lengths.max(initial=0)), seed + 10)):
+                inside = k < lengths
+                sums[inside] += coded[at[inside] + k] * factor
+            out.append(mixed(sums + lengths.astype(np.uint64)).view(np.int64))
+        return out
 
     def set_of(self, i: int) -> np.ndarray:
         return np.unique(self.shingles[self.offsets[i]:self.offsets[i] + self.sizes[i]])
 
 
-UNITS = "id long, th long, place int, start int, n_words int, c1 long, c2 long, keys array<long>"
+UNITS = "id long, th long, t2 long, place int, last_place int, start int, n_words int, c1 long, c2 long, keys array<long>, starts array<int>"
 SETS = "c1 long, c2 long, shingles array<long>"
+NAMES = ["id", "th", "t2", "place", "last_place", "start", "n_words", "c1", "c2", "keys", "starts"]
+
+
+def _texts(part: pa.RecordBatch) -> list[bytes | None]:
+    return part.column("text").cast(pa.binary()).to_pylist()
 
 
 def _units(least: int | None, n_bands: int, rows: int):
+    """Paragraphs with the keys of their bands; with `least` also passages, whose hash is c1 and which have starts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                u = Units(part.column("text").cast(pa.binary()).to_pylist(), least)
-                owner = pa.array(u.owner)
-                c1, c2 = u.names()
-                keys = u.keys(n_bands, rows)
-                names = ["id", "th", "place", "start", "n_words", "c1", "c2", "keys"]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(owner), part.column("th").take(owner), pa.array(u.place, pa.int32()), pa.nulls(len(owner), pa.int32()),
-                     pa.array(u.counts.astype(np.int32)), pa.array(c1), pa.array(c2),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel()))], names)
-                if least is None:
-                    continue
-                unit, start, key = u.passages()
-                owner = pa.array(u.owner[unit])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(owner), part.column("th").take(owner), pa.array(u.place[unit], pa.int32()), pa.array(start),
-                     pa.nulls(len(owner), pa.int32()), pa.array(key), pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.list_(pa.int64()))], names)
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            u = Units(_texts(part), least)
+            owner = pa.array(u.owner)
+            c1, c2 = u.names()
+            keys = u.keys(n_bands, rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(owner), part.column("th").take(owner), part.column("t2").take(owner), pa.array(u.place, pa.int32()), pa.array(u.last_place, pa.int32()),
+                 pa.array(u.start), pa.array(u.counts.astype(np.int32)), pa.array(c1), pa.array(c2),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel())), pa.nulls(len(owner), pa.list_(pa.int32()))], NAMES)
+            if least is None:
+                continue
+            text, key, starts = u.passages()
+            owner, none = pa.array(text), pa.nulls(len(text), pa.int32())
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(owner), part.column("th").take(owner), part.column("t2").take(owner), none, none, none, none, pa.array(key), none.cast(pa.int64()),
+                 pa.nulls(len(owner), pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(starts) if starts else np.zeros(0, np.int32)))], NAMES)
     return run
 
 
 def _sets(least: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                u = Units(part.column("text").cast(pa.binary()).to_pylist(), least)
-                c1, c2 = u.names()
-                asked = [set(x) for x in part.column("places").to_pylist()]
-                out = [{"c1": int(c1[i]), "c2": int(c2[i]), "shingles": u.set_of(i).view(np.int64)}
-                       for i in range(len(u.owner)) if int(u.place[i]) in asked[u.owner[i]]]
-                yield pa.RecordBatch.from_pylist(out, schema)
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            u = Units(_texts(part), least)
+            c1, c2 = u.names()
+            asked = [set(x) for x in part.column("places").to_pylist()]
+            out = [{"c1": int(c1[i]), "c2": int(c2[i]), "shingles": u.set_of(i).view(np.int64)}
+                   for i in range(len(u.owner)) if int(u.place[i]) in asked[u.owner[i]]]
+            yield pa.RecordBatch.from_pylist(out, schema)
     return run
 
 
+CONTEXTS = "t1 long, t2 long, key long, c1 long, c2 long, s int, left int, right int, lines array<int>"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each wanted passage with the hash of its words and the AROUND words on both sides; and per text where its lines begin."""
+    names = ["t1", "t2", "key", "c1", "c2", "s", "left", "right", "lines"]
+    for part in (p for batch in batches for p in slices(batch, "text")):
+        u = Units(_texts(part), 1)
+        asked = [np.unique(np.array(x, np.int64)) for x in part.column("starts").to_pylist()]
+        text, s = np.repeat(np.arange(len(asked)), [len(x) for x in asked]), np.concatenate(asked)
+        left, right = np.minimum(s, AROUND), np.minimum(u.text_counts[text] - s - PASSAGE, AROUND)
+        c1, c2 = u.spans(u.text_starts[text] + s - left, left + PASSAGE + right)
+        # where in the context the passage stands is part of its name
+        c1 = mixed(c1.view(np.uint64) + left.astype(np.uint64)).view(np.int64)
+        t1, t2, whose = part.column("th"), part.column("t2"), pa.array(text)
+        yield pa.RecordBatch.from_arrays(
+            [t1.take(whose), t2.take(whose), pa.array(u.passage_keys(u.text_starts[text] + s)), pa.array(c1), pa.array(c2), pa.array(s.astype(np.int32)), pa.array(left.astype(np.int32)),
+             pa.array(right.astype(np.int32)), pa.nulls(len(s), pa.list_(pa.int32()))], names)
+        lines = [np.zeros(0, np.int32)] * part.num_rows
+        for i in range(part.num_rows):
+            mine = u.line_owner == i
+            begins = np.zeros(int(u.line_place[mine].max(initial=0)) + 1, np.int32)
+            begins[u.line_place[mine]] = u.line_words[mine]
+            lines[i] = np.maximum.accumulate(begins)
+        none = pa.nulls(part.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([t1, t2, none, none, none, *[none.cast(pa.int32())] * 3, pa.array([x.tolist() for x in lines], pa.list_(pa.int32()))], names)
+
+
+RUNS = "t1 long, t2 long, id long, most long, s int, l int, h1 long, h2 long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All RUN words in a row that hold a wanted passage: they begin l words before it."""
+    names = ["t1", "t2", "id", "most", "s", "l", "h1", "h2"]
+    for part in (p for batch in batches for p in slices(batch, "text", 200, 1 << 20)):
+        u = Units(_texts(part), 1)
+        rows = [(i, x["id"], x["most"], x["s"]) for i, xs in enumerate(part.column("reps").to_pylist()) for x in xs]
+        text, ids, most, s = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        l = np.tile(np.arange(AROUND + 1), len(rows))
+        text, ids, most, s = (np.repeat(c, AROUND + 1) for c in (text, ids, most, s))
+        fits = (s >= l) & (s - l + RUN <= u.text_counts[text])
+        text, ids, most, s, l = text[fits], ids[fits], most[fits], s[fits], l[fits]
+        h1, h2 = u.spans(u.text_starts[text] + s - l, np.full(len(s), RUN))
+        whose = pa.array(text)
+        yield pa.RecordBatch.from_arrays([part.column("th").take(whose), part.column("t2").take(whose), pa.array(ids), pa.array(most), pa.array(s.astype(np.int32)), pa.array(l.astype(np.int32)),
+                                          pa.array(h1), pa.array(h2)], names)
+
+
 def link_tile(threshold: float):
     """Links among the paragraphs of a tile pair, as stars: Jaccard of the shingle sets, exact."""
     def work(group: pa.Table) -> pa.Table:
@@ -207,45 +296,44 @@ def link_tile(threshold: float):
 LAST = (1 << 63) - 1  # stands for a missing id, which comes after all others
 
 
-def _repeated_passages(passages: DataFrame, id_column: str) -> DataFrame:
-    """Rows like those of `repeated` for passages `id, place, start, key` that more than one document holds; those of a
-    line that go back to the same line of the same first document are one row. Equal hashes of 64 bits count as equal."""
-    rows = passages.select(F.coalesce("id", F.lit(LAST)).alias("id"), "place", "start", "key")
-    shared = store(rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least"), "shared")
-    found = store(rows.join(shared, "key"), "passages")
-    facts = store(found.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_paragraphs"), F.count_distinct("id").alias("n_documents"),
-        F.min(F.when(F.col("id") == F.col("least"), F.col("place"))).alias("first")), "facts")
-    lines = found.join(facts, "key").groupBy("id", "place", "least", "first").agg(
-        F.min("start").alias("start"), (F.max("start") + PASSAGE).alias("end"), F.max("n_paragraphs").alias("n_paragraphs"), F.max("n_documents").alias("n_documents"))
-    own = (F.col("id") == F.col("least")) & (F.col("place") == F.col("first"))
-    return lines.select(
-        F.nullif("id", F.lit(LAST)).alias(id_column), "place", F.lit("passage").alias("kind"), "start", "end", F.nullif("least", F.lit(LAST)).alias("component_id"),
-        F.col("first").alias("component_place"), "n_paragraphs", "n_documents", own.alias("kept"))
+def _first() -> Column:
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(8), text).alias("t2"), text.alias("text"))
 
 
-def _linked(rows: DataFrame, units: DataFrame, threshold: float, least: int | None) -> DataFrame:
-    """`c1, c2, root, first, n_paragraphs` of the names of all units in a component of two or more, stored."""
-    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
+def _candidates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct units `c1, c2, first, n`, and those that collide in a band, `c1, c2, key`; both stored."""
     classes = store(units.groupBy("c1", "c2").agg(
-        F.first("keys").alias("keys"), F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+        F.first("keys").alias("keys"), F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     buckets = classes.select("c1", "c2", F.explode("keys").alias("key"))
     shared = store(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("key").alias("_key")), "shared")
-    colliding = store(buckets.join(shared, F.col("key") == F.col("_key")).drop("_key"), "colliding")
+    return classes, store(buckets.join(shared, F.col("key") == F.col("_key")).drop("_key"), "colliding")
+
+
+def _wanted(classes: DataFrame, colliding: DataFrame) -> DataFrame:
+    """`_id, _th, place` of a text that holds each colliding unit."""
+    return classes.join(colliding.select("c1", "c2").distinct(), ["c1", "c2"]).select(
+        F.col("first.id").alias("_id"), F.col("first.th").alias("_th"), F.col("first.place").alias("place"))
+
+
+def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    return rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).drop("_id", "_th")
+
+
+def _linked(classes: DataFrame, colliding: DataFrame, texts: DataFrame, threshold: float, least: int | None) -> DataFrame:
+    """`c1, c2, root, first, n_paragraphs` of the names of all units in a component of two or more, stored.
+
+    texts: those that hold a colliding unit, with its places.
+    """
     members = colliding.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c1", "c2")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c1", "c2")).alias("y"))
     distinct = members.groupBy("n", "x", "y").agg(F.min("key").alias("_key")).select("_key")
     tiles = store(tile_pairs(colliding.join(distinct, F.col("key") == F.col("_key")).drop("_key"), ["key"], ["c1", "c2"], TILE), "tiles")
-    wanted = classes.join(colliding.select("c1", "c2").distinct(), ["c1", "c2"]).groupBy(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).agg(
-        F.collect_set("first.place").alias("places"))
-    sets = store(
-        rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "places")
-        .mapInArrow(_sets(least), SETS).dropDuplicates(["c1", "c2"]), "shingles")
+    sets = store(texts.select("text", "places").mapInArrow(_sets(least), SETS).dropDuplicates(["c1", "c2"]), "shingles")
     told = each_group(
         tiles.join(sets, ["c1", "c2"]).select("key", "_i", "_j", "c1", "c2", "shingles"), ["key", "_i", "_j"], link_tile(threshold),
         "a1 long, a2 long, b1 long, b2 long")
@@ -267,39 +355,104 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999,
     """
     rows = _rows(docs, id_column, text_column)
     units = store(rows.mapInArrow(_units(None, bands(threshold, recall=recall), ROWS), UNITS), "texts")
-    lookup = _linked(rows, units, threshold, None)
-    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
-    return units.drop("keys").join(lookup, ["c1", "c2"]).where(~own.eqNullSafe(F.col("first"))).select("id", "th").distinct()
+    classes, colliding = _candidates(units)
+    wanted = _wanted(classes, colliding).groupBy("_id", "_th").agg(F.collect_set("place").alias("places"))
+    lookup = _linked(classes, colliding, _fetched(rows, wanted), threshold, None)
+    return units.drop("keys").join(lookup, ["c1", "c2"]).where(~_first().eqNullSafe(F.col("first"))).select("id", "th").distinct()
+
+
+def _equal_runs(texts: DataFrame, holders: DataFrame, id_column: str) -> DataFrame:
+    """Rows like those of `repeated` for runs of at least RUN equal words in several documents.
+
+    texts: one row `th, t2, text, starts, least, most` per distinct text, starts of its shared passages, least and most
+    of its ids; holders: `th, t2, id` of all rows.
+
+    A passage and the words around it are one class; a class in two documents is a run by itself. Only the first of
+    each class is then cut into all its runs of RUN words, if its passage has more than one class: those found in
+    another document belong to a run, in whatever context. All names are 128 bits of the words in order.
+    """
+    every = store(texts.select("th", "t2", "text", "starts").mapInArrow(_contexts, CONTEXTS), "contexts")
+    ends = texts.select(F.col("th").alias("t1"), "t2", "least", "most")
+    places = every.where("key is not null").drop("lines").join(ends, ["t1", "t2"])
+    classes = store(places.groupBy("key", "c1", "c2").agg(
+        F.min(F.struct(F.col("least").alias("id"), "t1", "t2", "s")).alias("first"), F.max("most").alias("most"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
+    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    reps = classes.join(several, "key").groupBy(F.col("first.t1").alias("_t1"), F.col("first.t2").alias("_t2")).agg(
+        F.collect_list(F.struct(F.col("first.id").alias("id"), "most", F.col("first.s").alias("s"))).alias("reps"))
+    cut = store(texts.select("th", "t2", "text").join(reps, (F.col("th") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("th", "t2", "text", "reps").mapInArrow(_runs, RUNS), "runs")
+    held = cut.groupBy("h1", "h2").agg(F.min(F.struct("id", "t1", "t2", "s")).alias("by"), F.max("most").alias("_most")).where("by.id <> _most").drop("_most")
+    hits = store(cut.join(held, ["h1", "h2"]).groupBy("t1", "t2", "s", "by").agg(F.min("l").alias("l0"), F.max("l").alias("l1")), "hits")
+    reach = hits.groupBy(*[F.col(c).alias(f"_{c}") for c in ("t1", "t2", "s")]).agg(F.min("l0").alias("l0"), F.max("l1").alias("l1"))
+    own = F.col("first.id") != F.col("most")
+    same = (F.col("first.t1") == F.col("_t1")) & (F.col("first.t2") == F.col("_t2")) & (F.col("first.s") == F.col("_s"))
+    covers = store(classes.join(reach, same, "left").where(own | F.col("l1").isNotNull()).select(
+        "key", "c1", "c2", "first", F.when(own, F.col("left")).otherwise(F.col("l1")).alias("before"),
+        F.when(own, F.col("right") + PASSAGE).otherwise(RUN - F.col("l0")).alias("after")), "covers")
+    pieces = places.join(covers, ["key", "c1", "c2"]).select("t1", "t2", "s", "first", (F.col("s") - F.col("before")).alias("a"), (F.col("s") + F.col("after")).alias("b"))
+    text = Window.partitionBy("t1", "t2").orderBy("a", "b", "s")
+    reached = F.max("b").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    islands = pieces.withColumn("_new", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    spanned = store(islands.withColumns({c: f.over(Window.partitionBy("t1", "t2", "_span")) for c, f in (("a", F.min("a")), ("b", F.max("b")))}).select("t1", "t2", "s", "a", "b", "first"), "spans")
+    place = spanned.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("s").alias("_s"), F.struct("t1", "t2", "a").alias("node"))
+    links = spanned.select(F.struct("t1", "t2", "a").alias("a"), F.struct("first.t1", "first.t2", "first.s").alias("to")).union(
+        hits.select("t1", "t2", "s", F.struct("by.t1", "by.t2", "by.s").alias("to")).join(
+            place, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & (F.col("s") == F.col("_s"))).select(F.col("node").alias("a"), "to")).distinct()
+    edges = links.join(place, (F.col("to.t1") == F.col("_t1")) & (F.col("to.t2") == F.col("_t2")) & (F.col("to.s") == F.col("_s"))).select("a", F.col("node").alias("b")).distinct()
+    roots = components(edges).select(F.col("node.t1").alias("_t1"), F.col("node.t2").alias("_t2"), F.col("node.a").alias("_a"), F.col("component").alias("_root"))
+    spans = spanned.select("t1", "t2", "a", "b").distinct().join(roots, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & (F.col("a") == F.col("_a")), "left").select(
+        "t1", "t2", "a", "b", F.coalesce("_root", F.struct("t1", "t2", "a")).alias("root"))
+    lines = every.where("lines is not null").select("t1", "t2", "lines").dropDuplicates(["t1", "t2"])
+    line = lambda c: (F.size(F.filter("lines", lambda x: x <= F.col(c))) - 1).cast("int")
+    told = spans.join(lines, ["t1", "t2"]).withColumn("_last", F.col("b") - 1).select("t1", "t2", "a", "b", "root", line("a").alias("place"), line("_last").alias("last_place"))
+    rows = store(holders.select(F.col("th").alias("t1"), "t2", "id").join(told, ["t1", "t2"]), "holders")
+    whole = rows.groupBy("root").agg(
+        F.min(F.struct("id", "a", "place", "t1", "t2")).alias("first"), F.count(F.lit(1)).alias("n_paragraphs"), F.count_distinct("id").alias("n_documents"))
+    own = (F.col("id") == F.col("first.id")) & (F.col("a") == F.col("first.a")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    return rows.join(whole, "root").select(
+        F.nullif("id", F.lit(LAST)).alias(id_column), "place", "last_place", F.lit("passage").alias("kind"), F.col("a").alias("start"), F.col("b").alias("end"),
+        F.nullif("first.id", F.lit(LAST)).alias("component_id"), F.col("first.place").alias("component_place"), "n_paragraphs", "n_documents", own.alias("kept"))
 
 
 def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`id, place, kind, start, end, component_id, component_place, n_paragraphs, n_documents, kept` of all repeated paragraphs.
-
-    A paragraph is a line with at least `least_words` words (digits, A-Z as a-z, other letters); place is the number of
-    its line. Paragraphs link where the Jaccard similarity of their sets of five-word shingles is at least the threshold
-    and they collide in a band; bands are as many as the recall at the threshold asks for. A component is a set of
-    paragraphs reachable by links, named by its first one: smallest id (those without an id come last), then place.
-    That one is kept. Components of one paragraph are not listed.
-
-    A paragraph may repeat only in part, as when a passage was added to a line. Each is therefore also cut at minima of
-    word hashes into passages of 20 words, chosen by their own words alone: 50 equal words hold at least one equal
-    passage, wherever they stand. Passages in several documents are listed with kind `passage` and the words from start
-    to end that they cover.
-
-    Equal paragraphs are one item from the first shuffle on. Only those that collide have their shingles fetched; of
-    buckets with the same members one is compared; large ones are cut into tiles. Null and empty texts have no
-    paragraphs; rows with the same id are one document; rows that repeat repeat their paragraphs. An empty table gives
-    an empty result.
+    """`id, place, last_place, kind, start, end, component_id, component_place, n_paragraphs, n_documents, kept` of all repeats.
+
+    Kind `paragraph`: a line with at least `least_words` words (digits, A-Z as a-z, other letters), or shorter lines in a
+    row until they have as many. Paragraphs link where the Jaccard similarity of their sets of five-word shingles is at
+    least the threshold and they collide in a band; bands are as many as the recall at the threshold asks for. A
+    component is a set of paragraphs reachable by links, named by its first one: smallest id (those without an id come
+    last), then place. That one is kept. Components of one paragraph are not listed.
+
+    Kind `passage`: a text may repeat only in part, or wrapped otherwise. The words of the whole text, whatever its
+    lines, are therefore also cut at minima of word hashes into passages of 20 words: 51 equal words hold at least one
+    equal passage. Around passages of several documents all that belongs to a run of 51 or more words which another
+    document holds as well is one span per stretch, from start to end; spans that share a run form a component.
+
+    place and last_place: numbers of the lines on which it begins and ends; start and end: words of the text. Equal
+    paragraphs, equal texts, and equal passages in equal surroundings are one item from the first shuffle on. Only what
+    collides has its text fetched; large buckets are cut into tiles. Null and empty texts have no repeats; rows with the
+    same id are one document; rows that repeat repeat their rows. An empty table gives an empty result.
     """
     rows = _rows(docs, id_column, text_column)
     every = store(rows.mapInArrow(_units(least_words, bands(threshold), ROWS), UNITS), "paragraphs")
-    units = every.where("start is null").drop("start")
-    lookup = _linked(rows, units, threshold, least_words)
+    units = every.where("starts is null").drop("starts")
+    classes, colliding = _candidates(units)
+    passages = every.where("starts is not null").select(F.coalesce("id", F.lit(LAST)).alias("id"), "th", "t2", F.col("c1").alias("key"), "starts")
+    ends = passages.groupBy("th", "t2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shared = store(passages.groupBy("key").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b").select("key"), "shared")
+    starts = passages.join(shared, "key").groupBy("th", "t2").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+    cut = starts.join(ends, ["th", "t2"]).select(F.nullif("least", F.lit(LAST)).alias("_id"), F.col("th").alias("_th"), F.col("t2").alias("_t2"), "starts", "least", "most")
+    both = _wanted(classes, colliding).withColumn("cut", F.lit(None).cast("struct<t2:long,starts:array<int>,least:long,most:long>")).unionByName(
+        cut.select("_id", "_th", F.lit(None).cast("int").alias("place"), F.struct(F.col("_t2").alias("t2"), "starts", "least", "most").alias("cut")))
+    wanted = both.groupBy("_id", "_th").agg(F.collect_set("place").alias("places"), F.collect_list("cut").alias("cuts"))
+    fetched = store(_fetched(rows, wanted).dropDuplicates(["th", "t2", "id"]), "fetched")
+    lookup = _linked(classes, colliding, fetched.where(F.size("places") > 0), threshold, least_words)
     found = units.drop("keys").join(lookup, ["c1", "c2"])
     many = found.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n_documents"))
-    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "place", "th")
-    whole_lines = found.join(many, "root").select(
-        F.col("id").alias(id_column), "place", F.lit("paragraph").alias("kind"), F.lit(0).alias("start"), F.col("n_words").alias("end"),
+    blocks_found = found.join(many, "root").select(
+        F.col("id").alias(id_column), "place", "last_place", F.lit("paragraph").alias("kind"), "start", (F.col("start") + F.col("n_words")).alias("end"),
         F.col("first.id").alias("component_id"), F.col("first.place").alias("component_place"), "n_paragraphs", "n_documents",
-        own.eqNullSafe(F.col("first")).alias("kept"))
-    return whole_lines.unionByName(_repeated_passages(every.where("start is not null").withColumnRenamed("c1", "key"), id_column))
+        _first().eqNullSafe(F.col("first")).alias("kept"))
+    texts = fetched.select("th", "t2", "text", F.get(F.filter("cuts", lambda c: c["t2"] == F.col("t2")), F.lit(0)).alias("cut")).where("cut is not null").select(
+        "th", "t2", "text", "cut.starts", "cut.least", "cut.most")
+    holders = rows.select("th", "t2", F.coalesce("id", F.lit(LAST)).alias("id"))
+    return blocks_found.unionByName(_equal_runs(texts, holders, id_column))

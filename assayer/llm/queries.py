@@ -131,8 +131,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_substring_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that more than one document holds; documents without any have no row."""
-    return paragraphs.repeated(table(spark, sf_dir, "documents"), threshold=0.8, least_words=25).where("n_documents > 1")
+    """Paragraphs and passages of over 50 words that more than one document holds; documents without any have no row."""
+    return paragraphs.repeated(table(spark, sf_dir, "documents"), threshold=0.8, least_words=51).where("n_documents > 1")
 
 
 OP1 = """
