@@ -16,9 +16,10 @@ SCALE, SHIFT = 1024.0, 100_000  # an entry c becomes floor(SCALE * c) + SHIFT
 LARGEST = 2.0 ** 40  # an entry beyond, once scaled, counts as not finite: its products would leave 38 digits
 LIMB = 18  # bits; products of two limbs of LIMB bits over CHUNK rows are exact in a double
 CHUNK = 1 << 14
-NODES = 8  # quadrature points on the upper half of a contour
+NODES = 16  # quadrature points on the upper half of a contour
 MOST = 6  # eigenvalues that an interval is divided down to, unless they cannot be told apart
-ROUNDS = 12
+ROUNDS = 40
+PATIENCE = 4  # rounds after which the block of an interval that has not settled gets new columns
 TINY = 1e-12  # of the largest eigenvalue: less counts as no spread
 
 
@@ -177,23 +178,24 @@ def feast(spark: SparkSession, matrix: np.ndarray, wanted: int, seed: int = 12)
 
     Inertia counts cut the real line into intervals. A circle around each is integrated by Gauss-Legendre quadrature of
     (z - V)^-1 Y, which keeps of the random block Y what lies in the span of the eigenvectors inside. The points of all
-    circles are tasks of one Spark job. Rayleigh-Ritz on the span gives eigenvalues and the next block, until the
-    residuals are rounding errors. Fewer eigenvalues than the count says is an error.
+    circles are tasks of one Spark job. Rayleigh-Ritz on the span gives eigenvalues and the next block, until there are
+    as many as the count says and the residuals are rounding errors. A block that does not settle, as where eigenvalues
+    crowd on both sides of a circle, is widened. Fewer eigenvalues than the count says are an error.
     """
     rng, d = np.random.default_rng(seed), len(matrix)
     parts = dict(enumerate(intervals(matrix, wanted)))
-    blocks = {k: rng.standard_normal((d, min(d, inside + max(3, inside // 2)))) for k, (_, _, inside) in parts.items()}
+    blocks = {k: rng.standard_normal((d, min(d, 2 * inside + 6))) for k, (_, _, inside) in parts.items()}
     x, w = np.polynomial.legendre.leggauss(NODES)
     size = float(np.abs(matrix).sum(axis=1).max())
     done: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for _ in range(ROUNDS):
+    for turn in range(1, ROUNDS + 1):
         nodes = []
         for k in blocks:
             low, high, _ = parts[k]
             middle, radius = (low + high) / 2, (high - low) / 2
             for xi, wi in zip(x, w, strict=True):
-                turn = np.exp(1j * np.pi / 2 * (1 - xi))
-                z, weight = middle + radius * turn, wi / 2 * radius * turn
+                point = np.exp(1j * np.pi / 2 * (1 - xi))
+                z, weight = middle + radius * point, wi / 2 * radius * point
                 nodes.append((k, float(z.real), float(z.imag), float(weight.real), float(weight.imag)))
         frame = spark.createDataFrame(nodes, "interval int, re double, im double, wre double, wim double").repartition(len(nodes))
         terms: dict[int, np.ndarray] = {}
@@ -211,7 +213,8 @@ def feast(spark: SparkSession, matrix: np.ndarray, wanted: int, seed: int = 12)
                 done[k] = values[within], vectors[:, within]
                 del blocks[k]
             else:
-                blocks[k] = vectors
+                more = min(d - vectors.shape[1], vectors.shape[1]) if turn % PATIENCE == 0 else 0
+                blocks[k] = np.hstack([vectors, rng.standard_normal((d, more))])
         if not blocks:
             break
     if blocks:

@@ -174,3 +174,12 @@ def test_products_are_exact_beyond_doubles():
     parts = whitening.exact_products(y)
     total = sum(g.astype(object) * (1 << power) for power, g in parts.items())
     assert (total == y.astype(object).T @ y.astype(object)).all()
+
+
+def test_crowded_eigenvalues_are_told_apart(spark):
+    rng = np.random.default_rng(8)
+    q, _ = np.linalg.qr(rng.normal(size=(64, 64)))
+    values = np.sort(np.concatenate([[27000.0, 26600.0], 17000 * (1 + np.sort(rng.uniform(0, 0.02, 62)))]))[::-1]
+    a = (q * values) @ q.T
+    got, axes = whitening.feast(spark, (a + a.T) / 2, 8)
+    assert np.allclose(got, values[:8], rtol=1e-12) and np.abs(np.abs(axes.T @ q[:, :8]) - np.eye(8)).max() < 1e-7
