@@ -82,6 +82,13 @@ def probability_losses(scored: DataFrame, by: Sequence[str], y: str = "y", p: st
                                    F.avg(F.col(y).cast("double")).alias("prevalence"))
 
 
+def exact_mean(c: str) -> Column:
+    """Mean of a column from a sum of decimals (15 digits after the point): the order of rows has no effect. NaN is skipped."""
+    x = F.col(c).cast("double")
+    x = F.when(~F.isnan(x), x).cast("decimal(38,15)")
+    return F.try_divide(F.sum(x).cast("double"), F.count(x))
+
+
 def calibration(scored: DataFrame, by: Sequence[str], bins: int = 10, strategy: str = "uniform", y: str = "y", p: str = "p",
                 few_groups: bool | None = None) -> DataFrame:
     """Mean score and observed rate per bin (right-closed); empty bins do not appear."""
@@ -92,8 +99,8 @@ def calibration(scored: DataFrame, by: Sequence[str], bins: int = 10, strategy:
         q = quantiles(scored, by, p, [i / bins for i in range(1, bins)], few_groups=few_groups).select(
             *by, F.col("qs").alias("_e"))
         placed = join_small(scored, q, list(by), few_groups).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(p))))
-    return placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(p).alias("mean_score"),
-                                          F.avg(F.col(y).cast("double")).alias("observed_rate"))
+    return placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("rows"), exact_mean(p).alias("mean_score"),
+                                          exact_mean(y).alias("observed_rate"))
 
 
 def threshold_sweep(scored: DataFrame, by: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:

@@ -67,18 +67,18 @@ def _(spark, sf):
 
 
 def calibration_sql(edges: str) -> str:
-    return f"""SELECT model_id, CAST(bin AS BIGINT) AS bin, count(*) AS rows, round(avg(p), 6) + 0.0 AS mean_score, round(avg(y), 6) + 0.0 AS observed_rate FROM (
+    return f"""SELECT model_id, CAST(bin AS BIGINT) AS bin, count(*) AS rows, round(CAST(sum(CAST(p AS DECIMAL(38,15))) AS DOUBLE) / count(*), 12) + 0.0 AS mean_score, round(sum(y)::DOUBLE / count(*), 12) + 0.0 AS observed_rate FROM (
  SELECT s.*, len(list_filter({edges}, lambda e: e < p)) AS bin FROM scored s JOIN ed USING (model_id)) GROUP BY 1, 2"""
 
 
 @query("l05_calibration_uniform", f"WITH {SCORED}, ed AS (SELECT DISTINCT model_id, [1/10.0::DOUBLE, 2/10.0::DOUBLE, 3/10.0::DOUBLE, 4/10.0::DOUBLE, 5/10.0::DOUBLE, 6/10.0::DOUBLE, 7/10.0::DOUBLE, 8/10.0::DOUBLE, 9/10.0::DOUBLE] AS e0 FROM scored) {calibration_sql('e0')}")
 def _(spark, sf):
-    return rounded(ev.calibration(scored(spark, sf), BY))
+    return rounded(ev.calibration(scored(spark, sf), BY), 12)
 
 
 @query("l05_calibration_quantile", f"WITH {SCORED}, ed AS (SELECT model_id, [{', '.join(f'quantile_cont(p, {i}/10.0::DOUBLE)' for i in range(1, 10))}] AS e0 FROM scored GROUP BY 1) {calibration_sql('e0')}")
 def _(spark, sf):
-    return rounded(ev.calibration(scored(spark, sf), BY, strategy="quantile"))
+    return rounded(ev.calibration(scored(spark, sf), BY, strategy="quantile"), 12)
 
 
 SWEEP = f"""{SCORED},
