@@ -129,15 +129,19 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
 def sample_windows(labelled: DataFrame, key: Column, lang_column: str, text_column: str, sample: int, each: int) -> tuple[np.ndarray, list[str]]:
     """Up to `each` evenly spread windows of at most `sample` labelled rows, as many of each language as there are.
 
-    A hash of the key thins each language to about twice the sample before anything is sorted or shuffled; the rows are
-    then those first in the hash, by language and then overall. Only the `sample` most frequent languages take part. The driver gets at most sample x each x WINDOW bytes.
+    What is sampled are distinct pairs of key and text, known by their hash: rows that repeat, or share a key or have
+    none, are told apart by their text. The number of distinct pairs of a language (a sketch) thins it to about twice the
+    sample before anything is sorted; the rows are then those first in the hash, by language and then overall. Only the
+    `sample` languages with most of them take part. The driver gets at most sample x each x WINDOW bytes.
     """
-    slim = labelled.where(F.col(lang_column).isNotNull()).select(key.alias("_key"), F.col(lang_column).alias("_lang")).withColumn("_h", F.xxhash64("_key"))
-    share = slim.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(sample)
+    known = labelled.where(F.col(lang_column).isNotNull()).select(
+        F.xxhash64(key, F.coalesce(F.col(text_column), F.lit(""))).alias("_h"), F.col(lang_column).alias("_lang"), F.col(text_column).alias("_text"))
+    slim = known.select("_h", "_lang")
+    share = slim.groupBy(F.col("_lang").alias("_l")).agg(F.approx_count_distinct("_h", 0.02).alias("_n")).orderBy(F.desc("_n"), "_l").limit(sample)
     low = F.pmod("_h", F.lit(1 << 20)) * F.col("_n") <= F.lit(2 * sample << 20)
-    thinned = slim.join(F.broadcast(share), F.col("_lang") == F.col("_l")).where(low)
+    thinned = slim.join(F.broadcast(share), F.col("_lang") == F.col("_l")).where(low).select("_h", "_lang").distinct()
     ranked = thinned.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_r") <= sample)
-    chosen = ranked.orderBy("_r", "_h", "_lang").limit(sample).select(F.col("_key").alias("_k"), "_r").dropDuplicates(["_k"])
+    chosen = ranked.orderBy("_r", "_h", "_lang").limit(sample).select(F.col("_h").alias("_k"), F.col("_lang").alias("_l"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -148,11 +152,9 @@ def sample_windows(labelled: DataFrame, key: Column, lang_column: str, text_colu
                 out += [(h, i, lang, w[i].tobytes()) for i in picks if any(c.isalpha() for c in text or "")]
             yield pd.DataFrame(out, columns=["h", "i", "lang", "bytes"])
 
-    texts = labelled.where(F.col(lang_column).isNotNull()).select(
-        key.alias("_key"), F.xxhash64(key, F.col(text_column)).alias("_h"), F.col(lang_column).alias("_lang"), F.col(text_column).alias("_text"))
     rows = (
-        texts.join(F.broadcast(chosen), F.col("_key") == F.col("_k")).select("_h", "_lang", "_text")
-        .mapInPandas(cut, "h long, i int, lang string, bytes binary").orderBy("h", "i", "lang", "bytes").limit(sample * each).collect())
+        known.join(F.broadcast(chosen), (F.col("_h") == F.col("_k")) & (F.col("_lang") == F.col("_l"))).select("_h", "_lang", "_text")
+        .mapInPandas(cut, "h long, i int, lang string, bytes binary").distinct().orderBy("h", "i", "lang", "bytes").limit(sample * each).collect())
     return np.array([np.frombuffer(r.bytes, np.uint8) for r in rows]).reshape(len(rows), WINDOW), [r.lang for r in rows]
 
 

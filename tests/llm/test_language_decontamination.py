@@ -111,6 +111,47 @@ def test_language_of_odd_rows(spark):
     assert language.identify(frame(spark, []).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 4])
+def test_rows_that_share_an_id_or_have_none_are_learned_from(spark, key):
+    """60,000 rows under one key, two of three of them one text that repeats."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 100").select(F.substring("text", 1, 300).alias("text"), "lang")
+    own = base.crossJoin(spark.range(20_000 // base.count() + 1)).limit(20_000).select(F.concat_ws(" ", "text", "id").alias("text"), "lang")
+    rows = own.union(base.where("lang = 'de'").limit(1).crossJoin(spark.range(40_000)).select("text", "lang")).select(F.lit(key).cast("long").alias("doc_id"), "text", "lang")
+    assert zlib.crc32(b"4") % 4 != 2
+    net = language.train(rows)
+    assert net.languages == sorted(r.lang for r in base.select("lang").distinct().collect())
+    out = rows.select("lang", language.answer(net, F.col("text"))["lang"].alias("found")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("found") == F.col("lang")).alias("right"), F.count_if(F.col("found") == 'und').alias("und")).first()
+    assert out.n == 60_000 and out.und == 0 and out.right >= 0.97 * out.n
+
+
+def slow_answer(net, text):
+    """Forward pass in plain loops: every window, every filter of every width at every place."""
+    raw = text.encode()
+    share, mass = np.zeros(len(net.languages)), 0.0
+    for at in range(0, len(raw), language.WINDOW):
+        window = raw[at:at + language.WINDOW].ljust(language.WINDOW, b"\0")
+        hidden = []
+        for f in range(net.filters.shape[1]):
+            width = language.WIDTHS[f // language.FILTERS]
+            best = max(sum(float(net.embedding[window[p + k]] @ net.filters[k * language.EMBEDDING:(k + 1) * language.EMBEDDING, f]) for k in range(width))
+                       for p in range(language.WINDOW - max(language.WIDTHS) + 1))
+            hidden.append(max(0.0, best + float(net.bias[f])))
+        e = np.exp(np.array(hidden) @ net.out + net.out_bias)
+        letters = sum(bytes([b]).isalpha() or b >= 128 for b in window) + 1e-3
+        share, mass = share + letters * e / e.sum(), mass + letters
+    return net.languages[int(share.argmax())], float((share / mass).max())
+
+
+def test_answers_equal_a_forward_pass_in_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = language.train(docs)
+    rows = docs.where("length(text) between 40 and 1500").orderBy("doc_id").limit(12)
+    for r in rows.select("text", language.answer(net, F.col("text")).alias("a")).collect():
+        lang, score = slow_answer(net, r.text)
+        assert r.a.lang == lang and r.a.score == pytest.approx(score, abs=1e-4)
+
+
 def test_windows_cover_the_text():
     text = "aé" * 1000
     assert language.windows_of(text).tobytes().rstrip(b"\0").decode() == text
