@@ -178,7 +178,9 @@ def http_field(head: bytes, name: str) -> str | None:
 
 
 def _whole(value: str | None) -> int | None:
-    return int(value) if value and re.fullmatch(r"-?\d{1,18}", value) else None
+    """The whole number a field says, if it is one of 64 bits."""
+    found = int(value) if value and re.fullmatch(r"-?[0-9]{1,19}", value) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
 
 
 ENTRIES = "archive string, number int, record_id string, url string, date string, page_id long, payload_bytes long, payload_digest string, http boolean"

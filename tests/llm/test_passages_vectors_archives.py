@@ -279,3 +279,12 @@ def test_queries_match_brute_force_on_given_rows(spark):
     links, roots = brute_vectors(rows)
     out = {r.vec_id: (r.n_links, r.component_id) for r in queries.QUERIES["op4_embedding_dedup"](spark, SF).collect()}
     assert out == {r[0]: (n, rows[k][0]) for r, n, k in zip(rows, links, roots, strict=True)}
+
+
+def test_page_ids_up_to_the_limits_of_a_long_are_read_back(spark):
+    most, html = (1 << 63) - 1, "<p>" + "x" * 200
+    rows = [(most, "http://a/", html), (10 ** 18 + 5, "http://b/", html), (10 ** 18 + 7, "http://c/", html), (-most - 1, "http://d/", "<p>short"), (-1, "http://e/", html + "y"), (most - 1, "http://f/", html + "y")]
+    out = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), least_bytes=100).collect()}
+    first = 10 ** 18 + 5
+    assert out == {most: ("revisit", first), first: ("response", None), first + 2: ("revisit", first), -most - 1: ("response", None), -1: ("response", None), most - 1: ("revisit", -1)}
+    assert [warc._whole(x) for x in ("9223372036854775808", "-9223372036854775809", "\u0661", "1.0", "", None, "12")] == [None] * 6 + [12]
