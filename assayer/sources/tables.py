@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +67,10 @@ def reject_duplicate_names(df: DataFrame) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """The shared folder of the session for tables that a query writes: that for checkpoints, else the warehouse."""
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written below `work_folder` and read back: what follows starts from files, whatever executor is lost."""
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
