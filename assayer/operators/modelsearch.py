@@ -14,11 +14,11 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -72,7 +72,7 @@ def _stages(c: Candidate, kind: str) -> list:
 
 
 def fit(train: DataFrame, c: Candidate, kind: str):
-    """Pipeline model on rows with a numeric label `y`; save it with `model.write().save(path)`."""
+    """Pipeline model on rows with a numeric label `y`."""
     return Pipeline(stages=_stages(c, kind)).fit(train)
 
 
@@ -86,6 +86,90 @@ def predict(model, rows: DataFrame, c: Candidate, kind: str, keep: Sequence[str]
     return scored.select(*keep, F.lit(c.model_id).alias("model_id"), F.col("y"), out)
 
 
+def fit_labelled(train: DataFrame, c: Candidate, kind: str, label: str) -> PipelineModel:
+    """Pipeline model that learns its classes with its weights: an indexer of `label` (classes in order of their names), then
+    the stages of `fit`. A regression takes the label as a number. Rows without a label are not learned from."""
+    rows = train.where(F.col(label).isNotNull())
+    if kind == "regression":
+        return fit(rows.withColumn("y", F.col(label).cast("double")), c, kind)
+    named = rows.withColumn(label, F.col(label).cast("string"))
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc"), *_stages(c, kind)]).fit(named)
+
+
+def _labels(model: PipelineModel) -> StringIndexerModel | None:
+    return next((s for s in model.stages if isinstance(s, StringIndexerModel) and s.getOrDefault("outputCol") == "y"), None)
+
+
+def class_order(model: PipelineModel) -> list[str]:
+    """The classes in the order of the model's probabilities, read from its fitted indexer; none for a regression."""
+    indexer = _labels(model)
+    return list(indexer.labels) if indexer is not None else []
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write the fitted stages to a shared folder; a folder that holds a model already is an error."""
+    model.write().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def feature_problems(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """rows with `problems`: the inputs of the model that are null or not finite, and categories that it never saw.
+
+    The inputs are read from the stages of the model, as are the known categories. An input that rows lack is an error.
+    """
+    numeric, known = [], {}
+    for s in model.stages:
+        if isinstance(s, StringIndexerModel) and s is not _labels(model):
+            known.update(zip(s.getInputCols(), s.labelsArray, strict=True))
+        elif s.hasParam("outputCol") and s.getOrDefault("outputCol") == "_num":
+            numeric = s.getInputCols()
+    missing = sorted({*numeric, *known} - set(rows.columns))
+    if missing:
+        raise ValueError(f"inputs of the model are missing: {missing}")
+    bad = [F.when(F.coalesce(~(F.abs(F.col(x).cast("double")) < float("inf")), F.lit(True)), F.lit(f"not_finite:{x}")) for x in numeric]
+    for x, labels in known.items():
+        levels = F.array(*[F.lit(v) for v in labels]) if labels else F.array().cast("array<string>")
+        bad.append(F.when(F.col(x).isNull(), F.lit(f"missing:{x}")).when(~F.array_contains(levels, F.col(x).cast("string")), F.lit(f"unknown:{x}")))
+    return rows.withColumn("problems", F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>"))
+
+
+def score(model: PipelineModel, rows: DataFrame, kind: str, keep: Sequence[str], threshold: float = 0.5, unit: str = "") -> DataFrame:
+    """`keep…, problems` and the output of a fitted or loaded model, whose rows need no label.
+
+    binary: `p` of the second class, `label` at the threshold, `valid`. multiclass: `probs` in the class order of the model,
+    `label`, `top_probability`, `valid`. regression: `pred`, `unit`, `valid`. Rows with a null or not finite input are not
+    scored: their output is null and not valid. A category that the model never saw is scored as one of its own.
+    """
+    indexer = _labels(model)
+    stages = PipelineModel([s for s in model.stages if s is not indexer])
+    checked = feature_problems(rows, model)
+    usable = ~F.exists("problems", lambda x: x.startswith("not_finite:") | x.startswith("missing:"))
+    names = [f"_k{i}" for i in range(len(keep))]
+    wanted = [f.name for f in checked.schema.fields if f.name not in ("_num", "_std", "_features")]
+    kept = checked.select(*wanted, *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], usable.alias("_usable"))
+    scored = stages.transform(kept.where("_usable"))
+    if kind == "regression":
+        new = [F.col("prediction").alias("pred")]
+    elif "probability" not in scored.columns:
+        raise ValueError("this family has no probabilities to score with")
+    elif kind == "binary":
+        new = [F.element_at(vector_to_array("probability"), 2).alias("p")]
+    else:
+        new = [vector_to_array("probability").alias("probs")]
+    out = scored.select(*names, "problems", *new).unionByName(kept.where("not _usable").select(*names, "problems"), allowMissingColumns=True)
+    if kind == "regression":
+        out = ev.continuous_output(out, unit)
+    elif kind == "binary":
+        negative, positive = class_order(model)
+        out = ev.binary_output(out, threshold, positive, negative)
+    else:
+        out = ev.multiclass_output(out, class_order(model))
+    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+
+
 def search(train: DataFrame, candidates: Sequence[Candidate], kind: str, folds: int, parallelism: int = 4) -> DataFrame:
     """Out-of-fold predictions `fold, model_id, y, p | pred` of every candidate; `train` has y and fold 0…k-1.
 
