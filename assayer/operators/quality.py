@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -302,9 +302,8 @@ def issue_masks(df: DataFrame, c: str, rule: ValueRule) -> dict[str, Column]:
     return {k: masks[k] for k in ISSUES if k in masks}
 
 
-def value_checks(df: DataFrame, rules: Mapping[str, ValueRule]) -> DataFrame:
-    """Missing, blank, inconsistent, invalid and affected rows of every ruled column in one scan."""
-    df = with_numbers(df, rules)
+def _value_measures(df: DataFrame, rules: Mapping[str, ValueRule]) -> tuple[list[Column], list[dict[str, Column]]]:
+    """Aggregates over rows of `with_numbers`, and the report rows that they become."""
     aggs, rows = [F.count(F.lit(1)).alias("row_count")], []
     for i, (c, rule) in enumerate(rules.items()):
         if c not in df.columns:
@@ -328,9 +327,51 @@ def value_checks(df: DataFrame, rules: Mapping[str, ValueRule]) -> DataFrame:
             "affected_percent": F.coalesce(F.round(100 * F.try_divide(n("a"), F.col("row_count")), 4), F.lit(0.0)),
             "issue_types": F.concat_ws(", ", *[F.when(n(k) > 0, F.lit(k)) for k in masks]),
             "status": F.when(n("a") > 0, "Review required").otherwise("Valid")})
+    return aggs, rows
+
+
+def value_checks(df: DataFrame, rules: Mapping[str, ValueRule]) -> DataFrame:
+    """Missing, blank, inconsistent, invalid and affected rows of every ruled column in one scan."""
+    df = with_numbers(df, rules)
+    aggs, rows = _value_measures(df, rules)
     return rows_of(df.agg(*aggs), rows, keep=["row_count"])
 
 
+class CheckFailed(ValueError):
+    """A strict gate found issues; `report` has them as rows."""
+
+    def __init__(self, report: DataFrame, columns: Sequence[str]):
+        super().__init__(f"values to review in {', '.join(columns)}")
+        self.report = report
+
+
+def write_checked(df: DataFrame, path: str, rules: Mapping[str, ValueRule], strict: bool = False, mode: str = "errorifexists") -> DataFrame:
+    """Write the rows as they are and check them in the same job; returns the rows of `value_checks`.
+
+    The measures are observed while the rows pass to the files, so the input is read once, and a task that runs again
+    counts once. The report is stored beside the table, in `path` + "-checks". Nothing is left out or changed: a strict
+    gate that finds issues raises CheckFailed after both are written, so that the rows can be looked into. A ruled
+    column that the table lacks is reported; an empty table has no issues.
+    """
+    names = df.columns
+    number = lambda c: parse_number(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c).cast("double")
+    numbers = {f"_num_{c}": number(c) for c, rule in rules.items() if rule.numeric and c in names}
+    parsed = df.withColumns(numbers) if numbers else df
+    aggs, rows = _value_measures(parsed, rules)
+    seen = Observation()
+    parsed.observe(seen, *aggs).select(*names).write.mode(mode).parquet(path)
+    spark = df.sparkSession
+    fields = ", ".join(f"`{k}` long" for k in seen.get)
+    told = rows_of(spark.createDataFrame([tuple(seen.get.values())], fields), rows, keep=["row_count"])
+    told.write.mode(mode).parquet(f"{path}-checks")
+    report = spark.read.schema(told.schema).parquet(f"{path}-checks")
+    if strict:
+        bad = [r["column"] for r in report.where("status <> 'Valid'").orderBy("column").select("column").collect()]
+        if bad:
+            raise CheckFailed(report, bad)
+    return report
+
+
 def issue_samples(df: DataFrame, rules: Mapping[str, ValueRule], top: int = 5) -> DataFrame:
     """The `top` most frequent raw values per column and issue (count descending, then text).
 

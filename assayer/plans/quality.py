@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,8 @@ from assayer.operators import identity as idn
 from assayer.operators import leakage as lk
 from assayer.operators import profile as pf
 from assayer.operators import quality as q
-from assayer.plans.registry import R, query, rounded
-from assayer.sources.tables import table
+from assayer.plans.registry import ORACLE, R, query, rounded
+from assayer.sources.tables import table, work_folder
 
 DIRTY = """
 dirty AS (SELECT *, CASE WHEN l_partkey % 50 = 0 THEN NULL WHEN l_linenumber = 7 THEN '  ' WHEN l_orderkey % 97 = 0 THEN 'n/a'
@@ -334,6 +335,12 @@ def _(spark, sf):
     return q.numeric_target_contract(df, "x", ["l_returnflag"])
 
 
+@query("c19_checked_write", ORACLE["c03_value_checks"])
+def _(spark, sf):
+    """The checks of c03 while the rows are written: one job, one scan."""
+    return rounded(q.write_checked(dirty_lineitem(spark, sf), f"{work_folder(spark)}/checked-{uuid.uuid4().hex}", RULES), affected_percent=4)
+
+
 @query("c19_failed_checks", f"{CONTRACT_ROWS} SELECT * FROM ({CONTRACT}) WHERE NOT ok")
 def _(spark, sf):
     return q.failed(line_contract(spark, sf))
