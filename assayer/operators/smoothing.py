@@ -219,10 +219,14 @@ AUTOREGRESSION = {"autoreg_lag_1_12_ct": (1, 12), "autoreg_lag_1_2_12_ct": (1, 2
 SEASONAL_ARMA = "sarima_100_011_12"
 RECURSIVE = (*SMOOTHING, *AUTOREGRESSION, SEASONAL_ARMA)
 
-# Declared grids of the weights; the point with the least sum of squared one-step errors is taken.
+# Declared grids of the weights. From the point with the least sum of squared one-step errors the search goes on: one step up or
+# down in each weight, steps halved each time, down to 1e-4.
 WEIGHTS = (0.05, 0.2, 0.4, 0.6, 0.8)
 DAMPING = (0.8, 0.9, 0.98)
 ARMA_GRID = tuple(round(-0.9 + 0.15 * i, 2) for i in range(13))
+WEIGHT_STEPS, ARMA_STEPS = (tuple(first / 2 ** i for i in range(11)) for first in (0.1, 0.075))
+DAMPING_STEP = 0.5  # of the step of a weight
+WEIGHT_LIMITS, DAMPING_LIMITS, ARMA_LIMITS = (0.0, 1.0), (0.8, 0.98), (-0.99, 0.99)
 
 
 def _histories(s: DataFrame, folds: DataFrame, period: int) -> DataFrame:
@@ -247,37 +251,67 @@ def _forecast_rows(paths: DataFrame, folds: DataFrame) -> DataFrame:
         "candidate_id", *KEYS, "horizon", F.add_months("origin", F.col("horizon")).alias("period"), "y_pred")
 
 
+def _refined(best: Column, steps: Sequence[float], moves: Column, trial: Callable[[Column, Column, Column], Column]) -> Column:
+    """The point after one round per step: the best of itself and what `trial` makes of each move. Points begin with their error."""
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), best, lambda at, s: F.array_min(
+        F.concat(F.array(at), F.transform(moves, lambda m: trial(at, m, s)))))
+
+
+def _once(value: Column) -> Column:
+    """The value as the one row of a generator, so that the optimizer does not copy its expression to every use."""
+    return F.explode(F.array(value))
+
+
+def _limited(x: Column, limits: tuple[float, float]) -> Column:
+    return F.least(F.greatest(x, F.lit(limits[0])), F.lit(limits[1]))
+
+
 def holt_winters(s: DataFrame, folds: DataFrame, horizon: int = 12, period: int = 12) -> DataFrame:
-    """Additive smoothing with first-cycle starting values, without, with and with damped trend; weights from the grid."""
+    """Additive smoothing with first-cycle starting values, without, with and with damped trend.
+
+    The weights have the least squared one-step error that the grid and the search from its best point find.
+    """
     points = [F.struct(F.lit(name).alias("candidate_id"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"), F.lit(phi).alias("phi"))
               for name, (trend, damped) in SMOOTHING.items() for a in WEIGHTS for b in (WEIGHTS if trend else (0.0,)) for g in WEIGHTS
               for phi in (DAMPING if damped else (1.0,))]
     base = _histories(s, folds, period).withColumn("_start", _mean(F.slice("ys", 1, period))).withColumn(
         "_rise", (_mean(F.slice("ys", period + 1, period)) - F.col("_start")) / period)
-    rows = base.select(*KEYS, "ys", "_start", "_rise", F.inline(F.array(*points))).withColumn(
-        "_slope", F.when(F.col("candidate_id") == "holt_winters_additive_no_trend", 0.0).otherwise(F.col("_rise")))
+    slope = F.when(F.col("candidate_id") == "holt_winters_additive_no_trend", 0.0).otherwise(F.col("_rise"))
+    rows = base.select(*KEYS, "ys", "_start", "_rise", F.inline(F.array(*points))).withColumn("_slope", slope)
     season = F.transform(F.slice("ys", 1, period), lambda v, i: v - F.col("_start") - F.col("_slope") * (i - (period - 1) / 2))
-    a, b, g, phi = (F.col(c) for c in ("a", "b", "g", "phi"))
-
-    def step(acc: Column, x: Column) -> Column:
-        k = (x["i"] % period).cast("int")
-        now, line = acc["season"][k], acc["level"] + phi * acc["step"]
-        level = a * (x["v"] - now) + (1 - a) * line
-        error = x["v"] - line - now
-        return F.struct(
-            level.alias("level"), (b * (level - acc["level"]) + (1 - b) * phi * acc["step"]).alias("step"),
-            F.transform(acc["season"], lambda v, j: F.when(j == k, g * (x["v"] - line) + (1 - g) * v).otherwise(v)).alias("season"),
-            (acc["sse"] + error * error).alias("sse"))
-
-    start = F.struct(F.col("_start").alias("level"), F.col("_slope").alias("step"), season.alias("season"), F.lit(0.0).alias("sse"))
-    fitted = rows.withColumn("_f", F.aggregate(_numbered(F.col("ys")), start, step))
-    best = fitted.groupBy("candidate_id", *KEYS).agg(F.min(F.struct(
-        F.col("_f.sse").alias("sse"), "a", "b", "g", "phi", F.col("_f.level").alias("level"), F.col("_f.step").alias("step"), F.col("_f.season").alias("season"),
-        F.size("ys").alias("n"))).alias("m"))
+
+    def fit(a: Column, b: Column, g: Column, phi: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            k = (x["i"] % period).cast("int")
+            now, line = acc["season"][k], acc["level"] + phi * acc["step"]
+            level = a * (x["v"] - now) + (1 - a) * line
+            error = x["v"] - line - now
+            return F.struct(
+                level.alias("level"), (b * (level - acc["level"]) + (1 - b) * phi * acc["step"]).alias("step"),
+                F.transform(acc["season"], lambda v, j: F.when(j == k, g * (x["v"] - line) + (1 - g) * v).otherwise(v)).alias("season"),
+                (acc["sse"] + error * error).alias("sse"))
+        start = F.struct(F.col("_start").alias("level"), F.col("_slope").alias("step"), season.alias("season"), F.lit(0.0).alias("sse"))
+        return F.aggregate(_numbered(F.col("ys")), start, step)
+
+    weights = [F.col(c) for c in ("a", "b", "g", "phi")]
+    best = rows.withColumn("_sse", fit(*weights)["sse"]).groupBy("candidate_id", *KEYS).agg(F.min(F.struct(F.col("_sse").alias("sse"), *weights)).alias("m"))
+
+    def moved(*ways: str) -> Column:
+        return F.array(*[F.struct(*[F.lit(float(sign) if c == w else 0.0).alias(c) for c in ("a", "b", "g", "phi")]) for w in ways for sign in (-1, 1)])
+
+    def trial(at: Column, m: Column, size: Column) -> Column:
+        new = [_limited(at[c] + m[c] * size, WEIGHT_LIMITS) for c in ("a", "b", "g")]
+        new.append(F.when(m["phi"] == 0, at["phi"]).otherwise(_limited(at["phi"] + m["phi"] * size * DAMPING_STEP, DAMPING_LIMITS)))
+        return F.struct(fit(*new)["sse"].alias("sse"), *[v.alias(c) for v, c in zip(new, ("a", "b", "g", "phi"), strict=True)])
+
+    kind = F.col("candidate_id")
+    moves = F.when(kind == "holt_winters_additive_no_trend", moved("a", "g")).when(kind == "holt_winters_additive_trend", moved("a", "b", "g")).otherwise(moved("a", "b", "g", "phi"))
+    started = base.join(best, KEYS).withColumn("_slope", slope)
+    done = started.withColumn("m", _once(_refined(F.col("m"), WEIGHT_STEPS, moves, trial))).withColumn("_f", _once(fit(*[F.col("m")[c] for c in ("a", "b", "g", "phi")])))
     damped = lambda h: F.aggregate(F.sequence(F.lit(1), h), F.lit(0.0), lambda x, j: x + F.pow(F.col("m.phi"), j))
-    path = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("m.level") + damped(h) * F.col("m.step")
-                       + F.col("m.season")[((F.col("m.n") + h - 1) % period).cast("int")])
-    return _forecast_rows(best.select("candidate_id", *KEYS, path.alias("path")), folds)
+    path = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("_f.level") + damped(h) * F.col("_f.step")
+                       + F.col("_f.season")[((F.size("ys") + h - 1) % period).cast("int")])
+    return _forecast_rows(done.select("candidate_id", *KEYS, path.alias("path")), folds)
 
 
 def _solve(matrix: Column, size: int) -> Column:
@@ -320,20 +354,31 @@ def autoregression(s: DataFrame, folds: DataFrame, horizon: int = 12, period: in
 
 
 def seasonal_arma(s: DataFrame, folds: DataFrame, horizon: int = 12, period: int = 12) -> DataFrame:
-    """Seasonal difference with one autoregressive and one seasonal moving-average term: conditional least squares on the grid."""
+    """Seasonal difference with one autoregressive and one seasonal moving-average term: conditional least squares, searched from the
+    best point of the grid."""
     points = F.array(*[F.struct(F.lit(p).alias("phi"), F.lit(q).alias("theta")) for p in ARMA_GRID for q in ARMA_GRID])
-    rows = _histories(s, folds, period).withColumn("_w", F.transform(
-        F.slice("ys", F.lit(period + 1), F.size("ys") - period), lambda v, i: v - F.col("ys")[i])).select(*KEYS, "ys", "_w", F.inline(points))
-    phi, theta = F.col("phi"), F.col("theta")
-
-    def step(errors: Column, x: Column) -> Column:
-        back = F.when(x["i"] >= period, errors[x["i"] - period]).otherwise(0.0)
-        error = F.when(x["i"] == 0, 0.0).otherwise(x["v"] - phi * F.col("_w")[x["i"] - 1] - theta * back)
-        return F.concat(errors, F.array(error))
-
-    errors = F.aggregate(_numbered(F.col("_w")), F.array().cast("array<double>"), step)
-    fitted = rows.withColumn("_e", errors).withColumn("_sse", F.aggregate("_e", F.lit(0.0), lambda a, e: a + e * e))
-    best = fitted.groupBy(*KEYS).agg(F.min(F.struct(F.col("_sse").alias("sse"), "phi", "theta", F.col("_e").alias("e"), F.col("_w").alias("w"), F.col("ys").alias("ys"))).alias("m"))
+    base = _histories(s, folds, period).withColumn("_w", F.transform(F.slice("ys", F.lit(period + 1), F.size("ys") - period), lambda v, i: v - F.col("ys")[i]))
+
+    def errors(phi: Column, theta: Column) -> Column:
+        def step(known: Column, x: Column) -> Column:
+            back = F.when(x["i"] >= period, known[x["i"] - period]).otherwise(0.0)
+            error = F.when(x["i"] == 0, 0.0).otherwise(x["v"] - phi * F.col("_w")[x["i"] - 1] - theta * back)
+            return F.concat(known, F.array(error))
+        return F.aggregate(_numbered(F.col("_w")), F.array().cast("array<double>"), step)
+
+    def squared(phi: Column, theta: Column) -> Column:
+        return F.aggregate(errors(phi, theta), F.lit(0.0), lambda a, e: a + e * e)
+
+    rows = base.select(*KEYS, "_w", F.inline(points)).withColumn("_sse", squared(F.col("phi"), F.col("theta")))
+    best = rows.groupBy(*KEYS).agg(F.min(F.struct(F.col("_sse").alias("sse"), "phi", "theta")).alias("m"))
+    moves = F.array(*[F.struct(F.lit(float(p)).alias("phi"), F.lit(float(q)).alias("theta")) for p, q in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+
+    def trial(at: Column, m: Column, size: Column) -> Column:
+        new = [_limited(at[c] + m[c] * size, ARMA_LIMITS) for c in ("phi", "theta")]
+        return F.struct(squared(*new).alias("sse"), new[0].alias("phi"), new[1].alias("theta"))
+
+    done = base.join(best, KEYS).withColumn("m", _once(_refined(F.col("m"), ARMA_STEPS, moves, trial)))
+    best = done.select(*KEYS, _once(F.struct("m.phi", "m.theta", errors(F.col("m.phi"), F.col("m.theta")).alias("e"), F.col("_w").alias("w"), "ys")).alias("m"))
     n, m = F.size("m.w"), F.col("m")
 
     def ahead(w: Column, h: Column) -> Column:

@@ -69,6 +69,26 @@ TRAIN = f"""{FOLDS},
 tr AS (SELECT f.series_id, f.fold, f.cut, f.origin, list(d.y ORDER BY d.t) AS ys FROM folds f JOIN dev d ON d.series_id = f.series_id AND d.t < f.cut GROUP BY 1, 2, 3, 4 HAVING count(*) = f.cut)"""
 
 
+def bounded(x: str, limits: tuple[float, float]) -> str:
+    return f"least(greatest({x}, {limits[0]}::DOUBLE), {limits[1]}::DOUBLE)"
+
+
+def hw_sql(a: str, b: str, g: str, phi: str) -> str:
+    """The recursion over the months of `ys` from `l0` and `sl`, as a struct of its last state."""
+    line, y, k = f"(s.level + {phi} * s.step)", "x.level", "x.k % 12 + 1"
+    now = f"s.season[{k}]"
+    level = f"({a} * ({y} - {now}) + (1 - {a}) * {line})"
+    season = f"list_transform(s.season, lambda v, j: CASE WHEN j = {k} THEN {g} * ({y} - {line}) + (1 - {g}) * v ELSE v END)"
+    return f"""list_reduce(list_transform(ys, lambda v, i: {{'k': i - 1, 'level': v, 'step': 0.0::DOUBLE, 'season': CAST([] AS DOUBLE[]), 'sse': 0.0::DOUBLE}}),
+ lambda s, x: {{'k': x.k, 'level': {level}, 'step': {b} * ({level} - s.level) + (1 - {b}) * {phi} * s.step, 'season': {season}, 'sse': s.sse + ({y} - {line} - {now}) * ({y} - {line} - {now})}},
+ {{'k': 0::BIGINT, 'level': l0, 'step': sl, 'season': list_transform(range(1, 13), lambda j: ys[j] - l0 - sl * (j - 1 - 5.5)), 'sse': 0.0::DOUBLE}})"""
+
+
+WAYS = {"holt_winters_additive_no_trend": "ag", "holt_winters_additive_trend": "abg", "holt_winters_additive_damped_trend": "abgp"}
+MOVES = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {', '.join(f'{v if c == w else 0}::DOUBLE AS v{c}' for c in 'abgp')}" for kind, ways in WAYS.items()
+                           for w, v in [("", 0), *((w, v) for w in ways for v in (-1, 1))])
+
+
 @query("k18_holt_winters", f"""WITH RECURSIVE {TRAIN},
 w AS (SELECT unnest([{WEIGHT_LIST}])::DOUBLE AS w), ph AS (SELECT unnest([{DAMPING_LIST}])::DOUBLE AS phi),
 g AS (SELECT 'holt_winters_additive_no_trend' AS candidate_id, a.w AS a, 0.0::DOUBLE AS b, c.w AS g, 1.0::DOUBLE AS phi, 0.0::DOUBLE AS trend FROM w a, w c
@@ -77,8 +97,16 @@ b0 AS (SELECT *, list_avg(ys[1:12]) AS l0, (list_avg(ys[13:24]) - list_avg(ys[1:
 st AS (SELECT candidate_id, series_id, fold, a, b, g, phi, 0 AS t, l0 AS level, trend * r0 AS step, list_transform(range(1, 13), lambda j: ys[j] - l0 - trend * r0 * (j - 1 - 5.5)) AS season, 0.0::DOUBLE AS sse FROM b0, g
  UNION ALL SELECT candidate_id, series_id, fold, a, b, g, phi, t + 1, nl, b * (nl - level) + (1 - b) * phi * step, list_transform(range(1, 13), lambda j: CASE WHEN j = t % 12 + 1 THEN g * (y - line) + (1 - g) * season[j] ELSE season[j] END), sse + (y - line - now) ** 2
  FROM (SELECT *, a * (y - now) + (1 - a) * line AS nl FROM (SELECT st.*, tr.ys[t + 1] AS y, level + phi * step AS line, season[t % 12 + 1] AS now FROM st JOIN tr ON tr.series_id = st.series_id AND tr.fold = st.fold AND t < tr.cut))),
-be AS (SELECT st.*, tr.origin, tr.cut, row_number() OVER (PARTITION BY candidate_id, st.series_id, st.fold ORDER BY sse, a, b, g, phi) AS i FROM st JOIN tr ON tr.series_id = st.series_id AND tr.fold = st.fold AND st.t = tr.cut),
-fo AS (SELECT *, level + list_sum(list_transform(range(1, h + 1), lambda j: phi ** j)) * step + season[(cut + h - 1) % 12 + 1] AS y_pred FROM (SELECT *, unnest(range(1, 13)) AS h FROM be WHERE i = 1))
+be AS (SELECT st.*, row_number() OVER (PARTITION BY candidate_id, st.series_id, st.fold ORDER BY sse, a, b, g, phi) AS i FROM st JOIN tr ON tr.series_id = st.series_id AND tr.fold = st.fold AND st.t = tr.cut),
+hb AS (SELECT be.candidate_id, b0.*, CASE WHEN candidate_id = 'holt_winters_additive_no_trend' THEN 0.0 ELSE r0 END AS sl, be.a, be.b, be.g, be.phi, be.sse FROM be JOIN b0 ON b0.series_id = be.series_id AND b0.fold = be.fold WHERE i = 1),
+mv AS ({MOVES}),
+rf AS (SELECT candidate_id, series_id, fold, 0 AS r, {{'sse': sse, 'a': a, 'b': b, 'g': g, 'phi': phi}} AS m FROM hb
+ UNION ALL SELECT candidate_id, series_id, fold, r + 1, min({{'sse': CASE WHEN va = 0 AND vb = 0 AND vg = 0 AND vp = 0 THEN m.sse ELSE {hw_sql('na', 'nb', 'ng', 'np')}.sse END, 'a': na, 'b': nb, 'g': ng, 'phi': np}}) FROM (
+  SELECT rf.*, hb.ys, hb.l0, hb.sl, mv.* EXCLUDE (kind), {bounded('m.a + va * 0.1 / 2 ** r', sm.WEIGHT_LIMITS)} AS na, {bounded('m.b + vb * 0.1 / 2 ** r', sm.WEIGHT_LIMITS)} AS nb, {bounded('m.g + vg * 0.1 / 2 ** r', sm.WEIGHT_LIMITS)} AS ng,
+   CASE WHEN vp = 0 THEN m.phi ELSE {bounded('m.phi + vp * (0.1 / 2 ** r) * 0.5', sm.DAMPING_LIMITS)} END AS np
+  FROM rf JOIN hb ON hb.candidate_id = rf.candidate_id AND hb.series_id = rf.series_id AND hb.fold = rf.fold JOIN mv ON mv.kind = rf.candidate_id WHERE r < {len(sm.WEIGHT_STEPS)}) GROUP BY 1, 2, 3, 4),
+fi AS (SELECT rf.candidate_id, hb.series_id, hb.fold, hb.origin, hb.cut, m.phi AS phi, {hw_sql('m.a', 'm.b', 'm.g', 'm.phi')} AS f FROM rf JOIN hb ON hb.candidate_id = rf.candidate_id AND hb.series_id = rf.series_id AND hb.fold = rf.fold WHERE r = {len(sm.WEIGHT_STEPS)}),
+fo AS (SELECT *, f.level + list_sum(list_transform(range(1, h + 1), lambda j: phi ** j)) * f.step + f.season[(cut + h - 1) % 12 + 1] AS y_pred FROM (SELECT *, unnest(range(1, 13)) AS h FROM fi))
 SELECT {OUT} FROM fo""")
 def _(spark, sf):
     return forecasts(spark, sf, sm.holt_winters)
@@ -115,6 +143,12 @@ def _(spark, sf):
     return forecasts(spark, sf, sm.autoregression)
 
 
+def arma_sql(phi: str, theta: str) -> str:
+    """Errors of the months of `w`, in order."""
+    error = f"CASE WHEN x.k = 1 THEN 0.0 ELSE x.e[1] - {phi} * w[x.k - 1] - {theta} * CASE WHEN x.k > 12 THEN s.e[x.k - 12] ELSE 0.0 END END"
+    return f"list_reduce(list_transform(w, lambda v, i: {{'k': i, 'e': [v]}}), lambda s, x: {{'k': x.k, 'e': list_append(s.e, {error})}}, {{'k': 0::BIGINT, 'e': CAST([] AS DOUBLE[])}}).e"
+
+
 ARMA_LIST = ", ".join(map(str, sm.ARMA_GRID))
 
 
@@ -122,7 +156,12 @@ ARMA_LIST = ", ".join(map(str, sm.ARMA_GRID))
 w AS (SELECT series_id, fold, cut, origin, ys, list_transform(range(13, cut + 1), lambda j: ys[j] - ys[j - 12]) AS w FROM tr),
 er AS (SELECT series_id, fold, cut, phi, theta, 1::BIGINT AS k, [0.0::DOUBLE] AS e FROM w, g
  UNION ALL SELECT er.series_id, er.fold, er.cut, phi, theta, k + 1, list_append(e, w.w[k + 1] - phi * w.w[k] - theta * CASE WHEN k >= 12 THEN e[k - 11] ELSE 0 END) FROM er JOIN w ON w.series_id = er.series_id AND w.fold = er.fold AND k < len(w.w)),
-be AS (SELECT er.*, row_number() OVER (PARTITION BY series_id, fold ORDER BY list_sum(list_transform(e, lambda x: x * x)), phi, theta) AS i FROM er WHERE k = cut - 12),
+bg AS (SELECT *, list_sum(list_transform(e, lambda x: x * x)) AS sse FROM er WHERE k = cut - 12),
+mv AS (SELECT * FROM (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) AS v(vp, vt)),
+rf AS (SELECT series_id, fold, 0 AS r, min({{'sse': sse, 'phi': phi, 'theta': theta}}) AS m FROM bg GROUP BY 1, 2
+ UNION ALL SELECT series_id, fold, r + 1, min({{'sse': CASE WHEN vp = 0 AND vt = 0 THEN m.sse ELSE list_sum(list_transform({arma_sql('np', 'nt')}, lambda q: q * q)) END, 'phi': np, 'theta': nt}}) FROM (
+  SELECT rf.*, w.w, vp, vt, {bounded('m.phi + vp * 0.075 / 2 ** r', sm.ARMA_LIMITS)} AS np, {bounded('m.theta + vt * 0.075 / 2 ** r', sm.ARMA_LIMITS)} AS nt FROM rf JOIN w ON w.series_id = rf.series_id AND w.fold = rf.fold, mv WHERE r < {len(sm.ARMA_STEPS)}) GROUP BY 1, 2, 3),
+be AS (SELECT w.series_id, w.fold, w.cut, m.phi AS phi, m.theta AS theta, {arma_sql('m.phi', 'm.theta')} AS e, 1 AS i FROM rf JOIN w ON w.series_id = rf.series_id AND w.fold = rf.fold WHERE r = {len(sm.ARMA_STEPS)}),
 pa AS (SELECT b.series_id, b.fold, b.cut, w.origin, phi, theta, e, 0::BIGINT AS h, w.w AS v, w.ys AS y, 0.0::DOUBLE AS y_pred FROM be b JOIN w ON w.series_id = b.series_id AND w.fold = b.fold WHERE i = 1
  UNION ALL SELECT series_id, fold, cut, origin, phi, theta, e, h + 1, list_append(v, n), list_append(y, n + y[len(y) - 11]), n + y[len(y) - 11] FROM (SELECT *, phi * v[len(v)] + theta * CASE WHEN h < 12 THEN e[len(e) + h + 1 - 12] ELSE 0 END AS n FROM pa WHERE h < 12))
 SELECT {OUT} FROM (SELECT 'sarima_100_011_12' AS candidate_id, * FROM pa WHERE h > 0)""")

@@ -127,3 +127,58 @@ def test_cusum_finds_the_break(spark):
         "period", F.add_months(F.lit("2000-01-01").cast("date"), F.col("t")))
     r = sr.cusum_stability(df, 1).first()
     assert r.p_value < 0.01 and str(r.largest_excursion) == "2002-06-01"
+
+
+def test_refined_weights_are_never_worse_than_the_grid(spark, monkeypatch):
+    """One-step errors of the search against those of the grid alone, from the weights each finds, and plain loops."""
+    import math
+    import random
+
+    from assayer.operators import smoothing as sm
+    rng = random.Random(5)
+    ys = [50 + 0.3 * t + 8 * math.sin(t * math.pi / 6) + rng.gauss(0, 2) for t in range(72)]
+
+    def error(a, b, g, phi, trend):
+        level, rise = sum(ys[:12]) / 12, (sum(ys[12:24]) - sum(ys[:12])) / 144 * trend
+        season, sse, step = [y - level - rise * (i - 5.5) for i, y in enumerate(ys[:12])], 0.0, rise
+        for t, y in enumerate(ys):
+            now, line = season[t % 12], level + phi * step
+            new = a * (y - now) + (1 - a) * line
+            step, sse, level = b * (new - level) + (1 - b) * phi * step, sse + (y - line - now) ** 2, new
+            season[t % 12] = g * (y - line) + (1 - g) * now
+        return sse
+
+    monkeypatch.setattr(sm, "_forecast_rows", lambda paths, folds: paths)
+    series = spark.createDataFrame([("a", t, y) for t, y in enumerate(ys)], "series_id string, t int, y double")
+    folds = spark.createDataFrame([("a", 1, 72)], "series_id string, fold int, cut int").selectExpr("*", "date'2001-01-01' AS origin")
+    rows = sm.holt_winters(series, folds)
+    best = {name: min((error(a, b, g, phi, float(trend)), a, b, g, phi) for a in sm.WEIGHTS for b in (sm.WEIGHTS if trend else (0.0,)) for g in sm.WEIGHTS
+                      for phi in (sm.DAMPING if damped else (1.0,))) for name, (trend, damped) in sm.SMOOTHING.items()}
+    for r in rows.collect():
+        trend, damped = sm.SMOOTHING[r.candidate_id]
+        at = list(best[r.candidate_id])
+        for size in sm.WEIGHT_STEPS:
+            tried = [tuple(at)]
+            for i, used in ((1, True), (2, trend), (3, True), (4, damped)):
+                for sign in (-1, 1):
+                    if used:
+                        new = list(at)
+                        limits, way = (sm.DAMPING_LIMITS, size * sm.DAMPING_STEP) if i == 4 else (sm.WEIGHT_LIMITS, size)
+                        new[i] = min(max(new[i] + sign * way, limits[0]), limits[1])
+                        tried.append((error(*new[1:], float(trend)), *new[1:]))
+            at = list(min(tried))
+        assert at[0] < best[r.candidate_id][0]
+        level = r.path[0]
+        assert abs(level - forecast_of(ys, *at[1:], float(trend))) < 1e-6
+
+
+def forecast_of(ys, a, b, g, phi, trend):
+    """The month after the last one, in plain loops."""
+    level, rise = sum(ys[:12]) / 12, (sum(ys[12:24]) - sum(ys[:12])) / 144 * trend
+    season, step = [y - level - rise * (i - 5.5) for i, y in enumerate(ys[:12])], rise
+    for t, y in enumerate(ys):
+        now, line = season[t % 12], level + phi * step
+        new = a * (y - now) + (1 - a) * line
+        step, level = b * (new - level) + (1 - b) * phi * step, new
+        season[t % 12] = g * (y - line) + (1 - g) * now
+    return level + phi * step + season[len(ys) % 12]
