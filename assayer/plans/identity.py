@@ -12,7 +12,7 @@ from assayer.operators import blocks as bl
 from assayer.operators import identity as idn
 from assayer.plans.forecasting import EVIDENCE, backtest, development
 from assayer.plans.registry import query, rounded
-from assayer.sources.tables import parse_delimited, table, work_folder
+from assayer.sources.tables import parse_delimited, read_with_rejects, table, work_folder
 
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 # The variable table of customer: c_name is undocumented, c_phone is not in the data.
@@ -38,6 +38,36 @@ def _(spark, sf):
     return df.withColumn("name_length", F.length("n_name").cast("bigint"))
 
 
+# key,"name, ""segment""",nation
+FILED = '''
+l AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_custkey::VARCHAR || ',"' || c_name || ', ""' || c_mktsegment || '""",' ||
+  CASE WHEN c_custkey % 70 = 5 THEN 'n/a' WHEN c_custkey % 40 = 9 THEN '' ELSE c_nationkey::VARCHAR END AS line FROM customer),
+f AS (SELECT *, CASE WHEN c_custkey % 50 = 3 THEN line || ',x' WHEN c_custkey % 90 = 7 THEN c_custkey::VARCHAR || ',' || c_name ELSE line END AS filed FROM l)'''
+
+
+def filed_customers(spark, sf):
+    """Customers as delimited files of the shared folder, some lines with a field too many, too few, or of another type; then read."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    nation = F.when(key % 70 == 5, "n/a").when(key % 40 == 9, "").otherwise(F.col("c_nationkey").cast("string"))
+    line = F.concat(key.cast("string"), F.lit(',"'), "c_name", F.lit(', ""'), "c_mktsegment", F.lit('""",'), nation)
+    line = F.when(key % 50 == 3, F.concat(line, F.lit(",x"))).when(key % 90 == 7, F.concat(key.cast("string"), F.lit(","), "c_name")).otherwise(line)
+    path = f"{work_folder(spark)}/filed-{uuid.uuid4().hex}"
+    c.select(line.alias("line")).write.text(path)
+    return read_with_rejects(spark, path, {"key": "integer", "label": "string", "nation": "integer"}, header=False)
+
+
+@query("a01_delimited_files", f"""WITH {FILED} SELECT c_custkey AS key, c_name || ', "' || c_mktsegment || '"' AS label, CASE WHEN c_custkey % 40 <> 9 THEN c_nationkey END::BIGINT AS nation
+FROM f WHERE c_custkey % 50 <> 3 AND c_custkey % 90 <> 7 AND c_custkey % 70 <> 5""")
+def _(spark, sf):
+    return filed_customers(spark, sf)[0]
+
+
+@query("a01_rejected_lines", f"""WITH {FILED} SELECT filed AS line, CASE WHEN c_custkey % 50 = 3 OR c_custkey % 90 = 7 THEN 'fields' ELSE 'type' END AS reason
+FROM f WHERE c_custkey % 50 = 3 OR c_custkey % 90 = 7 OR c_custkey % 70 = 5""")
+def _(spark, sf):
+    return filed_customers(spark, sf)[1].select("line", "reason")
+
+
 @query("a02_structure_summary", """
 SELECT 'customer' AS table_name, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS column_order,
  true AS columns_match, true AS order_matches, count(*) = 1500 AS rows_match, true AS source_matches FROM customer
