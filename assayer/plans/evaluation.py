@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import evaluate as ev
+from assayer.operators import rollup as ru
 from assayer.operators import split as sp
 from assayer.plans.registry import R, query, rounded
 from assayer.plans.splits import split_sql
@@ -358,3 +359,35 @@ def _(spark, sf):
 def _(spark, sf):
     o = ev.continuous_output(priced(spark, sf), "currency units")
     return o.groupBy("l_returnflag", "unit", "valid").agg(F.count(F.lit(1)).alias("rows"), (F.round(F.avg("pred"), 3) + 0.0).alias("mean_prediction"))
+
+
+@query("l01_threshold_rollup", f"""WITH {SCORED},
+ c AS (SELECT model_id, lang, GROUPING(model_id, lang) AS g, count(*) AS rows, count(*) FILTER (p >= 0.3 AND y = 1) AS tp, count(*) FILTER (p >= 0.3 AND y = 0) AS fp, count(*) FILTER (p < 0.3 AND y = 1) AS fn, count(*) FILTER (p < 0.3 AND y = 0) AS tn FROM scored GROUP BY ROLLUP (model_id, lang)),
+ r AS (SELECT *, {RATES} FROM c)
+SELECT model_id, lang, CAST(g AS BIGINT) AS grouping, rows, tp, fp, fn, tn, {R('precision', 'recall')}, round((tp + tn) / rows::DOUBLE, 6) + 0.0 AS accuracy FROM r""")
+def _(spark, sf):
+    out = ru.binary_rollup(scored(spark, sf), ["model_id", "lang"], 0.3)
+    return rounded(out.select("model_id", "lang", "grouping", "rows", "tp", "fp", "fn", "tn", "precision", "recall", "accuracy"))
+
+
+@query("l10_regression_rollup", f"""WITH {PRICED}, e AS (SELECT l_returnflag, l_linestatus, y, pred - y AS e FROM priced),
+ s AS (SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus) AS g, count(*) AS rows, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, -avg(e) AS residual_mean, 1 - avg(e * e) / var_pop(y) AS r2, max(abs(e)) AS max_error FROM e GROUP BY ROLLUP (l_returnflag, l_linestatus))
+SELECT l_returnflag, l_linestatus, CAST(g AS BIGINT) AS grouping, rows, {R('mae', 'rmse', 'residual_mean', 'max_error', digits=3)}, round(r2, 6) + 0.0 AS r2 FROM s""")
+def _(spark, sf):
+    out = ru.regression_rollup(priced(spark, sf), ["l_returnflag", "l_linestatus"])
+    return rounded(out, 3, r2=6)
+
+
+@query("l08_multiclass_rollup", f"""
+WITH x AS (SELECT o_orderpriority AS pr, CASE WHEN o_custkey % 5 < 4 THEN o_custkey % 5 END::BIGINT AS seg, o_orderstatus AS y, CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 500 = 3 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'F' WHEN o_orderkey % 7 = 1 THEN 'P' ELSE o_orderstatus END AS pred FROM orders),
+m AS (SELECT CASE WHEN g < 3 THEN pr END AS pr, CASE WHEN g < 1 THEN seg END AS seg, g, y, pred FROM (SELECT *, unnest([0, 1, 3])::BIGINT AS g FROM x)),
+per AS (SELECT pr, seg, g, c, count(*) FILTER (y = c) AS s, count(*) FILTER (pred = c) AS d, count(*) FILTER (y = c AND pred = c) AS tp, count(*) FILTER (pred IS NULL) AS un FROM m, (SELECT unnest(['F', 'O', 'P']) AS c) GROUP BY ALL),
+r AS (SELECT *, CASE WHEN s > 0 THEN tp / s::DOUBLE ELSE 0 END AS rec, CASE WHEN d > 0 THEN tp / d::DOUBLE ELSE 0 END AS pre FROM per),
+f AS (SELECT *, CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END AS f1 FROM r),
+o AS (SELECT pr, seg, g, sum(s)::BIGINT AS rows, max(un) AS undeclared, sum(tp) / sum(s)::DOUBLE AS accuracy, avg(f1) AS macro_f1, sum(f1 * s) / sum(s) AS weighted_f1, avg(rec) FILTER (s > 0) AS balanced_accuracy, min(rec) AS minimum_recall FROM f GROUP BY ALL)
+SELECT pr, seg, g AS grouping, rows - undeclared AS rows, undeclared, {', '.join(f'CASE WHEN undeclared = 0 THEN round({c}, 6) + 0.0 END AS {c}' for c in ('accuracy', 'macro_f1', 'weighted_f1', 'balanced_accuracy', 'minimum_recall'))} FROM o""")
+def _(spark, sf):
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    pred = F.when((F.col("o_orderpriority") == "5-LOW") & (key % 500 == 3), None).when(key % 3 == 0, "F").when(key % 7 == 1, "P").otherwise(F.col("o_orderstatus"))
+    x = o.select(F.col("o_orderpriority").alias("pr"), F.when(F.col("o_custkey") % 5 < 4, F.col("o_custkey") % 5).alias("seg"), F.col("o_orderstatus").alias("y"), pred.alias("pred"))
+    return rounded(ru.multiclass_rollup(x, ["pr", "seg"], ["F", "O", "P"]))
