@@ -631,20 +631,34 @@ NON_ISSUES = {
     "target_extremes": ("NI-005", "Preserve", "Preserve"), "outliers": ("NI-006", "No action", "Preserve"),
     "leakage": ("NI-007", "No action", None), "dependency": ("NI-008", "Monitor", None), "no_dependency": ("NI-008", "No action", "No action"),
 }
+# Domain of each kind of report row.
+DOMAINS = {
+    "type_or_domain": "Schema and domain validity", "value_quality": "Value quality", "identity": "Record integrity", "exact_rows": "Record integrity",
+    "target_conflict": "Record ambiguity", "target_contract": "Target integrity", "class_support": "Target support", "target_extremes": "Target distribution",
+    "outliers": "Numerical distribution", "leakage": "Leakage governance", "dependency": "Derived-feature provenance", "no_dependency": "Derived-feature provenance",
+}
 # Order of severities.
 SEVERITY_ORDER = {"Critical": 0, "High": 1, "Medium": 2, "Low": 3, "None": 4}
 
 
-def consolidate_findings(evidence: DataFrame) -> DataFrame:
+def consolidate_findings(evidence: DataFrame, known_fields: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Turn `(table_name, kind, affected, fields)` report rows of many tables into findings and clean outcomes.
 
     Rows of one table and kind are added up. A kind with nothing affected becomes a validated non-issue, target
     conflicts excepted, which then leave no row; class support, target extremes and outlier candidates are non-issues
-    whatever is affected.
+    whatever is affected. `evidence` tells every report row as `fields: affected`. `known_fields`: the columns of each
+    table; fields that are none of them stay in the evidence and are not named as affected.
     """
+    named = F.col("affected") > 0
+    if known_fields is not None:
+        known = F.lit(False)
+        for name, columns in known_fields.items():
+            known = known | ((F.col("table_name") == name) & F.col("fields").isin(*columns))
+        named = named & known
     summed = evidence.groupBy("table_name", "kind").agg(
         F.sum("affected").alias("affected"),
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("affected") > 0, F.col("fields"))))).alias("affected_fields"))
+        F.concat_ws(",", F.array_sort(F.collect_set(F.when(named, F.col("fields"))))).alias("affected_fields"),
+        F.concat_ws("; ", F.array_sort(F.collect_list(F.concat("fields", F.lit(": "), F.col("affected").cast("string"))))).alias("evidence"))
     pick = lambda rules, i: F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("kind")]
     some = F.col("affected") > 0
     bad = some & F.col("kind").isin(*FINDINGS)
@@ -652,9 +666,10 @@ def consolidate_findings(evidence: DataFrame) -> DataFrame:
     order = F.create_map(*[x for k, v in SEVERITY_ORDER.items() for x in (F.lit(k), F.lit(v))])
     clean = F.when(some, pick(NON_ISSUES, 2)).otherwise(pick(NON_ISSUES, 1))
     return summed.where(some | F.col("kind").isin(*NON_ISSUES)).select(
-        "table_name", "kind", F.when(bad, pick(FINDINGS, 0)).otherwise(pick(NON_ISSUES, 0)).alias("finding_id"), severity.alias("severity"),
+        "table_name", "kind", F.create_map(*[x for k, v in DOMAINS.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")].alias("domain"),
+        F.when(bad, pick(FINDINGS, 0)).otherwise(pick(NON_ISSUES, 0)).alias("finding_id"), severity.alias("severity"),
         F.when(bad, pick(FINDINGS, 2)).otherwise("Validated").alias("status"), F.when(bad, pick(FINDINGS, 3)).otherwise(clean).alias("disposition"),
-        F.when(bad, pick(FINDINGS, 4)).otherwise("None").alias("blocks"), "affected", "affected_fields",
+        F.when(bad, pick(FINDINGS, 4)).otherwise("None").alias("blocks"), "affected", "affected_fields", "evidence",
         order[severity].cast("bigint").alias("severity_order"))
 
 

@@ -359,17 +359,28 @@ FINDING_ROWS = """
   UNION ALL SELECT 'orders', 'class_support', count(*) FILTER (n < m), 'o_orderstatus' FROM (SELECT n, max(n) OVER () AS m FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))
   UNION ALL SELECT 'customer', 'outliers', count(*) FILTER (c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1)), 'c_acctbal' FROM customer, (SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer)
   UNION ALL SELECT 'lineitem', 'outliers', count(*) FILTER (p < q1 - 1.5 * (q3 - q1) OR p > q3 + 1.5 * (q3 - q1)), 'p' FROM (SELECT l_extendedprice * l_quantity AS p FROM lineitem), (SELECT quantile_cont(l_extendedprice * l_quantity, 0.25) AS q1, quantile_cont(l_extendedprice * l_quantity, 0.75) AS q3 FROM lineitem)
-  UNION ALL SELECT 'lineitem', 'leakage', count(*) FILTER (a >= 0.99), 'net' FROM (SELECT 1.0 AS a) UNION ALL SELECT 'orders', 'leakage', 0, 'o_custkey'
-  UNION ALL SELECT 'lineitem', 'dependency', count(*) FILTER (m < 0.99), 'gross' FROM (SELECT avg((l_partkey % 50 <> 0)::INT) AS m FROM lineitem) UNION ALL SELECT 'orders', 'dependency', 0, 'year'),
- f AS (SELECT table_name, kind, CAST(sum(affected) AS BIGINT) AS affected, coalesce(string_agg(fields, ',' ORDER BY fields) FILTER (affected > 0), '') AS affected_fields FROM rep GROUP BY 1, 2),
+  UNION ALL SELECT 'lineitem', 'leakage', (a >= 0.99 AND r2 >= 0.99)::BIGINT, 'net' FROM (SELECT avg((abs(f - (i + s * t)) <= 1e-10 + 1e-8 * abs(i + s * t))::INT) AS a, 1 - avg((f - (i + s * t)) ** 2) / var_pop(f) AS r2
+   FROM (SELECT l_extendedprice AS t, l_extendedprice * 0.5 + 3 AS f, regr_slope(l_extendedprice * 0.5 + 3, l_extendedprice) OVER () AS s, regr_intercept(l_extendedprice * 0.5 + 3, l_extendedprice) OVER () AS i FROM lineitem))
+  UNION ALL SELECT 'orders', 'leakage', (a >= 0.99 AND r2 >= 0.99)::BIGINT, 'o_custkey' FROM (SELECT avg((abs(f - (i + s * t)) <= 1e-10 + 1e-8 * abs(i + s * t))::INT) AS a, 1 - avg((f - (i + s * t)) ** 2) / var_pop(f) AS r2
+   FROM (SELECT o_totalprice AS t, o_custkey AS f, regr_slope(o_custkey, o_totalprice) OVER () AS s, regr_intercept(o_custkey, o_totalprice) OVER () AS i FROM orders))
+  UNION ALL SELECT 'lineitem', 'dependency', (avg((g = l_quantity * 2)::INT) < 0.99)::BIGINT, 'gross' FROM (SELECT l_quantity, l_quantity * 2 + CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS g FROM lineitem)
+  UNION ALL SELECT 'orders', 'dependency', (avg((y = year(o_orderdate))::INT) < 0.99)::BIGINT, 'year' FROM (SELECT o_orderdate, date_part('year', o_orderdate) AS y FROM orders)
+  UNION ALL SELECT 'orders', 'target_extremes', count(*) FILTER (o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)), 'o_totalprice' FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
+  UNION ALL SELECT 'customer', 'target_contract', count(*) FILTER (c_acctbal IS NULL OR NOT isfinite(c_acctbal)) + (min(c_acctbal) = max(c_acctbal))::BIGINT, 'c_acctbal' FROM customer
+  UNION ALL SELECT 'customer', 'no_dependency', 0, 'none declared'),
+ dm AS (SELECT * FROM (VALUES ('type_or_domain', 'Schema and domain validity'), ('value_quality', 'Value quality'), ('identity', 'Record integrity'), ('exact_rows', 'Record integrity'), ('target_conflict', 'Record ambiguity'), ('target_contract', 'Target integrity'),
+  ('class_support', 'Target support'), ('target_extremes', 'Target distribution'), ('outliers', 'Numerical distribution'), ('leakage', 'Leakage governance'), ('dependency', 'Derived-feature provenance'), ('no_dependency', 'Derived-feature provenance')) AS v(kind, domain)),
+ f AS (SELECT table_name, kind, domain, CAST(sum(affected) AS BIGINT) AS affected, coalesce(string_agg(fields, ',' ORDER BY fields) FILTER (affected > 0 AND fields NOT IN ('rows', 'l_discount <= l_tax')), '') AS affected_fields,
+  string_agg(fields || ': ' || affected, '; ' ORDER BY fields || ': ' || affected) AS evidence FROM rep JOIN dm USING (kind) GROUP BY 1, 2, 3),
  r AS (SELECT * FROM (VALUES ('type_or_domain', 'DQ-001', 'High', 'Open', 'Must fix', 'Preparation', 'NI-001', 'No action'), ('value_quality', 'DQ-002', 'High', 'Open', 'Must fix', 'Preparation', 'NI-002', 'No action'),
   ('identity', 'DQ-003', 'High', 'Open', 'Must fix', 'Preparation', 'NI-003', 'Preserve'), ('exact_rows', 'DQ-003', 'Medium', 'Review', 'Monitor', 'None', 'NI-003', 'Preserve'),
   ('target_conflict', 'DQ-004', 'Medium', 'Review', 'Evaluate', 'Model evaluation', NULL, NULL), ('target_contract', 'DQ-005', 'Critical', 'Open', 'Must fix', 'Modeling clearance', 'NI-004', 'No action'),
   ('leakage', 'DQ-006', 'Critical', 'Open', 'Prohibited', 'Modeling clearance', 'NI-007', 'No action'), ('dependency', 'DQ-007', 'Medium', 'Review', 'Evaluate', 'Model evaluation', 'NI-008', 'Monitor')) AS v(kind, id, sev, st, disp, bl, ni, nd)),
- found AS (SELECT table_name, kind, id AS finding_id, sev AS severity, st AS status, disp AS disposition, bl AS blocks, affected, affected_fields FROM f JOIN r USING (kind) WHERE affected > 0),
- fine AS (SELECT table_name, kind, ni AS finding_id, nd AS disposition, affected, affected_fields FROM f JOIN r USING (kind) WHERE affected = 0 AND ni IS NOT NULL
-  UNION ALL SELECT table_name, kind, 'NI-005', 'Monitor', affected, affected_fields FROM f WHERE kind = 'class_support'
-  UNION ALL SELECT table_name, kind, 'NI-006', CASE WHEN affected > 0 THEN 'Preserve' ELSE 'No action' END, affected, affected_fields FROM f WHERE kind = 'outliers'),
+ found AS (SELECT table_name, kind, id AS finding_id, sev AS severity, st AS status, disp AS disposition, bl AS blocks, affected, affected_fields, domain, evidence FROM f JOIN r USING (kind) WHERE affected > 0),
+ fine AS (SELECT table_name, kind, ni AS finding_id, nd AS disposition, affected, affected_fields, domain, evidence FROM f JOIN r USING (kind) WHERE affected = 0 AND ni IS NOT NULL
+  UNION ALL SELECT table_name, kind, 'NI-005', 'Monitor', affected, affected_fields, domain, evidence FROM f WHERE kind = 'class_support' UNION ALL SELECT table_name, kind, 'NI-005', 'Preserve', affected, affected_fields, domain, evidence FROM f WHERE kind = 'target_extremes'
+  UNION ALL SELECT table_name, kind, 'NI-008', 'No action', affected, affected_fields, domain, evidence FROM f WHERE kind = 'no_dependency'
+  UNION ALL SELECT table_name, kind, 'NI-006', CASE WHEN affected > 0 THEN 'Preserve' ELSE 'No action' END, affected, affected_fields, domain, evidence FROM f WHERE kind = 'outliers'),
  findings AS (SELECT *, CAST(CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 ELSE 2 END AS BIGINT) AS severity_order FROM found
   UNION ALL BY NAME SELECT *, 'None' AS severity, 'Validated' AS status, 'None' AS blocks, 4::BIGINT AS severity_order FROM fine)"""
 
@@ -413,8 +424,12 @@ def findings(spark, sf) -> DataFrame:
             "lineitem", "dependency", (~F.col("confirmed")).cast("int"), F.col("feature")),
         say(lk.derived_dependencies(o.withColumn("year", F.year("o_orderdate")), {"year": F.year("o_orderdate")}), "orders", "dependency",
             (~F.col("confirmed")).cast("int"), F.col("feature")),
+        say(pf.outlier_summary(o, ["o_totalprice"]), "orders", "target_extremes", F.col("lower_count") + F.col("upper_count"), F.col("feature")),
+        say(q.numeric_target_contract(c, "c_acctbal"), "customer", "target_contract", F.col("missing_count") + F.col("non_finite_count") + (~F.col("varies")).cast("long"), F.lit("c_acctbal")),
+        say(spark.createDataFrame([(0,)], "n long"), "customer", "no_dependency", F.col("n"), F.lit("none declared")),
     ]
-    return q.consolidate_findings(reduce(DataFrame.unionByName, parts))
+    known = {"orders": [*o.columns, "year"], "lineitem": [*l.columns, "p", "net", "gross"], "customer": c.columns}
+    return q.consolidate_findings(reduce(DataFrame.unionByName, parts), known)
 
 
 @query("c20_quality_findings", f"WITH {FINDING_ROWS} SELECT * FROM findings")
