@@ -25,6 +25,7 @@ TILE = 512  # paragraphs; a task compares at most two tiles
 PASSAGE, ANCHOR, REACH = 20, 4, 28
 RUN = 51  # words: repeats of over 50 words count
 AROUND = RUN - PASSAGE  # words on each side that decide whether a passage is part of an equal run
+GROUP = 8192  # surroundings of one passage that a task compares at once; those of a more frequent one meet by a shuffle
 SEED = 5
 
 
@@ -179,9 +180,9 @@ class Units:
         return np.unique(self.shingles[self.offsets[i]:self.offsets[i] + self.sizes[i]])
 
 
-UNITS = "id long, th long, t2 long, place int, last_place int, start int, n_words int, c1 long, c2 long, keys array<long>, starts array<int>"
+UNITS = "id long, th long, place int, last_place int, start int, n_words int, c1 long, c2 long, keys array<long>, starts array<int>"
 SETS = "c1 long, c2 long, shingles array<long>"
-NAMES = ["id", "th", "t2", "place", "last_place", "start", "n_words", "c1", "c2", "keys", "starts"]
+NAMES = ["id", "th", "place", "last_place", "start", "n_words", "c1", "c2", "keys", "starts"]
 
 
 def _texts(part: pa.RecordBatch) -> list[bytes | None]:
@@ -197,7 +198,7 @@ def _units(least: int | None, n_bands: int, rows: int):
             c1, c2 = u.names()
             keys = u.keys(n_bands, rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(owner), part.column("th").take(owner), part.column("t2").take(owner), pa.array(u.place, pa.int32()), pa.array(u.last_place, pa.int32()),
+                [part.column("id").take(owner), part.column("th").take(owner), pa.array(u.place, pa.int32()), pa.array(u.last_place, pa.int32()),
                  pa.array(u.start), pa.array(u.counts.astype(np.int32)), pa.array(c1), pa.array(c2),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel())), pa.nulls(len(owner), pa.list_(pa.int32()))], NAMES)
             if least is None:
@@ -206,7 +207,7 @@ def _units(least: int | None, n_bands: int, rows: int):
             owner, none = pa.array(text), pa.nulls(len(text), pa.int32())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(owner), part.column("th").take(owner), part.column("t2").take(owner), none, none, none, none, pa.array(key), none.cast(pa.int64()),
+                [part.column("id").take(owner), part.column("th").take(owner), none, none, none, none, pa.array(key), none.cast(pa.int64()),
                  pa.nulls(len(owner), pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(starts) if starts else np.zeros(0, np.int32)))], NAMES)
     return run
 
@@ -232,7 +233,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["t1", "t2", "key", "c1", "c2", "s", "left", "right", "lines"]
     for part in (p for batch in batches for p in slices(batch, "text")):
         u = Units(_texts(part), 1)
-        asked = [np.unique(np.array(x, np.int64)) for x in part.column("starts").to_pylist()]
+        asked = [np.unique(np.array([k for k in x if k + PASSAGE <= n], np.int64)) for x, n in zip(part.column("starts").to_pylist(), u.text_counts.tolist(), strict=True)]
         text, s = np.repeat(np.arange(len(asked)), [len(x) for x in asked]), np.concatenate(asked)
         left, right = np.minimum(s, AROUND), np.minimum(u.text_counts[text] - s - PASSAGE, AROUND)
         c1, c2 = u.spans(u.text_starts[text] + s - left, left + PASSAGE + right)
@@ -252,24 +253,116 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t1, t2, none, none, none, *[none.cast(pa.int32())] * 3, pa.array([x.tolist() for x in lines], pa.list_(pa.int32()))], names)
 
 
-RUNS = "t1 long, t2 long, id long, most long, s int, l int, h1 long, h2 long"
+CHAINS = "key long, id long, most long, t1 long, t2 long, s int, words binary"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All RUN words in a row that hold a wanted passage: they begin l words before it."""
-    names = ["t1", "t2", "id", "most", "s", "l", "h1", "h2"]
-    for part in (p for batch in batches for p in slices(batch, "text", 200, 1 << 20)):
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The AROUND words before and after each wanted passage, the nearest first, as 32 bits each; 0 where the text ends."""
+    names = ["key", "id", "most", "t1", "t2", "s", "words"]
+    for part in (p for batch in batches for p in slices(batch, "text")):
         u = Units(_texts(part), 1)
         rows = [(i, x["id"], x["most"], x["s"]) for i, xs in enumerate(part.column("reps").to_pylist()) for x in xs]
         text, ids, most, s = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-        l = np.tile(np.arange(AROUND + 1), len(rows))
-        text, ids, most, s = (np.repeat(c, AROUND + 1) for c in (text, ids, most, s))
-        fits = (s >= l) & (s - l + RUN <= u.text_counts[text])
-        text, ids, most, s, l = text[fits], ids[fits], most[fits], s[fits], l[fits]
-        h1, h2 = u.spans(u.text_starts[text] + s - l, np.full(len(s), RUN))
+        at, begin, end = u.text_starts[text] + s, u.text_starts[text], u.text_starts[text] + u.text_counts[text]
+        steps = np.arange(AROUND)
+        places = np.hstack([at[:, None] - 1 - steps, at[:, None] + PASSAGE + steps])
+        inside = (places >= begin[:, None]) & (places < end[:, None])
+        words = np.where(inside, (u.all_words[np.where(inside, places, 0)] >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32)
         whose = pa.array(text)
-        yield pa.RecordBatch.from_arrays([part.column("th").take(whose), part.column("t2").take(whose), pa.array(ids), pa.array(most), pa.array(s.astype(np.int32)), pa.array(l.astype(np.int32)),
-                                          pa.array(h1), pa.array(h2)], names)
+        flat = pa.py_buffer(np.ascontiguousarray(words))
+        offsets = pa.py_buffer((np.arange(len(s) + 1) * 8 * AROUND).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(u.passage_keys(at)), pa.array(ids), pa.array(most), part.column("th").take(whose), part.column("t2").take(whose), pa.array(s.astype(np.int32)),
+             pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, offsets, flat])], names)
+
+
+def run_names(group: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Names of the runs of RUN words that hold each passage, by the number of words before it; 0 where the text has none."""
+    n = len(group["key"])
+    words = np.frombuffer(b"".join(group["words"].to_pylist()), np.uint32).reshape(n, 2, AROUND)
+    sides = []
+    for side, factor in enumerate(odd_numbers(2, 14)):
+        now = [np.asarray(group["key"]).view(np.uint64)]
+        for k in range(AROUND):
+            word = words[:, side, k].astype(np.uint64)
+            now.append(np.where((word == 0) | (now[-1] == 0), np.uint64(0), mixed(now[-1] * factor + word) | np.uint64(1)))
+        sides.append(now)
+    both = [np.where((x == 0) | (y == 0), np.uint64(0), mixed(x + mixed(y)) | np.uint64(1)) for x, y in zip(sides[0], reversed(sides[1]), strict=True)]
+    return np.stack(both, axis=1)
+
+
+HITS = "t1 long, t2 long, s int, before int, behind int, b1 long, b2 long, bs int"
+
+
+def compare_contexts(group: pa.Table) -> pa.Table:
+    """Of passages with equal keys, those in a run of RUN words which another document holds: how far such runs reach before
+    and behind them, and a passage that stands for all they are linked with. Any number of whole groups at once."""
+    n, names = len(group), run_names(group)
+    low, high = group["id"].to_numpy(), group["most"].to_numpy()
+    before, behind, firsts = np.full(n, -1, np.int32), np.full(n, -1, np.int32), []
+    for l in range(AROUND + 1):
+        order = np.argsort(names[:, l], kind="stable")
+        order = order[np.searchsorted(names[order, l], 1):]
+        if not len(order):
+            continue
+        ranked = names[order, l]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        sizes = np.diff(np.append(starts, len(order)))
+        shared = np.repeat(np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(high[order], starts), sizes)
+        members, first = order[shared], np.repeat(order[starts], sizes)[shared]
+        before[members] = np.maximum(before[members], l)
+        behind[members] = np.maximum(behind[members], AROUND - l)
+        firsts.append((members, first))
+    root, last = np.arange(n), None
+    while firsts and (last is None or (root != last).any()):
+        last = root.copy()
+        for members, first in firsts:
+            np.minimum.at(root, first, root[members])
+            root[members] = np.minimum(root[members], root[first])
+    hit = before >= 0
+    out = {c: group[c].combine_chunks().filter(pa.array(hit)) for c in ("t1", "t2", "s")}
+    by = group.take(pa.array(root[hit]))
+    return pa.table({**out, "before": pa.array(before[hit]), "behind": pa.array(behind[hit]), "b1": by["t1"], "b2": by["t2"], "bs": by["s"]})
+
+
+def whole_groups(df: DataFrame, key: str, work, schema: str) -> DataFrame:
+    """work on tables of one or more whole groups of rows with an equal key, about a batch at a time. Groups have to be bounded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            marks = batch.column(key).to_numpy(zero_copy_only=False)
+            if len(marks) and rest and marks[0] != rest[-1].column(key)[-1].as_py():
+                yield from work(pa.Table.from_batches(rest)).to_batches()
+                rest = []
+            cut = np.flatnonzero(marks[1:] != marks[:-1])
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut:
+                yield from work(pa.Table.from_batches([*rest, batch.slice(0, cut)])).to_batches()
+                rest = []
+            if batch.num_rows > cut:
+                rest.append(batch.slice(cut))
+        if rest:
+            yield from work(pa.Table.from_batches(rest)).to_batches()
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of `run_names`, one per row."""
+    columns = ["t1", "t2", "s", "id", "most"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            names = run_names(part)
+            i, l = np.nonzero(names)
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(i)) for c in columns], pa.array(l.astype(np.int32)), pa.array(names[i, l].view(np.int64))], [*columns, "l", "h"])
+
+
+def _hot_contexts(chains: DataFrame) -> DataFrame:
+    """What `compare_contexts` tells, for groups of any size: runs with one name meet in a combined aggregate."""
+    every = store(chains.mapInArrow(_windows, "t1 long, t2 long, s int, id long, most long, l int, h long"), "windows")
+    held = every.groupBy("h").agg(F.min(F.struct("id", "t1", "t2", "s")).alias("by"), F.max("most").alias("_most")).where("by.id <> _most").select("h", "by")
+    return every.join(held, "h").groupBy("t1", "t2", "s", F.col("by.t1").alias("b1"), F.col("by.t2").alias("b2"), F.col("by.s").alias("bs")).agg(
+        F.max("l").alias("before"), F.max(AROUND - F.col("l")).alias("behind")).select("t1", "t2", "s", "before", "behind", "b1", "b2", "bs")
 
 
 def link_tile(threshold: float):
@@ -367,27 +460,32 @@ def _equal_runs(texts: DataFrame, holders: DataFrame, id_column: str) -> DataFra
     texts: one row `th, t2, text, starts, least, most` per distinct text, starts of its shared passages, least and most
     of its ids; holders: `th, t2, id` of all rows.
 
-    A passage and the words around it are one class; a class in two documents is a run by itself. Only the first of
-    each class is then cut into all its runs of RUN words, if its passage has more than one class: those found in
-    another document belong to a run, in whatever context. All names are 128 bits of the words in order.
+    A passage and the words around it are one class, named by 128 bits; a class in two documents is a run by itself. If a
+    passage has more than one class, the first of each is compared with the others: for each number of words before the
+    passage, the RUN words that begin there are named by them (64 bits, of the key and 32 bits of each word around it).
+    What two documents name alike is a run.
     """
     every = store(texts.select("th", "t2", "text", "starts").mapInArrow(_contexts, CONTEXTS), "contexts")
-    ends = texts.select(F.col("th").alias("t1"), "t2", "least", "most")
+    ends = texts.select(F.col("th").alias("t1"), "t2", "least", "most").dropDuplicates(["t1", "t2"])
     places = every.where("key is not null").drop("lines").join(ends, ["t1", "t2"])
     classes = store(places.groupBy("key", "c1", "c2").agg(
         F.min(F.struct(F.col("least").alias("id"), "t1", "t2", "s")).alias("first"), F.max("most").alias("most"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
-    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    reps = classes.join(several, "key").groupBy(F.col("first.t1").alias("_t1"), F.col("first.t2").alias("_t2")).agg(
-        F.collect_list(F.struct(F.col("first.id").alias("id"), "most", F.col("first.s").alias("s"))).alias("reps"))
-    cut = store(texts.select("th", "t2", "text").join(reps, (F.col("th") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("th", "t2", "text", "reps").mapInArrow(_runs, RUNS), "runs")
-    held = cut.groupBy("h1", "h2").agg(F.min(F.struct("id", "t1", "t2", "s")).alias("by"), F.max("most").alias("_most")).where("by.id <> _most").drop("_most")
-    hits = store(cut.join(held, ["h1", "h2"]).groupBy("t1", "t2", "s", "by").agg(F.min("l").alias("l0"), F.max("l").alias("l1")), "hits")
-    reach = hits.groupBy(*[F.col(c).alias(f"_{c}") for c in ("t1", "t2", "s")]).agg(F.min("l0").alias("l0"), F.max("l1").alias("l1"))
+    several = store(classes.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "several")
+
+    def chains(wanted: DataFrame) -> DataFrame:
+        reps = classes.join(wanted.select("key"), "key").groupBy(F.col("first.t1").alias("_t1"), F.col("first.t2").alias("_t2")).agg(
+            F.collect_list(F.struct(F.col("first.id").alias("id"), "most", F.col("first.s").alias("s"))).alias("reps"))
+        return texts.select("th", "t2", "text").join(reps, (F.col("th") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select(
+            "th", "t2", "text", "reps").mapInArrow(_chains, CHAINS)
+
+    hits = store(whole_groups(chains(several.where(F.col("_n") <= GROUP)), "key", compare_contexts, HITS).unionByName(
+        _hot_contexts(chains(several.where(F.col("_n") > GROUP)))), "hits")
+    reach = hits.groupBy(*[F.col(c).alias(f"_{c}") for c in ("t1", "t2", "s")]).agg(F.max("before").alias("before"), F.max("behind").alias("behind"))
     own = F.col("first.id") != F.col("most")
     same = (F.col("first.t1") == F.col("_t1")) & (F.col("first.t2") == F.col("_t2")) & (F.col("first.s") == F.col("_s"))
-    covers = store(classes.join(reach, same, "left").where(own | F.col("l1").isNotNull()).select(
-        "key", "c1", "c2", "first", F.when(own, F.col("left")).otherwise(F.col("l1")).alias("before"),
-        F.when(own, F.col("right") + PASSAGE).otherwise(RUN - F.col("l0")).alias("after")), "covers")
+    covers = store(classes.join(reach, same, "left").where(own | F.col("before").isNotNull()).select(
+        "key", "c1", "c2", "first", F.when(own, F.col("left")).otherwise(F.col("before")).alias("before"),
+        (F.when(own, F.col("right")).otherwise(F.col("behind")) + PASSAGE).alias("after")), "covers")
     pieces = places.join(covers, ["key", "c1", "c2"]).select("t1", "t2", "s", "first", (F.col("s") - F.col("before")).alias("a"), (F.col("s") + F.col("after")).alias("b"))
     text = Window.partitionBy("t1", "t2").orderBy("a", "b", "s")
     reached = F.max("b").over(text.rowsBetween(Window.unboundedPreceding, -1))
@@ -395,7 +493,7 @@ def _equal_runs(texts: DataFrame, holders: DataFrame, id_column: str) -> DataFra
     spanned = store(islands.withColumns({c: f.over(Window.partitionBy("t1", "t2", "_span")) for c, f in (("a", F.min("a")), ("b", F.max("b")))}).select("t1", "t2", "s", "a", "b", "first"), "spans")
     place = spanned.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("s").alias("_s"), F.struct("t1", "t2", "a").alias("node"))
     links = spanned.select(F.struct("t1", "t2", "a").alias("a"), F.struct("first.t1", "first.t2", "first.s").alias("to")).union(
-        hits.select("t1", "t2", "s", F.struct("by.t1", "by.t2", "by.s").alias("to")).join(
+        hits.select("t1", "t2", "s", F.struct(F.col("b1").alias("t1"), F.col("b2").alias("t2"), F.col("bs").alias("s")).alias("to")).join(
             place, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & (F.col("s") == F.col("_s"))).select(F.col("node").alias("a"), "to")).distinct()
     edges = links.join(place, (F.col("to.t1") == F.col("_t1")) & (F.col("to.t2") == F.col("_t2")) & (F.col("to.s") == F.col("_s"))).select("a", F.col("node").alias("b")).distinct()
     roots = components(edges).select(F.col("node.t1").alias("_t1"), F.col("node.t2").alias("_t2"), F.col("node.a").alias("_a"), F.col("component").alias("_root"))
@@ -436,15 +534,15 @@ def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_
     every = store(rows.mapInArrow(_units(least_words, bands(threshold), ROWS), UNITS), "paragraphs")
     units = every.where("starts is null").drop("starts")
     classes, colliding = _candidates(units)
-    passages = every.where("starts is not null").select(F.coalesce("id", F.lit(LAST)).alias("id"), "th", "t2", F.col("c1").alias("key"), "starts")
-    ends = passages.groupBy("th", "t2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    passages = every.where("starts is not null").select(F.coalesce("id", F.lit(LAST)).alias("id"), "th", F.col("c1").alias("key"), "starts")
+    ends = rows.groupBy("th").agg(*[f(F.coalesce("id", F.lit(LAST))).alias(c) for f, c in ((F.min, "least"), (F.max, "most"))])
     shared = store(passages.groupBy("key").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b").select("key"), "shared")
-    starts = passages.join(shared, "key").groupBy("th", "t2").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
-    cut = starts.join(ends, ["th", "t2"]).select(F.nullif("least", F.lit(LAST)).alias("_id"), F.col("th").alias("_th"), F.col("t2").alias("_t2"), "starts", "least", "most")
-    both = _wanted(classes, colliding).withColumn("cut", F.lit(None).cast("struct<t2:long,starts:array<int>,least:long,most:long>")).unionByName(
-        cut.select("_id", "_th", F.lit(None).cast("int").alias("place"), F.struct(F.col("_t2").alias("t2"), "starts", "least", "most").alias("cut")))
-    wanted = both.groupBy("_id", "_th").agg(F.collect_set("place").alias("places"), F.collect_list("cut").alias("cuts"))
-    fetched = store(_fetched(rows, wanted).dropDuplicates(["th", "t2", "id"]), "fetched")
+    starts = passages.join(shared, "key").groupBy("th").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+    cut = starts.join(ends, "th").select(F.nullif("least", F.lit(LAST)).alias("_id"), F.col("th").alias("_th"), F.struct("starts", "least", "most").alias("cut"))
+    both = _wanted(classes, colliding).withColumn("cut", F.lit(None).cast("struct<starts:array<int>,least:long,most:long>")).unionByName(
+        cut.withColumn("place", F.lit(None).cast("int")))
+    wanted = both.groupBy("_id", "_th").agg(F.collect_set("place").alias("places"), F.any_value("cut", True).alias("cut"))
+    fetched = store(_fetched(rows, wanted), "fetched")
     lookup = _linked(classes, colliding, fetched.where(F.size("places") > 0), threshold, least_words)
     found = units.drop("keys").join(lookup, ["c1", "c2"])
     many = found.select("root", "id").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n_documents"))
@@ -452,7 +550,6 @@ def repeated(docs: DataFrame, threshold: float = 0.8, least_words: int = 25, id_
         F.col("id").alias(id_column), "place", "last_place", F.lit("paragraph").alias("kind"), "start", (F.col("start") + F.col("n_words")).alias("end"),
         F.col("first.id").alias("component_id"), F.col("first.place").alias("component_place"), "n_paragraphs", "n_documents",
         _first().eqNullSafe(F.col("first")).alias("kept"))
-    texts = fetched.select("th", "t2", "text", F.get(F.filter("cuts", lambda c: c["t2"] == F.col("t2")), F.lit(0)).alias("cut")).where("cut is not null").select(
-        "th", "t2", "text", "cut.starts", "cut.least", "cut.most")
+    texts = fetched.where("cut is not null").select("th", "t2", "text", "cut.starts", "cut.least", "cut.most")
     holders = rows.select("th", "t2", F.coalesce("id", F.lit(LAST)).alias("id"))
     return blocks_found.unionByName(_equal_runs(texts, holders, id_column))

@@ -113,8 +113,10 @@ def test_equal_runs_of_given_rows_equal_brute_force(spark):
         assert before[r.place] <= r.start < before[r.place + 1] and before[r.last_place] < r.end <= before[r.last_place + 1]
 
 
-def test_runs_in_any_context_and_layout_equal_brute_force(spark):
+@pytest.mark.parametrize("group", [3, paragraphs.GROUP])  # surroundings of a passage beyond which they meet by a shuffle
+def test_runs_in_any_context_and_layout_equal_brute_force(spark, monkeypatch, group):
     """Runs of 45 to 60 words beside chance ones of 20 words, inside lines, over lines, repeated in a text, in copies, without ids."""
+    monkeypatch.setattr(paragraphs, "GROUP", group)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     fill = lambda n: [word() for _ in range(n)]
@@ -156,6 +158,47 @@ def test_equal_passages_of_a_text_are_together():
     assert len(set(zip(text.tolist(), keys.tolist(), strict=True))) == len(keys) <= 3 and starts[0].tolist() == list(range(481))
 
 
+def test_many_whole_groups_at_once_equal_each_by_itself():
+    """Names of runs tell the same whatever groups lie in a table, and only another document counts."""
+    import pyarrow as pa
+    rng = random.Random(4)
+    rows = []
+    for key in range(1, 40):
+        base = [rng.randrange(1, 1 << 32) for _ in range(2 * paragraphs.AROUND)]
+        for i in range(rng.randrange(2, 9)):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.randrange(1, 1 << 32)
+            if rng.random() < 0.3:
+                words[rng.randrange(5, paragraphs.AROUND):paragraphs.AROUND] = []
+                words = words[:paragraphs.AROUND] if len(words) < 2 * paragraphs.AROUND else words
+                words = (words + [0] * 2 * paragraphs.AROUND)[:2 * paragraphs.AROUND]
+            rows.append((key, rng.randrange(3), words))
+    rows = [(k, d, i, w) for i, (k, d, w) in enumerate(rows)]
+
+    def table(part):
+        return pa.table({"key": pa.array([r[0] for r in part], pa.int64()), "id": pa.array([r[1] for r in part], pa.int64()), "most": pa.array([r[1] for r in part], pa.int64()),
+                         "t1": pa.array([r[2] for r in part], pa.int64()), "t2": pa.array([0] * len(part), pa.int64()), "s": pa.array([0] * len(part), pa.int32()),
+                         "words": pa.array([np.array(r[3], np.uint32).tobytes() for r in part], pa.binary())})
+
+    def lengths(a, b):
+        same = [0, 0]
+        for side in (0, 1):
+            for x, y in zip(a[side * paragraphs.AROUND:(side + 1) * paragraphs.AROUND], b[side * paragraphs.AROUND:(side + 1) * paragraphs.AROUND], strict=True):
+                if x != y or not x:
+                    break
+                same[side] += 1
+        return same
+
+    got = {r["t1"]: (r["before"], r["behind"]) for r in paragraphs.compare_contexts(table(rows)).to_pylist()}
+    want = {}
+    for k, d, i, w in rows:
+        near = [lengths(w, o[3]) for o in rows if o[0] == k and o[1] != d and sum(lengths(w, o[3])) >= paragraphs.AROUND]
+        if near:
+            want[i] = (max(x for x, _ in near), max(y for _, y in near))
+    assert got == want
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.7, 0.8, 0.9):
         for rows in (3, 4, 6):
