@@ -25,7 +25,7 @@ TILE = 512  # paragraphs; a task compares at most two tiles
 PASSAGE, ANCHOR, REACH = 20, 4, 28
 RUN = 51  # words: repeats of over 50 words count
 AROUND = RUN - PASSAGE  # words on each side that decide whether a passage is part of an equal run
-GROUP = 8192  # surroundings of one passage that a task compares at once; those of a more frequent one meet by a shuffle
+GROUP = 65_536  # surroundings of one passage that a task compares at once (about 40 MB); those of a more frequent one meet by a shuffle
 SEED = 5
 
 
