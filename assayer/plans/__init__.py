@@ -5,7 +5,7 @@ import importlib
 from assayer.plans.registry import ORACLE, QUERIES
 
 FAMILIES = ("forecasting", "identity", "quality", "profiles", "association", "target", "structure", "splits", "evaluation", "smoothing", "models",
-            "stateless_streams", "stateful_streams", "lattice", "asof", "jsonprofile")
+            "stateless_streams", "stateful_streams", "lattice", "asof", "jsonprofile", "sketches")
 for _family in FAMILIES:
     importlib.import_module(f"assayer.plans.{_family}")
 
