@@ -3,67 +3,105 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.sources.tables import stored
 
 FOUND = "kind string, columns string, dependent string, width bigint, classes bigint"
 MOST_SETS = 20_000
-
-
-def _named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One array of 128-bit names of the values of each row; NULL is a value, NaN equals NaN and -0.0 equals 0.0."""
-    names = [F.struct(F.xxhash64(F.lit(1), F.col(c), F.col(c).isNull()).alias("x"), F.xxhash64(F.lit(2), F.col(c).isNull(), F.col(c)).alias("y")) for c in columns]
-    return df.select(F.array(*names).alias("v"))
-
-
-def _classes(rows: DataFrame) -> DataFrame:
-    """The stripped partition of each set: its classes of two or more rows and their size."""
-    return rows.groupBy("set", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-class Lattice:
-    """What is known of each set of columns (a sorted tuple of numbers): rows beyond the first of each of its classes."""
-
-    def __init__(self, rows: int, columns: int):
-        self.rows, self.columns, self.excess = rows, columns, {(): max(rows - 1, 0)}
-        self.keys: list[tuple[int, ...]] = []
-        self.dependencies: list[tuple[tuple[int, ...], int]] = []
-
-    def implied(self, s: tuple[int, ...]) -> int | None:
-        """The excess of a set that holds a key or a dependency, from a smaller set; None if it has to be counted."""
-        whole = set(s)
-        if any(whole.issuperset(k) for k in self.keys):
-            return 0
-        for left, a in self.dependencies:
-            if a in whole and whole.issuperset(left):
-                return self.excess[tuple(x for x in s if x != a)]
-        return None
-
-    def level(self, k: int) -> list[tuple[int, ...]]:
-        """Sets of k columns that have to be counted; the others are settled."""
-        out = []
-        for s in combinations(range(self.columns), k):
-            known = self.implied(s)
-            if known is None:
-                out.append(s)
-            else:
-                self.excess[s] = known
-        return out
-
-    def settle(self, k: int, keys: bool = True) -> None:
-        """Dependencies and keys that a finished level shows, minimal ones only. A key is not listed as a determinant."""
-        for s in combinations(range(self.columns), k):
-            for a in s:
-                left = tuple(x for x in s if x != a)
-                known = any(set(left).issuperset(other) and b == a for other, b in self.dependencies)
-                if not known and self.excess[left] and self.excess[left] == self.excess[s]:
-                    self.dependencies.append((left, a))
-        if keys:
-            self.keys += [s for s in combinations(range(self.columns), k) if not self.excess[s] and not any(set(s).issuperset(q) for q in self.keys)]
+FIRST_LOOK = 5_000  # rows of each column's part in the first look, about
+CLASSES = 64  # a part is made of whole values of a column if that leaves it so many of them
+
+Claim = tuple[tuple[int, ...], tuple[int, ...]]  # columns, and those that they may determine
+
+
+def _name(seed: int, columns: Sequence[str]) -> Column:
+    """64 bits of the values of columns; NULL is a value, NaN equals NaN and -0.0 equals 0.0."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows in as many partitions as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+class Claims:
+    """What is claimed of sets of columns, looked for in the rows: classes, whether one has two rows, and whether one has two values beside it."""
+
+    def __init__(self, rows: DataFrame, columns: Sequence[str], distinct: Sequence[int], width: int):
+        m = len(columns)
+        names = [F.array(*[_name(seed, [c]) for c in columns]).alias(v) for seed, v in ((1, "x"), (2, "y"))]
+        whole = rows.select(*names)
+        # after the names of the columns: that of the row, and that of no column
+        self.rows = whole.select(*[F.concat(v, F.array(F.xxhash64(F.lit(3), v), F.lit(0).cast("long"))).alias(v) for v in ("x", "y")])
+        self.row, self.nothing, self.distinct, self.width, self.kept = m, m + 1, distinct, width, {}
+
+    def owner(self, s: tuple[int, ...], share: int) -> int:
+        """A part is one in `share` values of this column: that of the set with most values, or the row itself if those are few."""
+        widest = max(s, key=lambda i: self.distinct[i])
+        return widest if self.distinct[widest] >= CLASSES * share else self.row
+
+    def parts(self, share: int) -> DataFrame:
+        """The rows that any part of this share has, stored if they are fewer than all."""
+        if share < self.row:
+            return self.rows
+        if share not in self.kept:
+            some = [F.pmod(F.xxhash64(F.lit(4), F.col("x")[i]), F.lit(share)) == 0 for i in sorted({self.owner((i,), share) for i in range(self.row)} | {self.row})]
+            self.kept[share] = stored(_dealt(self.rows.where(reduce(lambda a, b: a | b, some))), "parts")
+        return self.kept[share]
+
+    def look(self, claims: Sequence[Claim], share: int = 1) -> dict[Claim, tuple[int, bool, bool]]:
+        """`classes, repeated, broken` of each claim in one in `share` of the rows. What is repeated or broken there is so in the whole."""
+        if not claims:
+            return {}
+        held = [(i, self.owner(s, share), list(beside), *s, *[self.nothing] * (self.width - len(s))) for i, (s, beside) in enumerate(claims)]
+        sides = [f"s{i}" for i in range(self.width)]
+        asked = F.broadcast(self.rows.sparkSession.createDataFrame(held, "claim int, owner int, beside array<int>, " + ", ".join(f"{c} int" for c in sides)))
+        rows = self.parts(share)
+        pairs = rows.join(asked, F.pmod(F.xxhash64(F.lit(4), F.col("x")[F.col("owner")]), F.lit(share)) == 0) if share > 1 else rows.crossJoin(asked)
+        name = lambda v: F.xxhash64(*[F.col(v)[F.col(c)] for c in sides]).alias(f"h{v}")
+        value = (F.when(F.size("beside") == 0, F.lit(0).cast("long")).when(F.size("beside") == 1, F.col("x")[F.col("beside")[0]])
+                 .otherwise(F.xxhash64(F.transform("beside", lambda i: F.col("x")[i]))))
+        classes = pairs.select("claim", name("x"), name("y"), value.alias("r")).groupBy("claim", "hx", "hy").agg(
+            F.count(F.lit(1)).alias("n"), F.min("r").alias("a"), F.max("r").alias("b"))
+        seen = {r.claim: r for r in classes.groupBy("claim").agg(
+            F.count(F.lit(1)).alias("c"), F.max(F.col("n") > 1).alias("repeated"), F.max(F.col("a") != F.col("b")).alias("broken")).collect()}
+        return {c: (seen[i].c, seen[i].repeated, seen[i].broken) if i in seen else (0, False, False) for i, c in enumerate(claims)}
+
+
+def _settle(table: Claims, open_: dict[tuple[int, ...], set[int]], rows: int) -> tuple[list[tuple[int, ...]], list[tuple[tuple[int, ...], int, int]]]:
+    """Keys among the sets of a level, and the columns that each of the others determines of those named for it, with its classes.
+
+    Claims are looked for in growing parts of the rows: what a part refutes is refuted in the whole. What no part refutes
+    is looked for in all rows, so a claim that holds has been compared on every row.
+    """
+    may_key, alive = set(open_), {s: set(b) for s, b in open_.items()}
+    share = max(1, rows // FIRST_LOOK)
+    while share > 1:
+        one_by_one = [(s, (a,)) for s, b in alive.items() for a in sorted(b)]
+        todo = [(s, ()) for s in may_key if not alive[s]] + one_by_one
+        for (s, beside), (_, repeated, broken) in table.look(todo, share).items():
+            if repeated:
+                may_key.discard(s)
+            if broken:
+                alive[s] -= set(beside)
+        alive = {s: b for s, b in alive.items() if b or s in may_key}
+        share //= 16
+    keys, found = [], []
+    for (s, _), (_, repeated, _) in table.look([(s, ()) for s in sorted(may_key)]).items():
+        if not repeated:
+            keys.append(s)
+    left = [(s, tuple(sorted(b))) for s, b in sorted(alive.items()) if b and s not in keys]
+    together = table.look(left)
+    apart = table.look([(s, (a,)) for (s, beside), (_, _, broken) in together.items() if broken and len(beside) > 1 for a in beside])
+    for (s, beside), (classes, _, broken) in [*together.items(), *apart.items()]:
+        if not broken:
+            found += [(s, a, classes) for a in beside]
+    return keys, found
 
 
 def keys_and_dependencies(df: DataFrame, columns: Sequence[str] | None = None, width: int = 3) -> DataFrame:
@@ -73,44 +111,36 @@ def keys_and_dependencies(df: DataFrame, columns: Sequence[str] | None = None, w
     classes is the number of distinct values of the columns. A constant column depends on no columns (width 0). What
     depends on a key is not listed. NULL is a value like any other. A table of at most one row has the empty key.
 
-    A set has as many rows beyond the first of each class as its classes are larger than one row: none for a key, and
-    as many as a smaller set if that determines the column between them. So only classes of two or more rows are
-    counted, and rows that are alone in a set are dropped for all sets that hold it. A set that holds a key or the two
-    sides of a dependency is settled without counting. Rows of a level are stored; each set of the next goes on from those
-    of its first columns. Equal rows of a set are combined before they are shuffled. The driver holds one number per set.
+    Two rows refute a key or a dependency, so each is first looked for in parts of the rows that hold whole classes, and
+    only what no part refutes is counted over all rows, by 128-bit names of the values. Sets that hold a key or the two
+    sides of a dependency are settled without a look. The columns are stored once; each pass reads them again, so what is
+    shuffled grows with the rows and the claims that (nearly) hold, not with all sets. Equal rows of a set are combined
+    before they are shuffled. The driver holds a few numbers per set.
     """
     columns = list(columns or df.columns)
     m = len(columns)
     if sum(len(list(combinations(range(m), k))) for k in range(1, width + 1)) > MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} sets of columns")
     spark = df.sparkSession
-    named = stored(_named(df, columns), "values")
-    lattice = Lattice(named.count(), m)
-    if lattice.rows <= 1:
-        return spark.createDataFrame([("key", "", None, 0, lattice.rows)], FOUND)
-    numbers: dict[tuple[int, ...], int] = {(): 0}
-    rows = named.select(F.lit(0).alias("set"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "v")
+    rows = stored(_dealt(df.select(*columns)), "values")  # one file would be one task of every pass
+    first = rows.agg(F.count(F.lit(1)), *[F.approx_count_distinct(_name(1, [c])) for c in columns], *[F.min(_name(1, [c])) == F.max(_name(1, [c])) for c in columns]).first()
+    n = first[0]
+    if n <= 1:
+        return spark.createDataFrame([("key", "", None, 0, n)], FOUND)
+    claims = Claims(rows, columns, first[1:m + 1], width)
+    keys: list[tuple[int, ...]] = []
+    dependencies: list[tuple[tuple[int, ...], int, int]] = [((), a, 1) for a in range(m) if width > 0 and first[m + 1 + a]]
     for k in range(1, width + 1):
-        sets = lattice.level(k)
-        if not sets:
-            lattice.settle(k)
-            continue
-        steps = [(numbers[s[:-1]], s[-1], i) for i, s in enumerate(sets)]
-        numbers = {s: i for i, s in enumerate(sets)}
-        ahead = F.broadcast(spark.createDataFrame(steps, "_from int, a int, next int"))  # one row per set of columns
-        value = F.col("v")[F.col("a")]
-        longer = rows.join(ahead, F.col("set") == F.col("_from")).select(
-            F.col("next").alias("set"), F.xxhash64("x", value["x"]).alias("x"), F.xxhash64(value["y"], F.col("y")).alias("y"), "v")
-        classes = stored(_classes(longer.drop("v")), "classes")
-        counted = {r.set: r.e for r in classes.groupBy("set").agg(F.sum(F.col("n") - 1).alias("e")).collect()}
-        lattice.excess.update({s: counted.get(i, 0) for i, s in enumerate(sets)})
-        lattice.settle(k)
-        goes_on = sorted({numbers[s[:-1]] for s in lattice.level(k + 1)}) if k < width else []
-        if goes_on:
-            kept = classes.where(F.col("set").isin(goes_on)).select(F.col("set").alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y")).hint("merge")
-            rows = stored(longer.join(kept, (F.col("set") == F.col("_s")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_semi"), "rows")
+        open_ = {}
+        for s in combinations(range(m), k):
+            whole = set(s)
+            if not any(whole.issuperset(key) for key in keys) and not any(a in whole and whole.issuperset(left) for left, a, _ in dependencies):
+                known = {a for left, a, _ in dependencies if whole.issuperset(left)}
+                open_[s] = set(range(m)) - whole - known if k < width else set()
+        new_keys, found = _settle(claims, open_, n)
+        keys += new_keys
+        dependencies += found
     text = lambda s: ",".join(columns[i] for i in s)
-    distinct = lambda s: lattice.rows - lattice.excess[s]
-    out = [("key", text(s), None, len(s), distinct(s)) for s in lattice.keys]
-    out += [("dependency", text(s), columns[a], len(s), distinct(s)) for s, a in lattice.dependencies]
+    out = [("key", text(s), None, len(s), n) for s in keys]
+    out += [("dependency", text(s), columns[a], len(s), c) for s, a, c in dependencies]
     return spark.createDataFrame(out, FOUND)

@@ -46,3 +46,14 @@ def test_a_hot_value_leaves_the_result_alone(spark):
     rows = [(0, i % 7, i) for i in range(2000)] + [(i, i % 7, i) for i in range(2000, 2300)]
     df = spark.createDataFrame(rows, "hot int, week int, no int")
     assert {tuple(r) for r in keys_and_dependencies(df).collect()} == brute(rows, ["hot", "week", "no"], 3)
+
+
+def test_sets_without_a_claim_that_holds_are_not_shuffled_whole(spark):
+    from assayer.operators import lattice
+    df = spark.range(60_000, numPartitions=4).selectExpr("id", *[f"pmod(xxhash64(id, {i}), 40) AS c{i}" for i in range(6)], "pmod(xxhash64(id, 0), 40) DIV 8 AS d")
+    rows = lattice.Claims(df, df.columns, [60_000, *[40] * 6, 5], 2)
+    sets = [((i, j), (7,)) for i in range(2, 7) for j in range(i + 1, 7)]
+    assert all(repeated and broken for _, repeated, broken in rows.look(sets, 12).values())
+    assert rows.parts(12).count() < 30_000
+    got = {tuple(r)[:3] for r in keys_and_dependencies(df, width=2).collect()}
+    assert got == {("key", "id", None), ("dependency", "c0", "d")}
