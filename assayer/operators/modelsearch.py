@@ -7,6 +7,7 @@ every candidate and fold are one aggregate.
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import evaluate as ev
+from assayer.sources.tables import stored, work_folder
 
 CLASSIFIERS = {"logistic": LogisticRegression, "tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosting": GBTClassifier}
 REGRESSORS = {"ridge": LinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosting": GBTRegressor}
@@ -72,8 +74,17 @@ def _stages(c: Candidate, kind: str) -> list:
 
 
 def fit(train: DataFrame, c: Candidate, kind: str):
-    """Pipeline model on rows with a numeric label `y`."""
-    return Pipeline(stages=_stages(c, kind)).fit(train)
+    """Pipeline model on rows with a numeric label `y`.
+
+    A linear model keeps a summary with the table that it was fitted on, and takes it along to every task that predicts,
+    which fails if that table cannot be sent. Stored and loaded it is without one.
+    """
+    model = Pipeline(stages=_stages(c, kind)).fit(train)
+    if not getattr(model.stages[-1], "hasSummary", False):
+        return model
+    path = f"{work_folder(train.sparkSession)}/fit-{uuid.uuid4().hex}"
+    save_model(model, path)
+    return load_model(path)
 
 
 def predict(model, rows: DataFrame, c: Candidate, kind: str, keep: Sequence[str]) -> DataFrame:
@@ -173,14 +184,16 @@ def score(model: PipelineModel, rows: DataFrame, kind: str, keep: Sequence[str],
 def search(train: DataFrame, candidates: Sequence[Candidate], kind: str, folds: int, parallelism: int = 4) -> DataFrame:
     """Out-of-fold predictions `fold, model_id, y, p | pred` of every candidate; `train` has y and fold 0…k-1.
 
-    The rows are kept in memory while the candidates are fitted, and given up before the predictions are asked for.
+    The folds are dealt once: fits and predictions start from the stored rows, which are kept in memory while the
+    candidates are fitted. The predictions are stored too, as metrics read them more than once.
     """
-    kept = train.persist()
+    rows_ = stored(train, "folds")
+    kept = rows_.select("*").persist()
 
     def run(task):
         c, f = task
         rows = kept.where(F.col("fold") != f)
-        return predict(fit(rows, c, kind), train.where(F.col("fold") == f), c, kind, ["fold"])
+        return predict(fit(rows, c, kind), rows_.where(F.col("fold") == f), c, kind, ["fold"])
     tasks = [(c, f) for c in candidates for f in range(folds)]
     pool = ThreadPool(min(parallelism, len(tasks)))
     try:
@@ -188,7 +201,7 @@ def search(train: DataFrame, candidates: Sequence[Candidate], kind: str, folds:
     finally:
         pool.close()
         kept.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    return stored(reduce(DataFrame.unionByName, parts), "predictions")
 
 
 def cv_table(oof: DataFrame, kind: str, classes: Sequence[str] = ()) -> DataFrame:
@@ -197,7 +210,7 @@ def cv_table(oof: DataFrame, kind: str, classes: Sequence[str] = ()) -> DataFram
     if kind == "binary":
         return ev.ranking_metrics(oof, by).drop("rows").join(ev.probability_losses(oof, by), by)
     if kind == "regression":
-        return ev.regression_metrics(oof, by)
+        return ev.regression_metrics(oof, by, few_groups=True)  # candidates and folds are declared
     whole = oof.select(*by, F.col("y").cast("int").cast("string").alias("y"), F.col("pred").cast("int").cast("string").alias("pred"))
     return ev.multiclass_metrics(ev.confusion(whole, by, classes), by)
 
