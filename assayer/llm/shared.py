@@ -118,7 +118,11 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], s
 
 
 def slices(batch: pa.RecordBatch, text: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most `rows` rows and about `size` bytes of text; a longer text is a part by itself."""
+    """The batch in parts of at most `rows` rows and about `size` bytes of text; a longer text is a part by itself.
+
+    Parts are copies: Arrow casts a slice that starts at a multiple of 8 to a large string with its offsets left as they
+    were, and kernels that follow read other texts.
+    """
     if not batch.num_rows:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -126,7 +130,7 @@ def slices(batch: pa.RecordBatch, text: str, rows: int = 500, size: int = 4 << 2
     while at < batch.num_rows:
         limit = (ends[at - 1] if at else 0) + size
         end = max(at + 1, min(at + rows, int(np.searchsorted(ends, limit, "right"))))
-        yield batch.slice(at, end - at)
+        yield batch.take(pa.array(np.arange(at, end)))
         at = end
 
 

@@ -183,3 +183,13 @@ def test_crowded_eigenvalues_are_told_apart(spark):
     a = (q * values) @ q.T
     got, axes = whitening.feast(spark, (a + a.T) / 2, 8)
     assert np.allclose(got, values[:8], rtol=1e-12) and np.abs(np.abs(axes.T @ q[:, :8]) - np.eye(8)).max() < 1e-7
+
+
+def test_parts_that_start_at_a_multiple_of_eight_count_their_own_texts():
+    import pyarrow as pa
+    texts = [f"{'Wide ' * (i % 7)}É{chr(65 + i % 26) * (1 + i % 5)}" for i in range(1100)]
+    whole = pa.RecordBatch.from_pydict({"lang": ["x"] * 1100, "source": ["s"] * 1100, "text": texts})
+    for start, rows in ((0, 1100), (8, 1000), (64, 900)):
+        out = pa.Table.from_batches(list(divergence.partial_counts(iter([whole.slice(start, rows)])))).group_by("term").aggregate([("count", "sum")]).to_pylist()
+        words = [w for t in texts[start:start + rows] for w in t.translate({i: i + 32 for i in range(65, 91)}).split(" ")]
+        assert {r["term"]: r["count_sum"] for r in out if r["term"]} == {w: words.count(w) for w in set(words)}
