@@ -64,3 +64,24 @@ def test_frames_over_time_equal_brute_force(spark):
             assert (out[i].score is not None) == good and (not good or abs(out[i].score - (x - mid) / (1.4826 * mad)) < 1e-9)
     sums = {r.id: r.n for r in ao.recent(df, ["k"], "t", 60, {"n": F.count(F.lit(1))}).collect()}
     assert sums[0] == (None if rows[0][2] is None else sum(o == rows[0][1] and n is not None and 0 <= rows[0][2] - n <= 1 for _, o, n, _ in rows))
+
+
+def test_medians_and_spreads_of_frames_come_from_ranks(spark):
+    import numpy as np
+
+    from assayer.operators import asof
+    rng = np.random.default_rng(3)
+    for n, values in ((1, 1), (2, 2), (90, 4), (90, 1000)):
+        x = rng.integers(0, values, n) / 7.0
+        low = rng.integers(0, n, 200)
+        high = np.minimum(n, low + 1 + rng.integers(0, n, 200))
+        median, spread = asof._middle(asof._Ranks(x), low, high)
+        for i in range(200):
+            frame = x[low[i]:high[i]]
+            assert median[i] == np.median(frame) and abs(spread[i] - np.median(np.abs(frame - np.median(frame)))) < 1e-12
+    df = spark.range(40_000).selectExpr("id", "timestamp_seconds(1700000000 + id % 3000) AS t", "CAST(id % 97 AS DOUBLE) AS v", "'k' AS k")
+    out = asof.recent_robust_score(df, ["k"], "t", "v", 3600)
+    assert "collect_list" not in out._jdf.queryExecution().toString().lower()
+    last = out.orderBy("t", "id").tail(1)[0]
+    frame = np.arange(40_000) % 97.0
+    assert last.recent_n == 40_000 and last.recent_median == np.median(frame) and last.recent_mad == np.median(np.abs(frame - np.median(frame)))
