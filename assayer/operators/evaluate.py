@@ -234,7 +234,7 @@ def regression_metrics(scored: DataFrame, by: Sequence[str], y: str = "y", pred:
         F.stddev_pop("_e").alias("residual_std"), F.max("_a").alias("max_error"))
     q = quantiles(rows, by, "_a", [0.5, 0.9, 0.95], few_groups=few_groups).select(
         *by, F.col("qs")[0].alias("median_error"), F.col("qs")[1].alias("p90_error"), F.col("qs")[2].alias("p95_error"))
-    return _null_safe(base, q, list(by)) if by else base.join(F.broadcast(q))
+    return _null_safe(base, F.broadcast(q) if few_groups else q, list(by)) if by else base.join(F.broadcast(q))
 
 
 def without_training_profiles(train: DataFrame, scored: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -108,3 +108,20 @@ def test_every_family_fits(spark):
         p = ms.final_evaluation(df.where("id < 50").withColumn("y", F.col("v")), df.where("id between 50 and 69").withColumn("y", F.col("v")),
                                 df.where("id >= 70").withColumn("y", F.col("v")), c, "regression")
         assert ev.regression_metrics(p, ["model_id"]).first().r2 > 0.5
+
+
+def test_rows_of_few_groups_are_not_sorted_by_them(spark):
+    from assayer import plans
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size Spark overestimates
+    try:
+        for q in ("l10_regression_metrics", "l12_target_extremes"):
+            assert "SortMergeJoin" not in plans.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_fitted_linear_model_takes_no_table_along(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3 > 0)) for i in range(30)], "a double, y double")
+    for kind, family in (("binary", "logistic"), ("regression", "ridge")):
+        assert not ms.fit(df, ms.Candidate("m", family, ("a",)), kind).stages[-1].hasSummary
