@@ -125,3 +125,11 @@ def test_a_fitted_linear_model_takes_no_table_along(spark):
     df = spark.createDataFrame([(float(i), float(i % 3 > 0)) for i in range(30)], "a double, y double")
     for kind, family in (("binary", "logistic"), ("regression", "ridge")):
         assert not ms.fit(df, ms.Candidate("m", family, ("a",)), kind).stages[-1].hasSummary
+
+
+def test_a_scope_without_new_profiles_has_its_line(spark, tmp_path):
+    from assayer import plans
+    rows = [("A", s, 1.0, 0.1, 0.0, 1000.0 + i) for i in range(3) for s in "FO"]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_quantity double, l_discount double, l_tax double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = {r.scope: r for r in plans.QUERIES["l11_without_training_profiles"](spark, str(tmp_path)).collect()}
+    assert out["all"].rows == 3 and out["new profiles"].rows == 0 and out["new profiles"].mae is None
