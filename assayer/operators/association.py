@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assayer.functions import clean, guarded_ratio, norm_text, quantiles, rows_of, running, spread, wide_rows
 
 STRONG, REDUNDANT, STRUCTURAL = 0.80, 0.90, 0.99
+FEW = 10_000  # ranks of so many values of a column are broadcast
 
 
 def clamp(c: Column) -> Column:
@@ -117,23 +118,79 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def _spearman_by_pair(df: DataFrame, pairs: Sequence[tuple[Column, Column, str, str]]) -> DataFrame:
-    """Rows collapse to (x, y) counts, values to (side, value) counts; only those are ordered, spread by
-    range over many tasks. Ranks return by equi-joins on the value."""
+    """Ranks of one column of a pair are joined to the rows, which are then summed up per value of the other column.
+
+    With a centred rank `a` of x, all that is needed of the rows of a y is their number and the sum of a; the rank of y is
+    the running total of the numbers. A column of at most `FEW` values is taken for x, its ranks are broadcast, and all
+    pairs of one y share an aggregate. Only pairs of two columns with more values collapse to (x, y) counts and are joined
+    by value. About how many values a column has is the only thing read on the driver; no result depends on it.
+    """
+    names: dict[str, Column] = {}
+    for x, y, a, b in pairs:
+        names.setdefault(a, x)
+        names.setdefault(b, y)
+    base = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(names.values())])
+    values = base.agg(*[F.approx_count_distinct(c).alias(c) for c in base.columns]).first()
+    slot = {n: f"_c{i}" for i, n in enumerate(names)}
+    many, stars = [], {}
+    for pair in pairs:
+        a, b = pair[2:]
+        few = min((a, b), key=lambda n: values[slot[n]])
+        if values[slot[few]] > FEW:
+            many.append(pair)
+        else:
+            stars.setdefault(b if few == a else a, []).append((a, b, few))
+    parts = [_spearman_of_many(df, many)] if many else []
+    for other, star in stars.items():
+        for start in range(0, len(star), 30):
+            some = star[start:start + 30]
+            found = _spearman_of_few(base, [slot[few] for _, _, few in some], slot[other])
+            name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in some]), F.col("_f") + 1)
+            parts.append(found.select(name(0).alias("feature_a"), name(1).alias("feature_b"), "valid_rows", "spearman"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _centred_ranks(values: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """From counts `key…, x, n`: ranks `key…, x, n, _a` less their mean, and `key…, _n, _mid`: rows and mean rank."""
+    totals = values.groupBy(*key).agg(F.sum("n").alias("_n")).withColumn("_mid", (F.col("_n") + 1) / F.lit(2.0))
+    rank = F.col("run_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
+    ranks = running(values, key, "x", ["n"]).join(F.broadcast(totals), list(key)).select(*key, "x", "n", (rank - F.col("_mid")).alias("_a"))
+    return ranks, totals
+
+
+def _spearman_of_few(base: DataFrame, columns: Sequence[str], other: str) -> DataFrame:
+    """`_f, valid_rows, spearman` of columns of few values, by their place, with one of any number of values."""
+    long = base.where(F.col(other).isNotNull()).select(F.col(other).cast("double").alias("y"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))).where("x is not null")
+    ranks, totals = _centred_ranks(long.groupBy("_f", "x").agg(F.count(F.lit(1)).alias("n")), ["_f"])
+    k = range(len(columns))
+    per = long.join(F.broadcast(ranks.drop("n")), ["_f", "x"]).groupBy("y").agg(*[m for i in k for m in (
+        F.count_if(F.col("_f") == i).alias(f"_k{i}"), F.sum(F.when(F.col("_f") == i, F.col("_a")).otherwise(0.0)).alias(f"_s{i}"))])
+    mids = totals.agg(*[F.max(F.when(F.col("_f") == i, F.col("_mid"))).alias(f"_m{i}") for i in k])
+    placed = running(per, [], "y", [f"_k{i}" for i in k]).join(F.broadcast(mids))
+    at = [F.col(f"run__k{i}") - F.col(f"_k{i}") + (F.col(f"_k{i}") + 1) / F.lit(2.0) - F.col(f"_m{i}") for i in k]
+    sums = placed.agg(*[m for i in k for m in (F.sum(F.col(f"_s{i}") * at[i]).alias(f"_p{i}"), F.sum(F.col(f"_k{i}") * at[i] * at[i]).alias(f"_q{i}"))])
+    found = rows_of(sums, [{"_f": F.lit(i), "_p": F.col(f"_p{i}"), "_q": F.col(f"_q{i}")} for i in k])
+    return _spearman_from(found, ranks, totals, ["_f"])
+
+
+def _spearman_of_many(df: DataFrame, pairs: Sequence[tuple[Column, Column, str, str]]) -> DataFrame:
+    """Rows collapse to (x, y) counts; only values are ordered, spread by range over many tasks."""
     key = ["feature_a", "feature_b"]
     counts = pair_counts(df, pairs)
-    sides = counts.select(*key, F.inline(F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("v"), F.col("n").alias("n")),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("v"), F.col("n").alias("n")))))
-    values = sides.groupBy(*key, "side", "v").agg(F.sum("n").alias("n"))
-    ranked = running(values, [*key, "side"], "v", ["n"]).select(
-        *key, "side", "v", (F.col("run_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
-    of = lambda side, col, name: ranked.where(F.col("side") == side).select(*key, F.col("v").alias(col), F.col("rank").alias(name))
-    total = F.broadcast(counts.groupBy(*key).agg(F.sum("n").alias("_n")))
-    j = counts.join(of("x", "x", "_rx"), [*key, "x"]).join(of("y", "y", "_ry"), [*key, "y"]).join(total, key)
-    mid = (F.col("_n") + 1) / F.lit(2.0)
-    a, b = F.col("_rx") - mid, F.col("_ry") - mid
-    return j.groupBy(*key, F.col("_n").alias("valid_rows")).agg(guarded_ratio(
-        F.sum(F.col("n") * a * b), F.sqrt(F.sum(F.col("n") * a * a)) * F.sqrt(F.sum(F.col("n") * b * b))).alias("spearman"))
+    ranks, totals = _centred_ranks(counts.groupBy(*key, "x").agg(F.sum("n").alias("n")), key)
+    per = counts.join(ranks.drop("n"), [*key, "x"]).groupBy(*key, "y").agg(F.sum("n").alias("_k"), F.sum(F.col("n") * F.col("_a")).alias("_s"))
+    at = F.col("run__k") - F.col("_k") + (F.col("_k") + 1) / F.lit(2.0) - F.col("_mid")
+    found = running(per, key, "y", ["_k"]).join(F.broadcast(totals), key).groupBy(*key).agg(
+        F.sum(F.col("_s") * at).alias("_p"), F.sum(F.col("_k") * at * at).alias("_q"))
+    return _spearman_from(found, ranks, totals, key)
+
+
+def _spearman_from(found: DataFrame, ranks: DataFrame, totals: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The correlation from the products `_p` of both ranks, the squares `_q` of one and the ranks of the other."""
+    squares = ranks.groupBy(*key).agg(F.sum(F.col("n") * F.col("_a") * F.col("_a")).alias("_r"))
+    return found.join(F.broadcast(squares), list(key)).join(F.broadcast(totals), list(key)).select(
+        *key, F.col("_n").alias("valid_rows"), guarded_ratio(F.col("_p"), F.sqrt("_r") * F.sqrt("_q")).alias("spearman"))
 
 
 def numeric_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

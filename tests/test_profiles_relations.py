@@ -106,3 +106,25 @@ def test_class_overlap_of_separate_classes(spark):
     df = spark.createDataFrame(rows, "k string, x double, y double")
     o = {(r.class_a, r.class_b): r for r in st.class_overlap(st.class_profiles(df, ["x", "y"], "k")).collect()}
     assert o["A", "B"].mean_overlap == 1.0 and o["A", "C"].overlap_features == 1 and o["A", "C"].rms_median_gap > o["A", "B"].rms_median_gap
+
+
+def test_ranks_of_few_values_are_broadcast_and_no_pair_is_counted(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    gap = lambda x, p: np.where(rng.random(len(x)) < p, np.nan, x)
+    n = 400
+    data = pd.DataFrame({"a": gap(rng.integers(0, 4, n) * 1.0, 0.1), "b": gap(rng.integers(0, 60, n) - 30.0, 0.2), "t": gap(rng.normal(size=n).round(2), 0.05), "one": gap(np.ones(n), 0.5), "none": np.nan})
+    data["b"] += data["t"].fillna(0).round()
+    df = spark.createDataFrame(data).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in data.columns]).repartition(3)
+    pairs = [(F.col(x), F.col(y), x, y) for x, y in (("a", "b"), ("a", "t"), ("t", "b"), ("t", "a"), ("one", "t"), ("none", "t"))]
+    monkeypatch.setattr(ac, "FEW", 20)
+    out = {(r.feature_a, r.feature_b): r for r in ac.spearman_pairs(df, pairs=pairs).collect()}
+    assert set(out) == {p[2:] for p in pairs if "none" not in p[2:]}
+    for (x, y), r in out.items():
+        both = data[[x, y]].dropna()
+        want = None if x == "one" else np.corrcoef(both[x].rank(), both[y].rank())[0, 1]
+        assert r.valid_rows == len(both) and (r.spearman == want or abs(r.spearman - want) < 1e-12)
+    monkeypatch.setattr(ac, "FEW", 10_000)
+    plan = tg.continuous_numeric(df, ["a", "b"], "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
