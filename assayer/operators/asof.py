@@ -26,8 +26,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 
     Of right rows at one time the last by `tie`, then by the values, counts. `within`: seconds beyond which a row is too old.
     Both sides become one sequence per key and time bucket of `bucket` seconds, in which the last right row is carried
-    on. The last row of each bucket is carried into the later ones by another, much shorter sequence: one row per key and
-    bucket. So no range join is made, and a key with most of the rows is dealt out by its buckets.
+    on. What was last before a bucket enters its sequence as one more right row: if `within` is no longer than a bucket,
+    rows near the end of a bucket are dealt to the next one too; else the last row of each bucket is carried into the later
+    ones by another, much shorter sequence, one row per key and bucket. So no join is made, and a key with most of the rows
+    is dealt out by its buckets.
 
     Rows of left without a key or time stay and match nothing; such rows of right are left out. Rows that repeat stay.
     An empty side is allowed. Columns of left keep their names; values get `prefix`, and must then be new ones.
@@ -38,33 +40,32 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
         raise ValueError(f"columns would be there twice: {clash}")
     keys = [f"_k{i}" for i in range(len(by))]
     keyed = lambda df: [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
-    row_type = left.select(F.struct(*[F.col(c) for c in left.columns]).alias("r")).schema["r"].dataType
     value = F.struct(micros(right_time).alias("at"), F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tie)], F.lit(0).alias("t")).alias("tie"),
                      F.struct(*[F.col(c).alias(n) for c, n in zip(values, names, strict=True)]).alias("v"))
     known = right.select(*keyed(right), value.alias("_v")).where(F.col("_v.at").isNotNull())
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     value_type = known.schema["_v"].dataType
-    a = left.select(*keyed(left), micros(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(None).cast(value_type).alias("_v"))
-    b = known.select(*keys, F.col("_v.at").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(row_type).alias("_row"), "_v")
-    both = a.unionByName(b).withColumn("_b", F.floor(F.col("_at") / (bucket * MICROS)))
+    place = lambda at: F.floor(at / (bucket * MICROS))
+    kept = {c: f"_l{i}" for i, c in enumerate(left.columns)}  # plain columns: those that are not asked for are not sorted
+    a = left.select(*keyed(left), micros(left_time).alias("_at"), F.lit(1).alias("_side"), *[F.col(c).alias(k) for c, k in kept.items()]).withColumn("_b", place(F.col("_at")))
+    b = known.select(*keys, F.col("_v.at").alias("_at"), F.lit(0).alias("_side"), "_v").withColumn("_b", place(F.col("_at")))
+    if within is not None and within <= bucket:
+        carried = b.where(place(F.col("_at") + within * MICROS) > F.col("_b")).withColumn("_b", F.col("_b") + 1)
+    else:
+        ends = b.groupBy(*keys, "_b").agg(F.max("_v").alias("_v")).withColumn("_side", F.lit(1))
+        # buckets that rows of left are in need what was last before them
+        asked = a.select(*keys, "_b").distinct().withColumn("_side", F.lit(0))
+        earlier = Window.partitionBy(*keys).orderBy("_b", "_side").rowsBetween(Window.unboundedPreceding, -1)
+        before = ends.unionByName(asked, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(earlier))
+        carried = before.where("_side = 0 and _v is not null").withColumn("_at", F.col("_v.at"))
     order = Window.partitionBy(*keys, "_b").orderBy("_at", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = both.withColumn("_local", F.last("_v", ignorenulls=True).over(order)).where("_side = 1")
-    ends = b.withColumn("_b", F.floor(F.col("_at") / (bucket * MICROS))).groupBy(*keys, "_b").agg(F.max("_v").alias("_end"))
-    # buckets that rows of left are in need what was last before them
-    asked = a.withColumn("_b", F.floor(F.col("_at") / (bucket * MICROS))).select(*keys, "_b").distinct().withColumn("_end", F.lit(None).cast(value_type))
-    per_bucket = ends.unionByName(asked).groupBy(*keys, "_b").agg(F.max("_end").alias("_end"))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).where("_before is not null").select(
-        *[F.col(k).alias(f"_c{k}") for k in keys], F.col("_b").alias("_cb"), "_before")
-    same = F.col("_b") == F.col("_cb")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_c{k}"))
-    joined = local.join(carried, same, "left")
-    found = F.coalesce("_local", "_before")
+    every = a.unionByName(b, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    found = F.col("_found")
     if within is not None:
         found = F.when(F.col("_at") - found["at"] <= within * MICROS, found)
-    return joined.select("_row", found.alias("_found")).select("_row.*", *[F.col(f"_found.v.{n}").alias(n) for n in names])
+    local = every.withColumn("_found", F.last("_v", ignorenulls=True).over(order)).where("_side = 1").withColumn("_found", found)
+    return local.select(*[F.col(k).alias(c) for c, k in kept.items()], *[F.col(f"_found.v.{n}").alias(n) for n in names])
 
 
 def recent(df: DataFrame, by: Sequence[str], time: str, seconds: int, measures: dict[str, Column]) -> DataFrame:

@@ -85,3 +85,14 @@ def test_medians_and_spreads_of_frames_come_from_ranks(spark):
     last = out.orderBy("t", "id").tail(1)[0]
     frame = np.arange(40_000) % 97.0
     assert last.recent_n == 40_000 and last.recent_median == np.median(frame) and last.recent_mad == np.median(np.abs(frame - np.median(frame)))
+
+
+def test_what_was_last_before_a_bucket_needs_no_join(spark):
+    l = spark.createDataFrame([(i, "note", 1, START + timedelta(seconds=100 * i)) for i in range(40)], "id int, note string, k int, t timestamp")
+    r = spark.createDataFrame([(1, START + timedelta(seconds=700 * i), i) for i in range(-2, 3)], "k int, t timestamp, seq int")
+    for within, windows in ((600, 1), (601, 2), (None, 2)):  # of a bucket of 600 seconds
+        out = ao.asof_join(l, r, ["k"], "t", "t", ["seq"], within=within, bucket=600).select("id", "seq")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "_l1#" not in plan and plan.count("Window [") == windows
+        want = {i: 100 * i // 700 if i < 21 else 2 for i in range(40)}
+        assert {x.id: x.seq for x in out.collect()} == {i: s if within is None or 100 * i - 700 * s <= within else None for i, s in want.items()}
