@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("object", "array", "string", "number", "boolean", "null")
 
 
-def _kind(v: Column) -> Column:
-    """JSON's own name of the kind of a variant."""
-    shape = F.schema_of_variant(v)
-    return (F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string")
-            .when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").otherwise("number"))
+def _entered(rows: DataFrame) -> DataFrame:
+    """Rows `path, kind, value, v` with kind and value of a variant v that is not null, and its members `_m` or elements `_e`."""
+    v = F.col("v")
+    inside = rows.select("*", F.try_variant_get(v, "$", "map<string,variant>").alias("_m"), F.try_variant_get(v, "$", "array<variant>").alias("_e"))
+    # only a scalar is asked for its schema: that of an object names all that it holds
+    shape = inside.withColumn("_s", F.when(v.isNotNull() & F.col("_m").isNull() & F.col("_e").isNull(), F.schema_of_variant(v)))
+    scalar = F.when(F.col("_s") == "STRING", "string").when(F.col("_s") == "BOOLEAN", "boolean").when(F.col("_s") == "VOID", "null").otherwise("number")
+    return shape.select("path", F.when(v.isNull(), F.col("kind")).when(F.col("_m").isNotNull(), "object").when(F.col("_e").isNotNull(), "array").otherwise(scalar).alias("kind"),
+                        F.when(F.col("_s") != "VOID", v.cast("string")).otherwise(F.col("value")).alias("value"), "_m", "_e")
 
 
 def json_paths(df: DataFrame, column: str, depth: int = 4) -> DataFrame:
@@ -22,18 +24,18 @@ def json_paths(df: DataFrame, column: str, depth: int = 4) -> DataFrame:
 
     Members are `.name`, all elements of an array `[]`; value is the text of a string, number or boolean, else null. A
     text that is no JSON is one row of kind `invalid`; a null text has no row. Deeper levels are not entered.
+
+    A text is parsed once: each step leaves what was found as a row, and adds what is inside it.
     """
-    known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("text"), F.try_parse_json(column).alias("v"))
-    level = known.where("v is not null").select(F.lit("$").alias("path"), "v")
-    levels = [level]
+    none = F.lit(None).cast("string")
+    rows = df.where(F.col(column).isNotNull()).select(F.lit("$").alias("path"), F.lit("invalid").alias("kind"), none.alias("value"), F.try_parse_json(column).alias("v"))
     for _ in range(depth):
-        inner = level.where(_kind(F.col("v")).isin("object", "array")).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        level = inner.select(F.concat("path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise("[]")).alias("path"), F.col("value").alias("v"))
-        levels.append(level)
-    every = reduce(DataFrame.unionByName, levels).withColumn("kind", _kind(F.col("v")))
-    text = F.when(~F.col("kind").isin("object", "array", "null"), F.col("v").cast("string"))
-    broken = known.where("v is null").select(F.lit("$").alias("path"), F.lit("invalid").alias("kind"), F.lit(None).cast("string").alias("value"))
-    return every.select("path", "kind", text.alias("value")).unionByName(broken)
+        below = lambda name, v: F.struct(F.concat("path", name).alias("path"), none.alias("kind"), none.alias("value"), v.alias("v"))
+        own = F.array(F.struct("path", "kind", "value", F.lit(None).cast("variant").alias("v")))
+        members = F.transform(F.map_entries("_m"), lambda e: below(F.concat(F.lit("."), e["key"]), e["value"]))
+        elements = F.transform("_e", lambda e: below(F.lit("[]"), e))
+        rows = _entered(rows).select(F.inline(F.when(F.col("_m").isNotNull(), F.concat(own, members)).when(F.col("_e").isNotNull(), F.concat(own, elements)).otherwise(own)))
+    return _entered(rows).select("path", "kind", "value")
 
 
 def json_profile(df: DataFrame, column: str, depth: int = 4) -> DataFrame:

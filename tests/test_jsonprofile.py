@@ -41,3 +41,11 @@ def test_contract(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     out = {r.path: (r.status, r.rows) for r in jp.json_contract(df, "text", {"$.a": ("number",), "$.e": ("string",), "$.z": ("string",), "$.b": ("object",)}).collect()}
     assert out["$.a"] == ("mismatch", 4) and out["$.e"] == ("match", 2) and out["$.z"] == ("missing", 0) and out["$.b.c"][0] == "undeclared" and out["$.b"] == ("match", 4)
+
+
+def test_a_text_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"a": [{"b": [[1, "{", null, {}]]}]}',)], "text string")
+    out = jp.json_paths(df, "text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(brute([df.first().text]), key=str)
+    assert sorted(map(tuple, jp.json_paths(df, "text", 6).collect()), key=str) == sorted(brute([df.first().text], 6), key=str)
