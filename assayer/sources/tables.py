@@ -101,8 +101,8 @@ def work_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written below `work_folder` and read back: what follows starts from files, whatever executor is lost."""
+def stored(df: DataFrame, name: str, most: int = 0) -> DataFrame:
+    """The rows written below `work_folder` and read back: what follows starts from files (of `most` rows, 0: any number), whatever executor is lost."""
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", most) if most else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

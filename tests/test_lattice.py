@@ -57,3 +57,45 @@ def test_sets_without_a_claim_that_holds_are_not_shuffled_whole(spark):
     assert rows.parts(12).count() < 30_000
     got = {tuple(r)[:3] for r in keys_and_dependencies(df, width=2).collect()}
     assert got == {("key", "id", None), ("dependency", "c0", "d")}
+
+
+def near_keys(n=20_000):
+    """Two columns that are a key but for four pairs of rows, one that a column determines but for two rows, a hot value, columns of few values."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(n):
+        a = i // 4 if i % 3 else 0
+        group = rng.randrange(90)
+        rows.append([a, rng.randrange(10 ** 9), group, group // 7, group // 7, rng.choice([None, 0, 1, 2, 3]), rng.randrange(5), rng.randrange(7)])
+    for i in (11, 12):
+        rows[i][3] = 99
+    for i, c in ((100, 5), (200, 6), (300, 7), (400, 2)):
+        rows[i + 1] = list(rows[i])
+        rows[i + 1][c] = -1
+    return [tuple(r) for r in rows], ["a", "b", "group", "nearly", "seventh", "c", "d", "e"]
+
+
+SCHEMA = "a int, b int, group int, nearly int, seventh int, c int, d int, e int"
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_near_keys_and_near_dependencies_equal_brute_force(spark, monkeypatch, most):
+    from assayer.operators import lattice
+    monkeypatch.setattr(lattice, "MOST_SHARED", most, raising=False)
+    rows, columns = near_keys()
+    got = [tuple(r) for r in keys_and_dependencies(spark.createDataFrame(rows, SCHEMA).repartition(4), columns, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, columns, 3)
+
+
+def test_claims_on_a_near_key_are_not_looked_for_in_all_rows_one_by_one(spark, monkeypatch):
+    from assayer.operators import lattice
+    whole, look = [], lattice.Claims.look
+
+    def spy(self, claims, share=1, **more):
+        whole.extend(claims if share == 1 and more.get("rows") is None else [])
+        return look(self, claims, share, **more)
+
+    monkeypatch.setattr(lattice.Claims, "look", spy)
+    rows, columns = near_keys()
+    keys_and_dependencies(spark.createDataFrame(rows, SCHEMA).repartition(4), columns, 3).collect()
+    assert len(whole) == 0
